@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from twinspect.llm import mixing, sharding
+from twinspect.llm import chat, mixing, sharding, tokens
 
 QUERIES = {
+    "op4_transducer_tokens": tokens.op4_transducer_tokens,
+    "op6_reply_tree_chat": chat.op6_reply_tree_chat,
     "op9_efraimidis_mix": mixing.op9_efraimidis_mix,
     "op10_byte_prefix_shards": sharding.op10_byte_prefix_shards,
 }
