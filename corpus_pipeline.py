@@ -1,12 +1,74 @@
-"""The corpus pipeline: see STAGES."""
+"""The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, documents that hold benchmark
+passages go, sources are mixed to their target weights, and the rest is laid into shards.
+
+STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
+Parquet below the session's checkpoint folder and reads again as the next one's docs. All but the last return the columns
+of documents. Stages keep rows by id; rows without an id stay until the mixing, which draws them like others.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinspect.llm import decontam, mixing, neardup, sharding, toxicity
+from twinspect.session import checkpoint_dir, load
+
+
+def _among(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose id verdicts names, once each, and those without an id."""
+    named = verdicts.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
+    return docs.where("doc_id IS NULL").unionByName(docs.join(named, F.col("doc_id") == F.col("_id"), "left_semi"))
+
+
+def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    named = verdicts.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
+    return docs.join(named, F.col("doc_id") == F.col("_id"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(docs, load(spark, sf_dir, "labels"))
+    return _without(docs, scored.where("predicted = 1"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _among(docs, neardup.near_duplicates(docs).where("kept"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, decontam.contaminated(docs, load(spark, sf_dir, "benchmark")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that the mix takes n times is n rows."""
+    times = mixing.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_n"))
+    times = times.groupBy("_id").agg(F.max("_n").alias("_n")).where("_n > 0")
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return rows.select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+#: Learned scores and sketches aren't SQL; tests hold run() against the stages' brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The last stage's rows, from the table documents."""
+    docs = load(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from twinspect.llm import chat, mixing, sharding, tokens
+from twinspect.llm import chat, decontam, mixing, neardup, sharding, tokens, toxicity
 
 QUERIES = {
+    "op2_factorization_toxicity": toxicity.op2_factorization_toxicity,
     "op4_transducer_tokens": tokens.op4_transducer_tokens,
+    "op5_spaced_seed_decontam": decontam.op5_spaced_seed_decontam,
     "op6_reply_tree_chat": chat.op6_reply_tree_chat,
+    "op7_bottom_k_near_dup": neardup.op7_bottom_k_near_dup,
     "op9_efraimidis_mix": mixing.op9_efraimidis_mix,
     "op10_byte_prefix_shards": sharding.op10_byte_prefix_shards,
 }
