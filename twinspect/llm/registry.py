@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from twinspect.llm import chat, decontam, mixing, neardup, sharding, tokens, toxicity
+from twinspect.llm import chat, decontam, mixing, neardup, quality, sharding, tokens, toxicity
 
 QUERIES = {
+    "op1_mcd_outliers": quality.op1_mcd_outliers,
     "op2_factorization_toxicity": toxicity.op2_factorization_toxicity,
     "op4_transducer_tokens": tokens.op4_transducer_tokens,
     "op5_spaced_seed_decontam": decontam.op5_spaced_seed_decontam,
@@ -14,5 +15,6 @@ QUERIES = {
     "op10_byte_prefix_shards": sharding.op10_byte_prefix_shards,
 }
 SQL = {
+    "op1_mcd_outliers": quality.SQL,
     "op9_efraimidis_mix": mixing.SQL,
 }
