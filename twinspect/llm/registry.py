@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from twinspect.llm import chat, decontam, mixing, neardup, quality, sharding, tokens, toxicity
+from twinspect.llm import chat, decontam, mixing, neardup, quality, repeats, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_mcd_outliers": quality.op1_mcd_outliers,
     "op2_factorization_toxicity": toxicity.op2_factorization_toxicity,
+    "op3_bwt_repeats": repeats.op3_bwt_repeats,
     "op4_transducer_tokens": tokens.op4_transducer_tokens,
     "op5_spaced_seed_decontam": decontam.op5_spaced_seed_decontam,
     "op6_reply_tree_chat": chat.op6_reply_tree_chat,
