@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinspect.llm import chat, decontam, mixing, neardup, quality, repeats, sharding, tokens, toxicity
+from twinspect.llm import chat, decontam, htmltext, mixing, neardup, quality, repeats, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_mcd_outliers": quality.op1_mcd_outliers,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_spaced_seed_decontam": decontam.op5_spaced_seed_decontam,
     "op6_reply_tree_chat": chat.op6_reply_tree_chat,
     "op7_bottom_k_near_dup": neardup.op7_bottom_k_near_dup,
+    "op8_layout_text": htmltext.op8_layout_text,
     "op9_efraimidis_mix": mixing.op9_efraimidis_mix,
     "op10_byte_prefix_shards": sharding.op10_byte_prefix_shards,
 }
