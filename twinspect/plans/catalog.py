@@ -1,10 +1,523 @@
-"""The registered queries over the driver tables, and the SQL that gives the same rows."""
+"""The registered queries over the driver tables, and the SQL that gives the same rows.
+
+The tables stand in for stored units: `embeddings` rows are units with made-up spans (three files, blocks where the id is
+even), `lineitem` rows are spans, `documents` are texts, and paths are put together from `pages`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinspect.functions import text as T
+from twinspect.functions.vectors import normalized
+from twinspect.operators import clusters as C
+from twinspect.operators import diffs, evaluate, overlap, similar
+from twinspect.operators.embedding import hashed_tokens
+from twinspect.session import load
+
+THRESHOLD = 0.40
+TEXT_THRESHOLD = 0.95
+DIM = 64
+EXTENSIONS = [*T.LANGUAGES, "md", "txt"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- the store: counts, filters, pending texts ----------------------------------------------------------------------
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def status_by_lang(spark, d):
+    return load(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def model_counts(spark, d):
+    return load(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+
+
+_EFFECTIVE = r"""len(list_filter(list_transform(string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[:-2] ELSE text END, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')),
+  lambda x: x <> '' AND NOT regexp_matches(x, '^[{}\[\]();,:.]*$')))::INTEGER"""
+
+
+@query(f"SELECT doc_id, {_EFFECTIVE} AS n FROM documents")
+def effective_lines(spark, d):
+    return load(spark, d, "documents").select("doc_id", T.effective_lines(F.col("text")).alias("n"))
+
+
+def _stored(spark, d):
+    docs, labels = load(spark, d, "documents"), load(spark, d, "labels")
+    return docs.join(labels, "doc_id").select("doc_id", "lang", "text", (F.col("quality") == 0).alias("ignored"), (F.col("toxic") == 1).alias("is_test"))
+
+
+@query(f"SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) WHERE quality <> 0 AND toxic <> 1 AND {_EFFECTIVE} >= 2")
+def scannable_docs(spark, d):
+    rows = _stored(spark, d).where(diffs.rankable(F.col("ignored"), F.col("is_test"), True))
+    return rows.where(T.effective_lines(F.col("text")) >= 2).select("doc_id", "lang")
+
+
+@query("SELECT count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 0")
+def ignored_count(spark, d):
+    return _stored(spark, d).where("ignored").agg(F.count("*").alias("n"))
+
+
+def _pending(spark, d):
+    docs = load(spark, d, "documents")
+    texts = docs.select(T.content_hash(F.col("text")).alias("hash")).distinct()
+    used = docs.join(load(spark, d, "labels"), "doc_id", "left_semi").select(T.content_hash(F.col("text")).alias("hash"))
+    done = docs.where("doc_id % 3 = 0").select(T.content_hash(F.col("text")).alias("hash"))
+    return texts.join(used, "hash", "left_semi").join(done, "hash", "left_anti")
+
+
+_PENDING = """(SELECT DISTINCT sha256(text) AS hash FROM documents) t WHERE EXISTS (SELECT 1 FROM documents u JOIN labels USING (doc_id) WHERE sha256(u.text) = t.hash)
+  AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 3 = 0 AND sha256(e.text) = t.hash)"""
+
+
+@query(f"SELECT hash FROM {_PENDING}")
+def pending_texts(spark, d):
+    return _pending(spark, d)
+
+
+@query(f"SELECT count(*) AS n FROM {_PENDING}")
+def pending_count(spark, d):
+    return _pending(spark, d).agg(F.count("*").alias("n"))
+
+
+@query("SELECT sha256(text) AS hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1")
+def first_text_per_hash(spark, d):
+    return load(spark, d, "documents").groupBy(T.content_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+
+
+_DOCLINE = "CASE (doc_id + k) % 7 WHEN 0 THEN '/// ' WHEN 1 THEN '  //! ' WHEN 2 THEN '/** ' WHEN 4 THEN '*/ ' WHEN 5 THEN '// ' ELSE '' END"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, list_transform(range(len(ls)), lambda k: concat({_DOCLINE}, ls[k + 1])) AS ls FROM l),
+s AS (SELECT doc_id, list_reduce(list_transform(ls, lambda x: {{'inside': false, 'line': x, 'kept': []::VARCHAR[]}}),
+  lambda a, x: {{'inside': CASE WHEN a.inside THEN NOT contains(x.line, '*/') ELSE (starts_with(ltrim(x.line), '/**') AND NOT contains(x.line, '*/')) END, 'line': '',
+    'kept': CASE WHEN a.inside OR starts_with(ltrim(x.line), '/**') OR starts_with(ltrim(x.line), '/*!') OR starts_with(ltrim(x.line), '///') OR starts_with(ltrim(x.line), '//!') THEN a.kept ELSE list_append(a.kept, x.line) END}},
+  {{'inside': false, 'line': '', 'kept': []::VARCHAR[]}}) AS r FROM p)
+SELECT doc_id, array_to_string(r.kept, chr(10)) AS stripped FROM s"""
+)
+def doc_strip(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", T.lines_of(F.col("text")).alias("ls"))
+    marked = docs.select("doc_id", F.array_join(F.transform("ls", lambda x, k: F.concat(_mark(F.col("doc_id") + k), x)), "\n").alias("text"))
+    return marked.select("doc_id", T.doc_stripped(F.col("text")).alias("stripped"))
+
+
+def _mark(n):
+    n = n % 7
+    return F.when(n == 0, "/// ").when(n == 1, "  //! ").when(n == 2, "/** ").when(n == 4, "*/ ").when(n == 5, "// ").otherwise("")
+
+
+# ---- paths ----------------------------------------------------------------------------------------------------------
+
+_EXT = "CASE page_id % {} {} END".format(len(EXTENSIONS), " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(EXTENSIONS)))
+_PATH = f"""concat(CASE page_id % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'app/tests/' WHEN 2 THEN 'lib/spec/' WHEN 3 THEN CASE WHEN page_id % 4 = 3 THEN '' ELSE 'lib/' END WHEN 4 THEN 'pkg/__tests__/' ELSE 'x/.git/' END,
+ CASE page_id % 5 WHEN 0 THEN 'test_' ELSE 'f' END, CAST(page_id AS STRING), CASE page_id % 7 WHEN 0 THEN '_test' WHEN 1 THEN '.spec' WHEN 2 THEN 'Tests' ELSE '' END, '.', {_EXT})"""
+_PATHS = f"(SELECT page_id, {_PATH} AS path FROM pages)"
+_LANG = "CASE regexp_extract(path, '\\.([^./]+)$', 1) {} END".format(" ".join(f"WHEN '{e}' THEN '{n}'" for e, n in T.LANGUAGES.items()))
+
+
+def _paths(spark, d):
+    return load(spark, d, "pages").select("page_id", F.expr(_PATH).alias("path"))
+
+
+@query("SELECT page_id, path, (" + " OR ".join([f"contains(path, '{p}')" for p in T.TEST_PARTS] + [f"suffix(path, '{e}')" for e in T.TEST_ENDS]) + f") AS is_test FROM {_PATHS}")
+def test_path_flags(spark, d):
+    return _paths(spark, d).select("page_id", "path", T.is_test_path(F.col("path")).alias("is_test"))
+
+
+@query(f"SELECT page_id FROM {_PATHS} WHERE contains(path, '/.git/') OR contains(path, 'lib/')")
+def excluded_paths(spark, d):
+    return _paths(spark, d).where(T.is_excluded(F.col("path"), ["lib/"])).select("page_id")
+
+
+@query(f"SELECT page_id, {_LANG} AS lang FROM {_PATHS}")
+def lang_by_ext(spark, d):
+    return _paths(spark, d).select("page_id", T.language(F.col("path")).alias("lang"))
+
+
+def root_counts(paths: DataFrame) -> DataFrame:
+    """(root, n_files, covered) of supported files: first path components, "." for files at the top; "." covers all others."""
+    rows = paths.where(T.language(F.col("path")).isNotNull()).select(F.when(F.col("path").contains("/"), F.split("path", "/")[0]).otherwise(".").alias("root"))
+    found = rows.groupBy("root").agg(F.count("*").alias("n_files"))
+    everything = found.agg(F.bool_or(F.col("root") == ".").alias("whole"))
+    return found.crossJoin(F.broadcast(everything)).select("root", "n_files", (F.col("whole") & (F.col("root") != ".")).alias("covered"))  # one row
+
+
+@query(
+    f"""WITH r AS (SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '.' END AS root, count(*) AS n_files FROM {_PATHS} WHERE {_LANG} IS NOT NULL GROUP BY 1)
+SELECT root, n_files, (SELECT bool_or(root = '.') FROM r) AND root <> '.' AS covered FROM r"""
+)
+def detect_roots(spark, d):
+    return root_counts(_paths(spark, d))
+
+
+@query(f"SELECT lang, count(*) AS n FROM (SELECT replace({_LANG}, 'cpp', 'c++') AS lang FROM {_PATHS}) WHERE lang IS NOT NULL GROUP BY 1")
+def files_per_language(spark, d):
+    return _paths(spark, d).select(T.root_language(F.col("path")).alias("lang")).where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+# ---- spans ----------------------------------------------------------------------------------------------------------
+
+_SPANS = """(SELECT l_orderkey * 10 + l_linenumber AS unit_id, l_orderkey AS path, l_linenumber AS start_line, l_linenumber + CAST(l_quantity AS INTEGER) % 5 AS end_line,
+ CASE WHEN l_partkey % 2 = 0 THEN 'block' ELSE 'function' END AS unit_kind FROM lineitem)"""
+
+
+def _line_spans(spark, d, kind=None):
+    q, e = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    k = F.lit(kind) if kind else F.when(F.col("l_partkey") % 2 == 0, "block").otherwise("function")
+    return load(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + e).alias("unit_id"), F.col("l_orderkey").alias("path"), e.alias("start_line"), (e + q % 5).alias("end_line"), k.alias("unit_kind"))
+
+
+@query(f"SELECT unit_id, concat('o', path, ':', start_line, '-', end_line, ' u', unit_id, CASE WHEN unit_kind = 'block' THEN ' [block]' ELSE '' END) AS label, end_line - start_line + 1 AS span_lines FROM {_SPANS}")
+def unit_labels(spark, d):
+    u = _line_spans(spark, d)
+    text = T.label(F.concat(F.lit("o"), F.col("path").cast("string")), F.col("start_line"), F.col("end_line"), F.concat(F.lit("u"), F.col("unit_id").cast("string")), F.col("unit_kind"))
+    return u.select("unit_id", text.alias("label"), overlap.span(F.col("start_line"), F.col("end_line")).alias("span_lines"))
+
+
+@query(
+    f"""SELECT unit_id FROM {_SPANS} a WHERE NOT (unit_kind = 'block' AND EXISTS (SELECT 1 FROM {_SPANS} b WHERE b.unit_kind = 'block' AND b.path = a.path
+  AND a.end_line - a.start_line > b.end_line - b.start_line AND a.start_line <= b.end_line AND b.start_line <= a.end_line))"""
+)
+def drop_overlapping_blocks(spark, d):
+    return overlap.drop_overlapping_blocks(_line_spans(spark, d)).select("unit_id")
+
+
+_RANGES = "(SELECT event_id AS path, event_id % 5 + 1 AS lo, event_id % 5 + 1 + event_id % 3 AS hi FROM events)"
+
+
+@query(f"SELECT unit_id FROM {_SPANS} u WHERE end_line - start_line >= 1 AND EXISTS (SELECT 1 FROM {_RANGES} r WHERE r.path = u.path AND u.start_line <= r.hi AND r.lo <= u.end_line)")
+def touched_units(spark, d):
+    lo = F.col("event_id") % 5 + 1
+    ranges = load(spark, d, "events").select(F.col("event_id").alias("path"), lo.alias("lo"), (lo + F.col("event_id") % 3).alias("hi"))
+    return overlap.touched(_line_spans(spark, d).where(F.col("end_line") - F.col("start_line") >= 1), ranges).select("unit_id")
+
+
+_HUNK = "concat('@@ -', CAST(l_partkey AS STRING), ' +', CAST(l_orderkey AS STRING), CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat(',', CAST(l_linenumber % 4 AS STRING)) END, ' @@ x')"
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, CASE WHEN n > 0 THEN l_orderkey END AS lo, CASE WHEN n > 0 THEN l_orderkey + n - 1 END AS hi
+FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE l_linenumber % 4 END AS n FROM lineitem)"""
+)
+def hunk_ranges(spark, d):
+    r = T.hunk_range(F.expr(_HUNK))
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r["lo"].alias("lo"), r["hi"].alias("hi"))
+
+
+@query(
+    """SELECT concat('f', o_orderkey % 50, '.rs') AS path, o_custkey AS lo, o_custkey + o_orderkey % 3 AS hi FROM orders WHERE o_orderkey % 7 <> 0"""
+)
+def diff_ranges(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    head = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ "), F.when(k % 7 == 0, "/dev/null").otherwise(F.concat(F.lit("b/f"), (k % 50).cast("string"), F.lit(".rs"))))
+    text = F.concat(head, F.lit("\n@@ -1,2 +"), c, F.lit(","), (k % 3 + 1).cast("string"), F.lit(" @@ fn\n+a\n@@ -9,1 +9,0 @@\n-b\n"))
+    return diffs.changed_ranges(load(spark, d, "orders").select(k.alias("diff_id"), text.alias("text")))
+
+
+_SEL = "concat('src/p', CAST(p_partkey % 100 AS STRING), '.rs', CASE WHEN p_partkey % 3 = 0 THEN concat(':', CAST(p_size AS STRING), '-', CAST(p_size + 5 AS STRING)) WHEN p_partkey % 3 = 1 THEN ':x-y' ELSE '' END, '::', p_name, CASE WHEN p_partkey % 2 = 0 THEN '::m' ELSE '' END)"
+
+
+@query(
+    """SELECT p_partkey, concat('src/p', p_partkey % 100, '.rs', CASE WHEN p_partkey % 3 = 1 THEN ':x-y' ELSE '' END) AS path, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS lo,
+  CASE WHEN p_partkey % 3 = 0 THEN p_size + 5 END AS hi, concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN '::m' ELSE '' END) AS name FROM part"""
+)
+def selector_parse(spark, d):
+    parts = T.selector(F.expr(_SEL))
+    return load(spark, d, "part").select("p_partkey", *[v.alias(k) for k, v in parts.items()])
+
+
+_A = "concat(CASE WHEN page_id % 2 = 0 THEN './' ELSE '' END, 'src/f', CAST(page_id % 11 AS STRING), '.rs')"
+_B = "concat(CASE WHEN page_id % 3 = 0 THEN 'repo/' WHEN page_id % 3 = 1 THEN 'x' ELSE '' END, 'src/f', CAST(page_id % 13 AS STRING), '.rs')"
+
+
+@query(f"SELECT page_id, (page_id % 11 = page_id % 13 AND page_id % 3 <> 1) AS same FROM pages")
+def stale_self_match(spark, d):
+    return load(spark, d, "pages").select("page_id", T.paths_equal(F.expr(_A), F.expr(_B)).alias("same"))
+
+
+@query(
+    """SELECT doc_id, repeat('`', greatest(2, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: len(x))), 0)) + 1) AS fence, replace(replace(t, '|', '\\|'), chr(10), ' ') AS cell,
+  replace(replace(t, '%', '%25'), chr(10), '%0A') AS message, replace(replace(replace(replace(t, '%', '%25'), chr(10), '%0A'), ':', '%3A'), ',', '%2C') AS property
+FROM (SELECT doc_id, concat(repeat('`', (doc_id % 6)::INTEGER), 'a:b', chr(10), substr(text, 1, 80)) AS t FROM documents)"""
+)
+def report_escapes(spark, d):
+    t = F.concat(F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit("a:b\n"), F.substring("text", 1, 80))
+    docs = load(spark, d, "documents").select("doc_id", t.alias("t"))
+    t = F.col("t")
+    return docs.select("doc_id", T.fence(t).alias("fence"), T.markdown_escaped(t).alias("cell"), T.message_escaped(t).alias("message"), T.property_escaped(t).alias("property"))
+
+
+# ---- vectors: exact pairs, sparse pairs -----------------------------------------------------------------------------
+
+
+def _units(spark, d, spans=True):
+    v = F.col("vec_id")
+    rows = load(spark, d, "embeddings").select(v.alias("unit_id"), F.col("embedding").alias("vec"), (v % 3).alias("path"), (v % 10).alias("start_line"), (v % 10 + v % 40).alias("end_line"), F.when(v % 2 == 0, "block").otherwise("function").alias("unit_kind"))
+    return rows if spans else rows.select("unit_id", "vec")
+
+
+_DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_PAIRS = f"(SELECT a.vec_id AS i, b.vec_id AS j, {_DOT} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_DOT} >= {THRESHOLD})"
+_U = "(SELECT vec_id AS unit_id, vec_id % 3 AS path, vec_id % 10 AS s, vec_id % 10 + vec_id % 40 AS e, vec_id % 2 = 0 AS block FROM embeddings)"
+_NESTED = "(x.path = y.path AND ((x.s <= y.s AND x.e >= y.e) OR (y.s <= x.s AND y.e >= x.e)))"
+_FREE = f"(SELECT p.* FROM {_PAIRS} p JOIN {_U} x ON x.unit_id = i JOIN {_U} y ON y.unit_id = j WHERE NOT {_NESTED})"
+
+
+def _rounded(df, name="cosine"):
+    return df.withColumn(name, F.round(name, 6))
+
+
+@query("SELECT vec_id, unnest(range(1, 65)) AS pos, round(unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) AS x FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (label + 1)) AS v FROM embeddings)")
+def normalize_vectors(spark, d):
+    v = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
+    rows = load(spark, d, "embeddings").select("vec_id", F.posexplode(normalized(v)).alias("p", "x"))
+    return rows.select("vec_id", (F.col("p") + 1).cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query(f"SELECT i, j, round(cosine, 6) AS cosine FROM {_PAIRS}")
+def exact_pairs(spark, d):
+    return _rounded(similar.exact_pairs(_units(spark, d, False), THRESHOLD))
+
+
+@query(f"SELECT i, j, round(cosine, 6) AS cosine FROM {_FREE}")
+def exact_pairs_contained(spark, d):
+    return _rounded(similar.exact_pairs(_units(spark, d), THRESHOLD))
+
+
+_HASHED = "(SELECT {0}, b, n / sqrt(sum(n * n) OVER (PARTITION BY {0})) AS w FROM (SELECT {0}, (concat('0x', substr(md5(t), 1, 8))::UBIGINT % 256)::INTEGER AS b, count(*)::DOUBLE AS n FROM (SELECT {0}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {1}) GROUP BY ALL))"
+
+
+@query(f"WITH v AS (SELECT * FROM {_HASHED.format('doc_id', 'documents')}) SELECT a.doc_id AS i, b.doc_id AS j FROM v a JOIN v b ON a.b = b.b AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= {TEXT_THRESHOLD}")
+def exact_pairs_text(spark, d):
+    vecs = hashed_tokens(load(spark, d, "documents"), "doc_id").withColumnRenamed("doc_id", "unit_id")
+    return similar.exact_pairs(vecs, TEXT_THRESHOLD).select("i", "j")
+
+
+def _plane_values() -> str:
+    m = similar.planes(DIM)
+    return ", ".join(f"({p}, {k + 1}, {m[p, k]})" for p in range(similar.PLANES) for k in range(DIM) if m[p, k])
+
+
+_BANDS = f"""c(p, k, x) AS (VALUES {_plane_values()}), e AS (SELECT vec_id, unnest(range(1, 65)) AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
+s AS (SELECT vec_id, p, sum(e.x * c.x) >= 0 AS side FROM e JOIN c USING (k) GROUP BY ALL),
+bands AS (SELECT vec_id AS unit_id, (p // 8)::INTEGER AS band, sum(CASE WHEN side THEN 1 << (p % 8) ELSE 0 END)::INTEGER AS value FROM s GROUP BY ALL),
+cand AS (SELECT a.unit_id AS i, b.unit_id AS j, count(*) AS votes FROM bands a JOIN bands b ON a.band = b.band AND a.value = b.value AND a.unit_id < b.unit_id GROUP BY ALL)"""
+
+
+@query(f"WITH {_BANDS} SELECT * FROM bands")
+def lsh_signature(spark, d):
+    return similar.bands(_units(spark, d, False), DIM)
+
+
+@query(f"WITH {_BANDS} SELECT band, value, count(*) AS n FROM bands GROUP BY ALL")
+def lsh_bucket_sizes(spark, d):
+    return similar.bucket_sizes(similar.bands(_units(spark, d, False), DIM))
+
+
+@query(f"WITH {_BANDS} SELECT * FROM cand")
+def lsh_candidates(spark, d):
+    return similar.candidates(_units(spark, d, False), DIM, None)
+
+
+@query(f"WITH {_BANDS} SELECT i, j, votes FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY votes DESC, j) AS r FROM cand) WHERE r <= 8")
+def lsh_candidates_capped(spark, d):
+    return similar.candidates(_units(spark, d, False), DIM, 8)
+
+
+@query(f"WITH {_BANDS} SELECT i, j, round({_DOT}, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY votes DESC, j) AS r FROM cand) JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j WHERE r <= 1024 AND {_DOT} >= {THRESHOLD}")
+def lsh_pairs(spark, d):
+    return _rounded(similar.sparse_pairs(_units(spark, d, False), THRESHOLD, DIM))
+
+
+# ---- clusters -------------------------------------------------------------------------------------------------------
+
+_LABELS = "{0}e AS (SELECT i AS a, j AS b FROM {1} UNION ALL SELECT j, i FROM {1}), {0}r AS (SELECT DISTINCT a AS unit_id, a AS seen FROM {0}e UNION SELECT r.unit_id, e.b FROM {0}r r JOIN {0}e e ON e.a = r.seen), {0}lab AS (SELECT unit_id, min(seen) AS cluster_id FROM {0}r GROUP BY 1)"
+_CLUSTERS = f"WITH RECURSIVE p AS (SELECT * FROM {_PAIRS}), {_LABELS.format('', 'p')}"
+_SUMMARY = f"m AS (SELECT cluster_id, count(*) AS n_members, max(e - s + 1) AS max_span FROM lab JOIN {_U} USING (unit_id) GROUP BY 1), q AS (SELECT cluster_id, count(*) AS n_pairs, round(max(cosine), 6) AS top_score FROM p JOIN lab ON lab.unit_id = i GROUP BY 1), sm AS (SELECT * FROM m JOIN q USING (cluster_id))"
+_COLS = "cluster_id, n_members, n_pairs, max_span, top_score"
+
+
+@query(f"{_CLUSTERS} SELECT unit_id, cluster_id FROM lab")
+def clusters(spark, d):
+    return C.labelled(similar.exact_pairs(_units(spark, d, False), THRESHOLD))
+
+
+def _summary(spark, d):
+    units = _units(spark, d)
+    pairs = similar.exact_pairs(units.select("unit_id", "vec"), THRESHOLD)
+    return _rounded(C.summary(C.with_units(C.labelled(pairs), units), pairs), "top_score")
+
+
+@query(f"{_CLUSTERS}, {_SUMMARY} SELECT {_COLS} FROM sm")
+def cluster_summary(spark, d):
+    return _summary(spark, d)
+
+
+@query(f"{_CLUSTERS}, {_SUMMARY} SELECT {_COLS} FROM sm WHERE n_members >= 3")
+def clusters_min3(spark, d):
+    return C.ordered(_summary(spark, d), min_members=3)
+
+
+@query(f"{_CLUSTERS}, {_SUMMARY} SELECT {_COLS}, (row_number() OVER (ORDER BY max_span DESC, top_score DESC, cluster_id))::INTEGER AS place FROM sm ORDER BY place LIMIT 10")
+def top_clusters(spark, d):
+    return C.ordered(_summary(spark, d), top=10)
+
+
+_LARGER = "x.path = y.path AND x.e - x.s > y.e - y.s AND x.s <= y.e AND y.s <= x.e"
+_PRUNED = f"""WITH RECURSIVE f AS (SELECT * FROM {_FREE}), {_LABELS.format('', 'f')}, u AS (SELECT * FROM lab JOIN {_U} USING (unit_id)),
+kept AS (SELECT * FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE x.cluster_id = y.cluster_id AND {_LARGER})),
+p2 AS (SELECT * FROM f WHERE i IN (SELECT unit_id FROM kept) AND j IN (SELECT unit_id FROM kept)), {_LABELS.format('z', 'p2')},
+mem AS (SELECT zlab.unit_id, zlab.cluster_id, kept.cluster_id AS parent_id, path, s, e FROM zlab JOIN kept USING (unit_id))"""
+
+
+def _pruned(spark, d):
+    units = _units(spark, d)
+    return C.pruned(similar.exact_pairs(units, THRESHOLD), units)
+
+
+@query(f"{_PRUNED} SELECT unit_id, cluster_id, parent_id FROM mem")
+def pruned_clusters(spark, d):
+    return _pruned(spark, d)[0].select("unit_id", "cluster_id", "parent_id")
+
+
+@query(f"""{_PRUNED}, gone AS (SELECT * FROM u WHERE unit_id NOT IN (SELECT unit_id FROM mem)),
+h AS (SELECT y.cluster_id, count(DISTINCT x.unit_id) AS n FROM mem y JOIN gone x ON x.cluster_id = y.parent_id AND {_LARGER} GROUP BY 1)
+SELECT DISTINCT mem.cluster_id, coalesce(h.n, 0) AS hidden_overlaps FROM mem LEFT JOIN h USING (cluster_id)""")
+def hidden_overlaps(spark, d):
+    members, _, before = _pruned(spark, d)
+    return C.hidden_overlaps(members, before)
+
+
+@query(f"SELECT to_json({{'a': concat('u', i), 'b': concat('u', j), 'cosine': round(cosine, 4)}}) AS json FROM {_PAIRS}")
+def pairs_json(spark, d):
+    p = similar.exact_pairs(_units(spark, d, False), THRESHOLD)
+    return p.select(F.to_json(F.struct(F.concat(F.lit("u"), F.col("i").cast("string")).alias("a"), F.concat(F.lit("u"), F.col("j").cast("string")).alias("b"), F.round("cosine", 4).alias("cosine"))).alias("json"))
+
+
+# ---- changes against a corpus ---------------------------------------------------------------------------------------
+
+
+def _sides(spark, d):
+    u = _units(spark, d, False)
+    corpus = u.where("unit_id >= 200")
+    # Former versions of changed units are rows of the corpus: one takes the unit's own vector, another that of unit + 100.
+    old = u.where("unit_id < 100 AND unit_id % 4 = 0").select((F.col("unit_id") + 1_000_000).alias("unit_id"), "vec", F.col("unit_id").alias("q"))
+    moved = u.where("unit_id >= 100 AND unit_id < 200 AND unit_id % 4 = 2").select((F.col("unit_id") + 1_000_000 - 100).alias("unit_id"), "vec", (F.col("unit_id") - 100).alias("q"))
+    former = old.unionByName(moved)
+    return u.where("unit_id < 100"), corpus.unionByName(former.select("unit_id", "vec")), former.select("q", F.col("unit_id").alias("u"))
+
+
+_SIDES = f"""c AS (SELECT vec_id AS u, embedding FROM embeddings WHERE vec_id >= 200 UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings WHERE vec_id < 100 AND vec_id % 4 = 0
+ UNION ALL SELECT vec_id + 1000000 - 100, embedding FROM embeddings WHERE vec_id BETWEEN 100 AND 199 AND vec_id % 4 = 2),
+sc AS (SELECT a.vec_id AS q, b.u, {_DOT} AS cosine FROM embeddings a, c b WHERE a.vec_id < 100 AND b.u <> a.vec_id + 1000000),
+rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, u) AS rank FROM sc),
+mg AS (SELECT q, max(CASE WHEN rank = 1 THEN cosine END) AS cos1, max(CASE WHEN rank = 1 THEN cosine END) - coalesce(max(CASE WHEN rank = 2 THEN cosine END), 0) AS margin FROM rk WHERE rank <= 2 GROUP BY q),
+base AS (SELECT u - 1000000 AS q, embedding FROM c WHERE u >= 1000000)"""
+
+
+@query(f"WITH {_SIDES} SELECT q, u, round(cosine, 6) AS cosine, rank::INTEGER AS rank FROM rk WHERE rank <= 3")
+def neighbors_top3(spark, d):
+    q, c, s = _sides(spark, d)
+    return _rounded(diffs.neighbours(q, c, s))
+
+
+@query(f"WITH {_SIDES} SELECT q, round(cos1, 6) AS cos1, round(margin, 6) AS margin FROM mg")
+def margins(spark, d):
+    q, c, s = _sides(spark, d)
+    return _rounded(_rounded(diffs.margins(diffs.neighbours(q, c, s, 2)), "cos1"), "margin")
+
+
+def _verdict_sql(dup: str) -> str:
+    return f"SELECT mg.q, CASE WHEN {dup} THEN 'DUP' WHEN cos1 >= {THRESHOLD} - 0.05 THEN 'REVIEW' ELSE 'ok' END AS verdict FROM mg LEFT JOIN base USING (q)"
+
+
+_NEW = f"EXISTS (SELECT 1 FROM sc JOIN c ON c.u = sc.u WHERE sc.q = mg.q AND sc.cosine >= {THRESHOLD} AND (base.embedding IS NULL OR list_dot_product(base.embedding::DOUBLE[], c.embedding::DOUBLE[]) < {THRESHOLD}))"
+
+
+@query(f"WITH {_SIDES} {_verdict_sql(f'cos1 >= {THRESHOLD}')}")
+def verdict_touched(spark, d):
+    return diffs.verdicts(*_sides(spark, d), THRESHOLD, "touched").select("q", "verdict")
+
+
+@query(f"WITH {_SIDES} {_verdict_sql(f'cos1 >= {THRESHOLD} AND base.embedding IS NULL')}")
+def verdict_added(spark, d):
+    return diffs.verdicts(*_sides(spark, d), THRESHOLD, "added").select("q", "verdict")
+
+
+@query(f"WITH {_SIDES} {_verdict_sql(_NEW)}")
+def verdict_new_pairs(spark, d):
+    return diffs.verdicts(*_sides(spark, d), THRESHOLD, "new-pairs").select("q", "verdict")
+
+
+@query(f"WITH {_SIDES}, v AS ({_verdict_sql(f'cos1 >= {THRESHOLD}')}) SELECT verdict, count(*) AS n FROM v GROUP BY 1")
+def verdict_counts(spark, d):
+    return verdict_touched(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_SIDES}, v AS ({_verdict_sql(f'cos1 >= {THRESHOLD}')}), t AS (SELECT v.q, verdict, u, cosine FROM v JOIN rk ON rk.q = v.q AND rank = 1)
+SELECT q, concat('::', CASE WHEN verdict = 'DUP' THEN 'error' ELSE 'warning' END, ' file=f', q % 3, ',line=', q % 10, ',endLine=', q % 10 + q % 40, ',title=twinspect ', lower(verdict), '::', verdict, ': nearest duplicate ', printf('%.4f', cosine), ' u', u) AS annotation FROM t WHERE verdict <> 'ok'"""
+)
+def annotations(spark, d):
+    q, c, s = _sides(spark, d)
+    best = diffs.neighbours(q, c, s, 1).select("q", "u", "cosine")
+    rows = diffs.verdicts(q, c, s, THRESHOLD).join(best, "q")
+    from twinspect.plans.report import annotation
+
+    k = F.col("q")
+    name = T.label(F.concat(F.lit("f"), (k % 3).cast("string")), k % 10, k % 10 + k % 40, F.concat(F.lit("u"), k.cast("string")), F.lit("function"))
+    line = annotation(F.col("verdict"), name, F.concat(F.format_number("cosine", "0.0000"), F.lit(" u"), F.col("u").cast("string")))
+    return rows.select("q", line.alias("annotation")).where("annotation IS NOT NULL")
+
+
+# ---- planted passages -----------------------------------------------------------------------------------------------
+
+_EVAL = f"""WITH bv AS (SELECT * FROM {_HASHED.format('item_id', 'benchmark')}), dv AS (SELECT * FROM {_HASHED.format('doc_id', 'documents')}),
+tr AS (SELECT item_id AS q, doc_id AS u FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+s0 AS (SELECT bv.item_id AS q, dv.doc_id AS u, sum(bv.w * dv.w) AS cosine FROM bv JOIN dv ON bv.b = dv.b GROUP BY ALL),
+al AS (SELECT item_id AS q, doc_id AS u FROM benchmark, documents),
+sc AS (SELECT q, u, round(coalesce(cosine, 0), 9) AS cosine FROM al LEFT JOIN s0 USING (q, u)),
+rk AS (SELECT sc.*, tr.q IS NOT NULL AS hit, row_number() OVER (PARTITION BY sc.q ORDER BY cosine DESC, sc.u) AS place FROM sc LEFT JOIN tr USING (q, u)),
+pl AS (SELECT q, min(CASE WHEN hit THEN place END) AS rank, max(CASE WHEN hit THEN cosine END) AS cos_orig, max(CASE WHEN hit THEN cosine END) - coalesce(max(CASE WHEN NOT hit THEN cosine END), 0) AS margin, q % 3 + 1 AS level FROM rk GROUP BY q HAVING min(CASE WHEN hit THEN place END) IS NOT NULL),
+lv AS (SELECT level, count(*) AS n, avg((rank <= 1)::INTEGER) AS recall1, avg((rank <= 5)::INTEGER) AS recall5, round(avg(cos_orig), 6) AS mean_cos, round(avg(margin), 6) AS mean_margin FROM pl GROUP BY 1)"""
+
+
+def _planted(spark, d):
+    bench, docs = load(spark, d, "benchmark"), load(spark, d, "documents")
+    truth = docs.join(bench.select("item_id", F.col("text").alias("passage")), F.col("text").contains(F.col("passage"))).select(F.col("item_id").alias("q"), F.col("doc_id").alias("u"))
+    scores = similar.scored(hashed_tokens(bench, "item_id").withColumnRenamed("item_id", "unit_id"), hashed_tokens(docs, "doc_id").withColumnRenamed("doc_id", "unit_id"))
+    return evaluate.ranks(scores.withColumn("cosine", F.round("cosine", 9)), truth).withColumn("level", F.col("q") % 3 + 1)
+
+
+@query(f"{_EVAL} SELECT q, rank, round(cos_orig, 6) AS cos_orig, round(margin, 6) AS margin, level FROM pl")
+def eval_plants(spark, d):
+    return _planted(spark, d).select("q", F.col("rank").cast("long").alias("rank"), F.round("cos_orig", 6).alias("cos_orig"), F.round("margin", 6).alias("margin"), "level")
+
+
+@query(f"{_EVAL} SELECT * FROM lv")
+def eval_levels(spark, d):
+    return _rounded(_rounded(evaluate.levels(_planted(spark, d)), "mean_cos"), "mean_margin")
+
+
+@query(f"{_EVAL} SELECT sum(n)::BIGINT AS n, round(avg(recall1), 6) AS macro_f1, min(recall5) AS worst_recall5 FROM lv")
+def eval_macro(spark, d):
+    return _rounded(evaluate.overall(evaluate.levels(_planted(spark, d))), "macro_f1")
