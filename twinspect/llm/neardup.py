@@ -7,12 +7,12 @@ are compared. Inverted lists hold, for a retained value, the classes that keep i
   binomial tail; sets below K shingles are kept whole and the bound is exact). In the order (how many classes keep it,
   value) their first K - NEED + 1 values must therefore meet, so only these are listed: values that no other class keeps
   come first in it, and most documents list nothing.
-* Round 1 compares each class of a list with the smallest one in it: a linear number of pairs. The sketch of the union
-  estimates their similarity and drops what cannot reach LINK; the others are confirmed on the full sets. Components of
-  these links follow.
-* Round 2 looks at the lists that still hold more than one component, and compares all their pairs across components.
-  The test on sketches sits in the join's condition, so no pair that fails it becomes a row. What passes is confirmed on
-  full sets. No cap, so no link between components is lost, and links inside a component change nothing.
+* Round 1 compares each class of a list with the smallest one in it and with the most typical one (whose values most others
+  keep, as the original of many copies): a linear number of pairs. The sketch of the union estimates their similarity and
+  drops what cannot reach LINK; the others are confirmed on the full sets. Components of these links follow.
+* Round 2 looks at the lists that still hold more than one component. Classes that share such lists are gathered in blocks
+  of BLOCK_ROWS; a task holds two blocks, finds all intersection sizes of their full sets in one matrix product, and gives
+  only links that join components. No cap, so no link between components is lost, and links inside one change nothing.
 
 Defined cases: null and empty texts and texts without words have an empty set and are linked with nothing; a row without
 an id is its own component (null) and kept; repeated rows give repeated rows; an id on rows of different texts is
@@ -33,9 +33,10 @@ from twinspect.llm.shingles import shingle_set
 from twinspect.operators.graph import components
 from twinspect.session import cut, load
 
-K = 48
+K = 32
 LINK = 85  # in hundredths
 EPS = 1e-9
+BLOCK_ROWS = 512
 
 
 def needed(k: int = K, link: int = LINK, eps: float = EPS) -> int:
@@ -72,14 +73,14 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def listed(classes: DataFrame, k: int = K) -> DataFrame:
-    """(value, rep): the values by which a class must meet any other it is linked with. classes: rep, n, sketch."""
+    """(value, rep, weight): the values by which a class must meet any other it is linked with. classes: rep, n, sketch."""
     values = classes.select("rep", "n", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1").withColumnRenamed("value", "v")
-    shared = values.join(often, values["value"] == often["v"]).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("shared"))  # at most k of a class
+    shared = values.join(often, values["value"] == often["v"]).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("shared"), F.sum("often").alias("weight"))  # at most k of a class
     size = F.least("n", F.lit(k))
     prefix = F.when(F.col("n") < k, F.col("n") - F.floor(F.col("n") * 0.8) + 1).otherwise(F.lit(k - needed(k) + 1))
     first = F.greatest(F.lit(0), prefix - (size - F.size("shared"))).cast("int")
-    return shared.select("rep", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select(F.col("x.value").alias("value"), "rep")
+    return shared.select("rep", "weight", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select(F.col("x.value").alias("value"), "rep", "weight")
 
 
 def may_link(sa: Column, sb: Column, na: Column, nb: Column, k: int = K) -> Column:
@@ -116,6 +117,82 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def block_links(ids: list[int], parts: list[int], sets: list[np.ndarray], first: int, parent: dict[int, int]) -> list[tuple[int, int]]:
+    """Links between components among rows of one block (first = all) or of two (the first `first` rows against the others).
+
+    parts: components so far; parent: their union-find, which grows. All intersection sizes come from a matrix product over
+    the shingles that occur in two rows or more, in slices of bounded width.
+    """
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    n = len(ids)
+    if n < 2 or len(set(parts)) < 2:
+        return []
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    owner, column, width = owner[shared], number[column[shared]], int((count > 1).sum())
+    same = first == n
+    rows, cols = (n, n) if same else (first, n - first)
+    both = np.zeros((rows, cols), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, width, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        m = np.zeros((n, min(4096, width - at)), np.float32)
+        m[owner[lo:hi], column[lo:hi] - at] = 1
+        both += m @ m.T if same else m[:first] @ m[first:].T
+    a, b = (sizes, sizes) if same else (sizes[:first], sizes[first:])
+    found = 100 * both.astype(np.int64) >= LINK * (a[:, None] + b[None, :] - both.astype(np.int64))
+    links = []
+    for i, j in np.argwhere(found & (both > 0)).tolist():
+        j += 0 if same else first
+        x, y = top(parts[i]), top(parts[j])
+        if x != y:
+            parent[x] = y
+            links.append((ids[i], ids[j]))
+    return links
+
+
+def across(mixed: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) between components. mixed: value, rep, component of lists with several components; texts: id, text."""
+    low = mixed.groupBy("value").agg(F.min("rep").alias("low")).withColumnRenamed("value", "v")
+    gathered = components(mixed.join(low, mixed["value"] == low["v"]).select(F.col("low").alias("a"), F.col("rep").alias("b")))
+    rows = gathered.select(F.col("id").alias("rep"), F.col("component").alias("gathering")).join(mixed.select("rep", "component").distinct(), "rep")
+    sizes = rows.groupBy("gathering").agg(F.ceil(F.count("*") / block_rows).alias("blocks")).withColumnRenamed("gathering", "g")
+    rows = rows.join(sizes, rows["gathering"] == sizes["g"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    keyed = rows.join(texts, rows["rep"] == texts["id"]).select("gathering", "lo", "hi", (F.col("block") == F.col("hi")).alias("second"), "rep", "component", "text")
+    keyed = keyed.repartition("gathering", "lo", "hi").sortWithinPartitions("gathering", "lo", "hi", "second", "rep")
+
+    def run(batches):
+        key, ids, parts, sets, first = None, [], [], [], 0
+        for batch in batches:
+            out = []
+            for g, lo, hi, second, rep, part, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, lo, hi) != key:
+                    out += block_links(ids, parts, sets, first, {})
+                    key, ids, parts, sets, first = (g, lo, hi), [], [], [], 0
+                ids.append(rep)
+                parts.append(part)
+                sets.append(shingle_set(text))
+                if lo == hi or not second:
+                    first += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        out = block_links(ids, parts, sets, first, {})
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return keyed.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_shingles, component_id, kept."""
     table = cut(sketches(docs))
@@ -123,8 +200,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = table.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
     reps = reps.select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep", "n"])
     lists = listed(reps)
-    full = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("rep").alias("low")).where("members > 1").withColumnRenamed("value", "v")
-    lists = cut(lists.join(full, lists["value"] == full["v"]).select("value", "rep", "low", "members"))
+    typical = F.max_by("rep", F.struct(F.col("weight"), -F.col("rep")))
+    full = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("rep").alias("low"), typical.alias("mid")).where("members > 1").withColumnRenamed("value", "v")
+    lists = cut(lists.join(full, lists["value"] == full["v"]).select("value", "rep", "low", "mid", "members"))
 
     wanted = lists.select(F.col("rep").alias("r")).distinct()
     members = cut(reps.join(wanted, reps["rep"] == wanted["r"], "left_semi"))
@@ -133,7 +211,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     one = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = members.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    first = lists.where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    leaders = F.explode(F.array_distinct(F.array("low", "mid"))).alias("lead")
+    first = lists.select("rep", leaders).where("rep != lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     passed = first.join(one, "a").join(two, "b").where(may_link(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
     links = cut(confirmed(passed, texts))
     found = components(links)
@@ -142,12 +221,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = mixed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select(F.col("value").alias("v"))
     mixed = cut(mixed.join(split, mixed["value"] == split["v"], "left_semi").select("value", "rep", "component"))
     if not mixed.isEmpty():
-        i = mixed.withColumnRenamed("component", "ca").join(one, mixed["rep"] == one["a"]).select(F.col("value"), "ca", "a", "na", "sa")
-        j = mixed.withColumnRenamed("component", "cb").join(two, mixed["rep"] == two["b"]).select(F.col("value").alias("v"), "cb", "b", "nb", "sb")
-        across = (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes_allow(F.col("na"), F.col("nb"))
-        enough = F.size(F.array_intersect("sa", "sb")) >= F.least(F.lit(NEED), F.floor(0.8 * F.least("na", "nb")))
-        second = i.join(j, across & enough).where(may_link(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        more = cut(confirmed(second.join(passed, ["a", "b"], "left_anti"), texts))
+        more = cut(across(mixed, texts))
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
