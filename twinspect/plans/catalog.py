@@ -485,7 +485,7 @@ def annotations(spark, d):
 
     k = F.col("q")
     name = T.label(F.concat(F.lit("f"), (k % 3).cast("string")), k % 10, k % 10 + k % 40, F.concat(F.lit("u"), k.cast("string")), F.lit("function"))
-    line = annotation(F.col("verdict"), name, F.concat(F.format_number("cosine", "0.0000"), F.lit(" u"), F.col("u").cast("string")))
+    line = annotation(F.col("verdict"), name, F.concat(F.format_string("%.4f", "cosine"), F.lit(" u"), F.col("u").cast("string")))
     return rows.select("q", line.alias("annotation")).where("annotation IS NOT NULL")
 
 
