@@ -8,7 +8,7 @@ longer words, hashed to 31 bits; a document has a term or not. The machine score
 over the terms present, so a pair such as an insult beside the name of a group can weigh more than both alone. It is
 trained here, by logistic loss with Adam, on a bounded sample of labelled documents: at most MAX_POSITIVE of label 1 and
 MAX_NEGATIVE of label 0, the first in the order of a hash of the id, reweighted to the shares of all training labels.
-The N_TERMS terms that differ most between the labels (chi-square) take part. Scoring reads whole texts and knows
+The N_TERMS terms that differ most between the labels take part, if their chi-square is MIN_CHI or more. Scoring reads whole texts and knows
 neither labels, language, source nor id.
 
 Defined cases: null and empty texts get the bias alone; without labels of both kinds every score is the share of label 1
@@ -29,8 +29,9 @@ from twinspect.session import load
 MAX_POSITIVE = 3000
 MAX_NEGATIVE = 5000
 N_TERMS = 2048
+MIN_CHI = 15.0
 RANK = 6
-EPOCHS = 30
+STEPS, BATCH = 1200, 256
 CUTOFF = 0.7
 EDGES = ".,;:!?\"'()[]{}|*#%&$<>-«»"
 
@@ -104,7 +105,7 @@ class Machine:
         return 1.0 / (1.0 + float(np.exp(-np.clip(z, -40.0, 40.0))))
 
 
-def train(sample, n_pos: int, n_neg: int, n_terms: int = N_TERMS, rank: int = RANK, epochs: int = EPOCHS, seed: int = 5) -> Machine:
+def train(sample, n_pos: int, n_neg: int, n_terms: int = N_TERMS, rank: int = RANK, steps: int = STEPS, seed: int = 5) -> Machine:
     y = np.array([s[0] for s in sample], np.float32)
     none = np.zeros(0, np.int64)
     if not len(y) or y.min() == y.max():
@@ -120,25 +121,26 @@ def train(sample, n_pos: int, n_neg: int, n_terms: int = N_TERMS, rank: int = RA
     chi = n * (a * (n - p) - (df - a) * p) ** 2 / np.maximum(df * (n - df) * p * (n - p), 1e-9)
     chi[df < 3] = 0
     best = np.sort(np.argsort(-chi, kind="stable")[:n_terms])
-    best = best[chi[best] > 0]
+    best = best[chi[best] >= MIN_CHI]
     column = np.full(len(ids), -1)
     column[best] = np.arange(len(best))
     keep = column[inverse] >= 0
     x = np.zeros((n, len(best)), np.float32)
     x[owner[keep], column[inverse[keep]]] = 1
     rng = np.random.default_rng(seed)
-    par = [np.zeros(1, np.float32), np.zeros(len(best), np.float32), (0.02 * rng.standard_normal((len(best), rank))).astype(np.float32)]
+    start = np.log(max(float((weight * y).sum()), 1e-6) / max(float((weight * (1 - y)).sum()), 1e-6))
+    par = [np.full(1, start, np.float32), np.zeros(len(best), np.float32), (0.02 * rng.standard_normal((len(best), rank))).astype(np.float32)]
     m1, m2, step = [np.zeros_like(q) for q in par], [np.zeros_like(q) for q in par], 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(n)
-        for k in range(0, n, 256):
-            rows = order[k : k + 256]
+        for k in range(0, n, BATCH):
+            rows = order[k : k + BATCH]
             xb = x[rows]
-            s = xb @ par[2]
-            z = par[0][0] + xb @ par[1] + 0.5 * ((s**2).sum(1) - xb @ (par[2] ** 2).sum(1))
+            s = np.einsum("ij,jk->ik", xb, par[2])  # one thread; a few hundred columns
+            z = par[0][0] + np.einsum("ij,j->i", xb, par[1] - 0.5 * (par[2] ** 2).sum(1)) + 0.5 * (s**2).sum(1)
             g = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) / len(rows)
             xg = xb * g[:, None]
-            grads = [np.array([g.sum()]), xg.sum(0) + 1e-5 * par[1], xg.T @ s - xg.sum(0)[:, None] * par[2] + 1e-4 * par[2]]
+            grads = [np.array([g.sum()]), xg.sum(0) + 1e-5 * par[1], np.einsum("ij,ik->jk", xg, s) - xg.sum(0)[:, None] * par[2] + 1e-4 * par[2]]
             step += 1
             for q, gr, u, r in zip(par, grads, m1, m2):
                 u += 0.1 * (gr - u)
