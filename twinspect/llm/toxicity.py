@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspect.session import load
+from twinspect.session import cut, load
 
-MAX_POSITIVE = 3000
-MAX_NEGATIVE = 5000
+MAX_POSITIVE = 2000
+MAX_NEGATIVE = 3000
 N_TERMS = 2048
 MIN_CHI = 15.0
 RANK = 6
@@ -63,8 +63,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3
 
 
-def training_terms(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE):
-    """([(label, sorted terms)], labels of 1, labels of 0): the bounded sample, and how many labels there are."""
+def training_terms(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, n_terms: int = N_TERMS):
+    """([(label, terms that take part)], labels of 1, labels of 0): the bounded sample, and how many labels there are.
+
+    Terms are counted and chosen where the documents are; the driver gets the chosen ones alone.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic")).where(fold(F.col("id")) != 1)
     counts = {r[0]: r[1] for r in known.groupBy((F.col("toxic") > 0).cast("int")).count().collect()}
     picked = []
@@ -80,8 +83,17 @@ def training_terms(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_P
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(y, pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["id", "toxic", "terms"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sample, "id").select("id", "toxic", "text").mapInArrow(run, "id long, toxic int, terms array<int>")
-    rows = rows.groupBy("id", "toxic").agg(F.min("terms").alias("terms")).toPandas().sort_values("id")
-    return list(zip(rows["toxic"].tolist(), (np.asarray(t, np.int64) for t in rows["terms"]))), counts.get(1, 0), counts.get(0, 0)
+    rows = cut(rows.groupBy("id", "toxic").agg(F.min("terms").alias("terms")))
+    size = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    n, p = float(sum(size.values())), float(size.get(1, 0))
+    if not 0 < p < n:
+        return [(y, np.zeros(0, np.int64)) for y, k in size.items() for _ in range(k)], counts.get(1, 0), counts.get(0, 0)
+    seen = rows.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("a")).where("df >= 3")
+    chi = n * F.pow(F.col("a") * (n - p) - (F.col("df") - F.col("a")) * p, F.lit(2.0)) / F.greatest(F.col("df") * (n - F.col("df")) * (p * (n - p)), F.lit(1e-9))
+    chosen = sorted(r[0] for r in seen.withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "t").limit(n_terms).collect())
+    part = F.array_intersect("terms", F.lit(chosen).cast("array<int>") if chosen else F.array().cast("array<int>"))
+    table = rows.select("id", "toxic", part.alias("terms")).toPandas().sort_values("id")
+    return list(zip(table["toxic"].tolist(), (np.asarray(t, np.int64) for t in table["terms"]))), counts.get(1, 0), counts.get(0, 0)
 
 
 class Machine:
@@ -105,7 +117,7 @@ class Machine:
         return 1.0 / (1.0 + float(np.exp(-np.clip(z, -40.0, 40.0))))
 
 
-def train(sample, n_pos: int, n_neg: int, n_terms: int = N_TERMS, rank: int = RANK, steps: int = STEPS, seed: int = 5) -> Machine:
+def train(sample, n_pos: int, n_neg: int, rank: int = RANK, steps: int = STEPS, seed: int = 5) -> Machine:
     y = np.array([s[0] for s in sample], np.float32)
     none = np.zeros(0, np.int64)
     if not len(y) or y.min() == y.max():
@@ -115,21 +127,12 @@ def train(sample, n_pos: int, n_neg: int, n_terms: int = N_TERMS, rank: int = RA
     weight = (weight / weight.mean()).astype(np.float32)
     ids, inverse = np.unique(np.concatenate([s[1] for s in sample]), return_inverse=True)
     owner = np.repeat(np.arange(len(sample)), [len(s[1]) for s in sample])
-    df = np.bincount(inverse, minlength=len(ids)).astype(float)
-    a = np.bincount(inverse, y[owner], len(ids))
-    n, p = len(y), float(y.sum())
-    chi = n * (a * (n - p) - (df - a) * p) ** 2 / np.maximum(df * (n - df) * p * (n - p), 1e-9)
-    chi[df < 3] = 0
-    best = np.sort(np.argsort(-chi, kind="stable")[:n_terms])
-    best = best[chi[best] >= MIN_CHI]
-    column = np.full(len(ids), -1)
-    column[best] = np.arange(len(best))
-    keep = column[inverse] >= 0
-    x = np.zeros((n, len(best)), np.float32)
-    x[owner[keep], column[inverse[keep]]] = 1
+    n = len(y)
+    x = np.zeros((n, len(ids)), np.float32)
+    x[owner, inverse] = 1
     rng = np.random.default_rng(seed)
     start = np.log(max(float((weight * y).sum()), 1e-6) / max(float((weight * (1 - y)).sum()), 1e-6))
-    par = [np.full(1, start, np.float32), np.zeros(len(best), np.float32), (0.02 * rng.standard_normal((len(best), rank))).astype(np.float32)]
+    par = [np.full(1, start, np.float32), np.zeros(len(ids), np.float32), (0.02 * rng.standard_normal((len(ids), rank))).astype(np.float32)]
     m1, m2, step = [np.zeros_like(q) for q in par], [np.zeros_like(q) for q in par], 0
     while step < steps:
         order = rng.permutation(n)
@@ -146,7 +149,7 @@ def train(sample, n_pos: int, n_neg: int, n_terms: int = N_TERMS, rank: int = RA
                 u += 0.1 * (gr - u)
                 r += 0.001 * (gr**2 - r)
                 q -= 0.02 * (u / (1 - 0.9**step)) / (np.sqrt(r / (1 - 0.999**step)) + 1e-8)
-    return Machine(float(par[0][0]), ids[best], par[1].astype(float), par[2].astype(float))
+    return Machine(float(par[0][0]), ids, par[1].astype(float), par[2].astype(float))
 
 
 def score_texts(docs: DataFrame, machine: Machine, cutoff: float = CUTOFF) -> DataFrame:
