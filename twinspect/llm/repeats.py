@@ -7,7 +7,7 @@ copies. A distributed suffix array of everything is not needed, since equal stri
   is dealt into runs of neighbouring windows of equal smallest hash; equal windows are in runs of equal hash. Only hashes
   with two runs or more (or a run with two places of the hash, as in periodic text) can hold a repeat.
 * Blocks. The bytes of these runs are gathered by hash, groups are packed into blocks, and equal pieces of a group are
-  one piece with a number of copies. A block's suffixes are ordered to a depth beyond LENGTH, and a breadth-first search
+  one piece with a number of copies (a group of one piece and its copies is settled by that). A block's suffixes are ordered to a depth beyond LENGTH, and a breadth-first search
   extends intervals of the transform backwards, one byte a level: the interval boundaries that a level finds are the
   common prefixes of that length, in increasing order. It stops at LENGTH; boundaries not found by then lie inside
   classes of strings that share LENGTH bytes. Windows in such a class, or in a piece with copies, are repeats.
@@ -190,7 +190,8 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int, hot: int, block: i
                     e = slice(s, s + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[e], a[e], c[e], lo[e].astype(np.int32), hi[e].astype(np.int32), many[e])], names=["v", "k1", "k2", "lo", "hi", "many"])
 
-    runs = texts.select("k1", "k2", "text").mapInArrow(find_runs, f"v long, {KEYS}, lo int, hi int, many boolean")
+    # All three readers of texts take the same columns, so that they share one exchange.
+    runs = texts.select("k1", "k2", "text", "copies").mapInArrow(find_runs, f"v long, {KEYS}, lo int, hi int, many boolean")
     seen = runs.groupBy("v").agg(F.count("*").alias("n"), F.max("many").alias("any")).where("n > 1 OR any").select(F.col("v").alias("w"), (F.col("n") > hot).alias("hot"))
     found = runs.join(seen, runs["v"] == seen["w"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("v", "lo", "hi", "hot")).alias("runs"))  # of one text
     cuts = {"v": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "lo": pa.int32(), "piece": pa.binary(), "h1": pa.int64(), "h2": pa.int64()}
@@ -198,7 +199,7 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int, hot: int, block: i
     def cut_pieces(batches):
         for b in batches:
             rows, size = [], 0
-            for k1, k2, text, found in zip(*(c.to_pylist() for c in b.columns)):
+            for k1, k2, text, _, found in zip(*(c.to_pylist() for c in b.columns)):
                 data = text.encode("utf-8", "surrogatepass")
                 for r in found:
                     if r["hot"]:
@@ -213,42 +214,47 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int, hot: int, block: i
                         rows, size = [], 0
             yield _batch(rows, cuts)
 
-    pieces = texts.join(found, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(cut_pieces, f"v long, {KEYS}, lo int, piece binary, h1 long, h2 long")
+    pieces = texts.join(found, ["k1", "k2"]).select("k1", "k2", "text", "copies", "runs").mapInArrow(cut_pieces, f"v long, {KEYS}, lo int, piece binary, h1 long, h2 long")
     spans = {"k1": pa.int64(), "k2": pa.int64(), "lo": pa.int64(), "hi": pa.int64()}
 
-    def settle(groups: list[list[tuple]]) -> list[tuple]:
-        distinct, copies, users = [], [], []
-        for group in groups:
-            at: dict[bytes, int] = {}
-            for row in group:
-                i = at.get(row[4])
-                if i is None:
-                    i = at[row[4]] = len(distinct)
-                    distinct.append(row[4])
-                    copies.append(0)
-                    users.append([])
-                copies[i] += 1
-                users[i].append(row)
+    def settle(distinct: list[bytes], users: list[list[tuple]]) -> list[tuple]:
         out = []
-        for flags, rows in zip(repeated_windows(distinct, copies, length), users):
+        for flags, rows in zip(repeated_windows(distinct, [len(u) for u in users], length), users):
             for lo, hi in ranges(np.flatnonzero(flags), length):
                 out += [(r[1], r[2], r[3] + lo, r[3] + hi) for r in rows]
         return out
 
     def expand(batches):
-        groups, last, size = [], None, 0
+        distinct, users, size, out = [], [], 0, []
+        group, last = {}, None
+
+        def close() -> None:
+            nonlocal size
+            if len(group) == 1 and len(rows := next(iter(group.values()))) > 1:  # only copies of one piece: all its windows repeat
+                out.extend((r[1], r[2], r[3], r[3] + len(r[4])) for r in rows)
+            else:
+                for piece, rows in group.items():
+                    distinct.append(piece)
+                    users.append(rows)
+                    size += len(piece)
+            group.clear()
+
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != last:
-                    if size > block:
-                        yield _batch(settle(groups), spans)
-                        groups, size = [], 0
-                    groups.append([])
+                    close()
                     last = row[0]
-                groups[-1].append(row)
-                size += len(row[4])
-        if groups:
-            yield _batch(settle(groups), spans)
+                    if size > block:
+                        out += settle(distinct, users)
+                        distinct, users, size = [], [], 0
+                    if len(out) > 20_000:
+                        yield _batch(out, spans)
+                        out.clear()
+                group.setdefault(row[4], []).append(row)
+        close()
+        if distinct:
+            out += settle(distinct, users)
+        yield _batch(out, spans)
 
     gathered = pieces.where("v IS NOT NULL").select("v", "k1", "k2", "lo", "piece").repartition("v").sortWithinPartitions("v")
     by_block = gathered.mapInArrow(expand, f"{KEYS}, lo long, hi long")
