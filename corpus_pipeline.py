@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from twinspect.llm import decontam, mixing, neardup, sharding, toxicity
 from twinspect.session import checkpoint_dir, load
 
+NEAR = 80  # least similarity of near duplicates, in hundredths
+
 
 def _among(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of docs whose id verdicts names, once each, and those without an id."""
@@ -34,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _among(docs, neardup.near_duplicates(docs).where("kept"))
+    return _among(docs, neardup.near_duplicates(docs, NEAR).where("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,13 +3,13 @@
 A document's sketch is the K smallest hashes of its shingle set. Documents of equal sets are one class, and only classes
 are compared. Inverted lists hold, for a retained value, the classes that keep it:
 
-* Two sets with a Jaccard similarity of LINK or more share at least NEED retained values, but for a chance of EPS (a
-  binomial tail; sets below K shingles are kept whole and the bound is exact). In the order (how many classes keep it,
-  value) their first K - NEED + 1 values must therefore meet, so only these are listed: values that no other class keeps
-  come first in it, and most documents list nothing.
+* Two sets with a Jaccard similarity of link (LINK in op7) or more share at least needed() retained values, but for a
+  chance of EPS (a binomial tail; sets below K shingles are kept whole and the bound is exact). In the order (how many
+  classes keep it, value) their first K - needed() + 1 values must therefore meet, so only these are listed: values that
+  no other class keeps come first in it, and most documents list nothing.
 * Round 1 compares each class of a list with the smallest one in it and with the most typical one (whose values most others
   keep, as the original of many copies): a linear number of pairs. The sketch of the union estimates their similarity and
-  drops what cannot reach LINK; the others are confirmed on the full sets. Components of these links follow.
+  drops what cannot reach link; the others are confirmed on the full sets. Components of these links follow.
 * Round 2 looks at the lists that still hold more than one component. Classes that share such lists are gathered in blocks
   of BLOCK_ROWS; a task holds two blocks, finds all intersection sizes of their full sets in one matrix product, and gives
   only links that join components. No cap, so no link between components is lost, and links inside one change nothing.
@@ -47,9 +47,6 @@ def needed(k: int = K, link: int = LINK, eps: float = EPS) -> int:
     return t
 
 
-NEED = needed()
-
-
 def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_shingles, digest of the whole set, the k smallest hashes."""
 
@@ -72,30 +69,30 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
-def listed(classes: DataFrame, k: int = K) -> DataFrame:
+def listed(classes: DataFrame, k: int = K, link: int = LINK) -> DataFrame:
     """(value, rep, weight): the values by which a class must meet any other it is linked with. classes: rep, n, sketch."""
     values = classes.select("rep", "n", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1").withColumnRenamed("value", "v")
     shared = values.join(often, values["value"] == often["v"]).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("shared"), F.sum("often").alias("weight"))  # at most k of a class
     size = F.least("n", F.lit(k))
-    prefix = F.when(F.col("n") < k, F.col("n") - F.floor(F.col("n") * 0.8) + 1).otherwise(F.lit(k - needed(k) + 1))
+    prefix = F.when(F.col("n") < k, F.col("n") - F.floor(F.col("n") * min(80, link) / 100) + 1).otherwise(F.lit(k - needed(k, link) + 1))
     first = F.greatest(F.lit(0), prefix - (size - F.size("shared"))).cast("int")
     return shared.select("rep", "weight", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select(F.col("x.value").alias("value"), "rep", "weight")
 
 
-def may_link(sa: Column, sb: Column, na: Column, nb: Column, k: int = K) -> Column:
+def may_link(sa: Column, sb: Column, na: Column, nb: Column, k: int = K, link: int = LINK) -> Column:
     """Whether two sketches leave a link possible, by the sketch of the union."""
     both = F.array_intersect(sa, sb)
-    exact = 100 * F.size(both) >= LINK * (na + nb - F.size(both))
+    exact = 100 * F.size(both) >= link * (na + nb - F.size(both))
     union = F.slice(F.array_sort(F.array_union(sa, sb)), 1, k)
-    return sizes_allow(na, nb) & F.when((na < k) & (nb < k), exact).otherwise(F.size(F.array_intersect(both, union)) >= needed(k))
+    return sizes_allow(na, nb, link) & F.when((na < k) & (nb < k), exact).otherwise(F.size(F.array_intersect(both, union)) >= needed(k, link))
 
 
-def sizes_allow(na: Column, nb: Column) -> Column:
-    return 100 * F.least(na, nb) >= LINK * F.greatest(na, nb)
+def sizes_allow(na: Column, nb: Column, link: int = LINK) -> Column:
+    return 100 * F.least(na, nb) >= link * F.greatest(na, nb)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, link: int = LINK) -> DataFrame:
     """The pairs (a, b) whose full sets are linked. texts: id, text."""
 
     def run(batches):
@@ -108,7 +105,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last = (a, shingle_set(ta))
                 sa, sb = last[1], shingle_set(tb)
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
-                if both and 100 * both >= LINK * (len(sa) + len(sb) - both):
+                if both and 100 * both >= link * (len(sa) + len(sb) - both):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
@@ -117,7 +114,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def block_links(ids: list[int], parts: list[int], sets: list[np.ndarray], first: int, parent: dict[int, int]) -> list[tuple[int, int]]:
+def block_links(ids: list[int], parts: list[int], sets: list[np.ndarray], first: int, parent: dict[int, int], link: int = LINK) -> list[tuple[int, int]]:
     """Links between components among rows of one block (first = all) or of two (the first `first` rows against the others).
 
     parts: components so far; parent: their union-find, which grows. All intersection sizes come from a matrix product over
@@ -150,7 +147,7 @@ def block_links(ids: list[int], parts: list[int], sets: list[np.ndarray], first:
         m[owner[lo:hi], column[lo:hi] - at] = 1
         both += m @ m.T if same else m[:first] @ m[first:].T
     a, b = (sizes, sizes) if same else (sizes[:first], sizes[first:])
-    found = 100 * both.astype(np.int64) >= LINK * (a[:, None] + b[None, :] - both.astype(np.int64))
+    found = 100 * both.astype(np.int64) >= link * (a[:, None] + b[None, :] - both.astype(np.int64))
     links = []
     for i, j in np.argwhere(found & (both > 0)).tolist():
         j += 0 if same else first
@@ -161,7 +158,7 @@ def block_links(ids: list[int], parts: list[int], sets: list[np.ndarray], first:
     return links
 
 
-def across(mixed: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def across(mixed: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS, link: int = LINK) -> DataFrame:
     """Links (a, b) between components. mixed: value, rep, component of lists with several components; texts: id, text."""
     low = mixed.groupBy("value").agg(F.min("rep").alias("low")).withColumnRenamed("value", "v")
     gathered = components(mixed.join(low, mixed["value"] == low["v"]).select(F.col("low").alias("a"), F.col("rep").alias("b")))
@@ -179,7 +176,7 @@ def across(mixed: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS) ->
             out = []
             for g, lo, hi, second, rep, part, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if (g, lo, hi) != key:
-                    out += block_links(ids, parts, sets, first, {})
+                    out += block_links(ids, parts, sets, first, {}, link)
                     key, ids, parts, sets, first = (g, lo, hi), [], [], [], 0
                 ids.append(rep)
                 parts.append(part)
@@ -187,19 +184,19 @@ def across(mixed: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS) ->
                 if lo == hi or not second:
                     first += 1
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        out = block_links(ids, parts, sets, first, {})
+        out = block_links(ids, parts, sets, first, {}, link)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return keyed.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
+    """One row for each row of docs (doc_id, text): n_shingles, component_id, kept. link: least similarity, in hundredths."""
     table = cut(sketches(docs))
     classes = table.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = table.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
     reps = reps.select("rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep", "n"])
-    lists = listed(reps)
+    lists = listed(reps, link=link)
     typical = F.max_by("rep", F.struct(F.col("weight"), -F.col("rep")))
     full = lists.groupBy("value").agg(F.count("*").alias("members"), F.min("rep").alias("low"), typical.alias("mid")).where("members > 1").withColumnRenamed("value", "v")
     lists = cut(lists.join(full, lists["value"] == full["v"]).select("value", "rep", "low", "mid", "members"))
@@ -213,15 +210,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     two = members.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     leaders = F.explode(F.array_distinct(F.array("low", "mid"))).alias("lead")
     first = lists.select("rep", leaders).where("rep != lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    passed = first.join(one, "a").join(two, "b").where(may_link(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    links = cut(confirmed(passed, texts))
+    passed = first.join(one, "a").join(two, "b").where(may_link(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), link=link)).select("a", "b").distinct()
+    links = cut(confirmed(passed, texts, link))
     found = components(links)
 
     mixed = lists.where("members > 2").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = mixed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select(F.col("value").alias("v"))
     mixed = cut(mixed.join(split, mixed["value"] == split["v"], "left_semi").select("value", "rep", "component"))
     if not mixed.isEmpty():
-        more = cut(across(mixed, texts))
+        more = cut(across(mixed, texts, link=link))
         if not more.isEmpty():
             found = components(links.unionByName(more))
 
