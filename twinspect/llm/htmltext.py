@@ -31,7 +31,9 @@ MAX_DEPTH = 400
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas svg math map meta link base source track param area rp".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas map meta link base source track param area rp".split())
+#: What is not drawn of svg and math, whose other text is shown.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr fieldset xmp listing".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr caption thead tbody tfoot".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre search section summary table ul xmp".split())
@@ -54,8 +56,13 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption html body".split())
 
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
-_ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]++))?")
+#: Attributes as the standard's tokenizer reads them: a quote opens a value right after "=" only, elsewhere it is a character.
+_WS = r"\t\n\f\r "
+_NAME = rf"[^{_WS}/>][^{_WS}/>=]*+"
+_VALUE = rf"\"[^\"]*+\"|'[^']*+'|[^{_WS}>\"'][^{_WS}>]*+"
+_TAG = re.compile(rf"<(/?)([A-Za-z][^{_WS}/>]*+)((?:[{_WS}/]++|{_NAME}(?:[{_WS}]*+=[{_WS}]*+(?:{_VALUE}|(?=>))|(?![{_WS}]*+=)))*+)>")
+_ATTR = re.compile(rf"({_NAME})(?:[{_WS}]*+=[{_WS}]*+({_VALUE})?+)?+")
+_SLASH_IN_VALUE = re.compile(rf"=[{_WS}]*+[^{_WS}\"'][^{_WS}]*\Z")
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -105,7 +112,7 @@ def tree(page: str) -> Node:
         if tag not in VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
 
-    at, n = 0, len(page)
+    at, n, drawn = 0, len(page), False
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -147,6 +154,13 @@ def tree(page: str) -> Node:
                 close((tag,), () if tag in SCOPE else SCOPE)
             continue
         attrs = attributes(m[3]) if m[3].strip(" /\n\t\r\f") else {}
+        drawn = drawn or tag in ("svg", "math")
+        if drawn and any(x.tag in ("svg", "math") for x in stack[1:]):
+            if tag in UNDRAWN:
+                attrs["hidden"] = ""
+            if m[3].endswith("/") and not _SLASH_IN_VALUE.search(m[3]):  # such an element is empty there
+                stack[-1].kids.append(Node(tag, attrs))
+                continue
         if tag in CLOSES_P:
             close(("p",), SCOPE | {"button"})
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
@@ -163,6 +177,8 @@ def tree(page: str) -> Node:
             upto = end.start() if end else n
             if tag in ("title", "textarea"):
                 stack[-1].kids.append(html.unescape(page[at:upto]))
+            elif tag == "xmp":
+                stack[-1].kids.append(page[at:upto])
             if stack[-1].tag == tag:
                 stack.pop()
             gt = page.find(">", upto)
