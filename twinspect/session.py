@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's reliable checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The session's reliable checkpoint folder, which spark.checkpoint.dir names.
+
+    Without that setting a session in one process (tests) gets a temporary folder; on a cluster it is an error, since a
+    folder of one machine is lost with it.
+    """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     wanted = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="twinspect-ck-"))
+    if not wanted:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        wanted = tempfile.mkdtemp(prefix="twinspect-ck-")
+    # What no plan refers to any more is removed from the folder.
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    sc.setCheckpointDir(wanted)
     return sc.getCheckpointDir()
 
 
@@ -24,5 +34,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
