@@ -3,14 +3,17 @@
 Sources in code point order (null last) weigh 5, 2, 1, 5, ... and share as many words as there are in all; a target
 never passes three times its source's size, and what lies above is shared again by weight (water filling on the table of
 sources, which has one row a source). A source whose target holds it e whole times takes every document e times; the
-rest of the target is filled in the order of exponential keys -ln(u) / weight, u from a hash of the id, the weight from
-the document's quality, by a prefix sum of sizes in key order: a document is taken once more if its midpoint lies inside.
+rest of the target is filled in the order of exponential keys -ln(u) / weight, u from a hash of the id (of the text where
+there is no id), the weight from the document's quality, by a prefix sum of sizes in key order: a document is taken once
+more if its midpoint lies inside.
 
-Prefix sums are taken in two steps, over key buckets within a source and inside a bucket, so a source with a third of
-all rows is dealt over many tasks.
+Rows are laid in range partitions of (source, key, id, size, row), whose bounds follow the data, so that a source of any
+share and any distribution of keys is dealt evenly, and even copies of one row part. Prefix sums are taken in two steps, over
+the totals of (partition, source), of which there are about as many as partitions, and inside a partition.
 
-Defined cases: a null text has size 0; a null source is a source of its own; rows with a null id draw the same key and
-are ordered by size; repeated rows are drawn separately; an empty table gives an empty result.
+Defined cases: a null text has size 0; a null source is a source of its own; rows without an id draw by their text;
+repeated rows are drawn separately, in any order among themselves; an empty table gives an empty result; other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from twinspect.session import cut, load
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 11
-BUCKETS = 512
 JUNK = "#*$%&|<>!"
 
 
@@ -51,27 +53,31 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return fill.select("source", "source_size", F.coalesce(F.least("cap", F.col("water") * F.col("w")), F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """One row for each row of docs (doc_id, text, source): size, source_size, target, taken."""
+def mix(docs: DataFrame, seed: int = SEED, rows: bool = False) -> DataFrame:
+    """One row for each row of docs (doc_id, text, source): size, source_size, target, taken; with rows also its own columns, as row."""
     n_words = F.size(word_list(F.col("text"))).cast("long")
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-    thin = docs.select("doc_id", "source", n_words.alias("size"), "text").withColumn("key", -F.log(u) / quality_weight(F.col("text"), F.col("size")))
-    thin = thin.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * buckets).cast("int"))
-    thin = cut(thin.select("doc_id", "source", "size", "key", "bucket"))
-
-    targets = source_targets(thin)
-    totals = thin.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows a source
-    starts = totals.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("before"))
-    starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = thin.withColumn("upto", F.sum("size").over(inside))
-    rows = placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["bucket"] == starts["b"]))
+    drawn = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit(""))))), F.lit(f":{seed}")))
+    u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+    own = [F.struct(*docs.columns).alias("row")] if rows else []
+    thin = docs.select(*own, "doc_id", "source", n_words.alias("size"), "text").withColumn("key", -F.log(u) / quality_weight(F.col("text"), F.col("size")))
+    thin = thin.select(*(["row"] if rows else []), "doc_id", "source", "size", "key", F.monotonically_increasing_id().alias("row_no"))
+    order = [F.col("source").asc_nulls_last(), F.col("key").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc(), F.col("row_no").asc()]
+    # The range bounds come from a sample, so the layout is written down before it is looked at twice.
+    laid = cut((thin if rows else cut(thin)).repartitionByRange(*order).withColumn("pid", F.spark_partition_id()))
+
+    totals = laid.groupBy("pid", "source").agg(F.sum("size").alias("size"))
+    targets = source_targets(totals)
+    before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    starts = totals.select(F.col("pid").alias("p"), F.col("source").alias("s"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    starts = starts.join(targets, starts["s"].eqNullSafe(targets["source"])).select("p", "s", "before", "source_size", "target")
+    inside = Window.partitionBy("pid", "source").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    placed = laid.withColumn("upto", F.sum("size").over(inside))
+    placed = placed.join(starts, (placed["pid"] == starts["p"]) & placed["source"].eqNullSafe(starts["s"]))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = F.col("target") - epochs * F.col("source_size")
     more = (F.col("before") + F.col("upto") - F.col("size") / 2.0) < left
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + F.when(more, F.col("size")).otherwise(F.lit(0))).cast("long").alias("taken"))
+    taken = (epochs * F.col("size") + F.when(more, F.col("size")).otherwise(F.lit(0))).cast("long")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["row"] if rows else []))
 
 
 def op9_efraimidis_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +89,8 @@ SQL = f"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text, {_N}::BIGINT AS size FROM documents),
 q AS (SELECT *, length(text) - length(translate(text, '{JUNK}', '')) AS junk FROM t),
 k AS (SELECT doc_id, source, size,
-  -ln((concat('0x', substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}'), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+  -ln((concat('0x', substr(md5(coalesce(doc_id::VARCHAR, 'text:' || md5(text)) || ':{SEED}'), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)
   / (CASE WHEN size > 0 THEN greatest(0.05, 1.0 - 5.0 * (junk::DOUBLE / size)) ELSE 0.05 END) AS key FROM q),
-kb AS (SELECT *, floor((1.0::DOUBLE - exp(-key)) * {BUCKETS})::INTEGER AS bucket FROM k),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM s),
 l AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS level FROM w),
@@ -93,10 +98,10 @@ f AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER o, 0.
   FROM l WINDOW o AS (ORDER BY level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT lam AS water FROM f WHERE lam <= level ORDER BY level, lam LIMIT 1),
 g AS (SELECT source, source_size, coalesce(least(cap, (SELECT water FROM v) * w), 0.0) AS target FROM f),
-p AS (SELECT kb.doc_id, kb.size, g.source_size, g.target,
-  sum(kb.size) OVER (PARTITION BY kb.source ORDER BY bucket, key, kb.doc_id NULLS FIRST, kb.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto,
+p AS (SELECT k.doc_id, k.size, g.source_size, g.target,
+  sum(k.size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id NULLS FIRST, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto,
   CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs
-  FROM kb JOIN g ON kb.source IS NOT DISTINCT FROM g.source)
+  FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
   (epochs * size + CASE WHEN upto - size / 2.0::DOUBLE < target - epochs * source_size THEN size ELSE 0 END)::BIGINT AS taken FROM p
 """

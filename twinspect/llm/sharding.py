@@ -1,6 +1,6 @@
 """Contiguous shards of near-equal bytes, from global prefix sums of per-partition totals (DataFrame functions only).
 
-Rows are laid in one global order (doc_id, then checksum and size; nulls first) by range partitions. Each partition's
+Rows are laid in one global order (doc_id, then checksum, size and row; nulls first) by range partitions. Each partition's
 bytes and rows are totalled, the totals of the partitions (one row a partition) are prefix-summed, and a row's global
 offset is its partition's offset plus the running sum inside the partition. A row belongs to the shard in whose equal
 share of all bytes its midpoint lies, so shards are contiguous, and their sizes differ by about one row.
@@ -24,7 +24,8 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """One row for each row of docs (doc_id, text): size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc()]
+    rows = cut(rows.withColumn("own_no", F.monotonically_increasing_id()))  # texts are read once; rows that repeat part too
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc(), F.col("own_no").asc()]
     # The range bounds come from a sample, so the layout is written down before two passes look at it.
     laid = cut(rows.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()))
 
