@@ -15,6 +15,7 @@ GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
 HEAVY_KEYS = 2000
+SMALL_TABLE = 50_000
 SALTS = 997
 
 
@@ -39,12 +40,16 @@ def heavy_from(n_rows: int, most: int = HEAVY_KEYS) -> int:
     return n_rows // most + 1
 
 
-def join_heavy(rows: DataFrame, table: DataFrame, on: str, heavy: Column, salt: list[str], inner: bool = True) -> DataFrame:
+def join_heavy(rows: DataFrame, table: DataFrame, on: str, heavy: Column, salt: list[str], inner: bool = True, size: int | None = None) -> DataFrame:
     """rows with the columns of table, which has one row for each value of `on`, joined however often a value occurs in rows.
 
     heavy marks the table's rows for keys of many rows (see heavy_from: a bounded number of them): these rows are
-    broadcast. All others meet in a shuffle, in which rows of heavy keys are spread by a hash of the columns `salt`.
+    broadcast. All others meet in a shuffle, in which rows of heavy keys are spread by a hash of the columns `salt`. If
+    size, the table's counted number of rows, is at most SMALL_TABLE, all of it is broadcast.
     """
+    if size is not None and size <= SMALL_TABLE:
+        key = table.withColumnRenamed(on, "_k")
+        return rows.join(F.broadcast(key), F.col(on) == F.col("_k"), "inner" if inner else "left").drop("_k")
     names = [c for c in table.columns if c != on]
     pack = F.struct(*names)
     hot = table.where(heavy).select(F.col(on).alias("_hk"), pack.alias("_hot"))

@@ -4,19 +4,23 @@ Base statistics come from whole texts. Documents that pass the base rule get the
 
     ln(word_chars / n_words), sqrt(n_symbols / word_chars), sqrt(n_dup_lines / n_lines), sqrt(n_repeat_words / n_words)
 
-rounded to 1/1024. For each language and source a minimum-covariance-determinant estimate is found: the start measures
-distances by median and MAD, and each concentration step takes the three quarters of the group's documents that are
-nearest and estimates mean and covariance from them. The covariance is scaled for consistency at the normal distribution
-and has a ridge (FLOORS squared), since most documents have no symbols or repeats at all. A document is kept if its
-squared Mahalanobis distance is at most CUTOFF, the 1 - 1e-5 quantile of chi-square with 4 degrees of freedom.
-
-Sums are of integers and quantiles are of integer grades of bounded range, so results do not depend on the order of rows,
-a group's aggregation state is bounded, and a hot source is pre-aggregated where it is read. Groups of fewer than MIN_GROUP
-documents are estimated together by language, and those that still are too few all together.
+rounded to 1/1024. For each language and source a minimum-covariance-determinant estimate is found. The search begins from
+several deterministic starts: distances by median and MAD of all dimensions together, the distance along each of the two
+halves of the dimensions, and the distance from the origin. From each, concentration steps take the three quarters of the
+group's documents that are nearest and estimate mean and covariance from them, until the estimates stay (STEPS at most);
+of the starts' last covariances the one with the least determinant holds. It is scaled for consistency at the normal
+distribution and has a ridge (FLOORS squared), since most documents have no symbols or repeats at all; the floors are small
+enough that each statistic alone can reach the cutoff. A document is kept if its squared Mahalanobis distance is at most
+CUTOFF, the 1 - 1e-5 quantile of chi-square with 4 degrees of freedom.
+
+Texts are read once. The search works on distinct vectors with their counts, which are summed where the documents are, so
+that a hot source weighs no more there than any other; sums are of integers and quantiles are of integer grades of bounded
+range, so results do not depend on the order of rows. Groups of fewer than MIN_GROUP documents are estimated together by
+language, and those that still are too few all together.
 
 Defined cases: a null text has no words and fails the base rule; a null language or source is a value of its own;
 repeated rows count each; in a pool of fewer than MIN_POOL documents nothing is rejected; an empty table gives an empty
-result.
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,15 +28,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspect.llm.common import n_chars_of, word_list
+from twinspect.llm.common import heavy_from, join_heavy, n_chars_of, word_list
 from twinspect.session import cut, load
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_GROUP, MIN_POOL = 50, 20
-STEPS = 4
+STEPS = 8
 DIMS = 4
-FLOORS = (0.14, 0.05, 0.2, 0.2)
+FLOORS = (0.14, 0.05, 0.17, 0.08)
 CONSISTENCY = 1.485  # 0.75 / P(chi-square(6) <= the 0.75 quantile of chi-square(4))
 CUTOFF = 28.47
 GRID = 1024
@@ -72,11 +76,22 @@ VECTOR = [
     f"CAST(round({GRID} * sqrt(CAST(n_dup_lines AS DOUBLE) / n_lines)) AS BIGINT)",
     f"CAST(round({GRID} * sqrt(CAST(n_repeat_words AS DOUBLE) / n_words)) AS BIGINT)",
 ]
-PAIR_KEY = "concat(coalesce(lang, '~'), '/', coalesce(source, '~'))"
-LANG_KEY = "concat(coalesce(lang, '~'), '//')"
-GROUP = f"CASE WHEN n_pair >= {MIN_GROUP} THEN pair WHEN n_lang >= {MIN_GROUP} THEN lang_key ELSE '///' END"
-START = " + ".join(f"power((x{a} - m{a}) / greatest(1.4826 * d{a}, {GRID} * {FLOORS[a]}), 2)" for a in range(DIMS))
-SUMS = ["CAST(count(*) AS BIGINT) AS n", *(f"CAST(sum(x{a}) AS BIGINT) AS s{a}" for a in range(DIMS)), *(f"CAST(sum(x{a} * x{b}) AS BIGINT) AS q{a}{b}" for a, b in _LOW)]
+XS = [f"x{a}" for a in range(DIMS)]
+
+
+def own_name(column: str) -> str:
+    """A value with its length before it, so that names put together can't be mistaken for others; null is n."""
+    return f"CASE WHEN {column} IS NULL THEN 'n' ELSE concat('v', CAST(length({column}) AS STRING), ':', {column}) END"
+
+
+PAIR_KEY = f"concat({own_name('lang')}, {own_name('source')})"
+LANG_KEY = f"concat('lang ', {own_name('lang')})"
+GROUP = f"CASE WHEN n_pair >= {MIN_GROUP} THEN pair WHEN n_lang >= {MIN_GROUP} THEN lang_key ELSE 'all' END"
+_OFF = [f"power((x{a} - m{a}) / greatest(1.4826 * d{a}, {GRID} * {FLOORS[a]}), 2)" for a in range(DIMS)]
+STARTS = [" + ".join(_OFF), f"{_OFF[0]} + {_OFF[1]}", f"{_OFF[2]} + {_OFF[3]}", " + ".join(f"power(x{a} / ({GRID} * {FLOORS[a]}), 2)" for a in range(1, DIMS))]
+SUMS = ["CAST(sum(cnt) AS BIGINT) AS n", *(f"CAST(sum(cnt * x{a}) AS BIGINT) AS s{a}" for a in range(DIMS)), *(f"CAST(sum(cnt * x{a} * x{b}) AS BIGINT) AS q{a}{b}" for a, b in _LOW)]
+FACTOR = [*(f"mu{a}" for a in range(DIMS)), *(f"l{a}{b}" for a, b in _LOW)]
+SPREAD = "round(" + " + ".join(f"ln(l{a}{a})" for a in range(DIMS)) + ", 9)"  # half the logarithm of the determinant
 
 
 def grade(distance: str) -> str:
@@ -109,55 +124,75 @@ def _with(df: DataFrame, named: list[tuple[str, str]]) -> DataFrame:
     return df.withColumns({k: F.expr(e) for k, e in named})
 
 
-def _mahalanobis(rows: DataFrame, factor: DataFrame) -> DataFrame:
-    out = rows.join(factor, "grp")
+def _distances(rows: DataFrame) -> DataFrame:
     for z in whitened():
-        out = _with(out, [z])
-    return out.withColumn("distance", F.expr(DISTANCE))
+        rows = _with(rows, [z])
+    return rows.withColumn("distance", F.expr(DISTANCE))
+
 
+def _factored(sums: DataFrame) -> DataFrame:
+    for named in lower_factor():
+        sums = _with(sums, named)
+    return sums
 
-def mcd_distances(stats: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(row_no, distance) for rows of base statistics (with row_no) that pass the base rule."""
-    rows = _with(stats.where(f"NOT {BASE_FAILED}"), [(f"x{a}", VECTOR[a]) for a in range(DIMS)] + [("pair", PAIR_KEY), ("lang_key", LANG_KEY)])
-    pairs = rows.groupBy("pair", "lang_key").agg(F.count("*").alias("n_pair"))
+
+def mcd_estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(pair, n_pair, n, means, factors): the estimate that holds for each language and source. stats: base statistics that pass the base rule."""
+    vectors = _with(stats, [("pair", PAIR_KEY), ("lang_key", LANG_KEY), *zip(XS, VECTOR)]).groupBy("pair", "lang_key", *XS).agg(F.count("*").alias("cnt"))
+    vectors = cut(vectors)
+    pairs = vectors.groupBy("pair", "lang_key").agg(F.sum("cnt").alias("n_pair"), F.count("*").alias("n_vectors"))
     langs = pairs.where(f"n_pair < {MIN_GROUP}").groupBy("lang_key").agg(F.sum("n_pair").alias("n_lang"))
-    groups = pairs.join(langs, "lang_key", "left").selectExpr("pair", f"{GROUP} AS grp")
-    names = ["grp", *(f"x{a}" for a in range(DIMS))]
-    rows = cut(rows.join(groups, "pair").select("row_no", *names))
-
-    middle = rows.groupBy("grp").agg(*[F.expr(f"percentile(x{a}, 0.5) AS m{a}") for a in range(DIMS)])
-    spread = rows.join(middle, "grp").groupBy("grp").agg(*[F.expr(f"percentile(abs(x{a} - m{a}), 0.5) AS d{a}") for a in range(DIMS)])
-    near = rows.join(middle.join(spread, "grp"), "grp").select("row_no", *names, F.expr(grade(START)).alias("grade"))
-    factor = None
+    groups = cut(pairs.join(langs, "lang_key", "left").selectExpr("pair", "n_pair", "n_vectors", f"{GROUP} AS grp"))
+    size, heavy = groups.count() * len(STARTS), heavy_from(vectors.count())
+    rows = join_heavy(vectors, groups.select("pair", "grp", "n_vectors"), "pair", F.col("n_vectors") >= heavy, XS, size=size)
+    rows = cut(rows.groupBy("grp", *XS).agg(F.sum("cnt").alias("cnt")))
+
+    def with_group(rows: DataFrame, table: DataFrame, on: str = "grp") -> DataFrame:
+        return join_heavy(rows, table, on, F.col("many") >= heavy, XS, size=size)
+
+    middle = rows.groupBy("grp").agg(F.count("*").alias("many"), *[F.expr(f"percentile(x{a}, 0.5, cnt) AS m{a}") for a in range(DIMS)])
+    off = with_group(rows, cut(middle))
+    sizes = cut(off.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("many", *(f"m{a}" for a in range(DIMS)))], *[F.expr(f"percentile(abs(x{a} - m{a}), 0.5, cnt) AS d{a}") for a in range(DIMS)]))
+    begun = with_group(rows, sizes)
+    near = begun.select("grp", *XS, "cnt", F.posexplode(F.array(*[F.expr(grade(x)) for x in STARTS])).alias("start", "grade"))
+    sizes, table, last = sizes.select("grp", "many"), None, None
     for _ in range(steps):
-        edge = near.groupBy("grp").agg(F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY grade) AS edge"))
-        factor = near.join(edge, "grp").where("grade <= edge").groupBy("grp").agg(*[F.expr(s) for s in SUMS])
-        for named in lower_factor():
-            factor = _with(factor, named)
-        factor = cut(factor.select("grp", "n", *[f"mu{a}" for a in range(DIMS)], *[f"l{a}{b}" for a, b in _LOW]))
-        near = _mahalanobis(rows, factor).select("row_no", *names, F.expr(grade("distance")).alias("grade"))
-    return _mahalanobis(rows, factor).select("row_no", F.when(F.col("n") >= 0.75 * MIN_POOL, F.col("distance")).otherwise(0.0).alias("distance"))
+        near = cut(near.withColumn("at", F.struct("grp", "start")))
+        # Grades are few, so the state of an exact quantile is bounded.
+        edges = near.groupBy("at").agg(F.expr("percentile(grade, 0.75, cnt) AS edge")).withColumn("grp", F.col("at.grp")).join(sizes, "grp").select("at", "edge", "many")
+        sums = with_group(near, edges, "at").where("grade <= edge").groupBy("grp", "start").agg(*[F.expr(x) for x in SUMS])
+        by_start = F.sort_array(F.collect_list(F.struct("start", "n", *FACTOR))).alias("by_start")  # one a start
+        table = cut(_factored(sums).groupBy("grp").agg(by_start).join(sizes, "grp"))
+        now = table.agg(F.bit_xor(F.xxhash64("grp", "by_start"))).first()[0]
+        if now == last:  # no estimate changed
+            break
+        last = now
+        near = _distances(with_group(rows, table).withColumn("f", F.explode("by_start")).select("grp", *XS, "cnt", "f.*"))
+        near = near.select("grp", "start", *XS, "cnt", F.expr(grade("distance")).alias("grade"))
+    best = table.select("grp", F.explode("by_start").alias("f")).select("grp", "f.*")
+    best = best.groupBy("grp").agg(F.min_by(F.struct("n", *FACTOR), F.struct(F.expr(SPREAD), "start")).alias("f")).select("grp", "f.*")
+    return groups.select("pair", "n_pair", "grp").join(best, "grp").drop("grp")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang, source): base statistics, base_failed, distance, kept."""
-    stats = cut(base_statistics(docs).withColumn("row_no", F.monotonically_increasing_id()))
-    far = mcd_distances(stats).withColumnRenamed("row_no", "r")
-    rows = stats.join(far, stats["row_no"] == far["r"], "left")
-    failed = F.expr(BASE_FAILED)
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"),
+    stats = cut(_with(base_statistics(docs), [("pair", PAIR_KEY), ("base_failed", BASE_FAILED)]))
+    table = cut(mcd_estimates(stats.where("NOT base_failed")))
+    rows = join_heavy(stats, table, "pair", F.col("n_pair") >= heavy_from(stats.count()), ["doc_id", "n_words", "word_chars"], inner=False, size=table.count())
+    rows = _distances(_with(rows, [(x, f"CASE WHEN NOT base_failed THEN {v} END") for x, v in zip(XS, VECTOR)]))
+    distance = F.when(~F.col("base_failed"), F.when(F.col("n") >= 0.75 * MIN_POOL, F.col("distance")).otherwise(0.0))
+    return rows.withColumn("distance", distance).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & (F.col("distance") <= CUTOFF)).alias("kept"), "distance",
     )
 
 
 def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(load(spark, sf_dir, "documents"))
+    return quality(load(spark, sf_dir, "documents")).drop("distance")
 
 
 def _sql() -> str:
-    xs = ", ".join(f"{VECTOR[a]} AS x{a}" for a in range(DIMS))
-    names = "row_no, grp, " + ", ".join(f"x{a}" for a in range(DIMS))
+    xs = ", ".join(XS)
     gap = "'[\\x20\\x09-\\x0D]+'"
     out = [
         f"t AS (SELECT row_number() OVER () AS row_no, doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), {gap}), lambda x: x <> '') AS w FROM documents)",
@@ -167,29 +202,35 @@ def _sql() -> str:
         f"r AS (SELECT row_no, count(DISTINCT p + k)::BIGINT AS n_repeat_words FROM d, range({WINDOW}) AS o(k) GROUP BY row_no)",
         f"stats AS (SELECT u.row_no, doc_id, lang, source, len(w)::BIGINT AS n_words, length(translate(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)), ''))::BIGINT AS word_chars, "
         f"(length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM u LEFT JOIN r USING (row_no))",
-        f"v AS (SELECT row_no, {xs}, {PAIR_KEY} AS pair, {LANG_KEY} AS lang_key FROM stats WHERE NOT {BASE_FAILED})",
+        f"v AS (SELECT row_no, {', '.join(f'{e} AS {x}' for x, e in zip(XS, VECTOR))}, {PAIR_KEY} AS pair, {LANG_KEY} AS lang_key FROM stats WHERE NOT {BASE_FAILED})",
         "pairs AS (SELECT pair, lang_key, count(*) AS n_pair FROM v GROUP BY ALL)",
         f"langs AS (SELECT lang_key, sum(n_pair) AS n_lang FROM pairs WHERE n_pair < {MIN_GROUP} GROUP BY ALL)",
         f"grps AS (SELECT pair, {GROUP} AS grp FROM pairs LEFT JOIN langs USING (lang_key))",
-        f"e AS (SELECT {names} FROM v JOIN grps USING (pair))",
-        "mid AS (SELECT grp, " + ", ".join(f"quantile_cont(x{a}, 0.5) AS m{a}" for a in range(DIMS)) + " FROM e GROUP BY grp)",
-        "spread AS (SELECT grp, " + ", ".join(f"quantile_cont(abs(x{a} - m{a}), 0.5) AS d{a}" for a in range(DIMS)) + " FROM e JOIN mid USING (grp) GROUP BY grp)",
-        f"near0 AS (SELECT {names}, {grade(START)} AS grade FROM e JOIN mid USING (grp) JOIN spread USING (grp))",
+        f"e AS (SELECT row_no, grp, {xs}, 1 AS cnt FROM v JOIN grps USING (pair))",
+        "mid AS (SELECT grp, " + ", ".join(f"quantile_cont({x}, 0.5) AS m{a}" for a, x in enumerate(XS)) + " FROM e GROUP BY grp)",
+        "spread AS (SELECT grp, " + ", ".join(f"quantile_cont(abs({x} - m{a}), 0.5) AS d{a}" for a, x in enumerate(XS)) + " FROM e JOIN mid USING (grp) GROUP BY grp)",
+        f"near0 AS (SELECT row_no, grp, {xs}, cnt, unnest(range({len(STARTS)})) AS start, unnest([{', '.join(grade(x) for x in STARTS)}]) AS grade FROM e JOIN mid USING (grp) JOIN spread USING (grp))",
     ]
+
+    def distances(rows: str) -> str:
+        for c, x in whitened():
+            rows = f"(SELECT *, {x} AS {c} FROM {rows})"
+        return rows
+
     for k in range(STEPS):
-        out.append(f"edge{k} AS (SELECT grp, quantile_disc(grade, 0.75) AS edge FROM near{k} GROUP BY grp)")
-        out.append(f"f{k}_0 AS (SELECT grp, {', '.join(SUMS)} FROM near{k} JOIN edge{k} USING (grp) WHERE grade <= edge GROUP BY grp)")
+        out.append(f"edge{k} AS (SELECT grp, start, quantile_cont(grade, 0.75) AS edge FROM near{k} GROUP BY grp, start)")
+        out.append(f"f{k}_0 AS (SELECT grp, start, {', '.join(SUMS)} FROM near{k} JOIN edge{k} USING (grp, start) WHERE grade <= edge GROUP BY grp, start)")
         for j, named in enumerate(lower_factor()):
             out.append(f"f{k}_{j + 1} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in named)} FROM f{k}_{j})")
         last = f"f{k}_{len(lower_factor())}"
-        at = f"(SELECT e.*, y.* EXCLUDE (grp) FROM e JOIN {last} y USING (grp))"
-        for c, x in whitened():
-            at = f"(SELECT *, {x} AS {c} FROM {at})"
-        out.append(f"near{k + 1} AS (SELECT {names}, n, {DISTANCE} AS distance, {grade(DISTANCE)} AS grade FROM {at})")
+        if k < STEPS - 1:
+            out.append(f"near{k + 1} AS (SELECT row_no, grp, {xs}, cnt, start, {grade(DISTANCE)} AS grade FROM {distances(f'(SELECT e.*, y.* EXCLUDE (grp) FROM e JOIN {last} y USING (grp))')})")
+    out.append(f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {SPREAD}, start) AS place FROM {last}) WHERE place = 1)")
+    out.append(f"far AS (SELECT row_no, n, {DISTANCE} AS distance FROM {distances('(SELECT e.*, y.* EXCLUDE (grp) FROM e JOIN best y USING (grp))')})")
     return "WITH " + ",\n".join(out) + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BASE_FAILED} AS base_failed,
   (NOT {BASE_FAILED} AND coalesce(CASE WHEN n >= {0.75 * MIN_POOL} THEN distance ELSE 0.0 END, 0.0) <= {CUTOFF}) AS kept
-FROM stats LEFT JOIN near{STEPS} USING (row_no)"""
+FROM stats LEFT JOIN far USING (row_no)"""
 
 
 SQL = _sql()
