@@ -1,16 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing with verified, substitution-tolerant overlaps.
 
-Fixed masks look at 6 of 8 or 10 neighbouring words. Their hashes at every place of a benchmark passage are joined with the
-hashes at every place of a document: the passages come in blocks of a bounded number of words, each a sorted hash table
-that is broadcast, and every document is looked up in each block. Every pattern of two substitutions in 13 words leaves
-one of the masks unhurt. Around a hit the passage and the text are compared word by word along the hit's diagonal; an
-overlap counts if OVERLAP words in a row (or all words of a shorter passage) agree in SHARE of their places or more.
+Fixed masks look at some of neighbouring words and ignore the others. Their hashes at every place of a benchmark passage
+are joined with the hashes at every place of a document, and around a hit the passage and the text are compared word by
+word along the hit's diagonal: an overlap counts if OVERLAP words in a row (or all words of a shorter passage) agree in
+SHARE of their places or more. No such overlap is missed: every pattern of one substitution in five words leaves a mask
+of MASKS unhurt in a row of OVERLAP words or more, and one of SHORT_MASKS in a passage of 5 words or more; passages of fewer
+words must agree in all. (Longer rows can be cut into rows of 13 to 25 words of which one has no more substitutions than
+its share; tests go through all patterns up to there.)
+
+A benchmark of at most BLOCK_WORDS words is a table that is broadcast, and documents are read once. A larger one is
+joined: the places of its hashes set the bits of a map of fixed size, which tells the documents' hashes that can meet
+none; the others are joined with the passages' hashes, and each document meets its candidates, BLOCK_WORDS words at a time.
+Documents are read twice then, whatever the benchmark's size.
 
 Words are split at 0x20 and 0x09-0x0D, A-Z are lower-cased and punctuation at their ends is dropped.
 
-Defined cases: null or empty texts and passages have no words and no overlap; a passage shorter than a mask is looked up
-whole; repeated documents are reported once per id; repeated passages once per id; rows without an id are reported with
-a null id; empty tables give an empty result.
+Defined cases: null or empty texts and passages have no words and no overlap; repeated documents are reported once per id
+and text; repeated passages once per id; rows without an id are reported with a null id; empty tables give an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,15 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspect.llm.common import word_list
+from twinspect.llm.common import heavy_from, join_heavy, text_key, word_list
 from twinspect.llm.shingles import LOWER, WordHashes, mixed
-from twinspect.session import load
+from twinspect.session import cut, load
 
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 8, 9))
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 8, 9), (0, 1, 4, 8, 10))
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
 OVERLAP = 13
 SHARE = 0.8
 BLOCK_WORDS = 400_000
 BATCH_BYTES = 4_000_000
+MAP_BITS = 27
 EDGES = b".,;:!?\"'()[]{}|*#%&$<>-"
 
 
@@ -62,9 +71,9 @@ def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
         return mixed(h)
 
 
-def masks_for(n_words: int) -> list[tuple[int, ...]]:
-    fit = [m for m in MASKS if m[-1] < n_words]
-    return fit or [tuple(range(n_words))]
+def masks_for(n_words: int) -> tuple[tuple[int, ...], ...]:
+    """The masks of which one meets every overlap with a passage of n_words words."""
+    return MASKS if n_words >= OVERLAP else SHORT_MASKS if n_words >= 5 else (tuple(range(n_words)),)
 
 
 class Block:
@@ -93,15 +102,15 @@ def best_overlap(text: np.ndarray, passage: np.ndarray, shift: int) -> tuple[int
     least = min(OVERLAP, len(passage))
     if b - a < least:
         return None
-    same = text[a + shift : b + shift] == passage[a:b]
-    upto = np.concatenate(([0], np.cumsum(same)))
+    upto = np.concatenate(([0], np.cumsum(text[a + shift : b + shift] == passage[a:b])))
     gain = 10 * upto - round(10 * SHARE) * np.arange(len(upto))
-    best = None
-    for end in range(least, len(upto)):
-        low = np.flatnonzero(gain[: end - least + 1] <= gain[end])
-        if len(low) and (best is None or end - low[0] > best[0]):
-            best = (end - int(low[0]), int(upto[end] - upto[low[0]]))
-    return best
+    # A run from i to j counts if gain[j] >= gain[i]: the first such i lies where the least gain so far falls to gain[j].
+    first = np.searchsorted(-np.minimum.accumulate(gain), -gain, "left")
+    places = np.arange(len(gain)) - first
+    if places.max() < least:
+        return None
+    ends = np.flatnonzero(places == places.max())
+    return int(places.max()), int((upto[ends] - upto[first[ends]]).max())
 
 
 def overlaps(words: np.ndarray, starts: np.ndarray, block: Block) -> list[tuple[int, int, int, int]]:
@@ -125,7 +134,7 @@ def overlaps(words: np.ndarray, starts: np.ndarray, block: Block) -> list[tuple[
     if hits:
         for doc, item, shift in np.unique(np.concatenate(hits), axis=0).tolist():
             known = out.get((doc, item))
-            if known and known[0] >= len(block.words[item]):
+            if known and known[0] == known[1] == len(block.words[item]):
                 continue
             got = best_overlap(words[starts[doc] : starts[doc + 1]], block.words[item], shift)
             if got and (known is None or got > known):
@@ -133,7 +142,35 @@ def overlaps(words: np.ndarray, starts: np.ndarray, block: Block) -> list[tuple[
     return [(d, i, *x) for (d, i), x in out.items()]
 
 
-SCHEMA = "doc_id long, item_id long, item_words long, n_overlap long, n_same long"
+DOCUMENT = "doc_id long, k1 long, k2 long"
+FOUND = [("item_id", pa.int64()), ("item_words", pa.int64()), ("n_overlap", pa.int64()), ("n_same", pa.int64())]
+
+
+def _batch(rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)], names=[n for n, _ in columns])
+
+
+IDS = [("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())]
+
+
+def _texts_in_parts(batches):
+    """Lists of (ids, text) of documents with text, about BATCH_BYTES characters each."""
+    part, size = [], 0
+    for batch in batches:
+        ids = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+        for i, t in zip(ids, batch.column(3)):
+            if t := t.as_py():
+                part.append((i, t))
+                size += len(t)
+                if size > BATCH_BYTES:
+                    yield part
+                    part, size = [], 0
+    yield part
+
+
+def _joined(part: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    words = [words_of(t) for _, t in part]
+    return np.concatenate(words), np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
 
 
 def _look_up(docs: DataFrame, items: list[tuple[int | None, str | None]]) -> DataFrame:
@@ -141,43 +178,107 @@ def _look_up(docs: DataFrame, items: list[tuple[int | None, str | None]]) -> Dat
 
     def run(batches):
         table = block.value
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            out, todo, size = [], [], 0
-
-            def flush():
-                if not todo:
-                    return
-                words = [words_of(t) for _, t in todo]
-                starts = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-                for d, i, n, same in overlaps(np.concatenate(words), starts, table):
-                    out.append((todo[d][0], table.ids[i], len(table.words[i]), n, same))
-                todo.clear()
-
-            for i, t in zip(ids, texts):
-                t = t.as_py()
-                if t:
-                    todo.append((i.as_py(), t))
-                    size += len(t)
-                    if size > BATCH_BYTES:
-                        flush()
-                        size = 0
-            flush()
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "item_words", "n_overlap", "n_same"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+        for part in _texts_in_parts(batches):
+            out = []
+            if part:
+                for d, i, n, same in overlaps(*_joined(part), table):
+                    out.append((*part[d][0], table.ids[i], len(table.words[i]), n, same))
+            yield _batch(out, IDS + FOUND)
 
+    return docs.mapInArrow(run, DOCUMENT + ", item_id long, item_words long, n_overlap long, n_same long")
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each document and passage that overlap: item_words, n_overlap (longest run), n_same, similarity."""
+
+def _join(docs: DataFrame, items: DataFrame, block_words: int) -> DataFrame:
+    """As _look_up, for any number of passages (item_id, text). docs: doc_id, k1, k2, text."""
+    spark = docs.sparkSession
+    passages = cut(items.where("text IS NOT NULL").groupBy("text").agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull()).alias("none")).withColumn("pid", F.monotonically_increasing_id()))
+    kinds = cut(passages.select(F.size(word_list(F.col("text"))).alias("n")).where("n > 0").distinct())
+    used = sorted({m for r in kinds.select(F.least("n", F.lit(OVERLAP)).alias("n")).distinct().collect() for m in masks_for(r[0])})  # a few masks
+
+    def seeds_of_passages(batches):
+        for batch in batches:
+            rows = []
+            for pid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words_of(text)
+                for mask in masks_for(len(w)) if len(w) else ():
+                    rows += [(int(h), pid) for h in np.unique(seed_hashes(w, mask)).view(np.int64)]
+            yield _batch(rows, [("seed", pa.int64()), ("pid", pa.int64())])
+
+    of_passages = cut(passages.select("pid", "text").mapInArrow(seeds_of_passages, "seed long, pid long").distinct())
+    slots = of_passages.select(F.shiftrightunsigned("seed", 64 - MAP_BITS).alias("slot"))
+    words = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("bits")).toPandas()  # at most 2 ** (MAP_BITS - 6) rows
+    table = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    table[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)  # 2 ** MAP_BITS bits
+
+    def seeds_of_documents(batches):
+        bits = shared.value
+        for part in _texts_in_parts(batches):
+            for ids, text in part:
+                w, found = words_of(text), []
+                for mask in used:
+                    h = np.unique(seed_hashes(w, mask))
+                    at = h >> np.uint64(64 - MAP_BITS)
+                    found.append(h[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1])
+                h = np.concatenate(found).view(np.int64)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(h), pa.int64()) for x in ids), pa.array(h)], names=["doc_id", "k1", "k2", "seed"])
+
+    of_documents = cut(docs.mapInArrow(seeds_of_documents, DOCUMENT + ", seed long"))
+    often = of_documents.groupBy("seed").agg(F.count("*").alias("often"))
+    lists = cut(of_passages.groupBy("seed").agg(F.collect_list("pid").alias("pids")).join(often, "seed"))  # passages of one seed
+    candidates = join_heavy(of_documents, lists, "seed", F.col("often") >= heavy_from(of_documents.count()), ["k1", "doc_id"])
+    candidates = candidates.select(F.struct("doc_id", "k1", "k2").alias("d"), F.explode("pids").alias("pid")).distinct()
+    of_pid = candidates.groupBy("pid").agg(F.count("*").alias("often"))
+    candidates = cut(candidates)
+    texts = cut(passages.select("pid", F.col("text").alias("passage")).join(of_pid, "pid"))
+    heavy = F.col("often") >= heavy_from(candidates.count())
+    pairs = join_heavy(candidates, texts, "pid", heavy & (F.length("passage") < 10_000), ["d"]).select("d", "pid", "passage", F.lit(None).cast("string").alias("text"))
+    whole = docs.select(F.struct("doc_id", "k1", "k2").alias("d"), "text").join(candidates.select(F.col("d").alias("e")).distinct(), F.col("d") == F.col("e"))
+    whole = whole.groupBy("d").agg(F.first("text").alias("text")).select("d", F.lit(None).cast("long").alias("pid"), F.lit(None).cast("string").alias("passage"), "text")
+    rows = whole.unionByName(pairs).repartition("d").sortWithinPartitions("d", F.col("pid").asc_nulls_first()).select("d.doc_id", "d.k1", "d.k2", "pid", "passage", "text")
+
+    def verify(batches):
+        now, words, held, size = None, None, [], 0
+
+        def settle():
+            block = Block(held)
+            return [(*now, block.ids[i], len(block.words[i]), n, same) for _, i, n, same in overlaps(words, np.array([0, len(words)]), block)]
+
+        for batch in batches:
+            out = []
+            for d, k1, k2, pid, passage, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if pid is None:
+                    out += settle() if held else []
+                    now, words, held, size = (d, k1, k2), words_of(text), [], 0
+                else:
+                    held.append((pid, passage))
+                    size += len(passage)
+                    if size > 6 * block_words:
+                        out += settle()
+                        held, size = [], 0
+            yield _batch(out, [*IDS, ("pid", pa.int64()), *FOUND[1:]])
+        yield _batch(settle() if held else [], [*IDS, ("pid", pa.int64()), *FOUND[1:]])
+
+    found = rows.mapInArrow(verify, DOCUMENT + ", pid long, item_words long, n_overlap long, n_same long")
+    ids = F.when(F.col("none"), F.concat("ids", F.array(F.lit(None).cast("long")))).otherwise(F.col("ids"))
+    names = passages.select(F.col("pid").alias("p"), ids.alias("ids"))
+    return found.join(names, F.col("pid") == F.col("p")).select("doc_id", "k1", "k2", F.explode("ids").alias("item_id"), "item_words", "n_overlap", "n_same")
+
+
+def overlapping(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row for each document (doc_id, k1, k2: its id and the hashes of its text) and passage that overlap: item_words, n_overlap, n_same."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[v.alias(k) for k, v in text_key(F.col("text")).items()], "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.size(word_list(F.col("text"))))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_words))
-    found = None
-    for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        part = _look_up(docs, [(r[0], r[1]) for r in rows])
-        found = part if found is None else found.unionByName(part)
+    found = _look_up(docs, [(r[0], r[1]) for r in items.collect()]) if total <= block_words else _join(docs, items, block_words)
+    best = found.groupBy("doc_id", "k1", "k2", "item_id").agg(F.max(F.struct("n_overlap", "n_same", "item_words")).alias("x"))
+    return best.select("doc_id", "k1", "k2", "item_id", "x.item_words", "x.n_overlap", "x.n_same")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row for each document id and passage that overlap: item_words, n_overlap (longest run), n_same, similarity."""
+    found = overlapping(docs, benchmark, block_words)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_overlap", "n_same", "item_words")).alias("x"))
     return best.select("doc_id", "item_id", "x.item_words", "x.n_overlap", "x.n_same", (F.col("x.n_same") / F.col("x.n_overlap")).alias("similarity"))
 
