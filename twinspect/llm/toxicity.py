@@ -8,12 +8,15 @@ longer words, hashed to 31 bits; a document has a term or not. The machine score
 over the terms present, so a pair such as an insult beside the name of a group can weigh more than both alone. It is
 trained here, by logistic loss with Adam, on a bounded sample of labelled documents: at most MAX_POSITIVE of label 1 and
 MAX_NEGATIVE of label 0, the first in the order of a hash of the id, reweighted to the shares of all training labels.
-The N_TERMS terms that differ most between the labels take part, if their chi-square is MIN_CHI or more. Scoring reads whole texts and knows
-neither labels, language, source nor id.
+Terms of MIN_DF sample documents or more take part in two cases. Those that differ between the labels by a chi-square of
+MIN_CHI or more (the N_TERMS strongest), and both terms of a pair of which each matters by PAIR_CHI or more where the
+other is present, though alone they may tell nothing; pairs are looked for among the terms of a share of PAIR_SHARE of the
+sample or more, whose number is bounded by the lengths of its texts. Scoring reads whole texts and knows neither labels,
+language, source nor id.
 
 Defined cases: null and empty texts get the bias alone; without labels of both kinds every score is the share of label 1
 among the training labels (0 without any); labels of one id that differ count as the highest; null labels and ids are
-not learned from; repeated rows are scored each; an empty table gives an empty result.
+not learned from; repeated rows are scored each; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from twinspect.session import cut, load
 
@@ -30,6 +34,8 @@ MAX_POSITIVE = 2000
 MAX_NEGATIVE = 3000
 N_TERMS = 2048
 MIN_CHI = 15.0
+MIN_DF = 3
+PAIR_SHARE, PAIR_CHI = 0.02, 25.0
 RANK = 6
 STEPS, BATCH = 1200, 256
 CUTOFF = 0.7
@@ -88,12 +94,41 @@ def training_terms(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_P
     n, p = float(sum(size.values())), float(size.get(1, 0))
     if not 0 < p < n:
         return [(y, np.zeros(0, np.int64)) for y, k in size.items() for _ in range(k)], counts.get(1, 0), counts.get(0, 0)
-    seen = rows.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("a")).where("df >= 3")
+    seen = rows.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("a")).where(F.col("df") >= MIN_DF)
     chi = n * F.pow(F.col("a") * (n - p) - (F.col("df") - F.col("a")) * p, F.lit(2.0)) / F.greatest(F.col("df") * (n - F.col("df")) * (p * (n - p)), F.lit(1e-9))
-    chosen = sorted(r[0] for r in seen.withColumn("chi", chi).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "t").limit(n_terms).collect())
-    part = F.array_intersect("terms", F.lit(chosen).cast("array<int>") if chosen else F.array().cast("array<int>"))
+    seen = cut(seen.withColumn("chi", chi))
+    chosen = {r[0] for r in seen.where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "t").limit(n_terms).collect()}
+    common = sorted(r[0] for r in seen.where(F.col("df") >= PAIR_SHARE * n).collect())
+    wanted = sorted(chosen | set(common))
+    part = F.array_intersect("terms", F.lit(wanted).cast("array<int>") if wanted else F.array().cast("array<int>"))
     table = rows.select("id", "toxic", part.alias("terms")).toPandas().sort_values("id")
-    return list(zip(table["toxic"].tolist(), (np.asarray(t, np.int64) for t in table["terms"]))), counts.get(1, 0), counts.get(0, 0)
+    y, sets = table["toxic"].to_numpy(np.float32), [np.asarray(t, np.int64) for t in table["terms"]]
+    chosen |= paired_terms(y, sets, np.array(common, np.int64))
+    keep = np.array(sorted(chosen), np.int64)
+    return [(int(k), t[np.isin(t, keep)]) for k, t in zip(y, sets)], counts.get(1, 0), counts.get(0, 0)
+
+
+def chi_square(n, p, df, k):
+    """Of a mark in df of n rows, k of them among the p rows of label 1."""
+    return n * (k * (n - p) - (df - k) * p) ** 2 / np.maximum(df * (n - df) * p * (n - p), 1e-9)
+
+
+def paired_terms(y: np.ndarray, sets: list[np.ndarray], common: np.ndarray, block: int = 512) -> set[int]:
+    """Terms of pairs of which each tells the labels apart where the other is present."""
+    found: set[int] = set()
+    x = np.zeros((len(y), len(common)), np.float32)
+    for i, t in enumerate(sets):
+        x[i, np.searchsorted(common, t[np.isin(t, common)])] = 1
+    n, p = x.sum(0, dtype=np.float64), (x * y[:, None]).sum(0, dtype=np.float64)
+    for lo in range(0, len(common), block):
+        a = x[:, lo : lo + block]
+        both, toxic = (a.T @ x).astype(np.float64), ((a * y[:, None]).T @ x).astype(np.float64)
+        na, pa_ = n[lo : lo + block, None], p[lo : lo + block, None]
+        strong = np.minimum(chi_square(na, pa_, both, toxic), chi_square(n[None], p[None], both, toxic)) >= PAIR_CHI
+        strong &= (both < na) & (both < n[None])
+        i, j = np.nonzero(strong)
+        found |= set(common[lo + i].tolist()) | set(common[j].tolist())
+    return found
 
 
 class Machine:
@@ -153,23 +188,30 @@ def train(sample, n_pos: int, n_neg: int, rank: int = RANK, steps: int = STEPS,
 
 
 def score_texts(docs: DataFrame, machine: Machine, cutoff: float = CUTOFF) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # N_TERMS rows
+    """(row, score, predicted) for each row of docs, which is kept whole as row."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # some thousand terms
 
     def run(batches):
         machine = shared.value
         memo = Memo(machine.places)
         for batch in batches:
-            scores = np.array([machine.score(t.as_py(), memo) for t in batch.column(1)], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= cutoff).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            row = batch.column(0)
+            scores = np.array([machine.score(t.as_py(), memo) for t in row.field("text")], float)
+            yield pa.RecordBatch.from_arrays([row, pa.array(scores), pa.array((scores >= cutoff).astype(np.int32))], names=["row", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs; learn_from: the documents whose labels are learned, if others."""
+def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, rows: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs; learn_from: the documents whose labels are learned, if others.
+
+    With rows also the document's own columns, as row.
+    """
     machine = train(*training_terms(docs if learn_from is None else learn_from, labels))
-    scored = score_texts(docs, machine)
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+    scored = score_texts(docs if rows else docs.select("doc_id", "text"), machine)
+    doc_id = F.col("row.doc_id").cast("long")
+    return scored.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == 1, F.lit(False)).alias("held_out"), "score", "predicted", *(["row"] if rows else []))
 
 
 def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
