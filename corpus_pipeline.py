@@ -2,8 +2,11 @@
 passages go, sources are mixed to their target weights, and the rest is laid into shards.
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
-Parquet below the session's checkpoint folder and reads again as the next one's docs. All but the last return the columns
-of documents. Stages keep rows by id; rows without an id stay until the mixing, which draws them like others.
+Parquet below the session's checkpoint folder and reads again as the next one's docs; a stage's folder is removed when the
+next one is written. All but the last return the columns of documents, whatever these are called.
+
+Stages decide by row, not by id. Ids may be null or repeat, and texts may be null, empty or repeat; each stage's docstring
+says what becomes of these. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -14,44 +17,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspect.llm import decontam, mixing, neardup, sharding, toxicity
-from twinspect.session import checkpoint_dir, load
+from twinspect.llm.common import text_key
+from twinspect.session import checkpoint_dir, load, remove_folder
 
 NEAR = 80  # least similarity of near duplicates, in hundredths
 
 
-def _among(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose id verdicts names, once each, and those without an id."""
-    named = verdicts.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
-    return docs.where("doc_id IS NULL").unionByName(docs.join(named, F.col("doc_id") == F.col("_id"), "left_semi"))
+def _row_and_key(docs: DataFrame) -> DataFrame:
+    """(row, key): the document's own columns, and its id with two hashes of its text."""
+    key = {"no_id": F.col("doc_id").isNull(), "doc_id": F.col("doc_id").cast("long"), **text_key(F.col("text"))}
+    return docs.select(F.struct(*docs.columns).alias("row"), F.struct(*[v.alias(k) for k, v in key.items()]).alias("key"))
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    named = verdicts.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
-    return docs.join(named, F.col("doc_id") == F.col("_id"), "left_anti")
+def _keys(verdicts: DataFrame) -> DataFrame:
+    """The distinct keys of rows (doc_id, k1, k2)."""
+    return verdicts.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2").alias("of")).distinct()
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity(docs, load(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1"))
+    """Rows whose text is predicted to be toxic go, with or without an id, each copy alike; null and empty texts have the
+    score of a text without terms, which is low. Without labels nothing goes."""
+    scored = toxicity.toxicity(docs, load(spark, sf_dir, "labels"), rows=True)
+    return scored.where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _among(docs, neardup.near_duplicates(docs, NEAR).where("kept"))
+    """One row of each group stays: of the smallest id (rows without one come last), and of rows that repeat id and text the
+    first by their other columns. Rows without words are linked with nothing, and all stay."""
+    found = neardup.near_duplicates(docs, NEAR)
+    chosen = _keys(found.where("chosen AND n_shingles > 0"))
+    rows = _row_and_key(docs)
+    blank = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    others = [f"row.`{f.name}`" for f in docs.schema if f.name in ("lang", "source", "n_chars")]
+    one = rows.where(~blank).groupBy("key").agg(F.min_by("row", F.struct(F.lit(0), *others)).alias("row"))
+    one = one.join(chosen, F.col("key") == F.col("of"), "left_semi")
+    return one.select("row.*").unionByName(rows.where(blank).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontam.contaminated(docs, load(spark, sf_dir, "benchmark")))
+    """Rows whose text overlaps with a benchmark passage go, with or without an id, each copy alike; null and empty texts and
+    passages overlap with nothing."""
+    found = _keys(decontam.overlapping(docs, load(spark, sf_dir, "benchmark")))
+    rows = _row_and_key(docs)
+    return rows.join(found, F.col("key") == F.col("of"), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that the mix takes n times is n rows."""
-    times = mixing.mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_n"))
-    times = times.groupBy("_id").agg(F.max("_n").alias("_n")).where("_n > 0")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return rows.select(*docs.columns)
+    """A row that the mix takes n times is n rows; each of several equal rows is taken as often as its own draw says. Rows
+    without words (null and empty texts) add nothing to a mix of words and aren't taken."""
+    drawn = mixing.mix(docs, rows=True).where("size > 0")
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int")))).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is laid into a shard, repeated ones and those without id or text included."""
     return sharding.assign_shards(docs)
 
 
@@ -62,7 +81,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("sharding", shard),
 ]
-#: Learned scores and sketches aren't SQL; tests hold run() against the stages' brute-force versions.
+#: Learned scores and sketches aren't SQL; tests hold every stage against plain Python on planted cases.
 ORACLE_SQL = None
 
 
@@ -70,7 +89,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, from the table documents."""
     docs = load(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if done:
+            remove_folder(spark, f"{folder}/{done}")
+        docs, done = spark.read.parquet(f"{folder}/{name}"), name
     return docs
