@@ -120,3 +120,24 @@ def test_vectors(spark):
     assert from_bytes(to_bytes([1.5, -2.0])).tolist() == [1.5, -2.0]
     with pytest.raises(ValueError):
         from_bytes(b"12345")
+
+
+def test_generator_gives_its_published_outputs():
+    assert similar.splitmix64(1234567, 3).tolist() == [6457827717110365317, 3203168211198807973, 9817491932198370423]
+    p = similar.planes(64)
+    assert p.shape == (128, 64) and (abs(p).sum(1) <= 32).all() and len({r.tobytes() for r in p}) == 128
+
+
+def test_scored_leaves_pairs_out_and_keeps_no_lower_score(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(40, 4))
+    rows = spark.createDataFrame([(k, m[k].tolist()) for k in range(40)], "unit_id long, vec array<double>")
+    q, gone = rows.where("unit_id % 5 = 0"), [(k, u) for k in range(0, 40, 5) for u in (k, k + 1)]
+    out = spark.createDataFrame(gone, "q long, u long")
+    s = m @ m.T
+    left = {k: sorted((u for u in range(40) if (k, u) not in gone), key=lambda u: (-s[k, u], u)) for k in range(0, 40, 5)}
+    got = similar.scored(q, rows, block_rows=7, top=3, pairs_out=out).collect()
+    assert sorted((r.q, r["rank"], r.u) for r in got) == [(k, n + 1, u) for k, us in left.items() for n, u in enumerate(us[:3])]
+    got = similar.scored(q, rows, block_rows=7, pairs_out=out, least=1.0).collect()
+    assert sorted((r.q, r.u) for r in got) == sorted((k, u) for k, us in left.items() for u in us if s[k, u] >= 1.0)
+    assert similar.scored(q.limit(0), rows, top=3, pairs_out=out).count() == 0

@@ -195,3 +195,13 @@ def test_stream_adds_once(spark, tmp_path):
         stream = spark.readStream.schema("text string").parquet(str(tmp_path / "in"))
         ingest(stream, s, "hashed-tokens", str(tmp_path / "ck")).awaitTermination()
         assert s.texts.count() == s.embeddings.count() == (2, 3)[k]
+
+
+def test_python_offsets_count_characters_and_line_feeds():
+    plain = 'def f(x):\n    """eeeeeeee groesse."""\n    y = x + 1\n    return compute(y)\n\n\ndef g(x):\n    return x\n'
+    other = plain.replace("eeeeeeee groesse", "éééééééé Größe\u2028")
+    feed = plain.replace("\n\n\ndef g", "\n\x0c\n\ndef g")
+    want = [(u["name"], u["text"], u["effective_lines"], u["hash"]) for u in units_of("a.py", plain, ExtractOptions(strip_comments=True))]
+    assert [t for _, t, _, _ in want] == ["def f(x):\n    y = x + 1\n    return compute(y)", "def g(x):\n    return x"]
+    for src in (other, feed):
+        assert [(u["name"], u["text"], u["effective_lines"], u["hash"]) for u in units_of("a.py", src, ExtractOptions(strip_comments=True))] == want

@@ -36,8 +36,8 @@ def test_test_paths(spark, path, want):
 
 def test_selector_splits_at_the_first_name_mark(spark):
     parts = T.selector(F.col("x"))
-    row = spark.createDataFrame([("crates/cli/src/pattern.rs:146-155::patterns_from_reader::match",), ("a:x-y::f",), ("none",)], "x string").select(*parts.values()).collect()
-    assert tuple(row[0]) == ("crates/cli/src/pattern.rs", 146, 155, "patterns_from_reader::match")
+    row = spark.createDataFrame([("lib/geo/tiles.rs:7-31::Tile::merge",), ("a:x-y::f",), ("none",)], "x string").select(*parts.values()).collect()
+    assert tuple(row[0]) == ("lib/geo/tiles.rs", 7, 31, "Tile::merge")
     assert tuple(row[1]) == ("a:x-y", None, None, "f") and tuple(row[2]) == (None,) * 4
 
 
@@ -96,7 +96,10 @@ def test_evaluation(spark):
 def test_report(spark, tmp_path):
     rows = [{"unit": "a.rs:1-9 f", "verdict": "DUP", "neighbors": [{"unit": "b|c", "cosine": 0.91}]}, {"unit": "a.rs:10-19 g", "verdict": "ok"}]
     text = report.summary(rows)
-    assert "1 duplicate, 0 review, 1 ok across 2" in text and "0.9100 b\\|c" in text
+    assert text.splitlines()[:4] == ["## twinspect: 2 changed units", "* DUP: 1", "* REVIEW: 0", "* ok: 1"]
+    assert "| a.rs:1-9 f | DUP | b\\|c | 0.9100 |" in text and "| a.rs:10-19 g | ok |  |  |" in text and "further" not in text
+    many = report.summary(rows[1:] * 53)
+    assert many.count("a.rs:10-19") == 50 and "3 further units" in many
     assert report.summary_of_file(str(tmp_path / "none.json"))[1] == 0
     (tmp_path / "bad.json").write_text("{")
     assert report.summary_of_file(str(tmp_path / "bad.json"))[1] == 1

@@ -67,7 +67,7 @@ def verdicts(queries: DataFrame, corpus: DataFrame, stale: DataFrame, threshold:
     elif policy == "added":
         best = best.join(first, "q", "left").withColumn("dup", hit & F.col("base").isNull())
     else:
-        close = scored(queries, corpus, pairs_out=stale).where(F.col("cosine") >= threshold)
+        close = scored(queries, corpus, pairs_out=stale, least=threshold)
         vecs = corpus.select(F.col("unit_id").alias("u"), "vec")
         close = close.join(vecs, "u").join(first, "q", "left")
         close = close.join(vecs.select(F.col("u").alias("base"), F.col("vec").alias("base_vec")), "base", "left")

@@ -18,7 +18,6 @@ BLOCK_ROWS = 1024
 SPARSE_FROM = 20_000
 PLANES, BANDS, ROWS, DRAWS = 128, 16, 8, 32
 CAP = 1024
-_MASK = (1 << 64) - 1
 
 
 def _spans(units: DataFrame) -> DataFrame:
@@ -66,21 +65,20 @@ def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS
     return dealt.groupBy("lo", "hi").applyInPandas(score, "i long, j long, cosine double")
 
 
-def _mix(x: int) -> int:
-    """One output of the splitmix64 generator (Steele, Lea and Flood, 2014)."""
-    x = (x + 0x9E3779B97F4A7C15) & _MASK
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
-    return x ^ (x >> 31)
+def splitmix64(seed: int, n: int) -> np.ndarray:
+    """The first n outputs of the published generator (Steele, Lea and Flood, 2014)."""
+    with np.errstate(over="ignore"):
+        x = np.uint64(seed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def planes(dim: int) -> np.ndarray:
-    """PLANES x dim coefficients: every plane draws DRAWS signed coordinates, repeats add up."""
+    """PLANES x dim coefficients: each adds DRAWS signs at coordinates, from the two halves of one stream."""
     out = np.zeros((PLANES, max(dim, 1)))
-    for p in range(PLANES):
-        for k in range(DRAWS):
-            h = _mix(0x9E3779B97F4A7C15 ^ (p * 0xBF58476D1CE4E5B9 & _MASK) ^ (k * 0x94D049BB133111EB & _MASK))
-            out[p, h % max(dim, 1)] += 1.0 if h >> 63 == 0 else -1.0
+    where, sign = splitmix64(1, 2 * PLANES * DRAWS).reshape(2, PLANES, DRAWS)
+    np.add.at(out, (np.arange(PLANES)[:, None], (where % np.uint64(max(dim, 1))).astype(int)), np.where(sign & np.uint64(1), 1.0, -1.0))
     return out
 
 
@@ -154,37 +152,43 @@ def similar_pairs(units: DataFrame, threshold: float, index: str = "auto", cap:
     return sparse_pairs(units, threshold, head[0] if head else 0, cap)
 
 
-def scored(queries: DataFrame, corpus: DataFrame, block_rows: int = 4096, top: int | None = None, pairs_out: DataFrame | None = None) -> DataFrame:
+def scored(queries: DataFrame, corpus: DataFrame, block_rows: int = 4096, top: int | None = None, pairs_out: DataFrame | None = None, least: float | None = None) -> DataFrame:
     """(q, u, cosine) of query rows (unit_id, vec) against corpus rows (unit_id, vec); with `top`, each query's best.
 
     Corpus and queries are dealt into blocks, a task multiplies one block of each and, with `top`, passes on no more than
-    that many rows a query; the last choice is a window over what is left. pairs_out (q, u) are pairs to leave out.
+    that many rows a query, with `least`, none of a lower score; the last choice is a window over what is left. pairs_out
+    (q, u) are pairs to leave out; a query takes its few along into its blocks.
     """
     nq, nc = queries.count(), corpus.count()
     bq, bc = max(1, -(-nq // block_rows)), max(1, -(-nc // block_rows))
     one = queries.select(F.col("unit_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(True).alias("is_query"))
+    none = F.array().cast("array<bigint>")
+    if pairs_out is None:
+        one = one.withColumn("out", none)
+    else:
+        out = pairs_out.groupBy(F.col("q").cast("long").alias("id")).agg(F.collect_set(F.col("u").cast("long")).alias("out"))
+        one = one.join(out, "id", "left").withColumn("out", F.coalesce("out", none))
     one = one.withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(bq)), "cb": F.explode(F.sequence(F.lit(0), F.lit(bc - 1)).cast("array<bigint>"))})
-    two = corpus.select(F.col("unit_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(False).alias("is_query"))
+    two = corpus.select(F.col("unit_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(False).alias("is_query"), none.alias("out"))
     two = two.withColumns({"qb": F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<bigint>")), "cb": F.pmod(F.xxhash64("id"), F.lit(bc))})
-    spare = None if pairs_out is not None else top  # rows to leave out are only known to the join below
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         q, c = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
-        if not len(q) or not len(c):
-            return pd.DataFrame({"q": [], "u": [], "cosine": []})
-        s = np.array(q["vec"].tolist(), float) @ np.array(c["vec"].tolist(), float).T
-        qi, ci = q["id"].to_numpy(), c["id"].to_numpy()
-        if spare is None or spare >= len(ci):
-            return pd.DataFrame({"q": np.repeat(qi, len(ci)), "u": np.tile(ci, len(qi)), "cosine": s.ravel()})
-        out = []
-        for k, row in enumerate(s):
-            best = np.lexsort((ci, -row))[:spare]
-            out.append(pd.DataFrame({"q": qi[k], "u": ci[best], "cosine": row[best]}))
-        return pd.concat(out)
+        rows = [pd.DataFrame({"q": [], "u": [], "cosine": []})]
+        if len(q) and len(c):
+            s = np.array(q["vec"].tolist(), float) @ np.array(c["vec"].tolist(), float).T
+            ci = c["id"].to_numpy()
+            for qi, row, gone in zip(q["id"], s, q["out"]):
+                keep = np.ones(len(ci), bool) if least is None else row >= least
+                if len(gone):
+                    keep &= ~np.isin(ci, gone)
+                at = np.flatnonzero(keep)
+                if top is not None and len(at) > top:
+                    at = at[np.lexsort((ci[at], -row[at]))[:top]]
+                rows.append(pd.DataFrame({"q": qi, "u": ci[at], "cosine": row[at]}))
+        return pd.concat(rows[1:] or rows)
 
     found = one.unionByName(two).groupBy("qb", "cb").applyInPandas(score, "q long, u long, cosine double")
-    if pairs_out is not None:
-        found = found.join(pairs_out.select("q", "u"), ["q", "u"], "left_anti")
     if top is None:
         return found
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "u"))

@@ -257,10 +257,10 @@ def stale_self_match(spark, d):
 @query(
     """SELECT doc_id, repeat('`', greatest(2, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: len(x))), 0)) + 1) AS fence, replace(replace(t, '|', '\\|'), chr(10), ' ') AS cell,
   replace(replace(t, '%', '%25'), chr(10), '%0A') AS message, replace(replace(replace(replace(t, '%', '%25'), chr(10), '%0A'), ':', '%3A'), ',', '%2C') AS property
-FROM (SELECT doc_id, concat(repeat('`', (doc_id % 6)::INTEGER), 'a:b', chr(10), substr(text, 1, 80)) AS t FROM documents)"""
+FROM (SELECT doc_id, concat(repeat('`', (doc_id % 6)::INTEGER), 'a:b', chr(10), text) AS t FROM documents)"""
 )
 def report_escapes(spark, d):
-    t = F.concat(F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit("a:b\n"), F.substring("text", 1, 80))
+    t = F.concat(F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit("a:b\n"), F.col("text"))
     docs = load(spark, d, "documents").select("doc_id", t.alias("t"))
     t = F.col("t")
     return docs.select("doc_id", T.fence(t).alias("fence"), T.markdown_escaped(t).alias("cell"), T.message_escaped(t).alias("message"), T.property_escaped(t).alias("property"))
@@ -417,21 +417,23 @@ def pairs_json(spark, d):
 
 
 def _sides(spark, d):
-    u = _units(spark, d, False)
-    corpus = u.where("unit_id >= 200")
-    # Former versions of changed units are rows of the corpus: one takes the unit's own vector, another that of unit + 100.
-    old = u.where("unit_id < 100 AND unit_id % 4 = 0").select((F.col("unit_id") + 1_000_000).alias("unit_id"), "vec", F.col("unit_id").alias("q"))
-    moved = u.where("unit_id >= 100 AND unit_id < 200 AND unit_id % 4 = 2").select((F.col("unit_id") + 1_000_000 - 100).alias("unit_id"), "vec", (F.col("unit_id") - 100).alias("q"))
-    former = old.unionByName(moved)
-    return u.where("unit_id < 100"), corpus.unionByName(former.select("unit_id", "vec")), former.select("q", F.col("unit_id").alias("u"))
-
-
-_SIDES = f"""c AS (SELECT vec_id AS u, embedding FROM embeddings WHERE vec_id >= 200 UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings WHERE vec_id < 100 AND vec_id % 4 = 0
- UNION ALL SELECT vec_id + 1000000 - 100, embedding FROM embeddings WHERE vec_id BETWEEN 100 AND 199 AND vec_id % 4 = 2),
-sc AS (SELECT a.vec_id AS q, b.u, {_DOT} AS cosine FROM embeddings a, c b WHERE a.vec_id < 100 AND b.u <> a.vec_id + 1000000),
+    """Changed units, the corpus, and former versions: every 50th row against all rows. Of three changed units one stands in
+    the corpus as it is, one has another former version beside, and one is new: a copy of its row, or every other time
+    unlike it."""
+    u, k = _units(spark, d, False), F.col("unit_id")
+    changed = u.where(k % 50 == 0).select(k, F.when(k % 300 == 100, F.reverse("vec")).otherwise(F.col("vec")).alias("vec"))
+    former = u.where(k % 150 == 51).select((k - 1).alias("q"), (k - 1_000_001).alias("u"), F.reverse("vec").alias("vec"))
+    itself = changed.where(k % 150 != 100).select(k.alias("q"), k.alias("u"))
+    return changed, u.unionByName(former.select(F.col("u").alias("unit_id"), "vec")), itself.unionByName(former.select("q", "u"))
+
+
+_SIDES = f"""ch AS (SELECT vec_id AS q, CASE WHEN vec_id % 300 = 100 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 50 = 0),
+c AS (SELECT vec_id AS u, embedding FROM embeddings UNION ALL SELECT vec_id - 1000001, list_reverse(embedding) FROM embeddings WHERE vec_id % 150 = 51),
+st AS (SELECT q, q AS u FROM ch WHERE q % 150 <> 100 UNION ALL SELECT vec_id - 1, vec_id - 1000001 FROM embeddings WHERE vec_id % 150 = 51),
+sc AS (SELECT a.q, b.u, {_DOT} AS cosine FROM ch a CROSS JOIN c b LEFT JOIN st ON st.q = a.q AND st.u = b.u WHERE st.q IS NULL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, u) AS rank FROM sc),
 mg AS (SELECT q, max(CASE WHEN rank = 1 THEN cosine END) AS cos1, max(CASE WHEN rank = 1 THEN cosine END) - coalesce(max(CASE WHEN rank = 2 THEN cosine END), 0) AS margin FROM rk WHERE rank <= 2 GROUP BY q),
-base AS (SELECT u - 1000000 AS q, embedding FROM c WHERE u >= 1000000)"""
+base AS (SELECT f.q, c.embedding FROM (SELECT q, min(u) AS u FROM st GROUP BY q) f JOIN c USING (u))"""
 
 
 @query(f"WITH {_SIDES} SELECT q, u, round(cosine, 6) AS cosine, rank::INTEGER AS rank FROM rk WHERE rank <= 3")

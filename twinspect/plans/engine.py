@@ -9,7 +9,7 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinspect.functions.text import is_excluded
@@ -83,7 +83,7 @@ class Engine:
     # -- scan
 
     def scan(self, threshold: float | None = None, refresh: bool = True, index: str | None = None, min_lines: int | None = None, skip_tests: bool | None = None, unit_kind: str | None = None, min_cluster: int | None = None) -> dict[str, DataFrame]:
-        """members, pairs and ordered summaries of the clusters that stay, and hidden overlaps."""
+        """members, pairs and ordered summaries of the clusters that stay, summaries of every cluster, and hidden overlaps."""
         s = self.config.scan
         threshold = s.threshold if threshold is None else threshold
         if threshold is None:
@@ -95,18 +95,22 @@ class Engine:
         pairs = similar.similar_pairs(units, threshold, index or s.index)
         members, left, before = clusters.pruned(pairs, units)
         members, least = cut(members), s.min_cluster if min_cluster is None else min_cluster
-        summaries = clusters.ordered(clusters.summary(members, left), min_members=least)
+        every = clusters.summary(members, left)
+        summaries = clusters.ordered(every, min_members=least)
         kept = members.join(summaries.select("cluster_id"), "cluster_id", "left_semi")
-        return {"members": kept, "pairs": left.join(kept.select(F.col("unit_id").alias("i")), "i", "left_semi"), "clusters": summaries, "hidden": clusters.hidden_overlaps(members, before), "units": units}
+        return {"members": kept, "pairs": left.join(kept.select(F.col("unit_id").alias("i")), "i", "left_semi"), "clusters": summaries, "every": every, "hidden": clusters.hidden_overlaps(members, before), "units": units}
 
     def scan_report(self, found: dict[str, DataFrame], top: int = 50, bodies: bool = False) -> str:
-        """The first `top` clusters as text; only their members, pairs and bodies are fetched."""
+        """The first `top` clusters as text; only their members, bodies and the pairs that are shown are fetched."""
         total = found["clusters"].count()
         named = labels(found["units"]).select("unit_id", "label", "hash", "lang")
         first = clusters.ordered(found["clusters"], top=top, min_members=1).join(found["hidden"], "cluster_id", "left")
         members = found["members"].select("cluster_id", "unit_id").join(F.broadcast(first.select("cluster_id")), "cluster_id", "left_semi").join(named, "unit_id")
         a, b = (named.select(F.col("unit_id").alias(x), F.col("label").alias(f"label_{x}")) for x in ("i", "j"))
-        pairs = found["pairs"].join(a, "i").join(b, "j").join(members.select(F.col("unit_id").alias("i"), "cluster_id"), "i")
+        theirs = found["pairs"].join(members.select(F.col("unit_id").alias("i"), "cluster_id"), "i")
+        n_pairs = {r["cluster_id"]: r["n"] for r in theirs.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()}
+        place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("cosine"), "i", "j"))
+        pairs = theirs.withColumn("place", place).where(F.col("place") <= report.MAX_PAIRS).join(a, "i").join(b, "j")
         by_cluster, by_pair = {}, {}
         for r in members.orderBy("unit_id").collect():
             by_cluster.setdefault(r["cluster_id"], []).append(r)
@@ -115,12 +119,12 @@ class Engine:
         out = []
         for c in first.orderBy("place").collect():
             rows = by_cluster[c["cluster_id"]]
-            out.append({"labels": [r["label"] for r in rows], "hashes": [r["hash"] for r in rows], "langs": [r["lang"] for r in rows], "pairs": by_pair[c["cluster_id"]], "hidden_overlaps": c["hidden_overlaps"] or 0})
+            out.append({"labels": [r["label"] for r in rows], "hashes": [r["hash"] for r in rows], "langs": [r["lang"] for r in rows], "pairs": by_pair[c["cluster_id"]], "n_pairs": n_pairs[c["cluster_id"]], "hidden_overlaps": c["hidden_overlaps"] or 0})
         texts = None
         if bodies:
             wanted = members.select("hash").distinct()
             texts = {r["hash"]: r["text"] for r in self.store.texts.join(wanted, "hash", "left_semi").collect()}
-        return report.scan_text(out, found["pairs"].count(), 0, texts, total - len(out))
+        return report.scan_text(out, found["pairs"].count(), found["every"].count() - total, texts, total - len(out))
 
     def pairs_json(self, found: dict[str, DataFrame], path: str) -> None:
         """All retained pairs as {a, b, cosine} lines."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from twinspect.functions.text import DIRECTIVE, LANGUAGES, STRUCTURAL, TEST_ENDS, TEST_PARTS
@@ -202,12 +203,21 @@ def _arrow_bodies(src: str, masked: str, lang: str) -> list[Found]:
     return out
 
 
+def _offsets(src: str):
+    """A function from the parser's line and column, which counts UTF-8 bytes, to the offset in src."""
+    starts = [0, *(m.end() for m in re.finditer(r"\r\n?|\n", src)), len(src)]
+
+    def at(line: int, col: int) -> int:
+        if line >= len(starts):
+            return len(src)
+        text = src[starts[line - 1] : starts[line]]
+        return starts[line - 1] + (col if text.isascii() else len(text.encode("utf-8", "surrogatepass")[:col].decode("utf-8", "replace")))
+
+    return at
+
+
 def _python_units(src: str) -> list[Found]:
-    starts = [0]
-    for line in src.splitlines(keepends=True):
-        starts.append(starts[-1] + len(line))
-    lines = src.splitlines(keepends=True)
-    at = lambda line, col: starts[line - 1] + len(lines[line - 1].encode("utf-8", "surrogatepass")[:col].decode("utf-8", "replace")) if line <= len(lines) else len(src)
+    at = _offsets(src)
     found: list[Found] = []
 
     def span(stmts) -> tuple[int, int]:
@@ -306,9 +316,7 @@ def is_test_path(path: str) -> bool:
 
 
 def _docstrings(src: str) -> list[tuple[int, int]]:
-    starts = [0]
-    for line in src.splitlines(keepends=True):
-        starts.append(starts[-1] + len(line))
+    at = _offsets(src)
     try:
         parsed = ast.parse(src)
     except (SyntaxError, ValueError):
@@ -318,7 +326,7 @@ def _docstrings(src: str) -> list[tuple[int, int]]:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             first = node.body[0]
             if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
-                out.append((starts[first.lineno - 1] + first.col_offset, starts[first.end_lineno - 1] + first.end_col_offset))
+                out.append((at(first.lineno, first.col_offset), at(first.end_lineno, first.end_col_offset)))
     return out
 
 
@@ -333,11 +341,11 @@ def cut_out(src: str, start: int, end: int, spans: list[tuple[int, int]]) -> str
             out.append(src[at:a])
         at = max(at, b)
     out.append(src[at:end])
-    return "\n".join(x.rstrip() for x in "".join(out).splitlines() if x.strip())
+    return "\n".join(x.rstrip() for x in "".join(out).split("\n") if x.strip())
 
 
 def effective_lines(text: str) -> int:
-    return sum(1 for x in text.splitlines() if x.strip() and not re.match(STRUCTURAL, x.strip()))
+    return sum(1 for x in text.split("\n") if x.strip() and not re.match(STRUCTURAL, x.strip()))
 
 
 def units_of(path: str, src: str, options: ExtractOptions = ExtractOptions()) -> list[dict]:
@@ -358,20 +366,21 @@ def units_of(path: str, src: str, options: ExtractOptions = ExtractOptions()) ->
     else:
         found = sorted(_brace_units(src, masked, lang) + _arrow_bodies(src, masked, lang), key=lambda u: u.start)
     lines = src.split("\n")
+    ends = [m.start() for m in re.finditer("\n", src)]
     path_test, out = is_test_path(path), []
     for unit in found:
         for part in (unit, *unit.blocks) if BLOCK in options.granularity else (unit,):
             if part.kind not in options.granularity:
                 continue
-            first = src.count("\n", 0, part.start) + 1
-            last = src.count("\n", 0, max(part.start, part.end - 1)) + 1
+            first = bisect_left(ends, part.start) + 1
+            last = bisect_left(ends, max(part.start, part.end - 1)) + 1
             if part.kind == BLOCK and last - first + 1 < options.min_block_lines:
                 continue
             text = cut_out(src, part.start, part.end, cuts) if options.strip_comments else src[part.start : part.end]
             if not text.strip():
                 continue
             body = part.body or (part.start, part.end)
-            head = src.count("\n", 0, unit.start) + 1
+            head = bisect_left(ends, unit.start) + 1
             out.append({
                 "path": path, "name": part.name, "lang": lang, "unit_kind": part.kind, "start_line": first, "end_line": last,
                 "effective_lines": effective_lines(cut_out(src, *body, cuts)), "hash": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), "text": text,
