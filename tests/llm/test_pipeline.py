@@ -20,7 +20,7 @@ def test_stages_follow_their_operators(spark, tmp_path):
             bad = {r.doc_id for r in toxicity.toxicity(docs, load(spark, SF, "labels")).where("predicted = 1").collect()}
             assert after == sorted(before - bad)
         elif name == "near_duplicates":
-            assert after == sorted(r.doc_id for r in neardup.near_duplicates(docs).where("kept").collect()) and len(after) < len(before)
+            assert after == sorted(r.doc_id for r in neardup.near_duplicates(docs, corpus_pipeline.NEAR).where("kept").collect()) and len(after) < len(before)
         elif name == "decontamination":
             assert after == sorted(before - {r.doc_id for r in decontam.contaminated(docs, load(spark, SF, "benchmark")).collect()})
         elif name == "mixing":

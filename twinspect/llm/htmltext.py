@@ -2,23 +2,27 @@
 
 The builder follows the main rules of HTML: void elements, raw text elements, start tags that close a paragraph, list item,
 definition, option, table cell, row or section, end tags that close what is open inside them, and table parts that imply
-rows. Nothing is shown of head, script, style, template and similar elements, of elements with the attribute hidden, of
-style display:none or visibility:hidden, of closed dialogs, and of comments.
+rows. Nothing is shown of head, script, style, template and similar elements, of elements with the attribute hidden (unless
+their style sets another display) or display:none, of closed dialogs, and of comments. Text below visibility:hidden is left
+out, but not that of elements inside it which are visible again.
 
 The renderer collapses white space outside pre and textarea, sets blocks on lines of their own and paragraphs, headings,
 lists, tables and the like apart by an empty line, marks list items ("- ", or numbers from start and value) with the text
-of nested lists indented, breaks lines at br, and lays tables out in aligned columns two spaces apart, cells that span
-columns and cells of several lines included.
+of nested lists indented, breaks lines at br, and lays tables out in aligned columns two spaces apart, cells of several
+lines included. A cell that spans columns widens the last of them if need be; one that spans rows keeps its columns free in
+these, up to the end of its row group.
 
 Defined cases: a null page gives a null text, an empty one an empty text; broken markup never fails (what follows a tag or
-comment that never ends is dropped, as browsers do); nesting is walked without recursion and cut below MAX_DEPTH open
-elements, deeper ones becoming siblings; repeated rows are extracted each; other columns are not looked at.
+comment that never ends is dropped, as browsers do); nesting is walked without recursion, and below MAX_DEPTH open elements
+what an element holds is laid out beside it, with its visibility kept; repeated rows are extracted each; other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,15 +67,16 @@ _VALUE = rf"\"[^\"]*+\"|'[^']*+'|[^{_WS}>\"'][^{_WS}>]*+"
 _TAG = re.compile(rf"<(/?)([A-Za-z][^{_WS}/>]*+)((?:[{_WS}/]++|{_NAME}(?:[{_WS}]*+=[{_WS}]*+(?:{_VALUE}|(?=>))|(?![{_WS}]*+=)))*+)>")
 _ATTR = re.compile(rf"({_NAME})(?:[{_WS}]*+=[{_WS}]*+({_VALUE})?+)?+")
 _SLASH_IN_VALUE = re.compile(rf"=[{_WS}]*+[^{_WS}\"'][^{_WS}]*\Z")
-_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "styles")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.kids = tag, attrs, []
+        self.styles = {m[1].lower(): m[2].lower() for m in _STYLE.finditer(attrs["style"])} if "style" in attrs else {}
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -87,7 +92,7 @@ def hidden(node: Node) -> bool:
     return (
         node.tag in UNSEEN
         or bool(a)
-        and ("hidden" in a or bool(_HIDDEN_STYLE.search(a.get("style", ""))) or node.tag == "input" and a.get("type", "").lower() == "hidden")
+        and (node.styles.get("display", "none" if "hidden" in a else "") == "none" or node.tag == "input" and a.get("type", "").lower() == "hidden")
         or node.tag == "dialog"
         and "open" not in a
     )
@@ -97,22 +102,40 @@ def tree(page: str) -> Node:
     """The page's elements; texts are str children, with entities resolved."""
     root = Node("#root", {})
     stack = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a tag are open
+
+    def nearest(names: tuple[str, ...] | frozenset) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
 
     def close(names: tuple[str, ...] | frozenset, stop: tuple[str, ...] | frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
+        at = nearest(names)
+        if at and at >= nearest(stop):
+            while len(stack) > at:
+                pop()
 
-    def open_(tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs)
-        stack[-1].kids.append(node)
-        if tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+    def pop() -> None:
+        places[stack.pop().tag].pop()
 
-    at, n, drawn = 0, len(page), False
+    def open_(tag: str, attrs: dict[str, str]) -> None:
+        node, outer = Node(tag, attrs), stack[-1]
+        deep = len(stack) >= MAX_DEPTH and tag not in VOID
+        if not deep or tag not in TABLE_PARTS | {"table"}:
+            outer.kids.append(node)
+        else:  # cells become words, rows become lines
+            outer.kids.append(" " if tag in ("td", "th") else Node("div", {}))
+        if tag in VOID:
+            return
+        if deep:  # its content goes beside it, nowhere if it is hidden, or into a run of its visibility
+            inside = [] if hidden(node) else outer.kids
+            if inside and "visibility" in node.styles:
+                inside.append(run := Node("span", {"style": f"visibility:{node.styles['visibility']}"}))
+                inside = run.kids
+            node = Node(tag, attrs)
+            node.kids = inside
+        places[tag].append(len(stack))
+        stack.append(node)
+
+    at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -145,17 +168,16 @@ def tree(page: str) -> Node:
         if m[1]:
             if tag == "br":
                 open_("br", {})
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
+            elif tag == "p" and not places.get("p"):
                 open_("p", {})
-                stack.pop()
+                pop()
             elif tag in HEADINGS:
                 close(HEADINGS, SCOPE)
             else:
                 close((tag,), () if tag in SCOPE else SCOPE)
             continue
         attrs = attributes(m[3]) if m[3].strip(" /\n\t\r\f") else {}
-        drawn = drawn or tag in ("svg", "math")
-        if drawn and any(x.tag in ("svg", "math") for x in stack[1:]):
+        if nearest(("svg", "math")):
             if tag in UNDRAWN:
                 attrs["hidden"] = ""
             if m[3].endswith("/") and not _SLASH_IN_VALUE.search(m[3]):  # such an element is empty there
@@ -164,12 +186,12 @@ def tree(page: str) -> Node:
         if tag in CLOSES_P:
             close(("p",), SCOPE | {"button"})
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            pop()
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             open_("tr", {})
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         open_(tag, attrs)
         if tag in RAW:
@@ -180,7 +202,7 @@ def tree(page: str) -> Node:
             elif tag == "xmp":
                 stack[-1].kids.append(page[at:upto])
             if stack[-1].tag == tag:
-                stack.pop()
+                pop()
             gt = page.find(">", upto)
             at = n if gt < 0 else gt + 1
         elif tag == "pre" and page[at : at + 1] == "\n":
@@ -253,50 +275,77 @@ def _number(value: str | None, default: int) -> int:
         return default
 
 
-def laid_out(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Lines of a table from rows of (cell text, columns it spans)."""
-    grid = []
-    widths: dict[int, int] = {}
-    for row in rows:
-        col, cells = 0, []
-        for text, span in row:
-            lines = text.split("\n")
-            cells.append((col, span, lines))
-            if span == 1:
-                widths[col] = max(widths.get(col, 0), *map(len, lines))
+def laid_out(rows: list[list[tuple[str, int, int]]], groups: list[int]) -> list[str]:
+    """Lines of a table from rows of (cell text, columns and rows it spans); groups: the rows that begin a row group."""
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    below: list[tuple[int, int, int]] = []  # (column, end, last row) of cells that reach into rows to come
+    starts, edges = sorted({*groups, len(rows)}), {0}
+    for no, row in enumerate(rows):
+        while starts and starts[0] <= no:
+            starts.pop(0)
+        below = sorted(x for x in below if x[2] >= no) if row else below
+        col, k, cells = 0, 0, []
+        for text, across, down in row:
+            while k < len(below) and below[k][0] <= col:
+                col, k = max(col, below[k][1]), k + 1
+            cells.append((col, col + across, text.split("\n")))
+            edges |= {col, col + across}
+            col += across
+        last = [min(no + down, starts[0]) - 1 if down else starts[0] - 1 for _, _, down in row]
+        below += [(a, b, upto) for (a, b, _), upto in zip(cells, last) if upto > no]
+        placed.append(cells)
+    # Columns that no cell begins or ends between count as one.
+    column = {edge: n for n, edge in enumerate(sorted(edges))}
+    widths = [0] * len(column)
+    wide = []
+    for cells in placed:
+        for a, b, lines in cells:
+            if column[b] == column[a] + 1:
+                widths[column[a]] = max(widths[column[a]], *map(len, lines))
             else:
-                for c in range(col, col + span):
-                    widths.setdefault(c, 0)
-            col += span
-        grid.append(cells)
+                wide.append((column[b] - column[a], column[a], max(map(len, lines))))
+    for n, a, need in sorted(wide):
+        widths[a + n - 1] += max(0, need - sum(widths[a : a + n]) - 2 * (n - 1))
+    left = [0]
+    for w in widths:
+        left.append(left[-1] + w + 2)
     out = []
-    for cells in grid:
+    for cells in placed:
         for k in range(max((len(lines) for _, _, lines in cells), default=0)):
             line = ""
-            for col, span, lines in cells:
-                width = sum(widths[c] for c in range(col, col + span)) + 2 * (span - 1)
-                line += (lines[k] if k < len(lines) else "").ljust(width) + "  "
+            for a, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    line = line.ljust(left[column[a]]) + lines[k]
             out.append(line.rstrip())
     return out
 
 
+class Table:
+    def __init__(self):
+        self.rows: list[list[tuple[str, int, int]]] = []
+        self.groups: list[int] = []
+
+
 def render(root: Node) -> str:
     """The visible text. Tables are laid out from the inside: a cell is a page of its own."""
     page = Page()
     # Work: (what, node, state). Pages, list counters and tables nest as the stacks below.
     pages, lists, tables, pre = [page], [], [], 0
-    work: list[tuple[str, object]] = [("enter", root)]
+    work: list[tuple[str, object, bool]] = [("enter", root, True)]
     while work:
-        what, node = work.pop()
+        what, node, seen = work.pop()
         page = pages[-1]
         if what == "text":
-            (page.verbatim if pre else page.text)(node)
+            if seen:
+                (page.verbatim if pre else page.text)(node)
             continue
         if what == "enter":
             if hidden(node):
                 continue
-            tag = node.tag
+            tag, seen = node.tag, node.styles.get("visibility", "visible" if seen else "hidden") not in ("hidden", "collapse")
             if tag == "br":
+                if not seen:
+                    continue
                 if not page.now:
                     page.word("")
                 page.end_line()
@@ -306,12 +355,14 @@ def render(root: Node) -> str:
                 continue
             if tag == "table":
                 page.apart(1)
-                tables.append([])
+                tables.append(Table())
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].groups.append(len(tables[-1].rows))
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].rows.append([])
             elif tag in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
+                if not tables[-1].rows:
+                    tables[-1].rows.append([])
                 pages.append(Page())
                 lists.append(None)
             elif tag in ("ul", "ol", "menu", "dir"):
@@ -325,25 +376,26 @@ def render(root: Node) -> str:
                     value = _number(node.attrs.get("value"), counter[0])
                     mark, counter[0] = f"{value}. ", value + 1
                 page.indents.append(" " * len(mark))
-                page.mark = mark
+                page.mark = mark if seen else ""
             elif tag in ("blockquote", "dd"):
                 page.apart(1 if tag == "blockquote" else 0)
                 page.indents.append("    " if tag == "dd" else "> ")
             elif tag in BLOCK:
                 page.apart(1 if tag in SPACED else 0)
-            elif tag == "q":
+            elif tag == "q" and seen:
                 page.text('"')
             if tag in ("pre", "textarea", "listing", "xmp"):
                 pre += 1
-            work.append(("leave", node))
+            work.append(("leave", node, seen))
             for kid in reversed(node.kids):
-                work.append(("text", kid) if isinstance(kid, str) else ("enter", kid))
+                work.append(("text" if isinstance(kid, str) else "enter", kid, seen))
             continue
         tag = node.tag
         if tag in ("pre", "textarea", "listing", "xmp"):
             pre -= 1
         if tag == "table":
-            lines = laid_out(tables.pop())
+            done = tables.pop()
+            lines = laid_out(done.rows, done.groups)
             for line in lines:
                 page.word(line)
                 page.end_line()
@@ -351,7 +403,8 @@ def render(root: Node) -> str:
         elif tag in ("td", "th") and tables:
             lists.pop()
             text = pages.pop().done()
-            tables[-1][-1].append((text, min(1000, max(1, _number(node.attrs.get("colspan"), 1)))))
+            across, down = min(1000, max(1, _number(node.attrs.get("colspan"), 1))), min(65534, max(0, _number(node.attrs.get("rowspan"), 1)))
+            tables[-1].rows[-1].append((text, across, down))
         elif tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
             page.apart(0 if any(x is not None for x in lists[-1:]) else 1)
@@ -364,7 +417,7 @@ def render(root: Node) -> str:
             page.indents.pop()
         elif tag in BLOCK and not (tag == "tr" and tables):
             page.apart(1 if tag in SPACED else 0)
-        elif tag == "q":
+        elif tag == "q" and seen:
             page.text('"')
     return pages[0].done()
 
