@@ -11,8 +11,8 @@ copies. A distributed suffix array of everything is not needed, since equal stri
   extends intervals of the transform backwards, one byte a level: the interval boundaries that a level finds are the
   common prefixes of that length, in increasing order. It stops at LENGTH; boundaries not found by then lie inside
   classes of strings that share LENGTH bytes. Windows in such a class, or in a piece with copies, are repeats.
-* Groups of more than HOT runs, which one task should not hold, are settled window by window through counts of 128-bit
-  hashes of the windows, which are summed before they are shuffled.
+* Groups of more than HOT bytes (a passage in very many texts, or one long periodic text), which one task should not hold,
+  are settled window by window through counts of 128-bit hashes of the windows, which are summed before they are shuffled.
 
 Defined cases: null and empty texts have 0 bytes; texts shorter than LENGTH keep all; repeated rows are copies of each
 other, and so lose all bytes if they have LENGTH or more; a row without an id is reported with a null id; an empty table
@@ -33,7 +33,7 @@ from twinspect.session import load
 
 LENGTH = 200
 GRAM = 40
-HOT = 20_000
+HOT = 6_000_000
 BLOCK = 128 * 1024
 TABLE_CELLS = 20_000_000
 
@@ -192,7 +192,7 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int, hot: int, block: i
 
     # All three readers of texts take the same columns, so that they share one exchange.
     runs = texts.select("k1", "k2", "text", "copies").mapInArrow(find_runs, f"v long, {KEYS}, lo int, hi int, many boolean")
-    seen = runs.groupBy("v").agg(F.count("*").alias("n"), F.max("many").alias("any")).where("n > 1 OR any").select(F.col("v").alias("w"), (F.col("n") > hot).alias("hot"))
+    seen = runs.groupBy("v").agg(F.count("*").alias("n"), F.max("many").alias("any"), F.sum(F.col("hi") - F.col("lo") + length).alias("size")).where("n > 1 OR any").select(F.col("v").alias("w"), (F.col("size") > hot).alias("hot"))
     found = runs.join(seen, runs["v"] == seen["w"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("v", "lo", "hi", "hot")).alias("runs"))  # of one text
     cuts = {"v": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "lo": pa.int32(), "piece": pa.binary(), "h1": pa.int64(), "h2": pa.int64()}
 
@@ -206,6 +206,9 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int, hot: int, block: i
                         for at in range(r["lo"], r["hi"] + 1):
                             d = hashlib.blake2b(data[at : at + length], digest_size=16).digest()
                             rows.append((None, k1, k2, at, None, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+                            if len(rows) > 50_000:
+                                yield _batch(rows, cuts)
+                                rows, size = [], 0
                     else:
                         rows.append((r["v"], k1, k2, r["lo"], data[r["lo"] : r["hi"] + length], None, None))
                         size += r["hi"] + length - r["lo"]
