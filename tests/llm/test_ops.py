@@ -113,7 +113,7 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot,block", [(20_000, 128 * 1024), (1, 500), (20_000, 1)])
+@pytest.mark.parametrize("hot,block", [(repeats.HOT, repeats.BLOCK), (20_000, 128 * 1024), (1, 500), (20_000, 1)])
 def test_repeats_equal_brute_force(spark, hot, block):
     base = table("documents")
     rows = list(zip(base.doc_id.tolist()[:60], base.text.tolist()[:60]))
@@ -172,6 +172,22 @@ def test_chunk_maps_do_not_depend_on_the_chunk():
     assert all(tokens.piece_starts(kinds, c).tolist() == want for c in (2, 3, 64, 1000))
 
 
+def test_long_texts_and_pieces_equal_the_library(library, monkeypatch):
+    path, tok = library
+    rng = random.Random(9)
+    monkeypatch.setattr(tokens, "BATCH_CHARS", 50)
+    monkeypatch.setattr(tokens, "LONG_PIECE", 30)
+    monkeypatch.setattr(tokens, "SEGMENT", 200)
+    monkeypatch.setattr(tokens, "STATES_MAX", 100)
+    texts = ["".join(rng.choice("stmdrvleabc'  \n\t1!é") for _ in range(rng.randint(40, 900))) for _ in range(300)]
+    texts += ["".join(rng.choice("etaoin") for _ in range(3000)), "ab" * 5000, " " * 777 + "x", "we'll " * 90, "<|endoftext|>" * 30 + "a" * 120 + "<|endoftext|>b"]
+    with open(path, "rb") as f:
+        counter = tokens.Counter(f.read())
+    assert counter.count_texts(texts).tolist() == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    data = "".join(rng.choice("etaoin") for _ in range(2000)).encode()
+    assert all(counter.composed(0, data, c) == counter.walk(0, data) for c in (1, 7, 64, 4000))
+
+
 def test_tokens_edges(spark, library):
     df, n = odd_docs(spark)
     assert tokens.count_tokens(df, library[0]).count() == n and tokens.count_tokens(empty_docs(spark), library[0]).count() == 0

@@ -10,10 +10,15 @@ Two deterministic machines are composed.
   decides the future: the longest suffix that starts some token, and for every position in it where a token could start
   the kind of the last token and the relative count of the encoding up to there. A byte extends an encoding by the one token whose predecessor it can
   follow (two tokens can stand together if no merge across their joint comes before those that make them). States are made when first
-  met; a piece met before is a single stored transition. Both stores are emptied when they reach a bound.
+  met; a piece met before is a single stored transition. Both stores are emptied when they reach a bound. A piece
+  longer than LONG_PIECE is cut into chunks, whose maps from entry state to exit state and tokens are composed pair by
+  pair in a balanced tree; a map is filled for the entry states that occur, and equal stretches share one.
+
+A text longer than BATCH_CHARS is split in windows. The last pieces of a window, which what follows may change, open the
+next one, so that the arrays of a window are all that is held beside the text.
 
 Defined cases: null and empty texts have 0 tokens; a special string inside a text is one token and splits the text, as
-the vocabulary's library does by default; texts of any length are counted whole; repeated rows are counted each.
+the vocabulary's library does by default; texts of any length are counted whole, also those of a single piece; repeated rows are counted each.
 """
 
 from __future__ import annotations
@@ -37,6 +42,9 @@ MEMO_MAX = 400_000
 STATES_MAX = 400_000
 NEVER = 1 << 60
 MEMO_PIECE = 64
+LONG_PIECE = 2_048
+SEGMENT = 1 << 20
+SPARE = 4  # pieces at a window's end that more text may change, contractions and white space included
 
 # The code points that Unicode lists as White_Space.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -249,15 +257,92 @@ class Counter:
         self.moves[number << 8 | byte] = to, count
         return to, count
 
-    def count_piece(self, piece: str) -> int:
-        n = at = 0
-        moves = self.moves
-        for b in piece.encode("utf-8", "surrogatepass"):
+    def walk(self, at: int, data: bytes) -> tuple[int, int]:
+        """(exit state, tokens) of bytes read from an entry state."""
+        n, moves = 0, self.moves
+        for b in data:
             move = moves.get(at << 8 | b) or self.build(at, b)
             at = move[0]
             n += move[1]
-        if len(self.states) > STATES_MAX:
-            self.reset()
+        return at, n
+
+    def through(self, node: tuple, at: int) -> tuple[int, int]:
+        """An entry of a chunk's map (its map, its bytes) or of a composed one (its map, the left one, the right one)."""
+        got = node[0].get(at)
+        if got is None:
+            if len(node) == 2:
+                got = self.walk(at, node[1])
+            else:
+                middle, before = self.through(node[1], at)
+                to, after = self.through(node[2], middle)
+                got = to, before + after
+            node[0][at] = got
+        return got
+
+    def composed(self, at: int, data: bytes, chunk: int = CHUNK) -> tuple[int, int]:
+        """As walk, through the composed maps of chunks."""
+        known: dict = {}
+        level = [known.setdefault(c, ({}, c)) for c in (data[i : i + chunk] for i in range(0, len(data), chunk))]
+        while len(level) > 1:
+            pairs = [known.setdefault((id(a), id(b)), ({}, a, b)) for a, b in zip(level[::2], level[1::2])]
+            level = pairs + level[2 * len(pairs) :]
+        return self.through(level[0], at)
+
+    def count_piece(self, piece: str) -> int:
+        data = piece.encode("utf-8", "surrogatepass")
+        if len(data) <= LONG_PIECE:
+            n = self.walk(0, data)[1]
+            if len(self.states) > STATES_MAX:
+                self.reset()
+            return n
+        n = at = 0
+        for i in range(0, len(data), SEGMENT):
+            at, more = self.composed(at, data[i : i + SEGMENT])
+            n += more
+            if len(self.states) > STATES_MAX:
+                state = self.states[at]
+                self.reset()
+                at = self.numbers.setdefault(state, len(self.states))
+                if at == len(self.states):
+                    self.states.append(state)
+        return n
+
+    def count_pieces(self, big: str, bounds: list[int]) -> list[int]:
+        memo, count_piece = self.memo, self.count_piece
+        if len(memo) > MEMO_MAX:
+            memo.clear()
+        out = []
+        for a, b in zip(bounds, bounds[1:]):
+            piece = big[a:b]
+            n = memo.get(piece)
+            if n is None:
+                n = count_piece(piece)
+                if b - a <= MEMO_PIECE:
+                    memo[piece] = n
+            out.append(n)
+        return out
+
+    def count_long(self, text: str, window: int) -> int:
+        """Tokens of a text without special strings, window by window."""
+        n, at, size = 0, 0, window
+        while at < len(text):
+            big = "\n" + text[at : at + size]  # the line feed stands for the reset
+            kinds = class_table()[np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            kinds[0] = 0
+            bounds = piece_starts(kinds)[1:].tolist()
+            if at + size >= len(text):
+                bounds.append(len(big))
+            elif len(bounds) <= SPARE:  # a piece as long as the window: take more
+                size *= 2
+                continue
+            else:
+                bounds = bounds[:-SPARE]
+            if len(bounds) > 1 or at + size >= len(text):
+                n += sum(self.count_pieces(big, bounds))
+                at += bounds[-1] - 1
+                size = window
+            else:
+                size *= 2
         return n
 
     def count_texts(self, texts: list[str | None]) -> np.ndarray:
@@ -269,6 +354,10 @@ class Counter:
                 if t and s in t:
                     parts = [y for x in parts for y in x.split(s)]
             extra[i] = len(parts) - 1
+            for k, part in enumerate(parts):
+                if len(part) > BATCH_CHARS:
+                    extra[i] += self.count_long(part, BATCH_CHARS)
+                    parts[k] = ""
             pieces += parts
             owner += [i] * len(parts)
         big = "\n" + "\n".join(pieces) if pieces else ""
@@ -280,21 +369,7 @@ class Counter:
         resets = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
         kinds[resets] = 0
         starts = piece_starts(kinds)
-        if len(self.memo) > MEMO_MAX:
-            self.memo.clear()
-        memo, count_piece = self.memo, self.count_piece
-        counts = np.zeros(len(starts), np.int64)
-        ends = [*starts[1:].tolist(), len(big)]
-        out = []
-        for a, b in zip(starts.tolist(), ends):
-            piece = big[a:b]
-            n = memo.get(piece)
-            if n is None:
-                n = count_piece(piece)
-                if b - a <= MEMO_PIECE:
-                    memo[piece] = n
-            out.append(n)
-        counts[:] = out
+        counts = np.array(self.count_pieces(big, [*starts.tolist(), len(big)]), np.int64)
         counts[np.searchsorted(starts, resets)] = 0
         per_piece = np.add.reduceat(counts, np.searchsorted(starts, resets))
         return extra + np.bincount(owner, per_piece, len(texts)).astype(np.int64)
