@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import json
 import os
 import subprocess
@@ -23,6 +24,7 @@ from twinspect.sources.units import FUNCTION, ExtractOptions
 
 HASHED = "hashed-tokens"
 CI_MODES = ("auto", "diff", "scan", "both")
+EMBED_CHUNK = 200_000
 
 
 def embedder(config: files.EmbedConfig) -> Callable[[], Embedder] | None:
@@ -68,12 +70,16 @@ class Engine:
         make = embedder(self.config.embed)
         return hashed_tokens(texts, "hash") if make is None else embed(texts, "hash", make, self.model)
 
-    def embed(self) -> int:
-        """Vectors for what has none; returns how many. The embedder is only made if something is pending."""
+    def embed(self, chunk: int = EMBED_CHUNK) -> int:
+        """Vectors for what has none; returns how many. The embedder is only made if something is pending.
+
+        About `chunk` texts are embedded and committed at a time, so that a run after a failure embeds only what is left.
+        """
         todo = cut(self.store.pending(self.model))
         n = todo.count()
-        if n:
-            self.store.add_embeddings(self.model, self.vectors(todo))
+        parts = -(-n // chunk)
+        for k in range(parts):
+            self.store.add_embeddings(self.model, self.vectors(todo.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == k)))
         return n
 
     def refresh(self) -> int:
@@ -186,24 +192,45 @@ class Engine:
 
     # -- ci
 
-    def ci(self, folder: str, mode: str = "auto", base: str | None = None, threshold: float | None = None, policy: str = "new-pairs", min_lines: int | None = None, include_tests: bool = False, refresh_base: bool = False, json_path: str | None = None) -> dict:
-        """Scan, diff or both; auto is diff where a base is known. With refresh_base the corpus is the base's own tree."""
+    def ci_engine(self, folder: str, roots: list[str], exclude: list[str], threshold: float | None, min_lines: int | None, include_tests: bool) -> Engine:
+        """An engine of ci's settings: options, then what the config sets, then defaults of ci's own."""
+        c = copy.deepcopy(self.config)
+        top = files.repo_root(folder)
+        if not roots and not c.extract.roots:
+            roots, langs = files.detect_roots(top)
+            if not langs:
+                raise ValueError("no roots are set and no supported source files were found")
+        if roots:
+            c.extract.roots = [os.path.join(top, r) for r in roots]
+        c.extract.exclude += exclude
+        if not c.is_set("extract", "granularity"):
+            c.extract.granularity = [c.scan.unit_kind or FUNCTION]
+        if threshold is not None or c.scan.threshold is None:
+            c.scan.threshold = 0.85 if threshold is None else threshold
+        if min_lines is not None or not c.is_set("scan", "min_lines"):
+            c.scan.min_lines = 8 if min_lines is None else min_lines
+        if include_tests or not c.is_set("scan", "skip_tests"):
+            c.scan.skip_tests = not include_tests
+        return Engine(self.spark, c)
+
+    def ci(self, folder: str, mode: str = "auto", base: str | None = None, threshold: float | None = None, policy: str = "new-pairs", min_lines: int | None = None, include_tests: bool = False, refresh_base: bool = False, json_path: str | None = None, roots: list[str] = (), exclude: list[str] = ()) -> dict:
+        """Scan, diff or both; auto is diff for a pull request or a named base. With refresh_base the corpus is the base's own tree."""
         if mode not in CI_MODES:
             raise ValueError(f"unknown mode {mode!r}: {', '.join(CI_MODES)}")
         env = os.environ.get("GITHUB_BASE_REF") or None
-        s = self.config.scan
+        pulled = bool(env) or os.environ.get("GITHUB_EVENT_NAME") in ("pull_request", "pull_request_target")
         ref = base or (f"origin/{env}" if env else "HEAD")
-        threshold = threshold if threshold is not None else s.threshold if s.threshold is not None else 0.85
-        lines = 8 if min_lines is None else min_lines
-        wanted = ("diff",) if mode == "auto" and (base or env) else ("scan",) if mode in ("auto", "scan") else ("scan", "diff") if mode == "both" else ("diff",)
-        out: dict = {"mode": wanted}
+        if mode == "auto":
+            mode = "diff" if base or pulled else "scan"
+        wanted = ("scan", "diff") if mode == "both" else (mode,)
+        e = self.ci_engine(folder, list(roots), list(exclude), threshold, min_lines, include_tests)
+        s, out = e.config.scan, {"mode": wanted}
         if "scan" in wanted:
-            found = self.scan(threshold, min_lines=lines, skip_tests=not include_tests)
-            out["scan"] = self.scan_report(found, 25)
+            out["scan"] = e.scan_report(e.scan(), 25)
         if "diff" in wanted:
             if refresh_base:
-                self.refresh_from(folder, ref)
-            out["diff"] = self.diff(folder, ref, threshold, policy, lines, not include_tests, json_path)
+                e.refresh_from(folder, ref)
+            out["diff"] = e.diff(folder, ref, s.threshold, policy, s.min_lines, s.skip_tests, json_path)
             out["findings"] = sum(r["verdict"] == "DUP" for r in out["diff"])
         return out
 

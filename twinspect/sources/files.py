@@ -184,6 +184,12 @@ def detect_roots(folder: str) -> tuple[list[str], dict[str, int]]:
     return (["."] if "." in roots else sorted(roots)), dict(sorted(langs.items()))
 
 
+def repo_root(folder: str) -> str:
+    """The top folder of the git repository, else the folder itself."""
+    done = subprocess.run(["git", "-C", folder, "rev-parse", "--show-toplevel"], capture_output=True, text=True)
+    return done.stdout.strip() or os.path.abspath(folder) if done.returncode == 0 else os.path.abspath(folder)
+
+
 def git_diff(folder: str, base: str = "HEAD") -> str:
     """The diff without context against base, over supported files; a failing git is an error."""
     globs = [f"*.{e}" for e in LANGUAGES]
@@ -253,6 +259,14 @@ class Config:
     embed: EmbedConfig = field(default_factory=EmbedConfig)
     scan: ScanConfig = field(default_factory=ScanConfig)
 
+    def __post_init__(self):
+        self.named: set[tuple[str, str]] = set()  # (part, setting) that a file names
+
+    def is_set(self, part: str, name: str) -> bool:
+        """Whether a file names the setting or its value is not the default."""
+        mine = getattr(self, part)
+        return (part, name) in self.named or getattr(mine, name) != getattr(type(mine)(), name)
+
     @staticmethod
     def read(path: str) -> Config:
         def fill(kind, values, at):
@@ -263,7 +277,9 @@ class Config:
 
         base = Path(path).resolve().parent
         with open(path, "rb") as f:
-            out = fill(Config, tomllib.load(f), "at the top")
+            values = tomllib.load(f)
+        out = fill(Config, values, "at the top")
+        out.named = {(part, name) for part, v in values.items() if isinstance(v, dict) for name in v}
         at = lambda p: p if p is None or os.path.isabs(p) else str(base / p)
         out.db, out.extract.roots = at(out.db), [at(r) for r in out.extract.roots]
         out.embed.model_dir, out.embed.script = at(out.embed.model_dir), at(out.embed.script)
