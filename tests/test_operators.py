@@ -114,6 +114,19 @@ def test_components_equal_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_no_rounds_and_are_those_of_the_rounds(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(-300, 300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 3), (9, 9)], "a long, b long")
+    context, found, jobs = spark.sparkContext, [], []
+    for few in (0, 1000):
+        context.setJobGroup(f"few {few}", "")
+        found.append(sorted(map(tuple, components(edges, few=few).collect())))
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"few {few}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and (1099, 1000) in found[1]
+    assert jobs[1] <= 6 < jobs[0], jobs
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(normalized(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]

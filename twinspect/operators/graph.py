@@ -1,12 +1,18 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components of an edge table, by alternating large-star and small-star steps (Kiveris et al., 2014); of few edges
+by a union-find in one task."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspect.session import cut
 
+#: Up to so many edges (3 MB of ids) meet in one task; above, the rounds settle them. Both give the same components.
+FEW_EDGES = 200_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,13 +31,39 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges (a, b), in order, and the smallest vertex that each reaches."""
+    ids, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, root = ends[: len(a)], ends[len(a) :], np.arange(len(ids))
+    while True:  # every root with an edge to another one merges with it, so at most half of these are left each time
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            return ids, ids[root]
+        np.minimum.at(root, high, low)
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def _at_once(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        ends = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if ends:
+            found = smallest_reached(*map(np.concatenate, zip(*ends)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "component"])
+
+    return cut(edges.select("a", "b").coalesce(1).mapInArrow(run, "id long, component long"))
+
+
+def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """(id, component) for every vertex of edges (a, b: long); the component is its smallest vertex.
 
     Every round is written to the checkpoint folder. Self-loops, repeated edges and edges with a null end are ignored; a
-    vertex without an edge to another one has no row. Rounds grow with the logarithm of the number of vertices.
+    vertex without an edge to another one has no row. Rounds grow with the logarithm of the number of vertices. At most
+    `few` edges, as counted, need none: the tasks and files of a round cost more there than the edges themselves.
     """
     now = cut(_tidy(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()))
+    if now.count() <= few:
+        return _at_once(now)
     mark = None
     for _ in range(max_rounds):
         now = cut(_tidy(_small_star(cut(_tidy(_large_star(now))))))
