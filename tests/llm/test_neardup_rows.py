@@ -3,6 +3,7 @@
 import random
 
 from twinspect.llm import neardup
+from twinspect.operators import graph
 
 
 def words(rng, n):
@@ -73,3 +74,17 @@ def test_blocks_of_all_sizes_give_the_same_components(spark, monkeypatch):
             both = len(sets[a] & sets[b])
             if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
                 assert want[a] == want[b]
+
+
+def test_a_few_links_are_settled_without_rounds(spark, monkeypatch):
+    rng = random.Random(45)
+    passage, rows = words(rng, 60), []
+    for k in range(60):
+        own = words(rng, 25)
+        rows += [(10 * k, passage + own), (10 * k + 1, passage + changed(rng, own, 24))]
+    written, cut, calls = [], graph.cut, []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    monkeypatch.setattr(neardup, "components", lambda edges: calls.append(1) or graph.components(edges))
+    got = {r.doc_id: r.component_id for r in result(spark, rows)}
+    assert got == {i: i - i % 10 for i, _ in rows}
+    assert calls and len(written) == 2 * len(calls)  # the edges and the components of each, no rounds
