@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -68,3 +69,48 @@ def test_rows_come_back_whole(spark):
     docs = docs.selectExpr("*", "'x' AS score", "array(1, 2) AS predicted", "doc_id AS row")
     got = toxicity.toxicity(docs, marks, rows=True).select("row.*")
     assert got.schema == docs.schema and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def all_pairs(y, sets, common):
+    """The terms of strong pairs, by one matrix of all."""
+    x = np.array([np.isin(common, t) for t in sets], np.float64).reshape(len(sets), len(common))
+    n, p, both, toxic = x.sum(0), y @ x, x.T @ x, (x * y[:, None]).T @ x
+    chi = toxicity.chi_square(n[:, None], p[:, None], both, toxic)
+    strong = (np.minimum(chi, chi.T) >= toxicity.PAIR_CHI) & (both < n[:, None]) & (both < n)
+    return set(common[strong.any(1)].tolist())
+
+
+def pair_sample(n_rows, n_terms, each, seed):
+    """Random sets of terms; the label of a row follows from two pairs, one of them of terms far apart."""
+    rng = np.random.default_rng(seed)
+    common = np.sort(rng.choice(1 << 30, n_terms, replace=False)).astype(np.int64)
+    has = rng.random((n_rows, 3)) < 0.5
+    y = ((has[:, 0] ^ has[:, 1]) | (has[:, 1] ^ has[:, 2])).astype(np.float32)
+    marks = common[[0, n_terms - 1, n_terms // 2]]
+    rest = np.setdiff1d(common, marks)
+    strange = np.array([(1 << 30) + 7])  # not a common term
+    return y, [np.sort(np.concatenate((rng.choice(rest, each, replace=False), marks[h], strange))) for h in has], common, marks
+
+
+@pytest.mark.parametrize("block", [1, 7, 60, 64, 512])
+def test_pairs_by_blocks_equal_all_pairs(block):
+    y, sets, common, marks = pair_sample(400, 60, 12, 63)
+    want = all_pairs(y, sets, common)
+    assert set(marks.tolist()) <= want and toxicity.paired_terms(y, sets, common, block) == want
+    none = np.zeros(0, np.int64)
+    assert toxicity.paired_terms(y, sets, none, block) == toxicity.paired_terms(y, [none] * len(y), common, block) == set()
+
+
+def test_training_is_bounded_on_the_driver():
+    y, sets, common, marks = pair_sample(2000, 4000, 100, 64)
+    sample = [(int(k), t[np.isin(t, common[:2000])]) for k, t in zip(y, sets)]
+    peaks = []
+    for work in (lambda: toxicity.paired_terms(y, sets, common), lambda: toxicity.train(sample, 900, 1100, steps=8)):
+        tracemalloc.start()
+        found = work()
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        if len(peaks) == 1:
+            assert set(marks.tolist()) <= found
+    # one matrix of floats would be 32 MB in the pairs (and a copy with labels as much), 16 MB in training
+    assert peaks[0] < 32 and peaks[1] < 16, peaks

@@ -114,20 +114,39 @@ def chi_square(n, p, df, k):
 
 
 def paired_terms(y: np.ndarray, sets: list[np.ndarray], common: np.ndarray, block: int = 512) -> set[int]:
-    """Terms of pairs of which each tells the labels apart where the other is present."""
+    """Terms of pairs of which each tells the labels apart where the other is present.
+
+    Only two blocks of terms are dense at a time, since this runs on the driver; the rest is as long as the sets.
+    """
     found: set[int] = set()
-    x = np.zeros((len(y), len(common)), np.float32)
-    for i, t in enumerate(sets):
-        x[i, np.searchsorted(common, t[np.isin(t, common)])] = 1
-    n, p = x.sum(0, dtype=np.float64), (x * y[:, None]).sum(0, dtype=np.float64)
-    for lo in range(0, len(common), block):
-        a = x[:, lo : lo + block]
-        both, toxic = (a.T @ x).astype(np.float64), ((a * y[:, None]).T @ x).astype(np.float64)
+    places = [np.searchsorted(common, t[np.isin(t, common)]).astype(np.int32) for t in sets]
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(t) for t in places])
+    place = np.concatenate([np.zeros(0, np.int32), *places])
+    del places
+    order = np.argsort(place // block, kind="stable")
+    owner, place = owner[order], place[order]
+    starts = range(0, len(common), block)
+    ends = np.searchsorted(place // block, np.arange(len(starts) + 1))
+    n = np.bincount(place, minlength=len(common)).astype(np.float64)
+    p = np.bincount(place, weights=y[owner], minlength=len(common))
+
+    def dense(lo):
+        x, own = np.zeros((len(y), min(block, len(common) - lo)), np.float32), slice(ends[lo // block], ends[lo // block + 1])
+        x[owner[own], place[own] - lo] = 1
+        return x
+
+    for lo in starts:
+        a = dense(lo)
+        ay = a * y[:, None]
         na, pa_ = n[lo : lo + block, None], p[lo : lo + block, None]
-        strong = np.minimum(chi_square(na, pa_, both, toxic), chi_square(n[None], p[None], both, toxic)) >= PAIR_CHI
-        strong &= (both < na) & (both < n[None])
-        i, j = np.nonzero(strong)
-        found |= set(common[lo + i].tolist()) | set(common[j].tolist())
+        for hi in starts[lo // block :]:  # a pair counts the same either way round
+            b = dense(hi)
+            nb, pb = n[None, hi : hi + block], p[None, hi : hi + block]
+            both, toxic = (a.T @ b).astype(np.float64), (ay.T @ b).astype(np.float64)
+            strong = np.minimum(chi_square(na, pa_, both, toxic), chi_square(nb, pb, both, toxic)) >= PAIR_CHI
+            strong &= (both < na) & (both < nb)
+            i, j = np.nonzero(strong)
+            found |= set(common[lo + i].tolist()) | set(common[hi + j].tolist())
     return found
 
 
@@ -163,8 +182,8 @@ def train(sample, n_pos: int, n_neg: int, rank: int = RANK, steps: int = STEPS,
     ids, inverse = np.unique(np.concatenate([s[1] for s in sample]), return_inverse=True)
     owner = np.repeat(np.arange(len(sample)), [len(s[1]) for s in sample])
     n = len(y)
-    x = np.zeros((n, len(ids)), np.float32)
-    x[owner, inverse] = 1
+    x = np.zeros((n, len(ids)), np.bool_)  # a byte a term; batches alone are floats
+    x[owner, inverse] = True
     rng = np.random.default_rng(seed)
     start = np.log(max(float((weight * y).sum()), 1e-6) / max(float((weight * (1 - y)).sum()), 1e-6))
     par = [np.full(1, start, np.float32), np.zeros(len(ids), np.float32), (0.02 * rng.standard_normal((len(ids), rank))).astype(np.float32)]
@@ -173,7 +192,7 @@ def train(sample, n_pos: int, n_neg: int, rank: int = RANK, steps: int = STEPS,
         order = rng.permutation(n)
         for k in range(0, n, BATCH):
             rows = order[k : k + BATCH]
-            xb = x[rows]
+            xb = x[rows].astype(np.float32)
             s = np.einsum("ij,jk->ik", xb, par[2])  # one thread; a few hundred columns
             z = par[0][0] + np.einsum("ij,j->i", xb, par[1] - 0.5 * (par[2] ** 2).sum(1)) + 0.5 * (s**2).sum(1)
             g = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows]) / len(rows)
