@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_operator_equals_its_sql(spark, name):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark", "pages"):
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = registry.QUERIES[name](spark, SF).toPandas(), c.sql(registry.SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)

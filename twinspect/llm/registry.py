@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinspect.llm import chat, decontam, htmltext, lexical, mixing, neardup, quality, repeats, resampling, sharding, tokens, toxicity
+from twinspect.llm import chat, decontam, htmltext, lexical, mixing, neardup, quality, repeats, resampling, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op1_mcd_outliers": quality.op1_mcd_outliers,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_efraimidis_mix": mixing.op9_efraimidis_mix,
     "op10_byte_prefix_shards": sharding.op10_byte_prefix_shards,
     "op11_bit_sliced_search": lexical.op11_bit_sliced_search,
+    "op12_capture_index": warc.op12_capture_index,
     "op13_suffix_array_resample": resampling.op13_suffix_array_resample,
 }
 SQL = {
     "op1_mcd_outliers": quality.SQL,
     "op9_efraimidis_mix": mixing.SQL,
     "op11_bit_sliced_search": lexical.SQL,
+    "op12_capture_index": warc.SQL,
     "op13_suffix_array_resample": resampling.SQL,
 }
