@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from twinspect.functions.vectors import dot, from_bytes, normalized, packed, to_bytes
 from twinspect.operators import clusters, overlap, similar
-from twinspect.operators.graph import components
+from twinspect.operators.graph import components, forests
+from twinspect.operators.joins import join_heavy
 
 
 def hot(dim, at):
@@ -114,17 +115,49 @@ def test_components_equal_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_components_of_few_edges_take_no_rounds_and_are_those_of_the_rounds(spark):
+def union_find(edges):
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = top(a), top(b)
+            parent[max(x, y)] = min(x, y)
+    return {v: top(v) for v in parent}
+
+
+def test_components_do_not_depend_on_how_many_edges_a_task_holds(spark):
     rng = random.Random(5)
-    edges = spark.createDataFrame([(rng.randrange(-300, 300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 3), (9, 9)], "a long, b long")
-    context, found, jobs = spark.sparkContext, [], []
-    for few in (0, 1000):
-        context.setJobGroup(f"few {few}", "")
-        found.append(sorted(map(tuple, components(edges, few=few).collect())))
-        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"few {few}")))
-    context.setLocalProperty("spark.jobGroup.id", None)
-    assert found[0] == found[1] and (1099, 1000) in found[1]
-    assert jobs[1] <= 6 < jobs[0], jobs
+    edges = [(rng.randrange(-300, 300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1400)] + [(None, 3), (9, 9), (4, None)]
+    order = rng.sample(range(2000, 2400), 400)
+    edges += list(zip(order, order[1:])) + [(5000, 5000 + k) for k in range(600)] + [(9000 + k, 9000 + k % 40) for k in range(500)]
+    rng.shuffle(edges)
+    want, df = union_find(edges), spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for chunk in (40, 300, 100_000):
+        rows = components(df, chunk).collect()
+        assert len(rows) == len(want) and {r.id: r.component for r in rows} == want
+
+
+def test_tasks_pass_on_forests(spark):
+    edges = spark.createDataFrame([(1, k) for k in range(2, 5000)] + [(k, 1) for k in range(2, 5000)], "a long, b long").coalesce(1)
+    for seed in (None, 3):
+        rows = forests(edges, seed, 100).collect()
+        assert len({(r.a, r.b) for r in rows}) >= 4999 and len(rows) <= 2 * 10_000  # at most a star of each piece
+    assert forests(edges, None, 100_000).count() == 4999
+
+
+def test_heavy_keys_are_joined_whole(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(3000)] + [(None, 9)], "key long, n long")
+    table = spark.createDataFrame([(1, "hot"), (2, "cold"), (3, "cold")], "key long, name string")
+    inner = join_heavy(rows, table, "key", F.col("name") == "hot", ["n"])
+    assert inner.count() == rows.where("key IN (1, 2, 3)").count() and inner.where("key = 1 AND name = 'hot'").count() == rows.where("key = 1").count()
+    left = join_heavy(rows, table, "key", F.col("name") == "hot", ["n"], inner=False)
+    assert left.count() == 3001 and left.where("name IS NULL").count() == rows.where("key IS NULL OR key NOT IN (1, 2, 3)").count()
 
 
 def test_vectors(spark):

@@ -1,39 +1,42 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps (Kiveris et al., 2014); of few edges
-by a union-find in one task."""
+"""Connected components of an edge table, by spanning forests inside partitions and contraction between them.
+
+A task replaces its edges by a spanning forest of them: each vertex with the root of its tree, roots with themselves. A
+vertex that several tasks saw has several roots; it takes the first of them in a random order, the others become edges to that
+one, and the vertex leaves the graph. So only roots go on to the next round, in which tasks hold about CHUNK edges again. When a
+round has one task, its forest is final, and labels are handed down to the vertices that left. No vertex has more rows than there
+are tasks, however many edges it has; labels go down by join_heavy.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinspect.operators.joins import heavy_from, join_heavy
 from twinspect.session import cut
 
-#: Up to so many edges (3 MB of ids) meet in one task; above, the rounds settle them. Both give the same components.
-FEW_EDGES = 200_000
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("k"), F.least("a", "low").alias("low"))
-    return both.join(low, both["a"] == low["k"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("k"), "low")
-    under = down.join(low, down["a"] == low["k"]).select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return under.unionByName(low.select(F.col("k").alias("a"), F.col("low").alias("b")))
+CHUNK = 100_000  # edges of a task
 
 
-def _tidy(edges: DataFrame) -> DataFrame:
-    return edges.where(F.col("a") != F.col("b")).distinct()
+def _random_order(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A place for each id: one to one, by the finalizer of a published generator (Steele, Lea and Flood, 2014)."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.int64).view(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The vertices of edges (a, b), in order, and the smallest vertex that each reaches."""
+def first_reached(a: np.ndarray, b: np.ndarray, seed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges (a, b), and the first vertex that each reaches: the smallest, or with a seed that of a random order."""
     ids, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    if seed is not None:
+        order = np.argsort(_random_order(ids, seed), kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        ids, ends = ids[order], place[ends]
     x, y, root = ends[: len(a)], ends[len(a) :], np.arange(len(ids))
     while True:  # every root with an edge to another one merges with it, so at most half of these are left each time
         low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
@@ -44,32 +47,56 @@ def smallest_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
             root = up
 
 
-def _at_once(edges: DataFrame) -> DataFrame:
+def forests(edges: DataFrame, seed: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(a, b, place): a spanning forest of each partition's edges (a, b), as stars; a task holds at most some chunks of edges."""
+
     def run(batches):
-        ends = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
-        if ends:
-            found = smallest_reached(*map(np.concatenate, zip(*ends)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "component"])
+        held, size = [], 0
+
+        def reduced():
+            return first_reached(*(np.concatenate(x) for x in zip(*held)), seed)
+
+        def batch(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(b if seed is None else _random_order(b, seed), pa.int64())], names=["a", "b", "place"])
+
+        for edge in batches:
+            held.append((edge.column(0).to_numpy(), edge.column(1).to_numpy()))
+            size += edge.num_rows
+            if size >= 4 * chunk:
+                forest = reduced()
+                held, size = [forest], len(forest[0])
+                if size >= 2 * chunk:  # hardly smaller: pass it on
+                    yield batch(*forest)
+                    held, size = [], 0
+        if size:
+            yield batch(*reduced())
 
-    return cut(edges.select("a", "b").coalesce(1).mapInArrow(run, "id long, component long"))
+    return edges.select("a", "b").mapInArrow(run, "a long, b long, place long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(id, component) for every vertex of edges (a, b: long); the component is its smallest vertex.
 
     Every round is written to the checkpoint folder. Self-loops, repeated edges and edges with a null end are ignored; a
-    vertex without an edge to another one has no row. Rounds grow with the logarithm of the number of vertices. At most
-    `few` edges, as counted, need none: the tasks and files of a round cost more there than the edges themselves.
+    vertex without an edge to another one has no row. A round takes away a third of a long chain's vertices, and all but the
+    centre of a star.
     """
-    now = cut(_tidy(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()))
-    if now.count() <= few:
-        return _at_once(now)
-    mark = None
-    for _ in range(max_rounds):
-        now = cut(_tidy(_small_star(cut(_tidy(_large_star(now))))))
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen == mark:
-            low = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(low)
-        mark = seen
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    now = cut(forests(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b"), 0, chunk))
+    levels, seed = [], 0
+    while (tasks := max(1, -(-now.count() // chunk))) > 1:
+        seed += 1
+        trees = forests(now.coalesce(tasks), seed, chunk)
+        first = F.min(F.struct("place", "b")).over(Window.partitionBy("a"))["b"]
+        seen = cut(trees.withColumn("first", first).select("a", "b", "first").distinct())
+        levels.append(seen.where("b = first").select("a", "first"))
+        now = cut(seen.where("b != first").select(F.col("b").alias("a"), F.col("first").alias("b")).distinct())
+    labels = cut(forests(now.coalesce(1), None, chunk)).select(F.col("a").alias("id"), F.col("b").alias("label"))
+    if not levels:
+        return labels.withColumnRenamed("label", "component")
+    for level in reversed(levels):
+        many = level.groupBy("first").agg(F.count("*").alias("many"))
+        known = cut(labels.withColumnRenamed("id", "first").join(many, "first"))
+        down = join_heavy(level, known, "first", F.col("many") >= heavy_from(level.count()), ["a"], inner=False)
+        labels = cut(down.select(F.col("a").alias("id"), F.coalesce("label", "first").alias("label")))
+    low = cut(labels.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("many")))
+    return join_heavy(labels, low, "label", F.col("many") >= heavy_from(labels.count()), ["id"]).select("id", "component")
