@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: words, and joins that no hot key can slow down.
+"""Helpers shared by the operators: words, keys of texts, and (from the library) joins that no hot key can slow down.
 
 Words are runs of anything but space and the controls 0x09-0x0D.
 """
@@ -7,16 +7,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from twinspect.operators.joins import HEAVY_KEYS, heavy_from, join_heavy
+
+__all__ = ["HEAVY_KEYS", "heavy_from", "join_heavy"]
+
 GAP = r"[\x20\x09-\x0D]+"
 #: The same class for str.translate, and for Python regular expressions.
 GAP_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
-HEAVY_KEYS = 2000
-SMALL_TABLE = 50_000
-SALTS = 997
 
 
 def word_list(text: Column) -> Column:
@@ -33,31 +34,3 @@ def text_key(text: Column) -> dict[str, Column]:
     """Two hashes, of 128 bits together, that stand for a text."""
     t = F.coalesce(text, F.lit(""))
     return {"k1": F.xxhash64(t), "k2": F.xxhash64(F.lit(1), t)}
-
-
-def heavy_from(n_rows: int, most: int = HEAVY_KEYS) -> int:
-    """The number of rows from which a key counts as heavy; at most `most` keys of n_rows rows can reach it."""
-    return n_rows // most + 1
-
-
-def join_heavy(rows: DataFrame, table: DataFrame, on: str, heavy: Column, salt: list[str], inner: bool = True, size: int | None = None) -> DataFrame:
-    """rows with the columns of table, which has one row for each value of `on`, joined however often a value occurs in rows.
-
-    heavy marks the table's rows for keys of many rows (see heavy_from: a bounded number of them): these rows are
-    broadcast. All others meet in a shuffle, in which rows of heavy keys are spread by a hash of the columns `salt`. If
-    size, the table's counted number of rows, is at most SMALL_TABLE, all of it is broadcast.
-    """
-    if size is not None and size <= SMALL_TABLE:
-        key = table.withColumnRenamed(on, "_k")
-        return rows.join(F.broadcast(key), F.col(on) == F.col("_k"), "inner" if inner else "left").drop("_k")
-    names = [c for c in table.columns if c != on]
-    pack = F.struct(*names)
-    hot = table.where(heavy).select(F.col(on).alias("_hk"), pack.alias("_hot"))
-    cold = table.where(~heavy).select(F.col(on).alias("_ck"), pack.alias("_cold"), F.lit(0).alias("_cs"))
-    out = rows.join(F.broadcast(hot), F.col(on) == F.col("_hk"), "left")
-    found = F.col("_hot").isNotNull()
-    out = out.withColumns({"_k": F.when(~found, F.col(on)), "_s": F.when(found, F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int") + 1).otherwise(0)})
-    out = out.join(cold, (F.col("_k") == F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left").withColumn("_t", F.coalesce("_hot", "_cold"))
-    if inner:
-        out = out.where("_t IS NOT NULL")
-    return out.select(*rows.columns, *[F.col("_t")[n].alias(n) for n in names])

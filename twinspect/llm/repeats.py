@@ -14,6 +14,8 @@ copies. A distributed suffix array of everything is not needed, since equal stri
 * Groups of more than HOT bytes (a passage in very many texts, or one long periodic text), which one task should not hold,
   are settled window by window through counts of 128-bit hashes of the windows, which are summed before they are shuffled.
 
+Joins by text, anchor or window go through join_heavy, so that mass copies, empty texts and common passages are spread.
+
 Defined cases: null and empty texts have 0 bytes; texts shorter than LENGTH keep all; repeated rows are copies of each
 other, and so lose all bytes if they have LENGTH or more; a row without an id is reported with a null id; an empty table
 gives an empty result.
@@ -28,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinspect.llm.common import heavy_from, join_heavy
 from twinspect.llm.shingles import mixed
-from twinspect.session import load
+from twinspect.session import cut, load
 
 LENGTH = 200
 GRAM = 40
@@ -192,8 +195,10 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int, hot: int, block: i
 
     # All three readers of texts take the same columns, so that they share one exchange.
     runs = texts.select("k1", "k2", "text", "copies").mapInArrow(find_runs, f"v long, {KEYS}, lo int, hi int, many boolean")
-    seen = runs.groupBy("v").agg(F.count("*").alias("n"), F.max("many").alias("any"), F.sum(F.col("hi") - F.col("lo") + length).alias("size")).where("n > 1 OR any").select(F.col("v").alias("w"), (F.col("size") > hot).alias("hot"))
-    found = runs.join(seen, runs["v"] == seen["w"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("v", "lo", "hi", "hot")).alias("runs"))  # of one text
+    seen = runs.groupBy("v").agg(F.count("*").alias("n"), F.max("many").alias("any"), F.sum(F.col("hi") - F.col("lo") + length).alias("size")).where("n > 1 OR any").select("v", (F.col("size") > hot).alias("hot"), "n")
+    seen = cut(seen)
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = join_heavy(runs.drop("many"), seen, "v", F.col("n") >= heavy_from(total), ["k1", "lo"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("v", "lo", "hi", "hot")).alias("runs"))  # of one text
     cuts = {"v": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "lo": pa.int32(), "piece": pa.binary(), "h1": pa.int64(), "h2": pa.int64()}
 
     def cut_pieces(batches):
@@ -261,9 +266,10 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int, hot: int, block: i
 
     gathered = pieces.where("v IS NOT NULL").select("v", "k1", "k2", "lo", "piece").repartition("v").sortWithinPartitions("v")
     by_block = gathered.mapInArrow(expand, f"{KEYS}, lo long, hi long")
-    single = pieces.where("h1 IS NOT NULL").select("h1", "h2", "k1", "k2", "lo")
-    often = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    by_window = single.join(often, ["h1", "h2"]).select("k1", "k2", F.col("lo").cast("long").alias("lo"), (F.col("lo") + length).cast("long").alias("hi"))
+    single = pieces.where("h1 IS NOT NULL").select(F.struct("h1", "h2").alias("h"), "k1", "k2", "lo")
+    often = cut(single.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by_window = join_heavy(single, often, "h", F.col("n") >= heavy_from(total), ["k1", "lo"]).select("k1", "k2", F.col("lo").cast("long").alias("lo"), (F.col("lo") + length).cast("long").alias("hi"))
     return by_block.unionByName(by_window)
 
 
@@ -284,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     spans = repeated_ranges(texts, length, gram, hot, block).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))  # of one text
     kept = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-    schema = {"k1": pa.int64(), "k2": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": kept}
+    schema = {"k1": pa.int64(), "k2": pa.int64(), "copies": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": kept}
 
     def apply(batches):
         for b in batches:
@@ -297,12 +303,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     sha.update(data[at:lo])
                     at = hi
                 sha.update(data[at:])
-                rows.append((k1, k2, len(data), sum(hi - lo for lo, hi in cut), len(cut), sha.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in cut]))
+                rows.append((k1, k2, copies, len(data), sum(hi - lo for lo, hi in cut), len(cut), sha.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in cut]))
             yield _batch(rows, schema)
 
     done = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "found")
-    done = done.mapInArrow(apply, f"{KEYS}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>")
-    return keyed.select("doc_id", "k1", "k2").join(done, ["k1", "k2"]).drop("k1", "k2")
+    done = done.mapInArrow(apply, f"{KEYS}, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>")
+    done = cut(done.withColumn("key", F.struct("k1", "k2")).drop("k1", "k2"))
+    total = done.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    rows = keyed.select("doc_id", F.struct("k1", "k2").alias("key"), F.monotonically_increasing_id().alias("row_no"))
+    return join_heavy(rows, done, "key", F.col("copies") >= heavy_from(total), ["row_no"]).drop("key", "copies", "row_no")
 
 
 def op3_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
