@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspect.llm import decontam, mixing, neardup, sharding, toxicity
@@ -29,6 +29,17 @@ def _row_and_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), F.struct(*[v.alias(k) for k, v in key.items()]).alias("key"))
 
 
+def _blank() -> Column:
+    return ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+
+def _order(docs: DataFrame) -> Column:
+    """All columns but id and text, by name, those that have no order of their own (maps and the like) as JSON."""
+    plain = lambda f: not any(t in f.dataType.simpleString() for t in ("map<", "variant", "interval"))
+    fields = [f for f in sorted(docs.schema, key=lambda f: f.name) if f.name not in ("doc_id", "text")]
+    return F.struct(F.lit(0), *[F.col(f"row.`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"row.`{f.name}`"))) for f in fields])
+
+
 def _keys(verdicts: DataFrame) -> DataFrame:
     """The distinct keys of rows (doc_id, k1, k2)."""
     return verdicts.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2").alias("of")).distinct()
@@ -43,23 +54,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: of the smallest id (rows without one come last), and of rows that repeat id and text the
-    first by their other columns. Rows without words are linked with nothing, and all stay."""
+    first by all their other columns, taken by name. Rows without words are linked with nothing, and all stay."""
     found = neardup.near_duplicates(docs, NEAR)
     chosen = _keys(found.where("chosen AND n_shingles > 0"))
-    rows = _row_and_key(docs)
-    blank = ~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    others = [f"row.`{f.name}`" for f in docs.schema if f.name in ("lang", "source", "n_chars")]
-    one = rows.where(~blank).groupBy("key").agg(F.min_by("row", F.struct(F.lit(0), *others)).alias("row"))
+    rows, blank = _row_and_key(docs), _blank()
+    one = rows.where(~blank).groupBy("key").agg(F.min_by("row", _order(docs)).alias("row"))
     one = one.join(chosen, F.col("key") == F.col("of"), "left_semi")
     return one.select("row.*").unionByName(rows.where(blank).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text overlaps with a benchmark passage go, with or without an id, each copy alike; null and empty texts and
-    passages overlap with nothing."""
+    passages overlap with nothing, and such rows take no part in the join."""
     found = _keys(decontam.overlapping(docs, load(spark, sf_dir, "benchmark")))
-    rows = _row_and_key(docs)
-    return rows.join(found, F.col("key") == F.col("of"), "left_anti").select("row.*")
+    rows, blank = _row_and_key(docs), _blank()
+    left = rows.where(~blank).join(found, F.col("key") == F.col("of"), "left_anti")
+    return left.select("row.*").unionByName(rows.where(blank).select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
