@@ -60,6 +60,16 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     assert all(sum(1 for r in set(g) if left[r]) == 1 and max(left[r] for r in set(g)) == 1 for g in groups) and sum(left.values()) == len(groups)
 
 
+def test_equal_rows_are_told_apart_by_any_column_in_any_order(spark):
+    rows = [(i, "some words that repeat here", "en", "s", 5, url, {"k": url}) for i in (1, None) for url in ("u3", "u1", "u2", None, "u1")]
+    kept = set()
+    for seed in range(6):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, DOCS + ", url string, extra map<string, string>").repartition(seed + 1)
+        kept.add(tuple(tuple(r[:6]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()))
+    assert len(kept) == 1 and kept.pop() == ((1, "some words that repeat here", "en", "s", 5, "u1"),)  # the first `extra` as JSON
+
+
 def test_contaminated_rows_go_with_and_without_id(spark, tmp_path):
     rng = random.Random(73)
     word = lambda: f"w{rng.randrange(300)}"
