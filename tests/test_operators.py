@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinspect.functions.vectors import dot, from_bytes, normalized, packed, to_bytes
-from twinspect.operators import clusters, overlap, similar
+from twinspect.operators import clusters, evaluate, overlap, similar
 from twinspect.operators.graph import components, forests
-from twinspect.operators.joins import join_heavy
+from twinspect.operators.joins import by_suffix, join_heavy
 
 
 def hot(dim, at):
@@ -46,15 +46,122 @@ def test_sparse_is_within_exact_and_cap_is_per_left_unit(spark):
     m /= np.linalg.norm(m, axis=1)[:, None]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "unit_id long, vec array<double>").cache()
     exact = {(r.i, r.j) for r in similar.exact_pairs(df, 0.6).collect()}
-    assert {(r.i, r.j) for r in similar.sparse_pairs(df, 0.6, 8).collect()} <= exact
-    capped = similar.candidates(df, 8, 3).groupBy("i").count().agg(F.max("count")).first()[0]
+    assert {(r.i, r.j) for r in similar.sparse_pairs(df, 0.6).collect()} <= exact
+    capped = similar.candidates(df, 3).groupBy("i").count().agg(F.max("count")).first()[0]
     assert capped == 3
 
 
-def test_index_choice():
-    assert similar.choose_index("auto", 10) == "exact" and similar.choose_index("auto", 20_000) == "sparse"
+def test_auto_loses_no_pair_at_any_size():
+    assert similar.choose_index("auto") == similar.choose_index("exact") == "exact" and similar.choose_index("sparse") == "sparse"
     with pytest.raises(ValueError):
-        similar.choose_index("annoy", 1)
+        similar.choose_index("annoy")
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.8])
+def test_signatures_find_nearly_all_pairs(spark, threshold):
+    units = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vec"))
+    if threshold == 0.8:  # the table has no such pairs: rows beside themselves with noise
+        rng = np.random.default_rng(4)
+        m = rng.normal(size=(400, 64))
+        m = np.concatenate((m, m + rng.normal(size=m.shape) * 0.65))
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        units = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "unit_id long, vec array<double>")
+    exact = {(r.i, r.j) for r in similar.exact_pairs(units, threshold).collect()}
+    found = {(r.i, r.j) for r in similar.sparse_pairs(units, threshold, block_rows=700).collect()}
+    assert found <= exact and len(exact) > 5 and len(found) >= 0.9 * len(exact), (len(found), len(exact))
+
+
+def test_votes_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 8)))], "unit_id long, vec array<double>")
+    for cap in (None, 4):
+        whole, small = (sorted(map(tuple, similar.candidates(df, cap, rows).collect())) for rows in (1000, 11))
+        assert whole == small
+    values = {r.unit_id: [] for r in df.collect()}
+    for r in similar.bands(df).orderBy("unit_id", "band").collect():
+        values[r.unit_id].append(r.value)
+    want = sorted((i, j, n) for i in values for j in values if i < j and (n := sum(x == y for x, y in zip(values[i], values[j]))))
+    assert sorted(map(tuple, similar.candidates(df, None).collect())) == want
+
+
+def test_planes_are_as_published():
+    # Of the first plane: the coordinates of its first three draws, from the published outputs of the stream of seed 1.
+    first = [0x910A2DEC89025CC1, 0xBEEB8DA1658EEC67, 0xF893A2EEFB32555E]
+    assert similar.splitmix64(1, 3).tolist() == first and [x % 64 for x in first] == [1, 39, 30]
+    one = np.zeros(64)
+    where, sign = similar.splitmix64(1, 8192)[:32], similar.splitmix64(1, 8192)[4096:4128]
+    for w, s in zip(where.tolist(), sign.tolist()):
+        one[w % 64] += 1.0 if s & 1 else -1.0
+    assert (similar.planes(64)[0] == one).all()
+
+
+def test_ranks_of_originals_equal_a_sort_of_the_product(spark):
+    rng = np.random.default_rng(8)
+    q, c = np.round(rng.normal(size=(23, 3)), 1), np.round(rng.normal(size=(60, 3)), 1)  # rounded: many ties
+    table = lambda m, base: spark.createDataFrame([(base + k, v.tolist()) for k, v in enumerate(m)], "unit_id long, vec array<double>")
+    truth = sorted({(k, 100 + int(rng.integers(0, 60))) for k in range(20) for _ in range(2)} | {(0, 100 + k) for k in range(60)} | {(1, 999)})
+    got = {r.q: r for r in similar.rank_originals(table(q, 0), table(c, 100), spark.createDataFrame(truth, "q long, u long"), 6, block_rows=9).collect()}
+    want = {}
+    for k in range(23):
+        s = np.round(q[k] @ c.T, 6)
+        order = sorted(range(60), key=lambda u: (-s[u], u))
+        true = [u for u in order if (k, 100 + u) in truth]
+        others = [u for u in order if (k, 100 + u) not in truth]
+        if true:
+            want[k] = (order.index(true[0]) + 1, s[true[0]], s[true[0]] - (s[others[0]] if others else 0), 100 + order[0])
+    assert got.keys() == want.keys()
+    for k, (rank, cos, margin, hit) in want.items():
+        r = got[k]
+        assert (r["rank"], r.top_hit) == (rank, hit) and abs(r.cos_orig - cos) < 1e-9 and abs(r.margin - margin) < 1e-9
+
+
+def test_suffixes_meet_as_equal_keys(spark):
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(["a/b.rs", "b.rs", "ab.rs", "é/日本.rs", "", None])], "k long, path string")
+    ends = spark.createDataFrame([("b.rs",), ("/b.rs",), ("本.rs",), ("",), (None,), ("much/longer/than/any.rs",)], "end string")
+    got = sorted((r.k, r.end) for r in by_suffix(rows, "path", ends, "end").collect())
+    want = sorted((r.k, e.end) for r in rows.collect() for e in ends.collect() if r.path is not None and e.end is not None and r.path.endswith(e.end))
+    assert got == want
+    assert by_suffix(rows, "path", ends.limit(0), "end").count() == 0
+    plan = by_suffix(rows, "path", ends, "end")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_passages_contained(spark):
+    texts = [(1, "the cat sat"), (2, "a cat"), (3, None), (4, ""), (5, "日本 cat sat日本")]
+    passages = [(10, "cat"), (11, "cat"), (12, "cat sat"), (13, ""), (14, None), (15, "日本"), (None, "zzz")]
+    t, p = spark.createDataFrame(texts, "u long, text string"), spark.createDataFrame(passages, "q long, text string")
+    want = sorted((q, u) for q, a in passages for u, b in texts if a and b and a in b)
+    for chars in (4_000_000, 4):
+        assert sorted(map(tuple, evaluate.contained(t, p, chars).collect())) == want
+    assert evaluate.contained(t, p.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [200_000, 50])
+def test_sweeps_equal_comparing_all_spans(spark, monkeypatch, rows):
+    monkeypatch.setattr(overlap, "SWEEP_ROWS", rows)
+    rng = random.Random(9)
+    spans = [(k, rng.choice(["a", "b", "c", None, *(f"f{i}" for i in range(30))]), (s := rng.randrange(400)), s + rng.choice([0, 1, 3, 10, 60, 300]), rng.choice(["block", "block", "function"])) for k in range(900)]
+    u = units(spark, spans).repartition(3)
+    meets = lambda x, y: x[1] is not None and x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]
+    blocks = [x for x in spans if x[4] == "block"]
+    want = {x[0] for x in spans if x[4] != "block" or not any(meets(x, y) and x[3] - x[2] > y[3] - y[2] for y in blocks)}
+    assert {r.unit_id for r in overlap.drop_overlapping_blocks(u).collect()} == want
+    members = u.withColumn("cluster_id", F.col("unit_id") % 5)
+    want = {x[0] for x in spans if not any(x[0] % 5 == y[0] % 5 and meets(x, y) and x[3] - x[2] > y[3] - y[2] for y in spans)}
+    assert {r.unit_id for r in overlap.drop_larger_members(members).collect()} == want
+    ranges = [(rng.choice(["a", "b", "f1", "f2", None, "zz"]), (lo := rng.randrange(400)), lo + rng.randrange(5)) for _ in range(25)]
+    got = [r.unit_id for r in overlap.touched(u, spark.createDataFrame(ranges, "path string, lo int, hi int")).collect()]
+    assert sorted(got) == sorted(x[0] for x in spans if any(x[1] is not None and x[1] == p and x[2] <= hi and lo <= x[3] for p, lo, hi in ranges))
+
+
+def test_only_clusters_that_lost_a_member_are_labelled_anew(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(clusters, "labelled", lambda pairs, f=clusters.labelled: seen.append(pairs.count()) or f(pairs))
+    u = units(spark, [(k, f"p{k}", 1, 9, "block") for k in range(40)] + [(50, "a", 1, 10, "block"), (51, "a", 3, 5, "block"), (52, "b", 1, 9, "block"), (53, "c", 1, 9, "block")])
+    pairs = [(k, k + 1, 0.9) for k in range(39)] + [(50, 52, 0.9), (50, 51, 0.9), (51, 53, 0.9)]
+    members, left, _ = clusters.pruned(spark.createDataFrame(pairs, "i long, j long, cosine double"), u)
+    assert {(r.unit_id, r.cluster_id, r.parent_id) for r in members.collect()} == {(k, 0, 0) for k in range(40)} | {(51, 51, 50), (53, 51, 50)}
+    assert left.count() == 40 and seen == [42, 1]
 
 
 def test_ragged_and_empty_vectors(spark):

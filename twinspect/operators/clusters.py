@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspect.operators.graph import components
-from twinspect.operators.overlap import drop_larger_members, larger
+from twinspect.operators.overlap import drop_larger_members, overlapping_shorter
 from twinspect.session import cut
 
 
@@ -22,23 +22,29 @@ def with_units(labels: DataFrame, units: DataFrame) -> DataFrame:
 def pruned(pairs: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, pairs, all members before) after longer overlapping members and their pairs left and clusters split.
 
-    members: unit_id, cluster_id (after the split), parent_id (before), path, start_line, end_line.
+    members: unit_id, cluster_id (after the split), parent_id (before), path, start_line, end_line. Only clusters that lost a
+    member are labelled anew; the others keep their label and their pairs.
     """
     pairs = cut(pairs)
     before = cut(with_units(labelled(pairs), units))
     kept = cut(drop_larger_members(before).select("unit_id", F.col("cluster_id").alias("parent_id"), "path", "start_line", "end_line"))
-    ids = kept.select("unit_id")
-    left = pairs.join(ids.select(F.col("unit_id").alias("i")), "i", "left_semi").join(ids.select(F.col("unit_id").alias("j")), "j", "left_semi").select("i", "j", "cosine")
+    smaller = before.join(kept.select("unit_id"), "unit_id", "left_anti").select(F.col("cluster_id").alias("parent_id")).distinct().withColumn("lost", F.lit(True))
+    ids = cut(kept.join(smaller, "parent_id", "left").select("unit_id", "parent_id", F.coalesce("lost", F.lit(False)).alias("lost")))
+    left = pairs.join(ids.select(F.col("unit_id").alias("i"), "lost"), "i").join(ids.select(F.col("unit_id").alias("j")), "j", "left_semi").select("i", "j", "cosine", "lost")
     left = cut(left)
-    members = labelled(left).join(kept, "unit_id")
-    return members, left, before
+    whole = ids.where("NOT lost").select("unit_id", F.col("parent_id").alias("cluster_id"))
+    members = whole.unionByName(labelled(left.where("lost"))).join(kept, "unit_id")
+    return members, left.drop("lost"), before
 
 
 def hidden_overlaps(members: DataFrame, before: DataFrame) -> DataFrame:
     """(cluster_id, hidden_overlaps): removed units that are longer than and overlap a member that stayed."""
     gone = before.join(members.select("unit_id"), "unit_id", "left_anti").withColumnRenamed("cluster_id", "parent_id")
-    near = members.alias("m").join(gone.alias("g"), (F.col("m.parent_id") == F.col("g.parent_id")) & larger("g", "m"))
-    counted = near.groupBy(F.col("m.cluster_id").alias("cluster_id")).agg(F.countDistinct("g.unit_id").alias("hidden_overlaps"))
+    # A removed unit is looked at once for each cluster that its own was split into and that has a member in its file.
+    kept = members.select("parent_id", "path", "cluster_id", "start_line", "end_line")
+    near = gone.join(kept.select("parent_id", "path", "cluster_id").distinct(), ["parent_id", "path"])
+    by = ["parent_id", "path", "cluster_id"]
+    counted = near.join(overlapping_shorter(near, kept, by), [*by, "start_line", "end_line"], "left_semi").groupBy("cluster_id").agg(F.count("*").alias("hidden_overlaps"))
     return members.select("cluster_id").distinct().join(counted, "cluster_id", "left").select("cluster_id", F.coalesce("hidden_overlaps", F.lit(0)).cast("long").alias("hidden_overlaps"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinspect.functions.text import hunk_range, lines_of, paths_equal
+from twinspect.functions.text import hunk_range, lines_of
 from twinspect.functions.vectors import dot
 from twinspect.operators.similar import scored
 
@@ -32,9 +32,20 @@ def rankable(ignored: Column, is_test: Column, skip_tests: bool) -> Column:
 
 
 def stale_selves(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(q, u): corpus rows that are the query itself before the change: the same name in the same file. Joined by name."""
-    same = (F.col("a.name") == F.col("b.name")) & paths_equal(F.col("a.path"), F.col("b.path"))
-    return queries.alias("a").join(corpus.alias("b"), same).select(F.col("a.unit_id").alias("q"), F.col("b.unit_id").alias("u"))
+    """(q, u): corpus rows that are the query itself before the change: the same name in the same file.
+
+    Paths are the same if they are equal or one ends with the other from a slash on (paths_equal). Each side's suffixes from a
+    slash on meet the whole paths of the other side, with the name, as equal keys.
+    """
+    plain = F.regexp_replace("path", r"^(\./)+", "")
+    parts = F.split("whole", "/")
+    from_slash = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    side = lambda df, c: df.where("path IS NOT NULL").select(F.col("unit_id").alias(c), "name", plain.alias("whole"))
+    each = lambda df: df.select("*", F.explode(from_slash).alias("suffix"))
+    a, b = side(queries, "q"), side(corpus, "u")
+    long_q = each(a).drop("whole").join(b.withColumnRenamed("whole", "suffix"), ["name", "suffix"]).select("q", "u")
+    long_u = each(b).drop("whole").join(a.withColumnRenamed("whole", "suffix"), ["name", "suffix"]).select("q", "u")
+    return long_q.unionByName(long_u).distinct()
 
 
 def neighbours(queries: DataFrame, corpus: DataFrame, stale: DataFrame | None = None, top: int | None = TOP) -> DataFrame:

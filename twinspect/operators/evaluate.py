@@ -2,41 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspect.functions.text import selector
-from twinspect.operators.similar import scored
+from twinspect.operators.joins import by_suffix
+from twinspect.operators.similar import rank_originals
+from twinspect.session import cut
+
+BATCH_CHARS = 4_000_000
 
 
 def plants(manifest: DataFrame, injected: DataFrame) -> DataFrame:
     """(file, original, level, unit_id): the longest injected unit of each manifest file; of equal ones the last."""
-    hit = injected.alias("u").join(manifest.alias("m"), F.col("u.path").endswith(F.col("m.file")))
-    rank = F.row_number().over(Window.partitionBy("file", "original").orderBy(F.desc("span"), F.desc("unit_id")))
-    rows = hit.select("m.file", "m.original", "m.level", "u.unit_id", (F.col("u.end_line") - F.col("u.start_line")).alias("span"))
-    return rows.withColumn("n", rank).where("n = 1").drop("n", "span")
+    units = injected.select("unit_id", F.col("path").alias("u_path"), (F.col("end_line") - F.col("start_line")).alias("span"))
+    hit = by_suffix(units, "u_path", manifest.select("file", "original", "level"), "file")
+    best = hit.groupBy("file", "original", "level").agg(F.max(F.struct("span", "unit_id")).alias("best"))
+    return best.select("file", "original", "level", F.col("best.unit_id").alias("unit_id"))
 
 
 def originals(picked: DataFrame, main: DataFrame) -> DataFrame:
     """(q, u): main units that a plant's selector names: the name, a path suffix, and lines if the selector has them."""
     parts = selector(F.col("original"))
     p = picked.select(F.col("unit_id").alias("q"), *[v.alias(f"s_{k}") for k, v in parts.items()])
-    same = (F.col("name") == F.col("s_name")) & F.col("path").endswith(F.col("s_path"))
+    units = main.select(F.col("unit_id").alias("u"), F.col("path").alias("u_path"), F.col("name").alias("u_name"), "start_line", "end_line")
     spans = F.col("s_lo").isNull() | ((F.col("start_line") == F.col("s_lo")) & (F.col("end_line") == F.col("s_hi")))
-    return main.join(p, same & spans).select("q", F.col("unit_id").alias("u"))
+    return by_suffix(units, "u_path", p, "s_path", {"u_name": "s_name"}).where(spans).select("q", "u")
+
+
+def contained(texts: DataFrame, passages: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """(q, u) for every passage (q, text) that a text (u, text) contains, character by character; null and empty ones take no part.
+
+    Distinct passages are compiled into automata of about batch_chars characters, by which every text is read once for each.
+    """
+    spark = texts.sparkSession
+    asked = cut(passages.where("text IS NOT NULL AND text <> ''").groupBy("text").agg(F.collect_set("q").alias("qs")))
+    n = max(1, -(-(asked.agg(F.sum(F.length("text"))).first()[0] or 0) // batch_chars))
+    dealt = asked.withColumn("batch", F.pmod(F.xxhash64("text"), F.lit(n)))
+
+    def found(batch: int) -> DataFrame:
+        held = spark.sparkContext.broadcast([r["text"] for r in dealt.where(F.col("batch") == batch).select("text").collect()])  # about batch_chars
+
+        def run(batches):
+            automaton = ahocorasick.Automaton()
+            for text in held.value:
+                automaton.add_word(text, text)
+            automaton.make_automaton() if held.value else None
+            for rows in batches:
+                us, hits = [], []
+                for u, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                    some = sorted({x for _, x in automaton.iter(text)}) if held.value else []
+                    us += [u] * len(some)
+                    hits += some
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(hits, pa.string())], names=["u", "passage"])
 
+        return texts.select(F.col("u").cast("long").alias("u"), "text").where("text IS NOT NULL").mapInArrow(run, "u long, passage string")
 
-def ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """(q, rank, cos_orig, margin, top_hit) from (q, u, cosine) and true pairs (q, u); queries without a true row are left out."""
-    order = Window.partitionBy("q").orderBy(F.desc("cosine"), "u")
-    rows = scores.join(truth.select("q", "u", F.lit(True).alias("true")), ["q", "u"], "left").withColumn("place", F.row_number().over(order))
-    best = rows.groupBy("q").agg(
-        F.min(F.when(F.col("true"), F.col("place"))).alias("rank"),
-        F.max(F.when(F.col("true"), F.col("cosine"))).alias("cos_orig"),
-        F.max(F.when(F.col("true").isNull(), F.col("cosine"))).alias("other"),
-        F.min(F.when(F.col("place") == 1, F.col("u"))).alias("top_hit"),
-    )
-    return best.where("rank IS NOT NULL").select("q", "rank", "cos_orig", (F.col("cos_orig") - F.coalesce("other", F.lit(0.0))).alias("margin"), "top_hit")
+    every = found(0)
+    for batch in range(1, n):
+        every = every.unionByName(found(batch))
+    return every.join(asked, F.col("passage") == F.col("text")).select(F.explode("qs").alias("q"), "u").distinct()
 
 
 def levels(ranked: DataFrame) -> DataFrame:
@@ -58,7 +85,7 @@ def gate(by_level: DataFrame, min_recall5: float) -> None:
 
 def evaluate(manifest: DataFrame, injected: DataFrame, main: DataFrame) -> DataFrame:
     """Ranks with file and level for every plant; injected and main have unit_id, path, name, lines, vec."""
-    picked = plants(manifest, injected)
-    truth = originals(picked, main)
-    queries = injected.join(picked.select("unit_id"), "unit_id", "left_semi")
-    return ranks(scored(queries, main), truth).join(picked.select(F.col("unit_id").alias("q"), "file", "level"), "q")
+    picked = cut(plants(manifest, injected))
+    queries = injected.join(picked.select("unit_id").distinct(), "unit_id", "left_semi")
+    ranked = rank_originals(queries, main, cut(originals(picked, main)))
+    return ranked.join(picked.select(F.col("unit_id").alias("q"), "file", "level"), "q")

@@ -1,4 +1,4 @@
-"""Joins that no hot key can slow down."""
+"""Joins that no hot key can slow down, and joins by suffixes of strings as joins by equal keys."""
 
 from __future__ import annotations
 
@@ -36,3 +36,17 @@ def join_heavy(rows: DataFrame, table: DataFrame, on: str, heavy: Column, salt:
     if inner:
         out = out.where("_t IS NOT NULL")
     return out.select(*rows.columns, *[F.col("_t")[n].alias(n) for n in names])
+
+
+def by_suffix(rows: DataFrame, column: str, ends: DataFrame, end: str, also: dict[str, str] | None = None) -> DataFrame:
+    """Rows of `rows` and `ends` joined where `column` ends with `end` (and the columns of `also` are equal: of rows, of ends).
+
+    The distinct lengths of the ends, of which there are no more than the longest string has characters, are broadcast; a
+    row has one suffix for each of them that it can have, and suffixes meet ends as equal keys.
+    """
+    also = also or {}
+    lengths = ends.where(F.col(end).isNotNull()).agg(F.sort_array(F.collect_set(F.length(end))).alias("_lengths")).first()[0]  # at most one for each length of a string
+    long_enough = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(column))
+    keyed = rows.withColumn("_n", F.explode(long_enough)).withColumn("_suffix", F.expr(f"CASE WHEN _n = 0 THEN '' ELSE right(`{column}`, _n) END"))
+    same = [F.col("_suffix") == F.col(end), *[F.col(a) == F.col(b) for a, b in also.items()]]
+    return keyed.join(ends, same).drop("_n", "_suffix")

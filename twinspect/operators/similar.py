@@ -1,23 +1,68 @@
-"""Pairs of similar vectors: an exact blocked join, and candidates by sparse random projections with exact rerank.
+"""Pairs of similar vectors: an exact join, a join by signatures of random projections with exact rerank, and votes of bands.
 
 Rows have unit_id, vec, and optionally path, start_line, end_line: with these, pairs of one file of which one span encloses
-the other are not pairs. Scores are inner products in double.
+the other are not pairs. Scores are inner products in double; vectors of different lengths are no pair, null vectors are left out.
+
+All of them deal rows into blocks by a hash of the id. A task packs the rows of a block into one row of bytes; a pair of blocks
+is one group of a few such rows, multiplied or compared as matrices, a slice at a time. A task holds two blocks and one slice,
+whatever the number of rows, and only what is asked for leaves it. Work is quadratic in rows; by signatures it is an exclusive or
+and a bit count a pair, and inner products only for pairs that are left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cache
+from math import acos, comb, pi
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinspect.functions.vectors import packed
-from twinspect.operators.overlap import contains
+from twinspect.functions.vectors import dot
 
-BLOCK_ROWS = 1024
-SPARSE_FROM = 20_000
+BLOCK_ROWS = 2048
+SLICE = 512
 PLANES, BANDS, ROWS, DRAWS = 128, 16, 8, 32
 CAP = 1024
+MISS = 0.02  # of the pairs at the threshold, by the binomial law of signatures
+
+
+# ---- blocks
+
+
+def splitmix64(seed: int, n: int) -> np.ndarray:
+    """The first n outputs of the published generator (Steele, Lea and Flood, 2014)."""
+    with np.errstate(over="ignore"):
+        return _mix(np.uint64(seed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _block_of(ids: np.ndarray, n_blocks: int) -> np.ndarray:
+    return (_mix(ids.view(np.uint64)) % np.uint64(n_blocks)).astype(np.int64)
+
+
+def _n_blocks(rows: int, block_rows: int) -> int:
+    return max(1, -(-rows // block_rows))
+
+
+PIECE = [
+    ("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("paths", pa.list_(pa.string())),
+    ("starts", pa.binary()), ("ends", pa.binary()),
+]
+_PIECE = "block long, dim int, ids binary, vecs binary, paths array<string>, starts binary, ends binary"
+
+
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(schema)], names=[n for n, _ in schema])
 
 
 def _spans(units: DataFrame) -> DataFrame:
@@ -25,55 +70,145 @@ def _spans(units: DataFrame) -> DataFrame:
     cols = [F.col("unit_id").cast("long").alias("unit_id"), F.col("vec").cast("array<double>").alias("vec")]
     cols.append(F.col("path").cast("string").alias("path") if "path" in have else F.lit(None).cast("string").alias("path"))
     cols += [F.col(c).cast("long").alias(c) if c in have else F.lit(0).cast("long").alias(c) for c in ("start_line", "end_line")]
-    return units.select(*cols)
+    return units.select(*cols).where("unit_id IS NOT NULL AND vec IS NOT NULL").na.fill(0, ["start_line", "end_line"])
 
 
-def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, n: int | None = None) -> DataFrame:
-    """(i, j, cosine), i < j, cosine >= threshold, over all rows.
+def _pieces(units: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows of PIECE: what a task has of one block, in one row for each length of vectors."""
+    plain = not ({"path", "start_line", "end_line"} & set(units.columns))
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            flat, at = np.asarray(batch.column(1).values), np.asarray(batch.column(1).offsets).astype(np.int64)
+            paths, lines = batch.column(2), [batch.column(k).to_numpy() for k in (3, 4)]
+            blocks, dims = _block_of(ids, n_blocks), np.diff(at)
+            order = np.lexsort((blocks, dims))
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(blocks[order]) != 0) | (np.diff(dims[order]) != 0)))) if len(order) else []
+            out = []
+            for rows in np.split(order, new[1:]) if len(order) else []:
+                d = int(dims[rows[0]])
+                vecs = flat[(at[rows][:, None] + np.arange(d)).ravel()]
+                own = None if plain else paths.take(pa.array(rows)).to_pylist()
+                out.append((int(blocks[rows[0]]), d, ids[rows].tobytes(), vecs.tobytes(), own, *(x[rows].tobytes() for x in lines)))
+            yield _batch(out, PIECE)
+
+    return _spans(units).mapInArrow(run, _PIECE)
+
+
+def _upto(n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+
+
+@dataclass
+class Side:
+    """One block of a pair: rows of one length of vectors."""
+
+    ids: np.ndarray
+    vecs: np.ndarray
+    paths: np.ndarray | None
+    starts: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: list[tuple], dim: int) -> Side:
+        """pieces: rows of PIECE without the block."""
+        mine = [p for p in pieces if p[0] == dim]
+        ids, starts, ends = (np.concatenate([np.frombuffer(p[k], np.int64) for p in mine]) for k in (1, 4, 5))
+        vecs = np.concatenate([np.frombuffer(p[2]) for p in mine]).reshape(len(ids), dim)
+        paths = None if any(p[3] is None for p in mine) else np.array([x for p in mine for x in p[3]], object)
+        return cls(ids, vecs, paths, starts, ends)
+
+
+FIRST, SECOND, PAIRS = 1, 2, 4  # roles of a piece in a pair of blocks
+
+
+def _by_block_pair(dealt: DataFrame, settle: Callable, schema: str) -> DataFrame:
+    """dealt: x, y, role and PIECE without its block. settle(firsts, seconds, pairs) gives batches for each (x, y)."""
+    cols = ["x", "y", "role", *[n for n, _ in PIECE[1:]]]
+    rows = dealt.select(*cols).repartition("x", "y").sortWithinPartitions("x", "y")
 
-    Rows are dealt into blocks of about block_rows by a hash of the id; each pair of blocks is one group with two packed
-    matrices, multiplied at once, and only pairs that pass leave it. Work is quadratic, as exact search is; a task
-    holds two blocks, whatever the number of rows.
+    def run(batches):
+        key, held = None, {}
+        for batch in batches:
+            # Bytes stay in the batch's buffers until a pair of blocks is settled.
+            xs, ys, roles, dims = (batch.column(k).to_pylist() for k in range(4))
+            for i, (x, y, role, dim) in enumerate(zip(xs, ys, roles, dims)):
+                if (x, y) != key:
+                    if held:
+                        yield from settle(*(held.get(r, []) for r in (FIRST, SECOND, PAIRS)))
+                    key, held = (x, y), {}
+                piece = (dim, *(batch.column(k)[i].as_py() for k in range(4, 9)))
+                for r in (FIRST, SECOND, PAIRS):
+                    if role & r:
+                        held.setdefault(r, []).append(piece)
+        if held:
+            yield from settle(*(held.get(r, []) for r in (FIRST, SECOND, PAIRS)))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _dims(first: list[tuple], second: list[tuple]) -> list[int]:
+    return sorted({p[0] for p in first} & {p[0] for p in second})
+
+
+def _every_pair(units: DataFrame, block_rows: int, n: int | None, found: Callable, kind: tuple[str, pa.DataType], cap: int | None = None) -> DataFrame:
+    """(i, j, value), i < j, for pairs that found(a, b) gives as (rows of a, rows of b, values), a slice of a at a time.
+
+    With cap, a task passes on no more than that many of one i, those of the largest values and then of the smallest j.
     """
-    rows = _spans(units)
-    n_blocks = max(1, -(-(rows.count() if n is None else n) // block_rows))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("unit_id"), F.lit(n_blocks)))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["block"] == pdf["lo"]], pdf[pdf["block"] == pdf["hi"]]
-        same = bool(pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
-        ma, mb = packed(a["vec"]), packed(b["vec"])
-        if not len(a) or not len(b):
-            hit = np.zeros((2, 0), int), np.zeros(0)
-        elif ma is None or mb is None or ma.shape[1] != mb.shape[1]:  # ragged rows: one by one
-            found = [(x, y, float(np.dot(u, v))) for x, u in enumerate(a["vec"]) for y, v in enumerate(b["vec"]) if len(u) == len(v)]
-            found = [f for f in found if f[2] >= threshold]
-            hit = np.array([[f[0] for f in found], [f[1] for f in found]], int).reshape(2, -1), np.array([f[2] for f in found])
-        else:
-            s = ma @ mb.T
-            at = np.nonzero(s >= threshold)
-            hit = np.stack(at), s[at]
-        x, y = a.iloc[hit[0][0]].reset_index(drop=True), b.iloc[hit[0][1]].reset_index(drop=True)
-        inside = ((x["start_line"] <= y["start_line"]) & (x["end_line"] >= y["end_line"])) | ((y["start_line"] <= x["start_line"]) & (y["end_line"] >= x["end_line"]))
-        keep = ~((x["path"] == y["path"]) & x["path"].notna() & inside)
-        keep &= (x["unit_id"] < y["unit_id"]) if same else (x["unit_id"] != y["unit_id"])
-        i, j = np.minimum(x["unit_id"], y["unit_id"]), np.maximum(x["unit_id"], y["unit_id"])
-        return pd.DataFrame({"i": i, "j": j, "cosine": hit[1]})[keep.to_numpy()]
-
-    return dealt.groupBy("lo", "hi").applyInPandas(score, "i long, j long, cosine double")
+    n_blocks = _n_blocks(units.count() if n is None else n, block_rows)
+    pieces = _pieces(units, n_blocks).withColumn("o", _upto(n_blocks))
+    role = F.when(F.col("block") == F.col("o"), FIRST | SECOND).when(F.col("block") < F.col("o"), FIRST).otherwise(SECOND)
+    dealt = pieces.withColumns({"x": F.least("block", "o"), "y": F.greatest("block", "o"), "role": role})
+
+    def settle(first, second, _):
+        same = first is second or [p[1] for p in first] == [p[1] for p in second]
+        for dim in _dims(first, second):
+            a, b = Side.of(first, dim), Side.of(second, dim)
+            out = []
+            for at in range(0, len(a.ids), SLICE):
+                part = Side(a.ids[at : at + SLICE], a.vecs[at : at + SLICE], None if a.paths is None else a.paths[at : at + SLICE], a.starts[at : at + SLICE], a.ends[at : at + SLICE])
+                p, q, value = found(part, b)
+                keep = part.ids[p] < b.ids[q] if same else part.ids[p] != b.ids[q]
+                if a.paths is not None and b.paths is not None and len(p):
+                    s1, e1, s2, e2 = part.starts[p], part.ends[p], b.starts[q], b.ends[q]
+                    named = np.array([u is not None and u == v for u, v in zip(part.paths[p], b.paths[q])], bool)
+                    keep &= ~(named & (((s1 <= s2) & (e1 >= e2)) | ((s2 <= s1) & (e2 >= e1))))
+                p, q, value = p[keep], q[keep], value[keep]
+                out.append((np.minimum(part.ids[p], b.ids[q]), np.maximum(part.ids[p], b.ids[q]), value))
+                if cap is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.pop()], names=["i", "j", kind[0]])
+            if out:
+                i, j, value = (np.concatenate(x) for x in zip(*out))
+                order = np.lexsort((j, -value, i))
+                i, j, value = i[order], j[order], value[order]
+                start = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, int)
+                keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < cap
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (i, j, value)], names=["i", "j", kind[0]])
+
+    sql = {pa.float64(): "double", pa.int64(): "long"}[kind[1]]
+    return _by_block_pair(dealt, settle, f"i long, j long, {kind[0]} {sql}")
+
+
+# ---- exact pairs
 
 
-def splitmix64(seed: int, n: int) -> np.ndarray:
-    """The first n outputs of the published generator (Steele, Lea and Flood, 2014)."""
-    with np.errstate(over="ignore"):
-        x = np.uint64(seed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, n: int | None = None) -> DataFrame:
+    """(i, j, cosine), i < j, cosine >= threshold, over all rows."""
+
+    def found(a: Side, b: Side):
+        s = a.vecs @ b.vecs.T
+        p, q = np.nonzero(s >= threshold)
+        return p, q, s[p, q]
 
+    return _every_pair(units, block_rows, n, found, ("cosine", pa.float64()))
 
+
+# ---- signatures
+
+
+@cache
 def planes(dim: int) -> np.ndarray:
     """PLANES x dim coefficients: each adds DRAWS signs at coordinates, from the two halves of one stream."""
     out = np.zeros((PLANES, max(dim, 1)))
@@ -82,114 +217,212 @@ def planes(dim: int) -> np.ndarray:
     return out
 
 
-def band_values(matrix: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
-    """(rows, BANDS) values from 0 to 255; bit r of band b is the side of plane 8 b + r. Without dimensions all are 0."""
+def band_values(matrix: np.ndarray) -> np.ndarray:
+    """(rows, BANDS) bytes; bit r of band b is the side of plane 8 b + r. Without dimensions all are 0."""
     if matrix.shape[1] == 0:
-        return np.zeros((len(matrix), BANDS), int)
-    bits = (matrix @ coefficients.T >= 0).reshape(len(matrix), BANDS, ROWS)
-    return (bits * (1 << np.arange(ROWS))).sum(2)
+        return np.zeros((len(matrix), BANDS), np.uint8)
+    return np.packbits(matrix @ planes(matrix.shape[1]).T >= 0, axis=1, bitorder="little")
 
 
-def bands(units: DataFrame, dim: int) -> DataFrame:
+def bands(units: DataFrame) -> DataFrame:
     """(unit_id, band, value) for every row and band."""
-    coefficients = planes(dim)
 
     def run(batches):
-        for pdf in batches:
-            m = np.array(pdf["vec"].tolist(), float).reshape(len(pdf), -1)
-            v = band_values(m, coefficients)
-            yield pd.DataFrame({"unit_id": np.repeat(pdf["unit_id"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS), len(pdf)), "value": v.ravel()})
+        for batch in batches:
+            at = np.asarray(batch.column(1).offsets)
+            flat, ids = np.asarray(batch.column(1).values), batch.column(0).to_numpy()
+            dims = np.diff(at)
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                v = band_values(flat[(at[rows][:, None] + np.arange(dim)).ravel()].reshape(len(rows), dim))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[rows], BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(rows))), pa.array(v.ravel().astype(np.int32))], names=["unit_id", "band", "value"])
 
-    return units.select(F.col("unit_id").cast("long"), "vec").mapInPandas(run, "unit_id long, band int, value int")
+    return _spans(units).select("unit_id", "vec").mapInArrow(run, "unit_id long, band int, value int")
 
 
 def bucket_sizes(band_rows: DataFrame) -> DataFrame:
     return band_rows.groupBy("band", "value").agg(F.count("*").alias("n"))
 
 
-def candidates(units: DataFrame, dim: int, cap: int | None = CAP) -> DataFrame:
+def candidates(units: DataFrame, cap: int | None = CAP, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, j, votes): pairs that share a band value, i < j; per i the `cap` with most votes (then smallest j) stay."""
-    rows = _spans(units).drop("vec")
-    b = bands(units, dim).join(rows, "unit_id")
-    a, c = b.alias("a"), b.alias("c")
-    nested = F.coalesce(F.col("a.path") == F.col("c.path"), F.lit(False)) & contains("a", "c")
-    same = (F.col("a.band") == F.col("c.band")) & (F.col("a.value") == F.col("c.value")) & (F.col("a.unit_id") < F.col("c.unit_id"))
-    found = a.join(c, same & ~nested).groupBy(F.col("a.unit_id").alias("i"), F.col("c.unit_id").alias("j")).agg(F.count("*").alias("votes"))
+
+    def found(a: Side, b: Side):
+        x, y = band_values(a.vecs), band_values(b.vecs)
+        votes = np.zeros((len(x), len(y)), np.int64)
+        for band in range(BANDS):
+            votes += x[:, band, None] == y[None, :, band]
+        p, q = np.nonzero(votes)
+        return p, q, votes[p, q]
+
+    every = _every_pair(units, block_rows, None, found, ("votes", pa.int64()), cap)
     if cap is None:
-        return found
+        return every
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("votes"), "j"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
+    return every.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
 
 
-def sparse_pairs(units: DataFrame, threshold: float, dim: int, cap: int | None = CAP) -> DataFrame:
-    """The candidates whose exact score reaches the threshold."""
-    found = candidates(units, dim, cap)
-    v = units.select(F.col("unit_id").cast("long").alias("id"), "vec")
-    both = found.join(v.select(F.col("id").alias("i"), F.col("vec").alias("va")), "i").join(v.select(F.col("id").alias("j"), F.col("vec").alias("vb")), "j")
+def most_differing(threshold: float, miss: float = MISS) -> int:
+    """So many bits of two signatures may differ that a pair at the threshold has more with a chance of `miss` at most."""
+    p = acos(max(-1.0, min(1.0, threshold))) / pi
+    upto = 0.0
+    for k in range(PLANES + 1):
+        upto += comb(PLANES, k) * p**k * (1 - p) ** (PLANES - k)
+        if upto >= 1 - miss:
+            return k
+    return PLANES
+
+
+def sparse_pairs(units: DataFrame, threshold: float, miss: float = MISS, block_rows: int = BLOCK_ROWS, n: int | None = None) -> DataFrame:
+    """(i, j, cosine) of unit vectors, cosine >= threshold, among the pairs whose signatures differ in few enough bits.
+
+    Of the pairs at the threshold about `miss` are lost, of more similar ones fewer; no pair is lost to a cap.
+    """
+    most = most_differing(threshold, miss)
+
+    def found(a: Side, b: Side):
+        x, y = (np.ascontiguousarray(band_values(s.vecs)).view(np.uint64) for s in (a, b))
+        far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+        p, q = np.nonzero(far <= most)
+        s = np.concatenate([np.einsum("ij,ij->i", a.vecs[p[k : k + 65536]], b.vecs[q[k : k + 65536]]) for k in range(0, len(p), 65536)] or [np.zeros(0)])
+        keep = s >= threshold
+        return p[keep], q[keep], s[keep]
+
+    return _every_pair(units, block_rows, n, found, ("cosine", pa.float64()))
 
-    def run(batches):
-        for pdf in batches:
-            a, b = (np.array(pdf[c].tolist(), float).reshape(len(pdf), -1) for c in ("va", "vb"))
-            s = np.einsum("ij,ij->i", a, b)
-            yield pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "cosine": s})[s >= threshold]
 
-    return both.select("i", "j", "va", "vb").mapInPandas(run, "i long, j long, cosine double")
+INDEXES = ("auto", "exact", "sparse")
 
 
-def choose_index(index: str, n: int) -> str:
-    if index == "auto":
-        return "sparse" if n >= SPARSE_FROM else "exact"
-    if index not in ("exact", "sparse"):
-        raise ValueError(f"unknown index {index!r}: auto, exact or sparse")
-    return index
+def choose_index(index: str) -> str:
+    """auto is exact at every size: only who asks for it gets an index that may lose pairs."""
+    if index not in INDEXES:
+        raise ValueError(f"unknown index {index!r}: {', '.join(INDEXES)}")
+    return "exact" if index == "auto" else index
 
 
-def similar_pairs(units: DataFrame, threshold: float, index: str = "auto", cap: int = CAP) -> DataFrame:
-    n = units.count()
-    if choose_index(index, n) == "exact":
-        return exact_pairs(units, threshold, n=n)
-    head = units.select(F.size("vec").alias("d")).first()
-    return sparse_pairs(units, threshold, head[0] if head else 0, cap)
+def similar_pairs(units: DataFrame, threshold: float, index: str = "auto", miss: float = MISS) -> DataFrame:
+    return exact_pairs(units, threshold) if choose_index(index) == "exact" else sparse_pairs(units, threshold, miss)
 
 
-def scored(queries: DataFrame, corpus: DataFrame, block_rows: int = 4096, top: int | None = None, pairs_out: DataFrame | None = None, least: float | None = None) -> DataFrame:
+# ---- queries against a corpus
+
+
+def _pair_pieces(pairs: DataFrame, bq: int, bc: int) -> DataFrame:
+    """Pairs (q, u) as pieces of the block pairs that they lie in, q in ids and u in starts."""
+
+    def run(batches):
+        for batch in batches:
+            q, u = (batch.column(k).to_numpy() for k in (0, 1))
+            x, y = _block_of(q, bq), _block_of(u, bc)
+            order = np.lexsort((y, x))
+            new = np.flatnonzero((np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)) + 1
+            out = [(int(x[r[0]]), int(y[r[0]]), q[r].tobytes(), u[r].tobytes()) for r in np.split(order, new) if len(r)]
+            yield _batch(out, [("x", pa.int64()), ("y", pa.int64()), ("ids", pa.binary()), ("starts", pa.binary())])
+
+    rows = pairs.select(F.col("q").cast("long").alias("q"), F.col("u").cast("long").alias("u")).dropna().mapInArrow(run, "x long, y long, ids binary, starts binary")
+    empty = {"dim": F.lit(0), "vecs": F.lit(None).cast("binary"), "paths": F.lit(None).cast("array<string>"), "ends": F.lit(None).cast("binary"), "role": F.lit(PAIRS)}
+    return rows.withColumns(empty)
+
+
+def _against(queries: DataFrame, corpus: DataFrame, pairs: DataFrame | None, block_rows: int, settle: Callable, schema: str) -> DataFrame:
+    """settle(queries, corpus, left out) for each pair of blocks and length of vectors; left out is a boolean matrix or None."""
+    bq, bc = (_n_blocks(x.count(), block_rows) for x in (queries, corpus))
+    cols = ["x", "y", "role", *[n for n, _ in PIECE[1:]]]
+    one = _pieces(queries, bq).withColumns({"x": F.col("block"), "y": _upto(bc), "role": F.lit(FIRST)}).select(*cols)
+    two = _pieces(corpus, bc).withColumns({"y": F.col("block"), "role": F.lit(SECOND)}).withColumn("x", _upto(bq)).select(*cols)
+    dealt = one.unionByName(two)
+    if pairs is not None:
+        dealt = dealt.unionByName(_pair_pieces(pairs, bq, bc).select(*cols))
+
+    def each(first, second, out):
+        for dim in _dims(first, second):
+            q, c, left = Side.of(first, dim), Side.of(second, dim), None
+            if out:
+                oq, ou = (np.concatenate([np.frombuffer(p[k], np.int64) for p in out]) for k in (1, 4))
+                left = np.zeros((len(q.ids), len(c.ids)), bool)
+                by_q, by_c = np.argsort(q.ids, kind="stable"), np.argsort(c.ids, kind="stable")
+                qi, ci = (s.ids[o].searchsorted(v) for s, o, v in ((q, by_q, oq), (c, by_c, ou)))
+                there = (qi < len(q.ids)) & (ci < len(c.ids))
+                qi, ci, oq, ou = qi[there], ci[there], oq[there], ou[there]
+                hit = (q.ids[by_q[qi]] == oq) & (c.ids[by_c[ci]] == ou)
+                left[by_q[qi[hit]], by_c[ci[hit]]] = True
+            yield from settle(q, c, left)
+
+    return _by_block_pair(dealt, each, schema)
+
+
+def scored(queries: DataFrame, corpus: DataFrame, block_rows: int = BLOCK_ROWS, top: int | None = None, pairs_out: DataFrame | None = None, least: float | None = None) -> DataFrame:
     """(q, u, cosine) of query rows (unit_id, vec) against corpus rows (unit_id, vec); with `top`, each query's best.
 
-    Corpus and queries are dealt into blocks, a task multiplies one block of each and, with `top`, passes on no more than
-    that many rows a query, with `least`, none of a lower score; the last choice is a window over what is left. pairs_out
-    (q, u) are pairs to leave out; a query takes its few along into its blocks.
+    A task multiplies one block of each and, with `top`, passes on no more than that many rows a query, with `least`, none of
+    a lower score; the last choice is a window over what is left. pairs_out (q, u) are pairs to leave out, each sent to
+    the one pair of blocks that it lies in. Ids are unique in both tables.
     """
-    nq, nc = queries.count(), corpus.count()
-    bq, bc = max(1, -(-nq // block_rows)), max(1, -(-nc // block_rows))
-    one = queries.select(F.col("unit_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(True).alias("is_query"))
-    none = F.array().cast("array<bigint>")
-    if pairs_out is None:
-        one = one.withColumn("out", none)
-    else:
-        out = pairs_out.groupBy(F.col("q").cast("long").alias("id")).agg(F.collect_set(F.col("u").cast("long")).alias("out"))
-        one = one.join(out, "id", "left").withColumn("out", F.coalesce("out", none))
-    one = one.withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(bq)), "cb": F.explode(F.sequence(F.lit(0), F.lit(bc - 1)).cast("array<bigint>"))})
-    two = corpus.select(F.col("unit_id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(False).alias("is_query"), none.alias("out"))
-    two = two.withColumns({"qb": F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<bigint>")), "cb": F.pmod(F.xxhash64("id"), F.lit(bc))})
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
-        rows = [pd.DataFrame({"q": [], "u": [], "cosine": []})]
-        if len(q) and len(c):
-            s = np.array(q["vec"].tolist(), float) @ np.array(c["vec"].tolist(), float).T
-            ci = c["id"].to_numpy()
-            for qi, row, gone in zip(q["id"], s, q["out"]):
-                keep = np.ones(len(ci), bool) if least is None else row >= least
-                if len(gone):
-                    keep &= ~np.isin(ci, gone)
-                at = np.flatnonzero(keep)
-                if top is not None and len(at) > top:
-                    at = at[np.lexsort((ci[at], -row[at]))[:top]]
-                rows.append(pd.DataFrame({"q": qi, "u": ci[at], "cosine": row[at]}))
-        return pd.concat(rows[1:] or rows)
-
-    found = one.unionByName(two).groupBy("qb", "cb").applyInPandas(score, "q long, u long, cosine double")
+
+    def settle(q: Side, c: Side, left: np.ndarray | None):
+        out = []
+        for lo in range(0, len(q.ids), SLICE):
+            s = q.vecs[lo : lo + SLICE] @ c.vecs.T
+            open_ = np.ones(s.shape, bool) if left is None else ~left[lo : lo + SLICE]
+            if least is not None:
+                open_ &= s >= least
+            if top is not None and s.shape[1] > top:
+                masked = np.where(open_, s, -np.inf)
+                open_ &= masked >= np.partition(masked, s.shape[1] - top, axis=1)[:, s.shape[1] - top, None]
+            p, u = np.nonzero(open_)
+            out.append((q.ids[lo + p], c.ids[u], s[p, u]))
+        a, b, v = (np.concatenate(x) for x in zip(*out))
+        if top is not None:
+            order = np.lexsort((b, -v, a))
+            a, b, v = a[order], b[order], v[order]
+            start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, int)
+            keep = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < top
+            a, b, v = a[keep], b[keep], v[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(v)], names=["q", "u", "cosine"])
+
+    found = _against(queries.select("unit_id", "vec"), corpus.select("unit_id", "vec"), pairs_out, block_rows, settle, "q long, u long, cosine double")
     if top is None:
         return found
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "u"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def rank_originals(queries: DataFrame, corpus: DataFrame, truth: DataFrame, digits: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(q, rank, cos_orig, margin, top_hit) of queries (unit_id, vec) whose true rows (q, u) are in the corpus (unit_id, vec).
+
+    rank: of the best true row among all rows by score, then id; margin: over the best other row (over 0 without one). Scores are
+    rounded to `digits` if given. First the true pairs are scored; then each block counts the rows that go before a query's best
+    true one, and keeps its best other row. The product of queries and corpus stays inside the tasks.
+    """
+    rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    size = lambda v: F.col(v).cast("array<double>")
+    true = truth.select(F.col("q").cast("long").alias("q"), F.col("u").cast("long").alias("u")).distinct()
+    both = true.join(queries.select(F.col("unit_id").cast("long").alias("q"), size("vec").alias("vq")), "q").join(corpus.select(F.col("unit_id").cast("long").alias("u"), size("vec").alias("vu")), "u")
+    own = both.where(F.size("vq") == F.size("vu")).groupBy("q").agg(F.min(F.struct((-rounded(dot(F.col("vq"), F.col("vu")))).alias("cos"), "u")).alias("best"))
+    own = own.select("q", (-F.col("best.cos")).alias("cos_orig"), F.col("best.u").alias("orig"))
+    # A query takes its best true row along: the score behind its vector, the id as its start line.
+    behind = lambda more: F.concat(size("vec"), F.array(more)).alias("vec")
+    asked = queries.select(F.col("unit_id").cast("long").alias("q"), "vec").join(own, "q").select(F.col("q").alias("unit_id"), behind(F.col("cos_orig")), F.col("orig").alias("start_line"))
+
+    def settle(q: Side, c: Side, left: np.ndarray | None):
+        out, best, orig = [], q.vecs[:, -1], q.starts
+        for lo in range(0, len(q.ids), SLICE):
+            s = q.vecs[lo : lo + SLICE, :-1] @ c.vecs[:, :-1].T
+            if digits is not None:
+                s = np.round(s, digits)
+            other = np.where(False if left is None else left[lo : lo + SLICE], -np.inf, s)
+            mine, its = best[lo : lo + SLICE, None], orig[lo : lo + SLICE, None]
+            before = ((other > mine) | ((other == mine) & (c.ids[None, :] < its))).sum(1)
+            top = other.max(1)
+            first = np.where(other == top[:, None], c.ids[None, :], np.iinfo(np.int64).max).min(1)
+            for k in range(len(before)):
+                out.append((int(q.ids[lo + k]), int(before[k]), None if top[k] == -np.inf else float(top[k]), int(first[k])))
+        yield _batch(out, [("q", pa.int64()), ("before", pa.int64()), ("top", pa.float64()), ("first", pa.int64())])
+
+    parts = _against(asked, corpus.select("unit_id", behind(F.lit(0.0))), true, block_rows, settle, "q long, before long, top double, first long")
+    best = F.min(F.when(F.col("top").isNotNull(), F.struct((-F.col("top")).alias("cos"), "first")))
+    summed = parts.groupBy("q").agg(F.sum("before").alias("before"), best.alias("other")).join(own, "q")
+    other = -F.col("other.cos")
+    top_hit = F.when(F.col("before") == 0, F.col("orig")).otherwise(F.col("other.first"))
+    return summed.select("q", (F.col("before") + 1).cast("int").alias("rank"), "cos_orig", (F.col("cos_orig") - F.coalesce(other, F.lit(0.0))).alias("margin"), top_hit.alias("top_hit"))

@@ -325,27 +325,32 @@ cand AS (SELECT a.unit_id AS i, b.unit_id AS j, count(*) AS votes FROM bands a J
 
 @query(f"WITH {_BANDS} SELECT * FROM bands")
 def lsh_signature(spark, d):
-    return similar.bands(_units(spark, d, False), DIM)
+    return similar.bands(_units(spark, d, False))
 
 
 @query(f"WITH {_BANDS} SELECT band, value, count(*) AS n FROM bands GROUP BY ALL")
 def lsh_bucket_sizes(spark, d):
-    return similar.bucket_sizes(similar.bands(_units(spark, d, False), DIM))
+    return similar.bucket_sizes(similar.bands(_units(spark, d, False)))
 
 
 @query(f"WITH {_BANDS} SELECT * FROM cand")
 def lsh_candidates(spark, d):
-    return similar.candidates(_units(spark, d, False), DIM, None)
+    return similar.candidates(_units(spark, d, False), None)
 
 
 @query(f"WITH {_BANDS} SELECT i, j, votes FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY votes DESC, j) AS r FROM cand) WHERE r <= 8")
 def lsh_candidates_capped(spark, d):
-    return similar.candidates(_units(spark, d, False), DIM, 8)
+    return similar.candidates(_units(spark, d, False), 8)
 
 
-@query(f"WITH {_BANDS} SELECT i, j, round({_DOT}, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY votes DESC, j) AS r FROM cand) JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j WHERE r <= 1024 AND {_DOT} >= {THRESHOLD}")
+# A pair at the threshold has more than 59 differing bits in 1 of 50 cases at most.
+_SIGNS = f"""{_BANDS}, sg AS (SELECT unit_id, sum(CASE WHEN band < 8 THEN value::UBIGINT << (8 * band) ELSE 0 END)::UBIGINT AS a, sum(CASE WHEN band >= 8 THEN value::UBIGINT << (8 * (band - 8)) ELSE 0 END)::UBIGINT AS b FROM bands GROUP BY 1),
+near AS (SELECT x.unit_id AS i, y.unit_id AS j FROM sg x JOIN sg y ON x.unit_id < y.unit_id WHERE bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 59)"""
+
+
+@query(f"WITH {_SIGNS} SELECT i, j, round({_DOT}, 6) AS cosine FROM near JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j WHERE {_DOT} >= {THRESHOLD}")
 def lsh_pairs(spark, d):
-    return _rounded(similar.sparse_pairs(_units(spark, d, False), THRESHOLD, DIM))
+    return _rounded(similar.sparse_pairs(_units(spark, d, False), THRESHOLD))
 
 
 # ---- clusters -------------------------------------------------------------------------------------------------------
@@ -491,6 +496,51 @@ def annotations(spark, d):
     return rows.select("q", line.alias("annotation")).where("annotation IS NOT NULL")
 
 
+# ---- paths and names that meet by suffix ---------------------------------------------------------------------------
+
+_INJECTED = "(SELECT p_partkey AS unit_id, concat('inj/d', p_partkey % 7, CASE WHEN p_partkey % 5 = 0 THEN '/x' ELSE '/' END, 'f', p_partkey % 150, '.rs') AS path, p_size AS start_line, p_size + p_partkey % 11 AS end_line FROM part)"
+_MANIFEST = "(SELECT concat(CASE WHEN s_suppkey % 2 = 0 THEN '/' ELSE '' END, 'f', s_suppkey, '.rs') AS file, concat('src/a.rs::n', s_suppkey) AS original, s_suppkey % 3 AS level FROM supplier)"
+
+
+@query(f"SELECT file, original, level, unit_id FROM (SELECT m.*, unit_id, row_number() OVER (PARTITION BY file, original ORDER BY end_line - start_line DESC, unit_id DESC) AS n FROM {_INJECTED} JOIN {_MANIFEST} m ON suffix(path, file)) WHERE n = 1")
+def planted_units(spark, d):
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    path = F.concat(F.lit("inj/d"), text(k % 7), F.when(k % 5 == 0, "/x").otherwise("/"), F.lit("f"), text(k % 150), F.lit(".rs"))
+    injected = load(spark, d, "part").select(k.alias("unit_id"), path.alias("path"), F.col("p_size").alias("start_line"), (F.col("p_size") + k % 11).alias("end_line"))
+    file = F.concat(F.when(s % 2 == 0, "/").otherwise(""), F.lit("f"), text(s), F.lit(".rs"))
+    manifest = load(spark, d, "supplier").select(file.alias("file"), F.concat(F.lit("src/a.rs::n"), text(s)).alias("original"), (s % 3).alias("level"))
+    return evaluate.plants(manifest, injected)
+
+
+_NAMED = "(SELECT o_orderkey AS u, concat(CASE WHEN o_orderkey % 4 = 0 THEN 'my' ELSE 'a/' END, 'lib/p', o_orderkey % 300, '.rs') AS path, concat('n', o_custkey % 20) AS name, o_custkey % 9 AS s, o_custkey % 9 + 5 AS e FROM orders)"
+_PICKED = "(SELECT p_partkey AS q, concat('lib/p', p_partkey % 300, '.rs') AS path, concat('n', p_size % 20) AS name, CASE WHEN p_partkey % 2 = 0 THEN p_size % 9 END AS s FROM part)"
+
+
+@query(f"SELECT q, u FROM {_PICKED} p JOIN {_NAMED} m ON p.name = m.name AND suffix(m.path, p.path) AND (p.s IS NULL OR p.s = m.s)")
+def named_originals(spark, d):
+    k, o, c = F.col("p_partkey"), F.col("o_orderkey"), F.col("o_custkey") % 9
+    text = lambda c: c.cast("string")
+    lines = F.when(k % 2 == 0, F.concat(F.lit(":"), text(F.col("p_size") % 9), F.lit("-"), text(F.col("p_size") % 9 + 5))).otherwise("")
+    picked = load(spark, d, "part").select(k.alias("unit_id"), F.concat(F.lit("lib/p"), text(k % 300), F.lit(".rs"), lines, F.lit("::n"), text(F.col("p_size") % 20)).alias("original"))
+    path = F.concat(F.when(o % 4 == 0, "my").otherwise("a/"), F.lit("lib/p"), text(o % 300), F.lit(".rs"))
+    main = load(spark, d, "orders").select(o.alias("unit_id"), path.alias("path"), F.concat(F.lit("n"), text(F.col("o_custkey") % 20)).alias("name"), c.alias("start_line"), (c + 5).alias("end_line"))
+    return evaluate.originals(picked, main)
+
+
+_SIDE = "(SELECT {0} AS id, concat('n', {0} % 3) AS name, concat(CASE {0} % 4 WHEN 0 THEN './' WHEN 1 THEN 'repo/' WHEN 2 THEN 'x' ELSE '' END, 'src/f', {0} % 40, '.rs') AS path, concat(CASE {0} % 4 WHEN 1 THEN 'repo/' WHEN 2 THEN 'x' ELSE '' END, 'src/f', {0} % 40, '.rs') AS plain FROM {1})"
+
+
+@query(f"SELECT a.id AS q, b.id AS u FROM {_SIDE.format('c_custkey', 'customer')} a JOIN {_SIDE.format('s_suppkey', 'supplier')} b ON a.name = b.name AND (a.plain = b.plain OR suffix(a.plain, '/' || b.plain) OR suffix(b.plain, '/' || a.plain))")
+def stale_selves(spark, d):
+    def side(table, key):
+        k = F.col(key)
+        path = F.concat(F.when(k % 4 == 0, "./").when(k % 4 == 1, "repo/").when(k % 4 == 2, "x").otherwise(""), F.lit("src/f"), (k % 40).cast("string"), F.lit(".rs"))
+        return load(spark, d, table).select(k.alias("unit_id"), F.concat(F.lit("n"), (k % 3).cast("string")).alias("name"), path.alias("path"))
+
+    return diffs.stale_selves(side("customer", "c_custkey"), side("supplier", "s_suppkey"))
+
+
 # ---- planted passages -----------------------------------------------------------------------------------------------
 
 _EVAL = f"""WITH bv AS (SELECT * FROM {_HASHED.format('item_id', 'benchmark')}), dv AS (SELECT * FROM {_HASHED.format('doc_id', 'documents')}),
@@ -505,9 +555,9 @@ lv AS (SELECT level, count(*) AS n, avg((rank <= 1)::INTEGER) AS recall1, avg((r
 
 def _planted(spark, d):
     bench, docs = load(spark, d, "benchmark"), load(spark, d, "documents")
-    truth = docs.join(bench.select("item_id", F.col("text").alias("passage")), F.col("text").contains(F.col("passage"))).select(F.col("item_id").alias("q"), F.col("doc_id").alias("u"))
-    scores = similar.scored(hashed_tokens(bench, "item_id").withColumnRenamed("item_id", "unit_id"), hashed_tokens(docs, "doc_id").withColumnRenamed("doc_id", "unit_id"))
-    return evaluate.ranks(scores.withColumn("cosine", F.round("cosine", 9)), truth).withColumn("level", F.col("q") % 3 + 1)
+    truth = evaluate.contained(docs.select(F.col("doc_id").alias("u"), "text"), bench.select(F.col("item_id").alias("q"), "text"))
+    vecs = lambda df, i: hashed_tokens(df, i).withColumnRenamed(i, "unit_id")
+    return similar.rank_originals(vecs(bench, "item_id"), vecs(docs, "doc_id"), truth, 9).withColumn("level", F.col("q") % 3 + 1)
 
 
 @query(f"{_EVAL} SELECT q, rank, round(cos_orig, 6) AS cos_orig, round(margin, 6) AS margin, level FROM pl")
