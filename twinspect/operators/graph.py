@@ -81,22 +81,22 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     vertex without an edge to another one has no row. A round takes away a third of a long chain's vertices, and all but the
     centre of a star.
     """
-    now = cut(forests(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b"), 0, chunk))
+    now = cut(forests(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b"), 0, chunk), thin=True)
     levels, seed = [], 0
     while (tasks := max(1, -(-now.count() // chunk))) > 1:
         seed += 1
         trees = forests(now.coalesce(tasks), seed, chunk)
         first = F.min(F.struct("place", "b")).over(Window.partitionBy("a"))["b"]
-        seen = cut(trees.withColumn("first", first).select("a", "b", "first").distinct())
+        seen = cut(trees.withColumn("first", first).select("a", "b", "first").distinct(), thin=True)
         levels.append(seen.where("b = first").select("a", "first"))
-        now = cut(seen.where("b != first").select(F.col("b").alias("a"), F.col("first").alias("b")).distinct())
+        now = cut(seen.where("b != first").select(F.col("b").alias("a"), F.col("first").alias("b")).distinct(), thin=True)
     labels = cut(forests(now.coalesce(1), None, chunk)).select(F.col("a").alias("id"), F.col("b").alias("label"))
     if not levels:
         return labels.withColumnRenamed("label", "component")
     for level in reversed(levels):
         many = level.groupBy("first").agg(F.count("*").alias("many"))
-        known = cut(labels.withColumnRenamed("id", "first").join(many, "first"))
+        known = cut(labels.withColumnRenamed("id", "first").join(many, "first"), thin=True)
         down = join_heavy(level, known, "first", F.col("many") >= heavy_from(level.count()), ["a"], inner=False)
-        labels = cut(down.select(F.col("a").alias("id"), F.coalesce("label", "first").alias("label")))
-    low = cut(labels.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("many")))
+        labels = cut(down.select(F.col("a").alias("id"), F.coalesce("label", "first").alias("label")), thin=True)
+    low = cut(labels.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("many")), thin=True)
     return join_heavy(labels, low, "label", F.col("many") >= heavy_from(labels.count()), ["id"]).select("id", "component")

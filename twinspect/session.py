@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+THIN_FILES = 4
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's reliable checkpoint folder, which spark.checkpoint.dir names.
@@ -28,9 +30,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputation of what lies before."""
+def cut(df: DataFrame, eager: bool = True, thin: bool = False) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, so that a lost executor costs no recomputation of what lies before.
+
+    A checkpoint has a file for each partition. Of thin tables, which aren't read by the key that they were shuffled by, there
+    are at most THIN_FILES files for each core, so that many partitions don't become as many small files.
+    """
     checkpoint_dir(df.sparkSession)
+    if thin:
+        df = df.coalesce(THIN_FILES * max(1, df.sparkSession.sparkContext.defaultParallelism))
     return df.checkpoint(eager)
 
 
