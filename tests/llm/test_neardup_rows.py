@@ -83,7 +83,7 @@ def test_a_few_links_are_settled_without_rounds(spark, monkeypatch):
         own = words(rng, 25)
         rows += [(10 * k, passage + own), (10 * k + 1, passage + changed(rng, own, 24))]
     written, cut, calls = [], graph.cut, []
-    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    monkeypatch.setattr(graph, "cut", lambda df, **options: written.append(1) or cut(df, **options))
     monkeypatch.setattr(neardup, "components", lambda edges: calls.append(1) or graph.components(edges))
     got = {r.doc_id: r.component_id for r in result(spark, rows)}
     assert got == {i: i - i % 10 for i, _ in rows}

@@ -46,7 +46,7 @@ from twinspect.session import cut, load
 K = 32
 LINK = 85  # in hundredths
 EPS = 1e-9
-CHUNK = 128
+CHUNK = 512
 BLOCK_ROWS = 512
 KEY = "key struct<no_id: boolean, doc_id: bigint, k1: bigint, k2: bigint>"
 
@@ -112,7 +112,7 @@ def listed(classes: DataFrame, k: int | None = K, link: int = LINK) -> DataFrame
     k: how many values of a set are there; None: all.
     """
     values = classes.select("rep", "n", F.explode("sketch").alias("value"))
-    often = cut(values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"))
+    often = cut(values.groupBy("value").agg(F.count("*").alias("often")).where("often > 1"), thin=True)
     total = often.agg(F.coalesce(F.sum("often"), F.lit(0))).first()[0]
     shared = join_heavy(values, often, "value", F.col("often") >= heavy_from(total), ["rep"])
     shared = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("shared"), F.sum("often").alias("weight"))  # of one class
@@ -214,10 +214,10 @@ def block_links(ids: list[int], parts: list[int], sets: list[np.ndarray], first:
 def across(mixed: DataFrame, sets: DataFrame, block_rows: int = BLOCK_ROWS, link: int = LINK) -> DataFrame | None:
     """Links (a, b) between components, None if none can be. mixed: rep, component; sets: rep, n, sketch (the whole set)."""
     mine = cut(sets.join(mixed.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).select("rep", "n", "component", "sketch"))
-    lists = cut(listed(mine, None, link).select("value", "rep"))
+    lists = cut(listed(mine, None, link).select("value", "rep"), thin=True)
     lists = lists.join(mine.select(F.col("rep").alias("r"), "component"), F.col("rep") == F.col("r")).select("value", "rep", "component")
     ends = lists.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("rep").alias("low"), F.count("*").alias("many")).where("x != y")
-    ends = cut(ends.select("value", "low", "many"))
+    ends = cut(ends.select("value", "low", "many"), thin=True)
     total = ends.agg(F.sum("many")).first()[0]
     if not total:
         return None
@@ -229,7 +229,7 @@ def across(mixed: DataFrame, sets: DataFrame, block_rows: int = BLOCK_ROWS, link
     levels = rows.groupBy("gathering", "level").agg(F.ceil(F.count("*") / block_rows).alias("blocks"), F.count("*").alias("many"))
     near = lambda d: levels.select("gathering", (F.col("level") + d).alias("level"), F.col("blocks").alias("below" if d > 0 else "above"))
     levels = levels.join(near(1), ["gathering", "level"], "left").join(near(-1), ["gathering", "level"], "left")
-    levels = cut(levels.select(F.struct("gathering", "level").alias("at"), "blocks", "many", F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("above", F.lit(0)).alias("above")))
+    levels = cut(levels.select(F.struct("gathering", "level").alias("at"), "blocks", "many", F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("above", F.lit(0)).alias("above")), thin=True)
     total = levels.agg(F.sum("many")).first()[0]
     rows = join_heavy(rows.withColumn("at", F.struct("gathering", "level")), levels, "at", F.col("many") >= heavy_from(total), ["rep"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
@@ -276,11 +276,11 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     classes = full.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
 
-    lists = cut(listed(classes.select("rep", "n", "sketch"), link=link))
+    lists = cut(listed(classes.select("rep", "n", "sketch"), link=link), thin=True)
     typical = F.max_by("rep", F.struct(F.col("weight"), -F.col("rep")))
-    ends = cut(lists.groupBy("value").agg(F.count("*").alias("members"), F.min("rep").alias("low"), typical.alias("mid")).where("members > 1"))
+    ends = cut(lists.groupBy("value").agg(F.count("*").alias("members"), F.min("rep").alias("low"), typical.alias("mid")).where("members > 1"), thin=True)
     total = ends.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    lists = cut(join_heavy(lists, ends, "value", F.col("members") >= heavy_from(total), ["rep"]).select("value", "rep", "low", "mid", "members"))
+    lists = cut(join_heavy(lists, ends, "value", F.col("members") >= heavy_from(total), ["rep"]).select("value", "rep", "low", "mid", "members"), thin=True)
 
     wanted = lists.select(F.col("rep").alias("r")).distinct()
     wanted = cut(classes.join(wanted, F.col("rep") == F.col("r")).select("rep", "n", "sketch", "first"))
@@ -292,25 +292,25 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     pairs = lists.select("rep", leaders).where("rep != lead").distinct()
     pairs = cut(pairs.join(wanted.select(F.col("rep").alias("r"), F.col("n").alias("na"), F.col("sketch").alias("sa")), F.col("rep") == F.col("r")).drop("r"))
     leads = pairs.groupBy("lead").agg(F.count("*").alias("of_lead")).join(wanted.select(F.col("rep").alias("r"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), F.col("lead") == F.col("r")).drop("r")
-    passed = join_heavy(pairs, cut(leads), "lead", F.col("of_lead") >= heavy_from(pairs.count()), ["rep"])
-    passed = cut(passed.where(may_link(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), link=link)).select("rep", "lead", "of_lead"))
-    links = cut(confirmed(passed, sets, link))
+    passed = join_heavy(pairs, cut(leads, thin=True), "lead", F.col("of_lead") >= heavy_from(pairs.count()), ["rep"])
+    passed = cut(passed.where(may_link(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), link=link)).select("rep", "lead", "of_lead"), thin=True)
+    links = cut(confirmed(passed, sets, link), thin=True)
     found = components(links)
 
     mixed = lists.where("members > 2").select("value", "rep", "members").join(found.withColumnRenamed("id", "v"), F.col("rep") == F.col("v"), "left")
     mixed = mixed.select("value", "rep", "members", F.coalesce("component", "rep").alias("component"))
-    split = cut(mixed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("members").alias("members")).where("x != y").select("value", "members", F.lit(1).alias("one")))
+    split = cut(mixed.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.first("members").alias("members")).where("x != y").select("value", "members", F.lit(1).alias("one")), thin=True)
     total = split.agg(F.sum("members")).first()[0]
     if total:
         mixed = join_heavy(mixed.drop("members"), split, "value", F.col("members") >= heavy_from(total), ["rep"]).select("rep", "component").distinct()
         more = across(mixed, sets, link=link)
-        if more is not None and not (more := cut(more)).isEmpty():
+        if more is not None and not (more := cut(more, thin=True)).isEmpty():
             found = components(links.unionByName(more))
 
     labelled = classes.select("rep", "digest", "first", "copies").join(found.withColumnRenamed("id", "v"), F.col("rep") == F.col("v"), "left").withColumn("component", F.coalesce("component", "rep"))
     low = labelled.groupBy("component").agg(F.min("first").alias("low"), F.count("*").alias("many"))
-    labelled = join_heavy(labelled, cut(low), "component", F.col("many") >= heavy_from(classes.count()), ["rep"])
-    labelled = cut(labelled.select("digest", "copies", "low"))
+    labelled = join_heavy(labelled, cut(low, thin=True), "component", F.col("many") >= heavy_from(classes.count()), ["rep"])
+    labelled = cut(labelled.select("digest", "copies", "low"), thin=True)
     own = join_heavy(table.select("key", "n_shingles", "digest"), labelled, "digest", F.col("copies") >= heavy_from(table.count()), ["key"], inner=False)
     low = F.coalesce("low", "key")
     kept = F.when(F.col("key.no_id"), F.col("key") == low).otherwise(F.col("key.doc_id") == low["doc_id"])
