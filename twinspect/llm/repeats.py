@@ -197,7 +197,7 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int, hot: int, block: i
     runs = texts.select("k1", "k2", "text", "copies").mapInArrow(find_runs, f"v long, {KEYS}, lo int, hi int, many boolean")
     seen = runs.groupBy("v").agg(F.count("*").alias("n"), F.max("many").alias("any"), F.sum(F.col("hi") - F.col("lo") + length).alias("size")).where("n > 1 OR any").select("v", (F.col("size") > hot).alias("hot"), "n")
     seen = cut(seen, thin=True)
-    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, any_hot = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.bool_or("hot"), F.lit(False))).first()
     found = join_heavy(runs.drop("many"), seen, "v", F.col("n") >= heavy_from(total), ["k1", "lo"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("v", "lo", "hi", "hot")).alias("runs"))  # of one text
     cuts = {"v": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "lo": pa.int32(), "piece": pa.binary(), "h1": pa.int64(), "h2": pa.int64()}
 
@@ -266,7 +266,9 @@ def repeated_ranges(texts: DataFrame, length: int, gram: int, hot: int, block: i
 
     gathered = pieces.where("v IS NOT NULL").select("v", "k1", "k2", "lo", "piece").repartition("v").sortWithinPartitions("v")
     by_block = gathered.mapInArrow(expand, f"{KEYS}, lo long, hi long")
-    single = pieces.where("h1 IS NOT NULL").select(F.struct("h1", "h2").alias("h"), "k1", "k2", "lo")
+    if not any_hot:
+        return by_block
+    single = cut(pieces.where("h1 IS NOT NULL").select(F.struct("h1", "h2").alias("h"), "k1", "k2", "lo"))
     often = cut(single.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), thin=True)
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     by_window = join_heavy(single, often, "h", F.col("n") >= heavy_from(total), ["k1", "lo"]).select("k1", "k2", F.col("lo").cast("long").alias("lo"), (F.col("lo") + length).cast("long").alias("hi"))
