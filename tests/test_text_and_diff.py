@@ -104,5 +104,5 @@ def test_report(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     assert report.summary_of_file(str(tmp_path / "bad.json"))[1] == 1
     line = spark.range(1).select(report.annotation(F.lit("DUP"), F.lit("a,b.rs:3-9 f"), F.lit("0.9 x"))).first()[0]
-    assert line == "::error file=a%2Cb.rs,line=3,endLine=9,title=twinspect dup::DUP: nearest duplicate 0.9 x"
+    assert line == "::error file=a%2Cb.rs,line=3,endLine=9,title=twinspect dup::DUP: closest unit 0.9 x"
     assert spark.range(1).select(report.annotation(F.lit("ok"), F.lit("a.rs:3-9 f"), F.lit(""))).first()[0] is None

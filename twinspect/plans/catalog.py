@@ -6,9 +6,10 @@ even), `lineitem` rows are spans, `documents` are texts, and paths are put toget
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from twinspect.functions import text as T
@@ -16,7 +17,8 @@ from twinspect.functions.vectors import normalized
 from twinspect.operators import clusters as C
 from twinspect.operators import diffs, evaluate, overlap, similar
 from twinspect.operators.embedding import hashed_tokens
-from twinspect.session import load
+from twinspect.session import checkpoint_dir, load
+from twinspect.sources.store import MAIN, UnitStore
 
 THRESHOLD = 0.40
 TEXT_THRESHOLD = 0.95
@@ -102,6 +104,98 @@ def first_text_per_hash(spark, d):
     return load(spark, d, "documents").groupBy(T.content_hash(F.col("text")).alias("hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
+# ---- the store itself: the tables above go in, the commands' reads come out -----------------------------------------
+
+_MODEL = "hashed"
+
+
+def _as_units(spark, d, rows):
+    """Documents as extracted units: one each, in files of their own."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    return rows.select(
+        F.concat(F.lit("d"), (k % 7).cast("string"), F.lit("/f"), k.cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("n"), k.cast("string")).alias("name"), "lang",
+        F.when(k % 5 == 0, "block").otherwise("function").alias("unit_kind"), F.lit(1).alias("start_line"), (k % 40 + 1).cast("int").alias("end_line"),
+        T.effective_lines(text).cast("int").alias("effective_lines"), T.content_hash(text).alias("hash"), text.alias("text"), "ignored", "is_test",
+    )
+
+
+def _new_store(spark, d):
+    """A store in the checkpoint folder: documents with a label are the corpus main, every third of all is in the corpus other."""
+    store = UnitStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    store.replace_corpus(MAIN, _as_units(spark, d, _stored(spark, d)))
+    others = load(spark, d, "documents").where("doc_id % 3 = 0").withColumns({"ignored": F.lit(False), "is_test": F.lit(False)})
+    store.replace_corpus("other", _as_units(spark, d, others))
+    return store
+
+
+def _embedded(store, model=_MODEL):
+    store.add_embeddings(model, hashed_tokens(store.pending(model), "hash"))
+    return store
+
+
+_ID = "concat('n', doc_id)"
+_KIND = "CASE WHEN doc_id % 5 = 0 THEN 'block' ELSE 'function' END"
+_MAIN_ROWS = f"(SELECT doc_id, lang, text, sha256(text) AS hash, {_KIND} AS unit_kind, quality = 0 AS ignored, toxic = 1 AS is_test FROM documents JOIN labels USING (doc_id))"
+
+
+@query(f"SELECT {_ID} AS name, lang, unit_kind, hash, ignored, is_test, 256 AS dim FROM {_MAIN_ROWS}")
+def store_load(spark, d):
+    return _embedded(_new_store(spark, d)).load(MAIN, _MODEL).select("name", "lang", "unit_kind", "hash", "ignored", "is_test", F.size("vec").alias("dim"))
+
+
+@query(f"SELECT {_ID} AS name FROM {_MAIN_ROWS} WHERE NOT ignored AND NOT is_test AND unit_kind = 'function' AND {_EFFECTIVE} >= 2")
+def store_scannable(spark, d):
+    return _embedded(_new_store(spark, d)).scannable(MAIN, _MODEL, 2, True, "function").select("name")
+
+
+@query(f"SELECT count(*) AS units, count(*) FILTER (ignored) AS ignored, count(*) FILTER (NOT ignored AND NOT is_test AND {_EFFECTIVE} >= 2) AS kept FROM {_MAIN_ROWS}")
+def store_scan_counts(spark, d):
+    seen = Observation()
+    _embedded(_new_store(spark, d)).scannable(MAIN, _MODEL, 2, True, None, seen).count()  # the counts come from this pass
+    return spark.range(1).select(*[F.lit(seen.get[c]).cast("long").alias(c) for c in ("units", "ignored", "kept")])
+
+
+@query(f"SELECT {_ID} AS name FROM {_MAIN_ROWS} WHERE ignored AND unit_kind = 'block'")
+def store_ignored(spark, d):
+    return _embedded(_new_store(spark, d)).ignored(MAIN, _MODEL, "block").select("name")
+
+
+@query("SELECT DISTINCT sha256(text) AS hash, text FROM documents WHERE doc_id % 3 = 0 OR doc_id IN (SELECT doc_id FROM labels)")
+def store_texts(spark, d):
+    return _new_store(spark, d).texts
+
+
+@query(f"SELECT DISTINCT hash FROM {_MAIN_ROWS} WHERE hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+def store_pending(spark, d):
+    store = _new_store(spark, d)
+    mine = store.units_of("other").select("hash").distinct()
+    store.add_embeddings(_MODEL, hashed_tokens(store.pending(_MODEL).join(mine, "hash", "left_semi"), "hash"))
+    return store.pending(_MODEL).select("hash")
+
+
+@query(
+    f"""SELECT 'main' AS corpus, lang, unit_kind, count(*) AS count FROM {_MAIN_ROWS} WHERE doc_id % 2 = 0 GROUP BY ALL
+UNION ALL SELECT 'again', lang, {_KIND}, count(*) FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = 1 GROUP BY ALL"""
+)
+def store_replaced(spark, d):
+    """Corpora replaced, dropped, and replaced by nothing."""
+    store, rows = _new_store(spark, d), _stored(spark, d)
+    store.replace_corpus(MAIN, _as_units(spark, d, rows.where("doc_id % 2 = 0")))
+    for name in ("again", "gone", "emptied"):
+        store.replace_corpus(name, _as_units(spark, d, rows.where("doc_id % 2 = 1")))
+    store.drop_corpus("gone")
+    store.replace_corpus("emptied", _as_units(spark, d, rows.limit(0)))
+    store.drop_corpus("other")
+    return store.status()[0]
+
+
+@query(f"SELECT '{_MODEL}' AS model, count(DISTINCT sha256(text)) AS count FROM documents WHERE doc_id % 3 = 0 OR doc_id IN (SELECT doc_id FROM labels)")
+def store_models(spark, d):
+    store = _embedded(_new_store(spark, d))
+    store.add_embeddings(_MODEL, store.embeddings_of(_MODEL).select("hash", "vec"))  # known hashes aren't added twice
+    return store.status()[1]
+
+
 _DOCLINE = "CASE (doc_id + k) % 7 WHEN 0 THEN '/// ' WHEN 1 THEN '  //! ' WHEN 2 THEN '/** ' WHEN 4 THEN '*/ ' WHEN 5 THEN '// ' ELSE '' END"
 
 
@@ -418,6 +512,28 @@ def pairs_json(spark, d):
     return p.select(F.to_json(F.struct(F.concat(F.lit("u"), F.col("i").cast("string")).alias("a"), F.concat(F.lit("u"), F.col("j").cast("string")).alias("b"), F.round("cosine", 4).alias("cosine"))).alias("json"))
 
 
+_SCANNED = f"(SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality <> 0 AND {_EFFECTIVE} >= 1)"
+
+
+@query(
+    f"""WITH RECURSIVE v AS (SELECT * FROM {_HASHED.format('doc_id', _SCANNED)}),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j FROM v a JOIN v b ON a.b = b.b AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) >= {TEXT_THRESHOLD}), {_LABELS.format('', 'p')},
+n AS (SELECT cluster_id, count(*) AS n_members, max(unit_id % 40 + 1) AS max_span FROM lab GROUP BY 1)
+SELECT concat('n', unit_id) AS name, concat('n', cluster_id) AS cluster, n_members, max_span::BIGINT AS max_span FROM lab JOIN n USING (cluster_id)"""
+)
+def store_scan(spark, d):
+    """The scan command over a store: members by name, clusters by their smallest document."""
+    from twinspect.plans.engine import Engine
+    from twinspect.sources.files import Config, EmbedConfig
+
+    engine = Engine(spark, Config(db=_embedded(_new_store(spark, d)).folder, embed=EmbedConfig(model=_MODEL)))
+    out = engine.scan(TEXT_THRESHOLD, refresh=False, min_lines=1, skip_tests=False, min_cluster=2)
+    named = out["members"].select("unit_id", "cluster_id").join(out["units"].select("unit_id", F.substring("name", 2, 20).cast("long").alias("doc_id")), "unit_id")
+    first = named.groupBy("cluster_id").agg(F.concat(F.lit("n"), F.min("doc_id").cast("string")).alias("cluster"))
+    sizes = out["clusters"].select("cluster_id", "n_members", "max_span")
+    return named.join(first, "cluster_id").join(sizes, "cluster_id").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"), "cluster", "n_members", "max_span")
+
+
 # ---- changes against a corpus ---------------------------------------------------------------------------------------
 
 
@@ -482,7 +598,7 @@ def verdict_counts(spark, d):
 
 @query(
     f"""WITH {_SIDES}, v AS ({_verdict_sql(f'cos1 >= {THRESHOLD}')}), t AS (SELECT v.q, verdict, u, cosine FROM v JOIN rk ON rk.q = v.q AND rank = 1)
-SELECT q, concat('::', CASE WHEN verdict = 'DUP' THEN 'error' ELSE 'warning' END, ' file=f', q % 3, ',line=', q % 10, ',endLine=', q % 10 + q % 40, ',title=twinspect ', lower(verdict), '::', verdict, ': nearest duplicate ', printf('%.4f', cosine), ' u', u) AS annotation FROM t WHERE verdict <> 'ok'"""
+SELECT q, concat('::', CASE WHEN verdict = 'DUP' THEN 'error' ELSE 'warning' END, ' file=f', q % 3, ',line=', q % 10, ',endLine=', q % 10 + q % 40, ',title=twinspect ', lower(verdict), '::', verdict, ': closest unit ', printf('%.4f', cosine), ' u', u) AS annotation FROM t WHERE verdict <> 'ok'"""
 )
 def annotations(spark, d):
     q, c, s = _sides(spark, d)

@@ -10,7 +10,7 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinspect.functions.text import is_excluded
@@ -88,15 +88,17 @@ class Engine:
 
     # -- scan
 
-    def scan(self, threshold: float | None = None, refresh: bool = True, index: str | None = None, min_lines: int | None = None, skip_tests: bool | None = None, unit_kind: str | None = None, min_cluster: int | None = None) -> dict[str, DataFrame]:
-        """members, pairs and ordered summaries of the clusters that stay, summaries of every cluster, and hidden overlaps."""
+    def scan(self, threshold: float | None = None, refresh: bool = True, index: str | None = None, min_lines: int | None = None, skip_tests: bool | None = None, unit_kind: str | None = None, min_cluster: int | None = None) -> dict:
+        """members, pairs and ordered summaries of the clusters that stay, summaries of every cluster, hidden overlaps, and the counts of
+        units, ignored and kept ones, from the pass that reads the units."""
         s = self.config.scan
         threshold = s.threshold if threshold is None else threshold
         if threshold is None:
             raise ValueError("a scan needs a threshold")
         if refresh and self.config.extract.roots:
             self.refresh()
-        rows = self.store.scannable(MAIN, self.model, s.min_lines if min_lines is None else min_lines, s.skip_tests if skip_tests is None else skip_tests, unit_kind or s.unit_kind)
+        seen = Observation()
+        rows = cut(self.store.scannable(MAIN, self.model, s.min_lines if min_lines is None else min_lines, s.skip_tests if skip_tests is None else skip_tests, unit_kind or s.unit_kind, seen))
         units = cut(overlap.drop_overlapping_blocks(rows))
         pairs = similar.similar_pairs(units, threshold, index or s.index)
         members, left, before = clusters.pruned(pairs, units)
@@ -104,9 +106,9 @@ class Engine:
         every = clusters.summary(members, left)
         summaries = clusters.ordered(every, min_members=least)
         kept = members.join(summaries.select("cluster_id"), "cluster_id", "left_semi")
-        return {"members": kept, "pairs": left.join(kept.select(F.col("unit_id").alias("i")), "i", "left_semi"), "clusters": summaries, "every": every, "hidden": clusters.hidden_overlaps(members, before), "units": units}
+        return {"members": kept, "pairs": left.join(kept.select(F.col("unit_id").alias("i")), "i", "left_semi"), "clusters": summaries, "every": every, "hidden": clusters.hidden_overlaps(members, before), "units": units, "counts": seen.get}
 
-    def scan_report(self, found: dict[str, DataFrame], top: int = 50, bodies: bool = False) -> str:
+    def scan_report(self, found: dict, top: int = 50, bodies: bool = False) -> str:
         """The first `top` clusters as text; only their members, bodies and the pairs that are shown are fetched."""
         total = found["clusters"].count()
         named = labels(found["units"]).select("unit_id", "label", "hash", "lang")
@@ -118,21 +120,24 @@ class Engine:
         place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("cosine"), "i", "j"))
         pairs = theirs.withColumn("place", place).where(F.col("place") <= report.MAX_PAIRS).join(a, "i").join(b, "j")
         by_cluster, by_pair = {}, {}
-        for r in members.orderBy("unit_id").collect():
+        n_members = {r["cluster_id"]: r["n"] for r in members.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()}
+        nth = F.row_number().over(Window.partitionBy("cluster_id").orderBy("unit_id"))
+        shown = cut(members.withColumn("nth", nth).where(F.col("nth") <= report.MAX_MEMBERS))
+        for r in shown.orderBy("unit_id").collect():
             by_cluster.setdefault(r["cluster_id"], []).append(r)
         for r in pairs.orderBy(F.desc("cosine"), "i", "j").collect():
             by_pair.setdefault(r["cluster_id"], []).append({"a": r["label_i"], "b": r["label_j"], "cosine": r["cosine"]})
         out = []
         for c in first.orderBy("place").collect():
             rows = by_cluster[c["cluster_id"]]
-            out.append({"labels": [r["label"] for r in rows], "hashes": [r["hash"] for r in rows], "langs": [r["lang"] for r in rows], "pairs": by_pair[c["cluster_id"]], "n_pairs": n_pairs[c["cluster_id"]], "hidden_overlaps": c["hidden_overlaps"] or 0})
+            out.append({"labels": [r["label"] for r in rows], "hashes": [r["hash"] for r in rows], "langs": [r["lang"] for r in rows], "pairs": by_pair[c["cluster_id"]], "more_members": n_members[c["cluster_id"]] - len(rows), "n_pairs": n_pairs[c["cluster_id"]], "hidden_overlaps": c["hidden_overlaps"] or 0})
         texts = None
         if bodies:
-            wanted = members.select("hash").distinct()
+            wanted = shown.select("hash").distinct()
             texts = {r["hash"]: r["text"] for r in self.store.texts.join(wanted, "hash", "left_semi").collect()}
         return report.scan_text(out, found["pairs"].count(), found["every"].count() - total, texts, total - len(out))
 
-    def pairs_json(self, found: dict[str, DataFrame], path: str) -> None:
+    def pairs_json(self, found: dict, path: str) -> None:
         """All retained pairs as {a, b, cosine} lines."""
         named = labels(found["units"]).select("unit_id", "label")
         a, b = (named.select(F.col("unit_id").alias(x), F.col("label").alias(y)) for x, y in (("i", "a"), ("j", "b")))
@@ -162,7 +167,7 @@ class Engine:
         changed = cut(self.touched(folder, base, min_lines, skip_tests))
         if changed.isEmpty():
             return []
-        cached = self.store.embeddings.where(F.col("model") == self.model).select("hash", "vec")
+        cached = self.store.embeddings_of(self.model).select("hash", "vec")
         texts = changed.select("hash", "text").dropDuplicates(["hash"]).join(cached.select("hash"), "hash", "left_anti")
         have = changed.join(cached, "hash").select("unit_id", F.col("vec").cast("array<double>").alias("vec"))
         fresh = changed.join(self.vectors(texts), "hash").select("unit_id", "vec")

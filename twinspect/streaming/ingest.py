@@ -21,8 +21,8 @@ def ingest(stream: DataFrame, store: UnitStore, model: str, checkpoint: str, emb
         rows = batch.where("text IS NOT NULL").select(content_hash(F.col("text")).alias("hash"), "text").groupBy("hash").agg(F.min("text").alias("text"))
         rows = rows.persist()
         try:
-            rows.join(store.texts.select("hash"), "hash", "left_anti").write.mode("append").parquet(f"{store.folder}/texts")
-            done = store.embeddings.where(F.col("model") == model).select("hash")
+            store.add_texts(rows)
+            done = store.embeddings_of(model).select("hash")
             todo = rows.join(done, "hash", "left_anti").select("hash", embed_text(F.col("text")).alias("text"))
             store.add_embeddings(model, embed(todo))
         finally:
