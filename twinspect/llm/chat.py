@@ -1,9 +1,9 @@
 """Reply trees to conversations: paths by iterative self-joins, branches ranked by score, a reversible chat template.
 
 A table of messages holds trees: each message names its parent. Jump tables (the 1st, 2nd, 4th, ... ancestor) come from
-self-joins of the table before, as often as it takes until none is left; a path from a leaf to its root is then the
-leaf's rows under these jumps, each ancestor once. Branches are ranked in their tree by mean score (then depth, then leaf)
-and the chosen paths are formatted, each as one conversation:
+self-joins of the table before, as often as it takes until none is left, and carry the sums of scores that they jump over. By
+these each leaf, one row, gets the depth and the mean score of its path; branches are ranked in their tree by mean score (then
+depth, then leaf), and only the paths that are chosen are enumerated, each ancestor once, and formatted, each as one conversation:
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -22,7 +22,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinspect.session import cut, load
@@ -66,43 +66,78 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def leaf_paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): every node of every root-to-leaf path, up steps above the leaf. messages: tree, node, parent."""
-    own = cut(messages.select("tree", "node", "parent").dropDuplicates(["tree", "node"]))
+def _same(a: DataFrame, b: DataFrame, node: str) -> Column:
+    """Rows of a whose tree and `node` are b's t and n; null trees are equal."""
+    return a["tree"].eqNullSafe(b["t"]) & (a[node] == b["n"])
+
+
+def _messages(messages: DataFrame) -> DataFrame:
+    return messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).dropDuplicates(["tree", "node"])
+
+
+def jump_tables(own: DataFrame) -> list[DataFrame]:
+    """Tables (tree, node, above, total) of the 1st, 2nd, 4th, ... ancestor, with the scores from the node up to below that ancestor.
+
+    Each comes from a self-join of the one before. They end where none is left, or where only messages on or below cycles are.
+    """
     ids = own.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    links = own.join(ids, own["tree"].eqNullSafe(ids["t"]) & (own["parent"] == ids["n"])).select("tree", "node", F.col("parent").alias("above"))
-    jumps, cyclic = [cut(links)], False
-    while not jumps[-1].isEmpty() and len(jumps) < 40:
+    jumps = [cut(own.join(ids, _same(own, ids, "parent")).select("tree", "node", F.col("parent").alias("above"), F.col("score").alias("total")))]
+    sizes = [jumps[0].count()]
+    while sizes[-1] and (len(sizes) < 3 or sizes[-1] < sizes[-2]):  # only cycles never thin out
         a = jumps[-1]
-        b = a.select(F.col("tree").alias("t"), F.col("node").alias("mid"), F.col("above").alias("top"))
-        jumps.append(cut(a.join(b, a["tree"].eqNullSafe(b["t"]) & (a["above"] == b["mid"])).select("tree", "node", F.col("top").alias("above"))))
-        if len(jumps) > 2 and not jumps[-1].isEmpty() and jumps[-1].count() == jumps[-2].count():  # only cycles never thin out
-            cyclic = True
-            break
-    inner = links.select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
-    leaves = own.join(inner, own["tree"].eqNullSafe(inner["t"]) & (own["node"] == inner["n"]), "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+        b = a.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("top"), F.col("total").alias("more"))
+        jumps.append(cut(a.join(b, _same(a, b, "above")).select("tree", "node", F.col("top").alias("above"), (F.col("total") + F.col("more")).alias("total"))))
+        sizes.append(jumps[-1].count())
+    return jumps
+
+
+def leaves(own: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, depth, mean_score) of every leaf that reaches a root; depth counts the messages above it.
+
+    A leaf goes up by the largest jumps first and takes the sums of scores along, so it is one row all the way.
+    """
+    inner = jumps[0].select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
+    at = own.join(inner, _same(own, inner, "node"), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"), F.lit(0.0).alias("total"))
+    for k in range(len(jumps) - 1, -1, -1):
+        j = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "above", F.col("total").alias("more"))
+        up = at.join(j, _same(at, j, "node"), "left")
+        moved = F.col("above").isNotNull()
+        at = cut(up.select("tree", "leaf", F.coalesce("above", "node").alias("node"), (F.col("depth") + F.when(moved, F.lit(2**k)).otherwise(0)).alias("depth"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")))
+    has_parent = jumps[0].select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    rooted = at.join(has_parent, _same(at, has_parent, "node"), "left_anti")  # the others end on a cycle
+    roots = own.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
+    return rooted.join(roots, _same(rooted, roots, "node")).select("tree", "leaf", "depth", ((F.col("total") + F.col("score")) / (F.col("depth") + 1)).alias("mean_score"))
+
+
+def expanded(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, branch, node, up): every message of the paths of chosen leaves (tree, leaf, branch), up steps above the leaf."""
+    paths = chosen.select("tree", "leaf", "branch", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for k in range(len(jumps) - 1, -1, -1):
         j = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "above")
-        far = paths.join(j, paths["tree"].eqNullSafe(j["t"]) & (paths["node"] == j["n"])).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
+        far = paths.join(j, _same(paths, j, "node")).select("tree", "leaf", "branch", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up"))
         paths = cut(paths.unionByName(far))
-    if cyclic:
-        roots = own.join(links.select(F.col("tree").alias("t"), F.col("node").alias("n")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
-        roots = roots.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-        ended = paths.join(roots, paths["tree"].eqNullSafe(roots["t"]) & (paths["node"] == roots["n"])).select(F.col("tree").alias("t"), F.col("leaf").alias("l")).distinct()
-        paths = paths.join(ended, paths["tree"].eqNullSafe(ended["t"]) & (paths["leaf"] == ended["l"]), "left_semi")
     return paths
 
 
+def leaf_paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up): every message of every root-to-leaf path, a row for each; choose_paths doesn't need them all."""
+    own = cut(_messages(messages))
+    jumps = jump_tables(own)
+    return expanded(cut(leaves(own, jumps).withColumn("branch", F.lit(None).cast("int"))), jumps).select("tree", "leaf", "node", "up")
+
+
 def choose_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """The `keep` best branches of each tree. messages: tree, node, parent, role, text, score (null: 0). Returns tree, leaf, branch, up, role, text."""
-    paths = leaf_paths(messages)
-    what = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "parent", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).dropDuplicates(["t", "n"])
-    rows = paths.join(what, paths["tree"].eqNullSafe(what["t"]) & (paths["node"] == what["n"])).drop("t", "n")
-    branches = rows.groupBy("tree", "leaf").agg(F.avg("score").alias("mean_score"), F.max("up").alias("depth"))
+    """The `keep` best branches of each tree. messages: tree, node, parent, role, text, score (null: 0). Returns tree, leaf, branch, up, role, text.
+
+    Leaves are ranked by sums that the jump tables carry; only the paths that are chosen are written out.
+    """
+    own = cut(_messages(messages))
+    jumps = jump_tables(own)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean_score"), F.desc("depth"), "leaf"))
-    best = branches.withColumn("branch", rank).where(F.col("branch") <= keep).select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "branch")
-    return rows.join(best, rows["tree"].eqNullSafe(best["t"]) & (rows["leaf"] == best["l"])).select("tree", "leaf", "branch", "up", "role", "text")
+    best = cut(leaves(own, jumps).withColumn("branch", rank).where(F.col("branch") <= keep).select("tree", "leaf", "branch"))
+    paths = expanded(best, jumps)
+    what = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text").dropDuplicates(["t", "n"])
+    return paths.join(what, _same(paths, what, "node")).select("tree", "leaf", "branch", "up", "role", "text")
 
 
 def format_paths(chosen: DataFrame) -> DataFrame:
