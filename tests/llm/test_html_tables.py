@@ -45,17 +45,17 @@ def test_spans_against_a_grid():
                 while (y, x) in taken:
                     x += 1
                 at[n] = (y, x)
-                page += f"<td colspan={across} rowspan={down}>{chr(0x4E00 + n)}"
+                page += f"<td colspan={across} rowspan={down}>{chr(0x100 + n)}"
                 taken |= {(y + b, x + a) for a in range(across) for b in range(down)}
                 x, n = x + across, n + 1
         lines = htmltext.text_of(f"<table>{page}</table>").split("\n")
         shown = {c: (y, x) for y, line in enumerate(lines) for x, c in enumerate(line) if c != " "}
-        assert len(shown) == n and all(shown[chr(0x4E00 + k)][0] == y for k, (y, _) in at.items())
+        assert len(shown) == n and all(shown[chr(0x100 + k)][0] == y for k, (y, _) in at.items())
         order = lambda places: [[k for k, _ in sorted(places.items(), key=lambda p: p[1][1]) if places[k][0] == y] for y in range(len(rows))]
-        assert order({k: shown[chr(0x4E00 + k)] for k in at}) == order(at)
+        assert order({k: shown[chr(0x100 + k)] for k in at}) == order(at)
         by_column = {}
         for k, (_, x) in at.items():
-            by_column.setdefault(x, set()).add(shown[chr(0x4E00 + k)][1])
+            by_column.setdefault(x, set()).add(shown[chr(0x100 + k)][1])
         assert all(len(v) == 1 for v in by_column.values())
 
 
@@ -64,3 +64,25 @@ def test_deep_pages_take_time_by_their_length():
     assert htmltext.text_of("<b>" * 100_000 + "<p>x<div>y" * 2_000).count("y") == 2_000
     assert htmltext.text_of("<table><tr><td>" * 3_000 + "x") == "x" and htmltext.text_of("<div hidden>" * 100_000 + "x") == ""
     assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<table><b>out</b><tr><td>in</table>", "out\n\nin"),
+    ("<p>a</p><table>stray<tr><td>x<td>y</table>b", "a\n\nstray\n\nx  y\n\nb"),
+    ("<details><summary>more</summary><p>unseen</p></details>end", "more\nend"),
+    ("<details open><summary>more</summary>seen</details>end", "more\nseen\nend"),
+    ("<details>unseen</details>end", "end"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol reversed start=10><li>a<li value=5>b<li>c</ol>", "10. a\n5. b\n4. c"),
+    ("<textarea>\n one\n two</textarea>", " one\n two"),
+    ("<pre>\r\n one</pre>", " one"),
+    ("<table><tr><td>日本<td>x<tr><td>abc<td>y</table>", "日本  x\nabc   y"),
+    ("<table><tr><td>e\u0301\u0301<td>x<tr><td>ab<td>y</table>", "e\u0301\u0301   x\nab  y"),
+])
+def test_layout_of_odd_places(page, want):
+    assert htmltext.text_of(page) == want
+
+
+def test_deep_nesting_is_linear():
+    for part in ("<blockquote>x", "<table><tr><td>x", "<div>x", "<ul><li>x", "<span>x"):
+        assert htmltext.text_of(part * 5000).count("x") == 5000

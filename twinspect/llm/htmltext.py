@@ -3,18 +3,21 @@
 The builder follows the main rules of HTML: void elements, raw text elements, start tags that close a paragraph, list item,
 definition, option, table cell, row or section, end tags that close what is open inside them, and table parts that imply
 rows. Nothing is shown of head, script, style, template and similar elements, of elements with the attribute hidden (unless
-their style sets another display) or display:none, of closed dialogs, and of comments. Text below visibility:hidden is left
-out, but not that of elements inside it which are visible again.
+their style sets another display) or display:none, of closed dialogs, of closed details but for their summary, and of
+comments. Text below visibility:hidden is left out, but not that of elements inside it which are visible again. Styles are those
+of style attributes; style sheets are not read.
 
 The renderer collapses white space outside pre and textarea, sets blocks on lines of their own and paragraphs, headings,
-lists, tables and the like apart by an empty line, marks list items ("- ", or numbers from start and value) with the text
-of nested lists indented, breaks lines at br, and lays tables out in aligned columns two spaces apart, cells of several
-lines included. A cell that spans columns widens the last of them if need be; one that spans rows keeps its columns free in
+lists, tables and the like apart by an empty line, marks list items ("- ", or numbers from start, value and reversed) with the
+text of nested lists indented, breaks lines at br, and lays tables out in aligned columns two spaces apart, cells of several
+lines included; wide East Asian characters take two places, combining ones none. What stands in a table outside its cells
+comes before it. A cell that spans columns widens the last of them if need be; one that spans rows keeps its columns free in
 these, up to the end of its row group.
 
 Defined cases: a null page gives a null text, an empty one an empty text; broken markup never fails (what follows a tag or
 comment that never ends is dropped, as browsers do); nesting is walked without recursion, and below MAX_DEPTH open elements
-what an element holds is laid out beside it, with its visibility kept; repeated rows are extracted each; other columns are
+what an element holds is laid out beside it, with its visibility kept (browsers have such a bound too; without it the indents of a
+page of nested quotes, or the cells of nested tables, would grow with the square of the page); repeated rows are extracted each; other columns are
 not looked at.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import defaultdict
 
 import pyarrow as pa
@@ -198,6 +202,8 @@ def tree(page: str) -> Node:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
             upto = end.start() if end else n
             if tag in ("title", "textarea"):
+                if tag == "textarea":  # its first line feed is none of its text
+                    at += 2 if page.startswith("\r\n", at) else page.startswith(("\n", "\r"), at)
                 stack[-1].kids.append(html.unescape(page[at:upto]))
             elif tag == "xmp":
                 stack[-1].kids.append(page[at:upto])
@@ -205,8 +211,8 @@ def tree(page: str) -> Node:
                 pop()
             gt = page.find(">", upto)
             at = n if gt < 0 else gt + 1
-        elif tag == "pre" and page[at : at + 1] == "\n":
-            at += 1
+        elif tag in ("pre", "listing"):
+            at += 2 if page.startswith("\r\n", at) else page.startswith(("\n", "\r"), at)
     return root
 
 
@@ -275,6 +281,13 @@ def _number(value: str | None, default: int) -> int:
         return default
 
 
+def places(s: str) -> int:
+    """How many places of a line a string takes."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Me", "Mn", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
 def laid_out(rows: list[list[tuple[str, int, int]]], groups: list[int]) -> list[str]:
     """Lines of a table from rows of (cell text, columns and rows it spans); groups: the rows that begin a row group."""
     placed: list[list[tuple[int, int, list[str]]]] = []
@@ -301,9 +314,9 @@ def laid_out(rows: list[list[tuple[str, int, int]]], groups: list[int]) -> list[
     for cells in placed:
         for a, b, lines in cells:
             if column[b] == column[a] + 1:
-                widths[column[a]] = max(widths[column[a]], *map(len, lines))
+                widths[column[a]] = max(widths[column[a]], *map(places, lines))
             else:
-                wide.append((column[b] - column[a], column[a], max(map(len, lines))))
+                wide.append((column[b] - column[a], column[a], max(map(places, lines))))
     for n, a, need in sorted(wide):
         widths[a + n - 1] += max(0, need - sum(widths[a : a + n]) - 2 * (n - 1))
     left = [0]
@@ -315,7 +328,7 @@ def laid_out(rows: list[list[tuple[str, int, int]]], groups: list[int]) -> list[
             line = ""
             for a, _, lines in cells:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(left[column[a]]) + lines[k]
+                    line += " " * (left[column[a]] - places(line)) + lines[k]
             out.append(line.rstrip())
     return out
 
@@ -367,14 +380,16 @@ def render(root: Node) -> str:
                 lists.append(None)
             elif tag in ("ul", "ol", "menu", "dir"):
                 page.apart(0 if any(x is not None for x in lists[-1:]) else 1)
-                lists.append([_number(node.attrs.get("start"), 1)] if tag == "ol" else [])
+                step = -1 if "reversed" in node.attrs else 1
+                first = 1 if step > 0 else sum(not isinstance(kid, str) and kid.tag == "li" for kid in node.kids)
+                lists.append([_number(node.attrs.get("start"), first), step] if tag == "ol" else [])
             elif tag == "li":
                 page.end_line()
                 counter = lists[-1] if lists and lists[-1] is not None else []
                 mark = "- "
                 if counter:
                     value = _number(node.attrs.get("value"), counter[0])
-                    mark, counter[0] = f"{value}. ", value + 1
+                    mark, counter[0] = f"{value}. ", value + counter[1]
                 page.indents.append(" " * len(mark))
                 page.mark = mark if seen else ""
             elif tag in ("blockquote", "dd"):
@@ -387,7 +402,10 @@ def render(root: Node) -> str:
             if tag in ("pre", "textarea", "listing", "xmp"):
                 pre += 1
             work.append(("leave", node, seen))
-            for kid in reversed(node.kids):
+            kids = node.kids
+            if tag == "details" and "open" not in node.attrs:
+                kids = [kid for kid in kids if not isinstance(kid, str) and kid.tag == "summary"][:1]
+            for kid in reversed(kids):
                 work.append(("text" if isinstance(kid, str) else "enter", kid, seen))
             continue
         tag = node.tag
@@ -396,6 +414,7 @@ def render(root: Node) -> str:
         if tag == "table":
             done = tables.pop()
             lines = laid_out(done.rows, done.groups)
+            page.apart(1)
             for line in lines:
                 page.word(line)
                 page.end_line()
