@@ -71,6 +71,26 @@ def test_signatures_find_nearly_all_pairs(spark, threshold):
     assert found <= exact and len(exact) > 5 and len(found) >= 0.9 * len(exact), (len(found), len(exact))
 
 
+def test_prefixes_lose_no_pair_and_score_fewer_at_higher_thresholds(spark):
+    rng = np.random.default_rng(14)
+    m = np.where(rng.random((300, 40)) < 0.15, rng.integers(-3, 6, (300, 40)), 0).astype(float)
+    m[250:] = m[:50] + np.where(rng.random((50, 40)) < 0.05, 1.0, 0.0)
+    m *= rng.choice([0.5, 1.0, 2.0], 300)[:, None]  # not of length 1
+    rows = [(k, f"p{k % 4}", k % 9, k % 9 + k % 30, v.tolist()) for k, v in enumerate(m)] + [(900, "p", 1, 2, [0.0] * 40), (901, "p", 1, 2, [1.0, 2.0]), (902, "q", 1, 2, [1.0, 2.0]), (903, "q", 1, 2, None)]
+    spans = spark.createDataFrame(rows, "unit_id long, path string, start_line int, end_line int, vec array<double>").repartition(3)
+    scored = []
+    for threshold in (5.0, 20.0, 60.0):
+        for df, block in ((spans, 2048), (spans.select("unit_id", "vec"), 13)):
+            want = {(r.i, r.j): r.cosine for r in similar.exact_pairs(df, threshold).collect()}
+            got = similar.prefix_pairs(df, threshold, block).collect()
+            assert len(got) == len(want) and all(abs(want[r.i, r.j] - r.cosine) < 1e-9 for r in got)
+        scored.append(similar.prefix_sizes(spans, similar.prefixes(spans, threshold)).agg(F.sum(F.col("n") * F.col("n"))).first()[0])
+    assert scored[0] > scored[1] > scored[2] and len(want) > 5
+    assert similar.prefix_pairs(spans.limit(0), 1.0).count() == 0
+    with pytest.raises(ValueError):
+        similar.prefix_pairs(spans, 0.0)
+
+
 def test_votes_do_not_depend_on_blocks(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 8)))], "unit_id long, vec array<double>")

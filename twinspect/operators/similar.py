@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspect.functions.vectors import dot
+from twinspect.session import cut
 
 BLOCK_ROWS = 2048
 SLICE = 512
@@ -162,8 +163,15 @@ def _every_pair(units: DataFrame, block_rows: int, n: int | None, found: Callabl
     role = F.when(F.col("block") == F.col("o"), FIRST | SECOND).when(F.col("block") < F.col("o"), FIRST).otherwise(SECOND)
     dealt = pieces.withColumns({"x": F.least("block", "o"), "y": F.greatest("block", "o"), "role": role})
 
+    sql = {pa.float64(): "double", pa.int64(): "long"}[kind[1]]
+    return _by_block_pair(dealt, _pairs_of(found, kind[0], cap), f"i long, j long, {kind[0]} {sql}")
+
+
+def _pairs_of(found: Callable, name: str, cap: int | None = None) -> Callable:
+    """For _by_block_pair: the pairs of two blocks that found gives, each once, without those of which one span encloses the other."""
+
     def settle(first, second, _):
-        same = first is second or [p[1] for p in first] == [p[1] for p in second]
+        same = [p[1] for p in first] == [p[1] for p in second]
         for dim in _dims(first, second):
             a, b = Side.of(first, dim), Side.of(second, dim)
             out = []
@@ -178,17 +186,16 @@ def _every_pair(units: DataFrame, block_rows: int, n: int | None, found: Callabl
                 p, q, value = p[keep], q[keep], value[keep]
                 out.append((np.minimum(part.ids[p], b.ids[q]), np.maximum(part.ids[p], b.ids[q]), value))
                 if cap is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.pop()], names=["i", "j", kind[0]])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.pop()], names=["i", "j", name])
             if out:
                 i, j, value = (np.concatenate(x) for x in zip(*out))
                 order = np.lexsort((j, -value, i))
                 i, j, value = i[order], j[order], value[order]
                 start = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, int)
                 keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < cap
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (i, j, value)], names=["i", "j", kind[0]])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (i, j, value)], names=["i", "j", name])
 
-    sql = {pa.float64(): "double", pa.int64(): "long"}[kind[1]]
-    return _by_block_pair(dealt, settle, f"i long, j long, {kind[0]} {sql}")
+    return settle
 
 
 # ---- exact pairs
@@ -205,6 +212,115 @@ def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS
     return _every_pair(units, block_rows, n, found, ("cosine", pa.float64()))
 
 
+# ---- exact pairs of sparse vectors
+
+
+def _vectors(batch: pa.RecordBatch):
+    """(dim, rows, matrix) for each length of vectors in column vec."""
+    at = np.asarray(batch.column(1).offsets).astype(np.int64)
+    flat, dims = np.asarray(batch.column(1).values), np.diff(at)
+    for dim in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == dim)
+        yield dim, rows, flat[(at[rows][:, None] + np.arange(dim)).ravel()].reshape(len(rows), dim)
+
+
+@dataclass
+class Prefixes:
+    """What a pair must share: dimensions from the rarest on, until the rest of a vector is too short to reach the threshold."""
+
+    order: dict[int, np.ndarray]  # by length of vectors: dimensions, the rarest first
+    least: float  # squared length of what is left that still matters
+
+    def of(self, matrix: np.ndarray) -> np.ndarray:
+        """(rows, dimensions) whether a dimension is in a row's prefix."""
+        order = self.order[matrix.shape[1]]
+        squares = matrix[:, order] ** 2
+        left = np.cumsum(squares[:, ::-1], axis=1)[:, ::-1]  # from a dimension on
+        out = np.zeros(matrix.shape, bool)
+        out[:, order] = (squares > 0) & (left >= self.least)
+        return out
+
+
+def prefixes(units: DataFrame, threshold: float) -> Prefixes:
+    """A task passes on counts by dimension, so the driver sees no more numbers than a vector has."""
+
+    def run(batches):
+        counts, longest = {}, 0.0
+        for batch in batches:
+            for dim, _, m in _vectors(batch):
+                counts[dim] = counts.get(dim, 0) + (m != 0).sum(0)
+                longest = max(longest, float((m**2).sum(1).max(initial=0.0)))
+        yield _batch([(d, k, int(n), longest) for d, ns in counts.items() for k, n in enumerate(ns)], [("dim", pa.int32()), ("at", pa.int32()), ("n", pa.int64()), ("longest", pa.float64())])
+
+    rows = _spans(units).select("unit_id", "vec").mapInArrow(run, "dim int, at int, n long, longest double").groupBy("dim", "at").agg(F.sum("n").alias("n"), F.max("longest").alias("longest")).collect()
+    longest, order = max((r["longest"] for r in rows), default=0.0), {}
+    for r in sorted(rows, key=lambda r: (r["n"], r["at"])):
+        order.setdefault(r["dim"], []).append(r["at"])
+    # Inner products of what is left are at most its length times the longest vector's; a little less, for rounding.
+    return Prefixes({d: np.array(x) for d, x in order.items()}, threshold**2 / longest * (1 - 1e-9) if longest else np.inf)
+
+
+def prefix_sizes(units: DataFrame, shared: Prefixes) -> DataFrame:
+    """(dim, at, n): in how many prefixes a dimension is. The sum of n * n bounds the pairs that are scored."""
+    held = units.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches):
+        counts = {}
+        for batch in batches:
+            for dim, _, m in _vectors(batch):
+                counts[dim] = counts.get(dim, 0) + held.value.of(m).sum(0)
+        yield _batch([(d, k, int(n)) for d, ns in counts.items() for k, n in enumerate(ns) if n], [("dim", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
+
+    return _spans(units).select("unit_id", "vec").mapInArrow(run, "dim int, at int, n long").groupBy("dim", "at").agg(F.sum("n").alias("n"))
+
+
+def prefix_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(i, j, cosine) as exact_pairs, by an inverted index over prefixes of the vectors; threshold is above 0.
+
+    Two vectors whose prefixes share no dimension can't reach the threshold, so rows meet in the dimensions of their prefixes
+    only, in blocks. The higher the threshold and the sparser the vectors, the shorter the prefixes.
+    """
+    if threshold <= 0:
+        raise ValueError("prefixes need a threshold above 0")
+    plain = not ({"path", "start_line", "end_line"} & set(units.columns))
+    units = cut(_spans(units))  # read three times
+    shared = prefixes(units, threshold)
+    blocks = {(r["dim"], r["at"]): _n_blocks(r["n"], block_rows) for r in prefix_sizes(units, shared).collect()}  # as many as a vector has numbers
+    held = units.sparkSession.sparkContext.broadcast((shared, blocks))
+    schema = [("of", pa.int64()), *PIECE]
+
+    def run(batches):
+        shared, blocks = held.value
+        for batch in batches:
+            ids, paths, lines = batch.column(0).to_numpy(), batch.column(2), [batch.column(k).to_numpy() for k in (3, 4)]
+            for dim, rows, m in _vectors(batch):
+                inside = shared.of(m)
+                for at in np.flatnonzero(inside.any(0)).tolist():
+                    out, mine = [], np.flatnonzero(inside[:, at])
+                    block = _block_of(ids[rows[mine]], blocks[dim, at])
+                    for b in np.unique(block).tolist():
+                        some = mine[block == b]
+                        which = rows[some]
+                        own = None if plain else paths.take(pa.array(which)).to_pylist()
+                        out.append((at, b, dim, ids[which].tobytes(), m[some].tobytes(), own, *(x[which].tobytes() for x in lines)))
+                    yield _batch(out, schema)
+
+    pieces = units.mapInArrow(run, "of long, " + _PIECE)
+    sizes = units.sparkSession.createDataFrame([(*k, n) for k, n in blocks.items()], "d int, a long, n long")
+    dealt = pieces.join(F.broadcast(sizes), (F.col("dim") == F.col("d")) & (F.col("of") == F.col("a"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    role = F.when(F.col("block") == F.col("o"), FIRST | SECOND).when(F.col("block") < F.col("o"), FIRST).otherwise(SECOND)
+    base = (F.col("of") * (1 << 31)).cast("long")
+    dealt = dealt.withColumns({"x": base + F.least("block", "o"), "y": base + F.greatest("block", "o"), "role": role})
+
+    def found(a: Side, b: Side):
+        s = a.vecs @ b.vecs.T
+        p, q = np.nonzero(s >= threshold)
+        return p, q, s[p, q]
+
+    # A pair that meets in several dimensions is found in each; which of its sums stays makes no difference but in the last bit.
+    return _by_block_pair(dealt, _pairs_of(found, "cosine"), "i long, j long, cosine double").groupBy("i", "j").agg(F.max("cosine").alias("cosine"))
+
+
 # ---- signatures
 
 
