@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import subprocess
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -16,7 +16,7 @@ from twinspect.functions.vectors import normalized
 
 TOKEN = r"([\p{L}\p{N}_]+)"
 HASH_DIM = 256
-CHUNK = 256
+MOST_TEXTS, MOST_CHARS, FLOOR = 16, 24_000, 256
 
 
 class Embedder(Protocol):
@@ -55,24 +55,53 @@ def hashed_tokens(texts: DataFrame, key: str, dim: int = HASH_DIM) -> DataFrame:
 _LIVE: dict[str, Embedder] = {}
 
 
-def embed(texts: DataFrame, key: str, factory: Callable[[], Embedder], name: str, chunk: int = CHUNK) -> DataFrame:
-    """(key, vec) with any embedder; rows are embedded in chunks sorted by length, so that batches pad little."""
+def filled(sizes: Iterable[int], most_texts: int = MOST_TEXTS, most_chars: int = MOST_CHARS, floor: int = FLOOR) -> Iterator[int]:
+    """The numbers of texts in consecutive batches of texts of these lengths; a text counts with `floor` characters at least, and a
+    batch is full with most_texts texts or with most_chars characters."""
+    n = chars = 0
+    for size in sizes:
+        n, chars = n + 1, chars + max(size, floor)
+        if n >= most_texts or chars >= most_chars:
+            yield n
+            n = chars = 0
+    if n:
+        yield n
+
+
+def embed(texts: DataFrame, key: str, factory: Callable[[], Embedder], name: str, most_texts: int = MOST_TEXTS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(key, vec) with any embedder, in batches of texts of like length.
+
+    The whole table is laid in range partitions by length, so that batches pad little wherever texts come from; a partition's
+    texts are filled into batches in that order, across Arrow batches, and only its last batch may be short.
+    """
     kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterable[pd.DataFrame]):
         if name not in _LIVE:
             _LIVE[name] = factory()
         live = _LIVE[name]
+        rest = pd.DataFrame({key: [], "text": []})
+
+        def done(part: pd.DataFrame) -> pd.DataFrame:
+            vecs = live.embed(part["text"].tolist())
+            if len(vecs) != len(part):
+                raise ValueError(f"{len(vecs)} vectors for {len(part)} texts")
+            return pd.DataFrame({key: part[key].to_numpy(), "vec": [list(map(float, v)) for v in vecs]})
+
         for pdf in batches:
-            pdf = pdf.iloc[pdf["text"].str.len().argsort(kind="stable")]
-            for at in range(0, len(pdf), chunk):
-                part = pdf.iloc[at : at + chunk]
-                vecs = live.embed(part["text"].tolist())
-                if len(vecs) != len(part):
-                    raise ValueError(f"{len(vecs)} vectors for {len(part)} texts")
-                yield pd.DataFrame({key: part[key].to_numpy(), "vec": [list(map(float, v)) for v in vecs]})
-
-    raw = texts.select(key, "text").mapInPandas(run, f"{key} {kind}, vec array<double>")
+            rest = pd.concat([rest, pdf[[key, "text"]]], ignore_index=True) if len(rest) else pdf[[key, "text"]].reset_index(drop=True)
+            at, sizes = 0, list(filled(rest["text"].str.len(), most_texts, most_chars))
+            for n in sizes[:-1]:  # the last one may go on
+                yield done(rest.iloc[at : at + n])
+                at += n
+            rest = rest.iloc[at:]
+        at = 0
+        for n in filled(rest["text"].str.len(), most_texts, most_chars):
+            yield done(rest.iloc[at : at + n])
+            at += n
+
+    rows = texts.select(key, "text", F.length("text").alias("size")).repartitionByRange("size", key).sortWithinPartitions("size", key)
+    raw = rows.select(key, "text").mapInPandas(run, f"{key} {kind}, vec array<double>")
     return raw.select(key, normalized(F.col("vec")).alias("vec"))
 
 
