@@ -48,6 +48,12 @@ def test_commands(spark, project, capsys):
     assert said("extract", "--corpus", "injected", "--root", "lib", "--granularity", "function")[0] == 0 and said("embed")[0] == 0
     status, text = said("inject-eval", "--manifest", str(project / "plants.json"), "--summary-row", "--label", "x")
     assert (status, text[:9]) == (0, "| x | 1 |"), text
+    (project / "models.tsv").write_text("# alias\tlabel\nsmall\tSmall model\tother-key\t-\t-\t-\t-\nlost\tLost\tk\tonnx\tcpu\tnowhere\t-\n")
+    evaluate = ("inject-eval", "--manifest", str(project / "plants.json"), "--summary-row", "--aliases", str(project / "models.tsv"), "--alias")
+    assert said(*evaluate, "small")[1].startswith("| Small model | 1 |") and "other-key" in said("status")[1]
+    assert said(*evaluate, "small", "--label", "mine")[1].startswith("| mine | 1 |")
+    assert said(*evaluate, "own-key")[1].startswith("| own-key | 1 |")
+    assert said(*evaluate, "lost")[0] == 2
 
 
 def test_ci_settings(spark, project):

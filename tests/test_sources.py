@@ -57,6 +57,8 @@ def test_rust():
     ("a.rb", "class A\n  def self.make(x)\n    if x\n      1\n    end\n    while x do\n      x = nil\n    end\n  end\n  def test_it; return 1 if x; end\nend\n", ["make", "test_it"]),
     ("a.c", "#include <x.h>\nstatic int *add(int a, int b) {\n  if (a) { return 0; }\n  return a + b;\n}\nstruct S { int x; };\nint arr[] = { 1, 2 };\n", ["add"]),
     ("a.cpp", "template <typename T>\nT maxi(T a, T b) { return a > b ? a : b; }\nclass C { public: C(int x) : x_(x) {} void run() const { while (1) { } } int x_; };\nvoid C::go(int a) { a--; }\n", ["maxi", "C", "run", "go"]),
+    ("G.cs", "class A {\n Task<int> Get<T>(T x) { return null; }\n Dictionary<string, List<int>> Map<K>(K k) where K : new() { return null; }\n}\n", ["Get", "Map"]),
+    ("d.ts", "const h = ({ a, b }: P) => {\n  return a;\n};\nclass C { m(x: { a: number }, y = 1): void { x; } }\n", ["h", "m"]),
     ("a.md", "fn x() {}", []),
 ])
 def test_languages(path, src, want):

@@ -86,6 +86,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--unit-kind", choices=KINDS, default="function")
     c.add_argument("--min-recall5", type=float)
     c.add_argument("--summary-row", action="store_true", help="one table row in place of the levels")
+    c.add_argument("--alias", help="embed what is pending with the model that this alias stands for, and rank with it")
+    c.add_argument("--aliases", help="table of aliases; an alias that it doesn't have is a model's key")
     command("status", "count units and vectors", False)
     return top
 
@@ -117,6 +119,18 @@ def init(folder: str, replace: bool) -> str:
     return "\n".join([f"{path}: roots {', '.join(roots)}", *[f"{n:>8}  {lang}" for lang, n in langs.items()]])
 
 
+def use_alias(config: files.Config, spark: SparkSession, alias: str, table: str | None, label: str | None) -> str:
+    """Sets the config's embedder to what the alias stands for; returns the label of its row."""
+    row = files.read_aliases(spark, table).where(F.col("alias") == alias).first() if table else None
+    if row is None:
+        config.embed.model = alias
+        return label or alias
+    if row["model_dir"] and not Path(row["model_dir"]).is_dir():
+        raise ValueError(f"the model folder of {alias}, {row['model_dir']}, isn't there")
+    config.embed = files.EmbedConfig(row["model_key"] or alias, row["backend"], row["provider"] or config.embed.provider, row["model_dir"], row["script"])
+    return label or row["label"] or alias
+
+
 def run(a: argparse.Namespace, spark: SparkSession, folder: str) -> int:
     e = Engine(spark, settled(a, folder))
     if a.command == "refresh":
@@ -145,6 +159,10 @@ def run(a: argparse.Namespace, spark: SparkSession, folder: str) -> int:
         print("\n\n".join([*([out["scan"]] if "scan" in out else []), *([e.diff_text(out["diff"])] if "diff" in out else [])]))
         return int(out.get("findings", 0) > 0)
     elif a.command == "inject-eval":
+        if a.alias:
+            a.label = use_alias(e.config, spark, a.alias, a.aliases, a.label)
+            e = Engine(spark, e.config)
+            e.embed()
         _, levels = e.eval_clones(files.read_manifest(spark, a.manifest), a.min_lines, a.unit_kind)
         rows = levels.orderBy("level").collect()  # a handful of levels
         if a.summary_row:

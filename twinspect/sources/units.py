@@ -52,11 +52,11 @@ _HEADS = {
     "php": re.compile(r"(?:(?:public|protected|private|static|final|abstract|readonly)\s+)*function\s+&?\s*(?P<name>\w+)\s*\("),
     "typescript": re.compile(
         r"(?:(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+))"
-        r"|(?P<var>[\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b[^{]*|(?:<[^{}]*>\s*)?(?:\([^{}]*\)|[\w$]+)\s*(?::[^={}]+)?=>\s*)$"
-        r"|(?:(?:public|private|protected|static|readonly|async|get|set|override|abstract)\s+)*[*#]?(?P<method>[\w$]+)\s*(?:<[^{}]*>)?\s*\([^{}]*\)\s*(?::[^{}]+)?$"
+        r"|(?P<var>[\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b[^{]*|(?:<(?:[^{}]|\{[^{}]*\})*>\s*)?(?:\((?:[^{}]|\{[^{}]*\})*\)|[\w$]+)\s*(?::[^={}]+)?=>\s*)$"
+        r"|(?:(?:public|private|protected|static|readonly|async|get|set|override|abstract)\s+)*[*#]?(?P<method>[\w$]+)\s*(?:<[^{}]*>)?\s*\((?:[^{}]|\{[^{}]*\})*\)\s*(?::[^{}]+)?$"
     ),
     "java": re.compile(r"(?:[\w<>\[\],.?@&\s]*?[\w>\]]\s+)?(?P<name>\w+)\s*\([^{}]*\)\s*(?:throws[\w\s.,]+)?$"),
-    "csharp": re.compile(r"(?:[\w<>\[\],.?()\s]*?[\w>\]?)]\s+)?(?P<name>\w+)\s*(?:<[^{}()]*>)?\s*\([^{}]*\)\s*(?::\s*(?:base|this)\s*\([^{}]*\)\s*)?(?:where[^{}]+)?$"),
+    "csharp": re.compile(r"(?:[\w<>\[\],.?()\s]*?[\w>\]?)]\s+)?(?P<name>\w+)\s*(?:<(?:[^<>{}()]|<[^<>{}()]*>)*>)?\s*\([^{}]*\)\s*(?::\s*(?:base|this)\s*\([^{}]*\)\s*)?(?:where[^{}]+)?$"),
     "c": re.compile(r"[\w\s*&:<>,~\[\]]*?(?P<name>~?\w+(?:::~?\w+)*|operator\s*\S+)\s*\([^;{}]*\)\s*(?:(?:const|noexcept|override|final|mutable|volatile|&&?)\s*|->\s*[\w:<>*&\s]+)*(?::[^;{}]*)?$"),
 }
 _HEADS["cpp"] = _HEADS["c"]
