@@ -28,7 +28,9 @@ def join_heavy(rows: DataFrame, table: DataFrame, on: str, heavy: Column, salt:
     names = [c for c in table.columns if c != on]
     pack = F.struct(*names)
     hot = table.where(heavy).select(F.col(on).alias("_hk"), pack.alias("_hot"))
-    cold = table.where(~heavy).select(F.col(on).alias("_ck"), pack.alias("_cold"), F.lit(0).alias("_cs"))
+    # Always 0, but no constant: of a constant the optimizer would make a filter, and rows of heavy keys would meet in one task.
+    none = F.pmod(F.xxhash64(on), F.lit(1)).cast("int")
+    cold = table.where(~heavy).select(F.col(on).alias("_ck"), pack.alias("_cold"), none.alias("_cs"))
     out = rows.join(F.broadcast(hot), F.col(on) == F.col("_hk"), "left")
     found = F.col("_hot").isNotNull()
     out = out.withColumns({"_k": F.when(~found, F.col(on)), "_s": F.when(found, F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int") + 1).otherwise(0)})
