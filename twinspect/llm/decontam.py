@@ -323,7 +323,7 @@ def _join(docs: DataFrame, items: DataFrame, block_words: int) -> DataFrame:
                 if len(h):
                     yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(h), pa.int64()) for x in ids), pa.array(h)], names=["doc_id", "k1", "k2", "seed"])
 
-    of_documents = cut(docs.mapInArrow(seeds_of_documents, DOCUMENT + ", seed long"))
+    of_documents = cut(docs.mapInArrow(seeds_of_documents, DOCUMENT + ", seed long")).withColumn("row_no", F.monotonically_increasing_id())
     often = of_documents.groupBy("seed").agg(F.count("*").alias("often"))
     # Passages of one seed in lists of LIST at most; of a crowded seed none are listed, unless they are too short to be looked at around it.
     nth = F.floor((F.row_number().over(Window.partitionBy("seed").orderBy("pid")) - 1) / LIST)
@@ -333,7 +333,7 @@ def _join(docs: DataFrame, items: DataFrame, block_words: int) -> DataFrame:
     first = of_documents.withColumn("nth", F.lit(0).cast("bigint"))
     more = of_documents.join(widest, "seed").select(*of_documents.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("last"))).alias("nth"))
     asked = first.unionByName(more).withColumn("at", F.struct("seed", "nth"))
-    candidates = join_heavy(asked, lists.select("at", "pids", "often"), "at", F.col("often") >= heavy_from(of_documents.count()), ["k1", "doc_id"])
+    candidates = join_heavy(asked, lists.select("at", "pids", "often"), "at", F.col("often") >= heavy_from(of_documents.count()), ["row_no", "nth"])
     candidates = candidates.select(F.struct("doc_id", "k1", "k2").alias("d"), F.explode("pids").alias("pid"))
     if not crowded.isEmpty():
         candidates = candidates.unionByName(_crowded(docs, passages, crowded, used))

@@ -311,7 +311,8 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     low = labelled.groupBy("component").agg(F.min("first").alias("low"), F.count("*").alias("many"))
     labelled = join_heavy(labelled, cut(low, thin=True), "component", F.col("many") >= heavy_from(classes.count()), ["rep"])
     labelled = cut(labelled.select("digest", "copies", "low"), thin=True)
-    own = join_heavy(table.select("key", "n_shingles", "digest"), labelled, "digest", F.col("copies") >= heavy_from(table.count()), ["key"], inner=False)
+    numbered = table.select("key", "n_shingles", "digest", F.monotonically_increasing_id().alias("row_no"))  # copies may have one key
+    own = join_heavy(numbered, labelled, "digest", F.col("copies") >= heavy_from(table.count()), ["row_no"], inner=False)
     low = F.coalesce("low", "key")
     kept = F.when(F.col("key.no_id"), F.col("key") == low).otherwise(F.col("key.doc_id") == low["doc_id"])
     return own.select(F.col("key.doc_id").alias("doc_id"), "n_shingles", low["doc_id"].alias("component_id"), kept.alias("kept"), "key.k1", "key.k2", (F.col("key") == low).alias("chosen"))

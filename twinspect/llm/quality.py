@@ -178,7 +178,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang, source): base statistics, base_failed, distance, kept."""
     stats = cut(_with(base_statistics(docs), [("pair", PAIR_KEY), ("base_failed", BASE_FAILED)]))
     table = cut(mcd_estimates(stats.where("NOT base_failed")))
-    rows = join_heavy(stats, table, "pair", F.col("n_pair") >= heavy_from(stats.count()), ["doc_id", "n_words", "word_chars"], inner=False, size=table.count())
+    numbered = stats.withColumn("row_no", F.monotonically_increasing_id())
+    rows = join_heavy(numbered, table, "pair", F.col("n_pair") >= heavy_from(stats.count()), ["row_no"], inner=False, size=table.count())
     rows = _distances(_with(rows, [(x, f"CASE WHEN NOT base_failed THEN {v} END") for x, v in zip(XS, VECTOR)]))
     distance = F.when(~F.col("base_failed"), F.when(F.col("n") >= 0.75 * MIN_POOL, F.col("distance")).otherwise(0.0))
     return rows.withColumn("distance", distance).select(

@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     done = done.mapInArrow(apply, f"{KEYS}, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>")
     done = cut(done.withColumn("key", F.struct("k1", "k2")).drop("k1", "k2"), thin=True)
     total = done.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    rows = keyed.select("doc_id", F.struct("k1", "k2").alias("key"), F.monotonically_increasing_id().alias("row_no"))
+    rows = cut(keyed.select("doc_id", F.struct("k1", "k2").alias("key")), thin=True).withColumn("row_no", F.monotonically_increasing_id())
     return join_heavy(rows, done, "key", F.col("copies") >= heavy_from(total), ["row_no"]).drop("key", "copies", "row_no")
 
 
