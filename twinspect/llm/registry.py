@@ -22,6 +22,7 @@ QUERIES = {
 SQL = {
     "op1_mcd_outliers": quality.SQL,
     "op9_efraimidis_mix": mixing.SQL,
+    "op10_byte_prefix_shards": sharding.SQL,
     "op11_bit_sliced_search": lexical.SQL,
     "op12_capture_index": warc.SQL,
     "op13_suffix_array_resample": resampling.SQL,

@@ -54,3 +54,14 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
 def op10_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(load(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+h AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+k AS (SELECT doc_id, octet_length(b)::BIGINT + {OVERHEAD} AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda x: concat('0x', x)::BIGINT)), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM h, tab),
+o AS (SELECT *, row_number() OVER w AS n, sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto, sum(size) OVER ()::BIGINT AS total FROM k WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
+s AS (SELECT *, least({N_SHARDS - 1}, ((2 * upto - size) * {N_SHARDS}) // (2 * total))::INTEGER AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (n - min(n) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
