@@ -285,8 +285,10 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     wanted = lists.select(F.col("rep").alias("r")).distinct()
     wanted = cut(classes.join(wanted, F.col("rep") == F.col("r")).select("rep", "n", "sketch", "first"))
     # Copies of a key are one row before they are shuffled, so a key of many rows is no hot one, and its set is made once.
-    one = rows.groupBy("key").agg(F.first("text").alias("text"))
-    sets = cut(full_sets(one.join(wanted.select("rep", "first"), F.col("key") == F.col("first")).select("rep", "text")))
+    # The classes' keys are rows among them, so that texts are shuffled once.
+    asked = wanted.select(F.col("first").alias("key"), F.lit(None).cast("string").alias("text"), "rep")
+    one = rows.withColumn("rep", F.lit(None).cast("long")).unionByName(asked).groupBy("key").agg(F.first("text", ignorenulls=True).alias("text"), F.max("rep").alias("rep"))
+    sets = cut(full_sets(one.where("rep IS NOT NULL").select("rep", "text")))
 
     leaders = F.explode(F.array_distinct(F.array("low", "mid"))).alias("lead")
     pairs = lists.select("rep", leaders).where("rep != lead").distinct()
