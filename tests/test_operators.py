@@ -314,3 +314,29 @@ def test_scored_leaves_pairs_out_and_keeps_no_lower_score(spark):
     got = similar.scored(q, rows, block_rows=7, pairs_out=out, least=1.0).collect()
     assert sorted((r.q, r.u) for r in got) == sorted((k, u) for k, us in left.items() for u in us if s[k, u] >= 1.0)
     assert similar.scored(q.limit(0), rows, top=3, pairs_out=out).count() == 0
+
+
+def test_all_pairs_shuffle_rows_once(spark):
+    """However many blocks there are, a pair of blocks is read from where they lie."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    units = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "unit_id long, vec array<double>")
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if v[i] @ v[j] >= 0.6}
+    for pairs in (similar.exact_pairs(units, 0.6, block_rows=10), similar.sparse_pairs(units, 0.6, 1e-12, 10), similar.candidates(units, None, 10)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        if "cosine" in pairs.columns:
+            assert {(r.i, r.j) for r in pairs.collect()} == want
+
+
+def test_products_of_large_and_odd_numbers(spark):
+    """What single precision can't hold is multiplied in double; ties at the threshold stay in."""
+    side = lambda v: similar.Side(np.arange(len(v)), np.array(v, float), None, np.zeros(len(v), int), np.zeros(len(v), int))
+    a = [[1e25, 0.0], [0.6, 0.8], [float("nan"), 1.0], [1e-30, 0.0]]
+    for among in (None, np.ones((4, 4), bool)):
+        for rows, threshold in ((a, 0.5), (a[1:2] * 4, 1.0), (a[3:] * 4, 0.0)):
+            x = side(rows)
+            p, q, s = similar.reaching(x, x, threshold, among if len(rows) == 4 else None)
+            want = x.vecs @ x.vecs.T
+            assert sorted(zip(p.tolist(), q.tolist())) == sorted(zip(*(k.tolist() for k in np.nonzero(want >= threshold))))

@@ -3,17 +3,18 @@
 Rows have unit_id, vec, and optionally path, start_line, end_line: with these, pairs of one file of which one span encloses
 the other are not pairs. Scores are inner products in double; vectors of different lengths are no pair, null vectors are left out.
 
-All of them deal rows into blocks by a hash of the id. A task packs the rows of a block into one row of bytes; a pair of blocks
-is one group of a few such rows, multiplied or compared as matrices, a slice at a time. A task holds two blocks and one slice,
-whatever the number of rows, and only what is asked for leaves it. Work is quadratic in rows; by signatures it is an exclusive or
-and a bit count a pair, and inner products only for pairs that are left.
+All of them deal rows into blocks by a hash of the id. A block is one row of bytes; a pair of blocks is multiplied or compared as
+matrices, a slice at a time. A task holds two blocks and one slice, whatever the number of rows, and only what is asked for leaves
+it. All pairs of one table are a cartesian product of its blocks in the checkpoint folder, so rows are shuffled once, however many
+blocks there are. Work is quadratic in rows; by signatures it is an exclusive or and a bit count a pair, and inner products only
+where pairs are left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 from math import acos, comb, pi
 
 import numpy as np
@@ -25,7 +26,9 @@ from twinspect.functions.vectors import dot
 from twinspect.session import cut
 
 BLOCK_ROWS = 2048
+LARGER, FEW_BLOCKS = 8, 24  # all pairs of a table: so many blocks of BLOCK_ROWS, then blocks of up to LARGER times that
 SLICE = 512
+TILE_ROWS, TILE_COLUMNS = 128, 1024  # what a product of this size needs stays in a core's cache
 PLANES, BANDS, ROWS, DRAWS = 128, 16, 8, 32
 CAP = 1024
 MISS = 0.02  # of the pairs at the threshold, by the binomial law of signatures
@@ -55,6 +58,10 @@ def _n_blocks(rows: int, block_rows: int) -> int:
     return max(1, -(-rows // block_rows))
 
 
+def _n_larger(rows: int, block_rows: int) -> int:
+    return max(_n_blocks(rows, LARGER * block_rows), min(FEW_BLOCKS, _n_blocks(rows, block_rows)))
+
+
 PIECE = [
     ("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("paths", pa.list_(pa.string())),
     ("starts", pa.binary()), ("ends", pa.binary()),
@@ -115,11 +122,68 @@ class Side:
     def of(cls, pieces: list[tuple], dim: int) -> Side:
         """pieces: rows of PIECE without the block."""
         mine = [p for p in pieces if p[0] == dim]
-        ids, starts, ends = (np.concatenate([np.frombuffer(p[k], np.int64) for p in mine]) for k in (1, 4, 5))
-        vecs = np.concatenate([np.frombuffer(p[2]) for p in mine]).reshape(len(ids), dim)
+        whole = lambda k, kind: np.concatenate([np.frombuffer(p[k], kind) for p in mine]) if len(mine) > 1 else np.frombuffer(mine[0][k], kind)
+        ids, starts, ends = (whole(k, np.int64) for k in (1, 4, 5))
+        vecs = whole(2, np.float64).reshape(len(ids), dim)
         paths = None if any(p[3] is None for p in mine) else np.array([x for p in mine for x in p[3]], object)
         return cls(ids, vecs, paths, starts, ends)
 
+    def rows(self, which) -> Side:
+        return Side(self.ids[which], self.vecs[which], None if self.paths is None else self.paths[which], self.starts[which], self.ends[which])
+
+    @cached_property
+    def single(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return self.vecs.astype(np.float32)
+
+    @cached_property
+    def longest(self) -> float:
+        return float(np.sqrt(np.einsum("ij,ij->i", self.vecs, self.vecs).max(initial=0.0)))
+
+    @cached_property
+    def bands(self) -> np.ndarray:
+        return band_values(self.vecs)
+
+    @cached_property
+    def signs(self) -> np.ndarray:
+        return np.ascontiguousarray(self.bands).view(np.uint64)
+
+
+def enclosed(a: Side, b: Side, p, q) -> np.ndarray:
+    """Whether rows p of a and q of b (broadcast against each other) are of one file, and one span encloses the other."""
+    s1, e1, s2, e2 = a.starts[p], a.ends[p], b.starts[q], b.ends[q]
+    u, v = a.paths[p], b.paths[q]
+    return np.not_equal(u, None).astype(bool) & (u == v).astype(bool) & (((s1 <= s2) & (e1 >= e2)) | ((s2 <= s1) & (e2 >= e1)))
+
+
+def _where(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns; np.nonzero of a matrix is several times slower where few are true."""
+    return np.divmod(np.flatnonzero(near), near.shape[1])
+
+
+def reaching(a: Side, b: Side, threshold: float, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a, rows of b, inner products) that are at least the threshold, among the pairs of a boolean matrix if given.
+
+    A product in single precision, less what its rounding can amount to, leaves few pairs, which are multiplied in double.
+    """
+    many = len(a.ids) * len(b.ids) // 16
+    if among is None or np.count_nonzero(among) > many // 4:
+        room = (a.vecs.shape[1] + 4) * 2.0**-23 * a.longest * b.longest + 1e-30
+        if room < 1e30:  # else numbers may be too large for single precision, or are none
+            near = a.single @ b.single.T >= np.float32(threshold - room - abs(threshold) * 2.0**-22)
+            near = near if among is None else near & among
+        if not room < 1e30 or np.count_nonzero(near) > many:
+            s = a.vecs @ b.vecs.T
+            near = s >= threshold if among is None else (s >= threshold) & among
+            p, q = _where(near)
+            return p, q, s[p, q]
+    else:
+        near = among
+    p, q = _where(near)
+    s = np.concatenate([np.einsum("ij,ij->i", a.vecs[p[k : k + 65536]], b.vecs[q[k : k + 65536]]) for k in range(0, len(p), 65536)] or [np.zeros(0)])
+    keep = s >= threshold
+    return p[keep], q[keep], s[keep]
+
 
 FIRST, SECOND, PAIRS = 1, 2, 4  # roles of a piece in a pair of blocks
 
@@ -153,47 +217,64 @@ def _dims(first: list[tuple], second: list[tuple]) -> list[int]:
     return sorted({p[0] for p in first} & {p[0] for p in second})
 
 
-def _every_pair(units: DataFrame, block_rows: int, n: int | None, found: Callable, kind: tuple[str, pa.DataType], cap: int | None = None) -> DataFrame:
-    """(i, j, value), i < j, for pairs that found(a, b) gives as (rows of a, rows of b, values), a slice of a at a time.
+def _blocks(units: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows of PIECE, one for each block and length of vectors, each block in a partition of its own in the checkpoint folder."""
 
-    With cap, a task passes on no more than that many of one i, those of the largest values and then of the smallest j.
-    """
-    n_blocks = _n_blocks(units.count() if n is None else n, block_rows)
-    pieces = _pieces(units, n_blocks).withColumn("o", _upto(n_blocks))
-    role = F.when(F.col("block") == F.col("o"), FIRST | SECOND).when(F.col("block") < F.col("o"), FIRST).otherwise(SECOND)
-    dealt = pieces.withColumns({"x": F.least("block", "o"), "y": F.greatest("block", "o"), "role": role})
+    def run(batches):
+        held = {}
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                held.setdefault(row[:2], []).append(row[2:])
+        for key in sorted(held):
+            ids, vecs, paths, starts, ends = zip(*held.pop(key))
+            own = None if any(p is None for p in paths) else [x for p in paths for x in p]
+            yield _batch([(*key, b"".join(ids), b"".join(vecs), own, b"".join(starts), b"".join(ends))], PIECE)
+
+    return cut(_pieces(units, n_blocks).repartitionById(n_blocks, F.col("block").cast("int")).mapInArrow(run, _PIECE))
+
+
+def _every_pair(units: DataFrame, block_rows: int, n: int | None, settle: Callable, schema: str) -> DataFrame:
+    """settle(first, second, None) for all pairs of blocks, each once, as _by_block_pair; blocks are read where they lie."""
+    blocks = _blocks(units, _n_larger(units.count() if n is None else n, block_rows))
+    names = [k for k, _ in PIECE]
+    one, two = (blocks.select(*[F.col(k).alias(f"{side}_{k}") for k in names]) for side in "ab")
+    both = one.hint("shuffle_replicate_nl").join(two, (F.col("a_block") <= F.col("b_block")) & (F.col("a_dim") == F.col("b_dim")))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+
+                def piece(at):
+                    ids, vecs, starts, ends = (batch.column(at + k)[i].as_buffer() for k in (2, 3, 5, 6))
+                    return batch.column(at + 1)[i].as_py(), ids, vecs, batch.column(at + 4)[i].as_py(), starts, ends
+
+                yield from settle([piece(0)], [piece(len(names))], None)
 
-    sql = {pa.float64(): "double", pa.int64(): "long"}[kind[1]]
-    return _by_block_pair(dealt, _pairs_of(found, kind[0], cap), f"i long, j long, {kind[0]} {sql}")
+    return both.mapInArrow(run, schema)
 
 
-def _pairs_of(found: Callable, name: str, cap: int | None = None) -> Callable:
-    """For _by_block_pair: the pairs of two blocks that found gives, each once, without those of which one span encloses the other."""
+def _same(a: Side, b: Side) -> bool:
+    return a.ids.tobytes() == b.ids.tobytes()
+
+
+def _pairs_of(found: Callable, name: str) -> Callable:
+    """The pairs of two blocks that found(a, b) gives as (rows of a, rows of b, values), each once, a slice of a and of b at a time,
+    without those of which one span encloses the other."""
 
     def settle(first, second, _):
-        same = [p[1] for p in first] == [p[1] for p in second]
         for dim in _dims(first, second):
             a, b = Side.of(first, dim), Side.of(second, dim)
-            out = []
-            for at in range(0, len(a.ids), SLICE):
-                part = Side(a.ids[at : at + SLICE], a.vecs[at : at + SLICE], None if a.paths is None else a.paths[at : at + SLICE], a.starts[at : at + SLICE], a.ends[at : at + SLICE])
-                p, q, value = found(part, b)
-                keep = part.ids[p] < b.ids[q] if same else part.ids[p] != b.ids[q]
-                if a.paths is not None and b.paths is not None and len(p):
-                    s1, e1, s2, e2 = part.starts[p], part.ends[p], b.starts[q], b.ends[q]
-                    named = np.array([u is not None and u == v for u, v in zip(part.paths[p], b.paths[q])], bool)
-                    keep &= ~(named & (((s1 <= s2) & (e1 >= e2)) | ((s2 <= s1) & (e2 >= e1))))
-                p, q, value = p[keep], q[keep], value[keep]
-                out.append((np.minimum(part.ids[p], b.ids[q]), np.maximum(part.ids[p], b.ids[q]), value))
-                if cap is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.pop()], names=["i", "j", name])
-            if out:
-                i, j, value = (np.concatenate(x) for x in zip(*out))
-                order = np.lexsort((j, -value, i))
-                i, j, value = i[order], j[order], value[order]
-                start = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, int)
-                keep = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i)))) < cap
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (i, j, value)], names=["i", "j", name])
+            same, tiles = _same(a, b), [b.rows(slice(k, k + TILE_COLUMNS)) for k in range(0, len(b.ids), TILE_COLUMNS)]
+            for at in range(0, len(a.ids), TILE_ROWS):
+                part = a.rows(slice(at, at + TILE_ROWS))
+                for tile in tiles:
+                    p, q, value = found(part, tile)
+                    keep = part.ids[p] < tile.ids[q] if same else part.ids[p] != tile.ids[q]
+                    if a.paths is not None and b.paths is not None and len(p):
+                        keep &= ~enclosed(part, tile, p, q)
+                    p, q, value = p[keep], q[keep], value[keep]
+                    i, j = np.minimum(part.ids[p], tile.ids[q]), np.maximum(part.ids[p], tile.ids[q])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i, j, value)], names=["i", "j", name])
 
     return settle
 
@@ -204,12 +285,8 @@ def _pairs_of(found: Callable, name: str, cap: int | None = None) -> Callable:
 def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, n: int | None = None) -> DataFrame:
     """(i, j, cosine), i < j, cosine >= threshold, over all rows."""
 
-    def found(a: Side, b: Side):
-        s = a.vecs @ b.vecs.T
-        p, q = np.nonzero(s >= threshold)
-        return p, q, s[p, q]
-
-    return _every_pair(units, block_rows, n, found, ("cosine", pa.float64()))
+    settle = _pairs_of(lambda a, b: reaching(a, b, threshold), "cosine")
+    return _every_pair(units, block_rows, n, settle, "i long, j long, cosine double")
 
 
 # ---- exact pairs of sparse vectors
@@ -312,13 +389,8 @@ def prefix_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROW
     base = (F.col("of") * (1 << 31)).cast("long")
     dealt = dealt.withColumns({"x": base + F.least("block", "o"), "y": base + F.greatest("block", "o"), "role": role})
 
-    def found(a: Side, b: Side):
-        s = a.vecs @ b.vecs.T
-        p, q = np.nonzero(s >= threshold)
-        return p, q, s[p, q]
-
     # A pair that meets in several dimensions is found in each; which of its sums stays makes no difference but in the last bit.
-    return _by_block_pair(dealt, _pairs_of(found, "cosine"), "i long, j long, cosine double").groupBy("i", "j").agg(F.max("cosine").alias("cosine"))
+    return _by_block_pair(dealt, _pairs_of(lambda a, b: reaching(a, b, threshold), "cosine"), "i long, j long, cosine double").groupBy("i", "j").agg(F.max("cosine").alias("cosine"))
 
 
 # ---- signatures
@@ -363,21 +435,56 @@ def bucket_sizes(band_rows: DataFrame) -> DataFrame:
 def candidates(units: DataFrame, cap: int | None = CAP, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(i, j, votes): pairs that share a band value, i < j; per i the `cap` with most votes (then smallest j) stay."""
 
-    def found(a: Side, b: Side):
-        x, y = band_values(a.vecs), band_values(b.vecs)
-        votes = np.zeros((len(x), len(y)), np.int64)
-        for band in range(BANDS):
-            votes += x[:, band, None] == y[None, :, band]
-        p, q = np.nonzero(votes)
-        return p, q, votes[p, q]
-
-    every = _every_pair(units, block_rows, None, found, ("votes", pa.int64()), cap)
     if cap is None:
-        return every
+
+        def found(a: Side, b: Side):
+            votes = _votes(a, b)
+            p, q = _where(votes)
+            return p, q, votes[p, q].astype(np.int64)
+
+        return _every_pair(units, block_rows, None, _pairs_of(found, "votes"), "i long, j long, votes long")
+    every = _every_pair(units, block_rows, None, _most_votes(cap), "i long, j long, votes long")
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("votes"), "j"))
     return every.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
 
 
+def _votes(a: Side, b: Side) -> np.ndarray:
+    votes = np.zeros((len(a.ids), len(b.ids)), np.uint8)
+    for band in range(BANDS):
+        votes += a.bands[:, band, None] == b.bands[None, :, band]
+    return votes
+
+
+def _most_votes(cap: int) -> Callable:
+    """Of two blocks' pairs, for each i the `cap` with most votes and then of the smallest j."""
+
+    def settle(first, second, _):
+        for dim in _dims(first, second):
+            a, b = (s.rows(np.argsort(s.ids, kind="stable")) for s in (Side.of(first, dim), Side.of(second, dim)))
+            for x, y in [(a, b)] if _same(a, b) else [(a, b), (b, a)]:
+                for at in range(0, len(x.ids), TILE_ROWS):
+                    part = x.rows(slice(at, at + TILE_ROWS))
+                    votes = _votes(part, y)
+                    votes *= np.arange(len(y.ids))[None, :] >= y.ids.searchsorted(part.ids, "right")[:, None]  # j is above i
+                    if x.paths is not None and y.paths is not None:
+                        votes[enclosed(part, y, np.s_[:, None], np.s_[None, :])] = 0
+                    least = np.ones(len(part.ids), np.uint8)
+                    for v in range(2, BANDS + 1):
+                        enough = np.count_nonzero(votes >= v, axis=1) >= cap
+                        if not enough.any():
+                            break
+                        least[enough] = v
+                    p, q = _where(votes >= least[:, None])
+                    value = votes[p, q].astype(np.int64)
+                    order = np.lexsort((q, -value, p))
+                    p, q, value = p[order], q[order], value[order]
+                    start = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, int)
+                    keep = np.arange(len(p)) - np.repeat(start, np.diff(np.append(start, len(p)))) < cap
+                    yield pa.RecordBatch.from_arrays([pa.array(part.ids[p[keep]]), pa.array(y.ids[q[keep]]), pa.array(value[keep])], names=["i", "j", "votes"])
+
+    return settle
+
+
 def most_differing(threshold: float, miss: float = MISS) -> int:
     """So many bits of two signatures may differ that a pair at the threshold has more with a chance of `miss` at most."""
     p = acos(max(-1.0, min(1.0, threshold))) / pi
@@ -397,14 +504,12 @@ def sparse_pairs(units: DataFrame, threshold: float, miss: float = MISS, block_r
     most = most_differing(threshold, miss)
 
     def found(a: Side, b: Side):
-        x, y = (np.ascontiguousarray(band_values(s.vecs)).view(np.uint64) for s in (a, b))
-        far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
-        p, q = np.nonzero(far <= most)
-        s = np.concatenate([np.einsum("ij,ij->i", a.vecs[p[k : k + 65536]], b.vecs[q[k : k + 65536]]) for k in range(0, len(p), 65536)] or [np.zeros(0)])
-        keep = s >= threshold
-        return p[keep], q[keep], s[keep]
-
-    return _every_pair(units, block_rows, n, found, ("cosine", pa.float64()))
+        x, y = a.signs, b.signs
+        far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+        far += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+        return reaching(a, b, threshold, far <= most)
+
+    return _every_pair(units, block_rows, n, _pairs_of(found, "cosine"), "i long, j long, cosine double")
 
 
 INDEXES = ("auto", "exact", "sparse")
