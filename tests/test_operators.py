@@ -340,3 +340,18 @@ def test_products_of_large_and_odd_numbers(spark):
             p, q, s = similar.reaching(x, x, threshold, among if len(rows) == 4 else None)
             want = x.vecs @ x.vecs.T
             assert sorted(zip(p.tolist(), q.tolist())) == sorted(zip(*(k.tolist() for k in np.nonzero(want >= threshold))))
+
+
+def test_pairs_of_few_keys_are_written_out_last(spark):
+    """Lists of ids meet; their pairs are spread over tasks, and no exchange or aggregate has a row for each pair."""
+    from twinspect.operators import diffs
+
+    side = lambda n, at: spark.range(at, at + n).select(F.col("id").alias("unit_id"), F.lit("n").alias("name"), F.when(F.col("id") % 3 == 0, "./a/f.py").when(F.col("id") % 3 == 1, "f.py").otherwise("x/f.py").alias("path"))
+    got = diffs.stale_selves(side(300, 0), side(90, 3000))
+    same = lambda a, b: a % 3 == b % 3 or 1 in (a % 3, b % 3)
+    rows = [(r.q, r.u) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(a, b) for a in range(300) for b in range(3000, 3090) if same(a, b)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and "HashAggregate" not in plan
+    most = max(n for (n,) in got.select(F.spark_partition_id().alias("p")).groupBy("p").count().select("count").collect())
+    assert most < len(rows)

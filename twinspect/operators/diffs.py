@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinspect.functions.text import hunk_range, lines_of
 from twinspect.functions.vectors import dot
+from twinspect.operators.joins import chunked, unchunked
 from twinspect.operators.similar import scored
 
 REVIEW_BAND = 0.05
@@ -35,17 +36,18 @@ def stale_selves(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(q, u): corpus rows that are the query itself before the change: the same name in the same file.
 
     Paths are the same if they are equal or one ends with the other from a slash on (paths_equal). Each side's suffixes from a
-    slash on meet the whole paths of the other side, with the name, as equal keys.
+    slash on meet the whole paths of the other side, with the name, as equal keys: the corpus' suffixes without the whole paths,
+    which the queries' have met. Lists of ids meet, and become pairs last; ids are unique in both tables.
     """
     plain = F.regexp_replace("path", r"^(\./)+", "")
     parts = F.split("whole", "/")
-    from_slash = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
-    side = lambda df, c: df.where("path IS NOT NULL").select(F.col("unit_id").alias(c), "name", plain.alias("whole"))
-    each = lambda df: df.select("*", F.explode(from_slash).alias("suffix"))
+    from_slash = lambda first: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/")) if first else F.slice(from_slash(True), 2, F.size(parts))
+    side = lambda df, c: chunked(df.where("path IS NOT NULL AND name IS NOT NULL").select(F.col("unit_id").alias(c), "name", plain.alias("whole")), ["name", "whole"], c)
+    each = lambda df, first: df.select("*", F.explode(from_slash(first)).alias("suffix")).drop("whole")
     a, b = side(queries, "q"), side(corpus, "u")
-    long_q = each(a).drop("whole").join(b.withColumnRenamed("whole", "suffix"), ["name", "suffix"]).select("q", "u")
-    long_u = each(b).drop("whole").join(a.withColumnRenamed("whole", "suffix"), ["name", "suffix"]).select("q", "u")
-    return long_q.unionByName(long_u).distinct()
+    long_q = each(a, True).join(b.withColumnRenamed("whole", "suffix"), ["name", "suffix"]).select("q", "u")
+    long_u = each(b, False).join(a.withColumnRenamed("whole", "suffix"), ["name", "suffix"]).select("q", "u")
+    return unchunked(long_q.unionByName(long_u), "q", "u")
 
 
 def neighbours(queries: DataFrame, corpus: DataFrame, stale: DataFrame | None = None, top: int | None = TOP) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinspect.session import THIN_FILES, cut
+
 HEAVY_KEYS = 2000
 SMALL_TABLE = 50_000
 SALTS = 997
+CHUNK_IDS = 1024
 
 
 def heavy_from(n_rows: int, most: int = HEAVY_KEYS) -> int:
@@ -52,3 +55,20 @@ def by_suffix(rows: DataFrame, column: str, ends: DataFrame, end: str, also: dic
     keyed = rows.withColumn("_n", F.explode(long_enough)).withColumn("_suffix", F.expr(f"CASE WHEN _n = 0 THEN '' ELSE right(`{column}`, _n) END"))
     same = [F.col("_suffix") == F.col(end), *[F.col(a) == F.col(b) for a, b in also.items()]]
     return keyed.join(ends, same).drop("_n", "_suffix")
+
+
+def chunked(rows: DataFrame, keys: list[str], id_: str, most: int = CHUNK_IDS) -> DataFrame:
+    """(keys, id_): ids of rows with the same keys in lists of about `most`, by a hash of the id; null keys stay.
+
+    A key that few rows have may have shorter lists than it could, so there are at most as many lists as rows.
+    """
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    lists = F.pmod(F.xxhash64(id_), F.lit(-(-largest // most) or 1))
+    return cut(rows.withColumn("_list", lists).groupBy(*keys, "_list").agg(F.collect_list(id_).alias(id_)).drop("_list"), thin=True)
+
+
+def unchunked(met: DataFrame, one: str, two: str) -> DataFrame:
+    """All pairs of two columns of lists. Lists are spread over tasks before they are written out, however few keys they come from."""
+    tasks = THIN_FILES * max(1, met.sparkSession.sparkContext.defaultParallelism)
+    dealt = met.select(one, two).repartition(tasks)
+    return dealt.select(F.explode(one).alias(one), two).select(one, F.explode(two).alias(two))
