@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspect.functions.text import selector
-from twinspect.operators.joins import by_suffix
+from twinspect.operators.joins import by_suffix, chunked, unchunked
 from twinspect.operators.similar import rank_originals
 from twinspect.session import cut
 
@@ -24,12 +24,17 @@ def plants(manifest: DataFrame, injected: DataFrame) -> DataFrame:
 
 
 def originals(picked: DataFrame, main: DataFrame) -> DataFrame:
-    """(q, u): main units that a plant's selector names: the name, a path suffix, and lines if the selector has them."""
+    """(q, u): main units that a plant's selector names: the name, a path suffix, and lines if the selector has them.
+
+    Lists of ids with the same names, paths and lines meet, and become pairs last.
+    """
     parts = selector(F.col("original"))
     p = picked.select(F.col("unit_id").alias("q"), *[v.alias(f"s_{k}") for k, v in parts.items()])
     units = main.select(F.col("unit_id").alias("u"), F.col("path").alias("u_path"), F.col("name").alias("u_name"), "start_line", "end_line")
+    p = chunked(p.where("s_name IS NOT NULL AND s_path IS NOT NULL"), [f"s_{k}" for k in parts], "q")
+    units = chunked(units.where("u_name IS NOT NULL AND u_path IS NOT NULL"), ["u_path", "u_name", "start_line", "end_line"], "u")
     spans = F.col("s_lo").isNull() | ((F.col("start_line") == F.col("s_lo")) & (F.col("end_line") == F.col("s_hi")))
-    return by_suffix(units, "u_path", p, "s_path", {"u_name": "s_name"}).where(spans).select("q", "u")
+    return unchunked(by_suffix(units, "u_path", p, "s_path", {"u_name": "s_name"}).where(spans), "q", "u")
 
 
 def contained(texts: DataFrame, passages: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
