@@ -1,7 +1,9 @@
 """Batches of texts of like length over a whole table."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from twinspect.operators import embedding
@@ -60,3 +62,19 @@ def test_an_embedder_that_loses_a_text_is_an_error(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "y")], "hash string, text string")
     with pytest.raises(Exception, match="vectors for"):
         embedding.embed(df, "hash", Short, "short").collect()
+
+
+def test_hashed_tokens_come_in_small_batches(spark):
+    """Vectors are laid out a few hundred rows at a time, and equal plain counts across their bounds; null keys and no tokens too."""
+    texts = [(k if k else None, " ".join(f"w{j}" for j in range(k % 7) for _ in range(j + 1)) if k % 5 else None) for k in range(1300)]
+    got = embedding.hashed_tokens(spark.createDataFrame(texts, "k long, text string").coalesce(1), "k", 64)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan and embedding.MOST_ROWS < 1000
+    rows = {r.k: np.array(r.vec) for r in got.collect()}
+    assert len(rows) == 1300
+    for k, text in texts:
+        want = np.zeros(64)
+        for t in (text or "").split():
+            want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64] += 1
+        norm = np.sqrt((want * want).sum())
+        assert np.allclose(rows[k], want / norm if norm else want, atol=1e-15)

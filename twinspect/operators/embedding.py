@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from twinspect.functions.vectors import normalized
 
 TOKEN = r"([\p{L}\p{N}_]+)"
 HASH_DIM = 256
+MOST_ROWS = 512
 MOST_TEXTS, MOST_CHARS, FLOOR = 16, 24_000, 256
 
 
@@ -32,7 +34,8 @@ def token_bucket(token: Column, dim: int = HASH_DIM) -> Column:
 def hashed_tokens(texts: DataFrame, key: str, dim: int = HASH_DIM) -> DataFrame:
     """(key, vec): counts of hashed lower-case tokens at length 1; a text without tokens has a zero vector.
 
-    Tokens are split, hashed and counted in the JVM; only a text's counts (at most dim) are laid into a vector in Python.
+    Tokens are split, hashed and counted in the JVM; only a text's counts (at most dim) are laid into a vector in Python, MOST_ROWS
+    vectors at a time.
     """
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(1))
     counts = texts.select(F.col(key), F.explode_outer(tokens).alias("t")).withColumn("b", token_bucket(F.col("t"), dim)).groupBy(key, "b").agg(F.count("t").alias("n"))
@@ -40,16 +43,17 @@ def hashed_tokens(texts: DataFrame, key: str, dim: int = HASH_DIM) -> DataFrame:
     kind = dict(texts.dtypes)[key]
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for b, n in zip(pdf["b"], pdf["n"]):
-                v = np.zeros(dim)
-                np.add.at(v, np.asarray(b, int), np.asarray(n, float))
-                norm = np.sqrt((v * v).sum())
-                out.append(v / norm if norm else v)
-            yield pd.DataFrame({key: pdf[key], "vec": out})
-
-    return by.mapInPandas(run, f"{key} {kind}, vec array<double>")
+        for batch in batches:
+            for at in range(0, batch.num_rows, MOST_ROWS):
+                keys, b, n = (batch.column(k).slice(at, MOST_ROWS) for k in range(3))
+                row = np.repeat(np.arange(len(keys)), np.asarray(b.value_lengths()))
+                cell = row * dim + np.asarray(b.flatten())
+                v = np.bincount(cell, np.asarray(n.flatten(), float), len(keys) * dim).reshape(len(keys), dim)
+                norm = np.sqrt((v * v).sum(1))
+                v[norm > 0] /= norm[norm > 0, None]
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * dim, v.ravel())], names=[key, "vec"])
+
+    return by.mapInArrow(run, f"{key} {kind}, vec array<double>")
 
 
 _LIVE: dict[str, Embedder] = {}
