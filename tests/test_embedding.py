@@ -78,3 +78,28 @@ def test_hashed_tokens_come_in_small_batches(spark):
             want[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64] += 1
         norm = np.sqrt((want * want).sum())
         assert np.allclose(rows[k], want / norm if norm else want, atol=1e-15)
+
+
+def test_unique_keys_need_no_shuffle_and_others_count_together(spark, monkeypatch):
+    """Both ways give the counts of a plain loop, also where slices are cut by tokens; texts of one key are added up."""
+    monkeypatch.setattr(embedding, "MOST_TOKENS", 40)
+    texts = [(k, None if k % 11 == 0 else " ".join(f"Wört{j * k % 90}" for j in range(k % 60))) for k in range(300)]
+
+    def plain(rows):
+        out = {}
+        for k, text in rows:
+            v = out.setdefault(k, np.zeros(64))
+            for t in (text or "").split():
+                v[int(hashlib.md5(t.lower().encode()).hexdigest()[:8], 16) % 64] += 1
+        return {k: v / np.sqrt((v * v).sum()) if v.any() else v for k, v in out.items()}
+
+    def same(got, want):
+        rows = got.collect()
+        assert len(rows) == len(want)
+        assert all(np.allclose(r.vec, want[r.k], atol=1e-15) for r in rows)
+
+    one = embedding.hashed_tokens(spark.createDataFrame(texts, "k long, text string"), "k", 64, unique=True)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    same(one, plain(texts))
+    twice = [(k % 40, t) for k, t in texts]
+    same(embedding.hashed_tokens(spark.createDataFrame(twice, "k long, text string").repartition(5), "k", 64), plain(twice))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import subprocess
 from collections.abc import Callable, Iterable, Iterator
@@ -10,14 +11,15 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinspect.functions.vectors import normalized
 
 TOKEN = r"([\p{L}\p{N}_]+)"
 HASH_DIM = 256
-MOST_ROWS = 512
+MOST_ROWS, MOST_TOKENS = 512, 1_000_000
 MOST_TEXTS, MOST_CHARS, FLOOR = 16, 24_000, 256
 
 
@@ -27,33 +29,68 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
-def token_bucket(token: Column, dim: int = HASH_DIM) -> Column:
-    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")
+def token_bucket(token: str, dim: int = HASH_DIM) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
 
-def hashed_tokens(texts: DataFrame, key: str, dim: int = HASH_DIM) -> DataFrame:
+def _cells(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(keys, counts by row and bucket) of rows (key, tokens), at most MOST_ROWS and about MOST_TOKENS tokens at a time.
+
+    Each distinct token of a batch is hashed once.
+    """
+    keys, tokens = batch.column(0), batch.column(1)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, words = np.cumsum(sizes), tokens.flatten().dictionary_encode()
+    bucket, code = np.array([token_bucket(t, dim) for t in words.dictionary.to_pylist()], np.int64), words.indices.to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(keys):
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + MOST_ROWS, max(at + 1, int(np.searchsorted(ends, before + MOST_TOKENS, "right"))))
+        cell = np.repeat(np.arange(to - at) * dim, sizes[at:to]) + bucket[code[before : int(ends[to - 1])]]
+        yield keys.slice(at, to - at), np.bincount(cell, minlength=(to - at) * dim).reshape(to - at, dim)
+        at = to
+
+
+def _unit_length(keys: pa.Array, counts: np.ndarray, key: str) -> pa.RecordBatch:
+    v = counts.astype(float)
+    norm = np.sqrt((v * v).sum(1))
+    v[norm > 0] /= norm[norm > 0, None]
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1], v.ravel())], names=[key, "vec"])
+
+
+def hashed_tokens(texts: DataFrame, key: str, dim: int = HASH_DIM, unique: bool = False) -> DataFrame:
     """(key, vec): counts of hashed lower-case tokens at length 1; a text without tokens has a zero vector.
 
-    Tokens are split, hashed and counted in the JVM; only a text's counts (at most dim) are laid into a vector in Python, MOST_ROWS
-    vectors at a time.
+    Tokens are split in the JVM; they are hashed, counted and laid into vectors in Arrow batches, MOST_ROWS vectors at a time. Texts of
+    one key count together: their counts, of which a text has at most dim, are shuffled. If keys are unique, nothing is.
     """
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(1))
-    counts = texts.select(F.col(key), F.explode_outer(tokens).alias("t")).withColumn("b", token_bucket(F.col("t"), dim)).groupBy(key, "b").agg(F.count("t").alias("n"))
-    by = counts.groupBy(key).agg(F.collect_list(F.coalesce("b", F.lit(0))).alias("b"), F.collect_list("n").alias("n"))
+    tokens = texts.select(F.col(key), F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(1)).alias("tokens"))
     kind = dict(texts.dtypes)[key]
 
-    def run(batches):
+    def vectors(batches):
+        for batch in batches:
+            for keys, counts in _cells(batch, dim):
+                yield _unit_length(keys, counts, key)
+
+    def sparse(batches):
+        for batch in batches:
+            for keys, counts in _cells(batch, dim):
+                row, b = np.nonzero(counts)
+                at = pa.array(np.searchsorted(row, np.arange(len(keys) + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(at, pa.array(b, pa.int32())), pa.ListArray.from_arrays(at, pa.array(counts[row, b], pa.int64()))], names=[key, "b", "n"])
+
+    def summed(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, MOST_ROWS):
                 keys, b, n = (batch.column(k).slice(at, MOST_ROWS) for k in range(3))
-                row = np.repeat(np.arange(len(keys)), np.asarray(b.value_lengths()))
-                cell = row * dim + np.asarray(b.flatten())
-                v = np.bincount(cell, np.asarray(n.flatten(), float), len(keys) * dim).reshape(len(keys), dim)
-                norm = np.sqrt((v * v).sum(1))
-                v[norm > 0] /= norm[norm > 0, None]
-                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * dim, v.ravel())], names=[key, "vec"])
-
-    return by.mapInArrow(run, f"{key} {kind}, vec array<double>")
+                cell = np.repeat(np.arange(len(keys)) * dim, np.asarray(b.value_lengths())) + np.asarray(b.flatten())
+                yield _unit_length(keys, np.bincount(cell, np.asarray(n.flatten(), float), len(keys) * dim).reshape(len(keys), dim), key)
+
+    if unique:
+        return tokens.mapInArrow(vectors, f"{key} {kind}, vec array<double>")
+    counts = tokens.mapInArrow(sparse, f"{key} {kind}, b array<int>, n array<long>")
+    by = counts.groupBy(key).agg(F.flatten(F.collect_list("b")).alias("b"), F.flatten(F.collect_list("n")).alias("n"))
+    return by.mapInArrow(summed, f"{key} {kind}, vec array<double>")
 
 
 _LIVE: dict[str, Embedder] = {}

@@ -66,9 +66,9 @@ class Engine:
         self.store.replace_corpus(corpus, found)
 
     def vectors(self, texts: DataFrame) -> DataFrame:
-        """(hash, vec) of rows (hash, text)."""
+        """(hash, vec) of rows (hash, text), one for each hash."""
         make = embedder(self.config.embed)
-        return hashed_tokens(texts, "hash") if make is None else embed(texts, "hash", make, self.model)
+        return hashed_tokens(texts, "hash", unique=True) if make is None else embed(texts, "hash", make, self.model)
 
     def embed(self, chunk: int = EMBED_CHUNK) -> int:
         """Vectors for what has none; returns how many. The embedder is only made if something is pending.

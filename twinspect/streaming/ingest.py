@@ -15,7 +15,7 @@ def ingest(stream: DataFrame, store: UnitStore, model: str, checkpoint: str, emb
 
     embed maps rows (hash, text) to rows (hash, vec); by default tokens are hashed.
     """
-    embed = embed or (lambda texts: hashed_tokens(texts, "hash"))
+    embed = embed or (lambda texts: hashed_tokens(texts, "hash", unique=True))
 
     def add(batch: DataFrame, _: int) -> None:
         rows = batch.where("text IS NOT NULL").select(content_hash(F.col("text")).alias("hash"), "text").groupBy("hash").agg(F.min("text").alias("text"))
