@@ -123,3 +123,20 @@ def test_long_clusters_are_shown_in_part():
     c = {"labels": ["a", "b"], "hashes": ["1", "2"], "langs": ["python"] * 2, "pairs": [], "hidden_overlaps": 0, "more_members": 998}
     text = report.scan_text([c], 5, 0)
     assert "cluster 1: 1000 units" in text and "... 998 more units" in text
+
+
+def test_the_first_text_of_a_hash_is_kept_and_nothing_with_texts_is_sorted(spark, tmp_path):
+    """Of rows with one hash the first by path and line stays, also among equal ones and with many copies; joins hold keys only."""
+    s = UnitStore(spark, str(tmp_path / "s"))
+    rows = [unit(1, path=p, start_line=n, text=f"{p}{n}", hash="h") for p in ("b", "a", "c") for n in (7, 3, 5)] + [unit(2), unit(3, hash="x"), unit(3, hash="x", unit_kind="block")]
+    s.replace_corpus("main", spark.createDataFrame(rows + [unit(9, path=f"z{k}", hash="h") for k in range(500)], ROWS).repartition(7))
+    assert sorted((r.hash, r.text) for r in s.texts.collect()) == [("h", "a3"), ("h2", "t2"), ("x", "t3")]
+    s.replace_corpus("other", extracted(spark, 2, 4))
+    assert sorted(r.hash for r in s.texts.collect()) == ["h", "h2", "h4", "x"]
+    s.add_embeddings("m", spark.createDataFrame([("h", [3.0, 4.0]), ("h", [3.0, 4.0]), ("x", [0.0, 2.0])], "hash string, vec array<double>").repartition(2))
+    assert sorted((r.hash, tuple(round(v, 6) for v in r.vec)) for r in s.embeddings.collect()) == [("h", (0.6, 0.8)), ("x", (0.0, 1.0))]
+    todo = s.pending("m")
+    assert sorted(r.hash for r in todo.collect()) == ["h2", "h4"]
+    for df in (todo, S._firsts(spark.createDataFrame([("a", "t"), ("a", "t")], "hash string, text string").localCheckpoint(), [])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortedOutput", "")

@@ -169,12 +169,11 @@ class UnitStore:
             state["units"].pop(corpus, None)
         else:
             state["units"][corpus] = [self._write("units", units.select(*[c.split()[0] for c in UNITS.split(", ")]))]
-        texts = rows.groupBy("hash").agg(F.min_by("text", F.struct("path", "start_line")).alias("text"))
-        self._add_texts(state, texts)
+        self._add_texts(state, _firsts(rows.select("hash", "text", "path", "start_line"), ["path", "start_line"]))
         self._commit(state)
 
     def _add_texts(self, state: dict, texts: DataFrame) -> None:
-        new = texts.join(self._table(state["texts"], TEXTS).select("hash"), "hash", "left_anti").select("hash", "text")
+        new = _by_keys(texts.select("hash", "text"), self._table(state["texts"], TEXTS), "hash", "left_anti")
         state["texts"] = self._added("texts", state["texts"], new, TEXTS)
 
     def add_texts(self, texts: DataFrame) -> None:
@@ -190,21 +189,21 @@ class UnitStore:
 
     def pending(self, model: str) -> DataFrame:
         """(hash, text) that a unit of any corpus uses and the model has no vector for; texts as they are embedded."""
-        used = self.texts.join(self.units.select("hash"), "hash", "left_semi")
-        todo = used.join(self.embeddings_of(model).select("hash"), "hash", "left_anti")
+        used = _by_keys(self.texts, self.units, "hash", "left_semi")
+        todo = _by_keys(used, self.embeddings_of(model), "hash", "left_anti")
         return todo.select("hash", embed_text(F.col("text")).alias("text"))
 
     def add_embeddings(self, model: str, vectors: DataFrame, replace: bool = False) -> None:
         """Vectors (hash, vec) at length 1; known hashes are left as they are, or replaced."""
         new = vectors.select("hash", normalized(F.col("vec")).cast("array<float>").alias("vec"))
-        new = cut(new.groupBy("hash").agg(F.first("vec").alias("vec"))).select("hash", F.size("vec").alias("dim"), "vec", F.lit(model).alias("model"))
+        new = _firsts(cut(new), []).select("hash", F.size("vec").alias("dim"), "vec", F.lit(model).alias("model"))
         state = self.state()
         paths = state["embeddings"].get(model, [])
         old = self._table(paths, EMBEDDINGS)
         if replace:
-            state["embeddings"][model] = [self._write("embeddings", old.join(new.select("hash"), "hash", "left_anti").unionByName(new))]
+            state["embeddings"][model] = [self._write("embeddings", _by_keys(old, new, "hash", "left_anti").unionByName(new))]
         else:
-            state["embeddings"][model] = self._added("embeddings", paths, new.join(old.select("hash"), "hash", "left_anti"), EMBEDDINGS)
+            state["embeddings"][model] = self._added("embeddings", paths, _by_keys(new, old, "hash", "left_anti"), EMBEDDINGS)
         self._commit(state)
 
     # -- what commands read
@@ -241,6 +240,24 @@ class UnitStore:
         return self.units.groupBy("corpus", "lang", "unit_kind").count(), self.embeddings.groupBy("model").count()
 
 
+def _by_keys(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """rows with or without those whose key is in `keys`. Only keys are held and none is sorted; rows, which have texts or vectors, pass by."""
+    return rows.join(keys.select(key).distinct().hint("shuffle_hash"), key, how).select(*rows.columns)
+
+
+def _firsts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (checkpointed) with only the first row of each hash in the order of the columns `by`.
+
+    Rows are told apart by their places, so however many a hash has, they are spread. Only hashes and places are grouped; no task sorts
+    texts or vectors.
+    """
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    first = cut(placed.groupBy("hash").agg(F.min(F.struct(*by, "_place"))["_place"].alias("_place"), F.count("*").alias("n")), thin=True)
+    if first.where("n > 1").isEmpty():
+        return rows
+    return _by_keys(placed, first, "_place", "left_semi").select(*rows.columns)
+
+
 def _folders(state: dict) -> set[str]:
     return {p for paths in (*state["units"].values(), state["texts"], *state["embeddings"].values()) for p in paths}
 
