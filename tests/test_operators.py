@@ -355,3 +355,26 @@ def test_pairs_of_few_keys_are_written_out_last(spark):
     assert "RoundRobinPartitioning" in plan and "HashAggregate" not in plan
     most = max(n for (n,) in got.select(F.spark_partition_id().alias("p")).groupBy("p").count().select("count").collect())
     assert most < len(rows)
+
+
+def test_links_give_the_clusters_and_totals_of_all_pairs(spark, monkeypatch):
+    """Members, pairs counted and best scores are the same without a list of pairs, also where overlaps split clusters; a task of many
+    copies passes on as many rows as it has, not their pairs."""
+    monkeypatch.setattr(similar, "MOST_PAIRS", 50)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 16))
+    rows = []
+    for k in range(260):
+        v = base[k % 12] + rng.normal(size=16) * (0.02 if k % 3 else 0.45)
+        rows.append((k, (v / np.sqrt(v @ v)).tolist(), f"f{k % 9}", k % 50, k % 50 + k % 31))
+    units = spark.createDataFrame(rows, "unit_id long, vec array<double>, path string, start_line int, end_line int").localCheckpoint()
+    rows_of = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for find in (lambda u, **k: similar.exact_pairs(u, 0.9, 40, **k), lambda u, **k: similar.sparse_pairs(u, 0.9, block_rows=40, **k)):
+        members, left, before = clusters.pruned(find(units), units)
+        mine, totals, mine_before = clusters.pruned_links(units, lambda u: find(u, links=True))
+        assert rows_of(mine_before.select(*before.columns)) == rows_of(before) and before.count() > mine.count() > 0
+        assert rows_of(mine.select(*members.columns)) == rows_of(members)
+        assert rows_of(clusters.with_totals(mine, totals)) == rows_of(clusters.summary(members, left))
+    copies = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(300)], "unit_id long, vec array<double>")
+    links = similar.exact_pairs(copies, 0.9, links=True).collect()
+    assert len(links) == 300 and sum(r.n for r in links) == 300 * 299 // 2 and {r.root for r in links} == {0}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,33 @@ def pruned(pairs: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return members, left.drop("lost"), before
 
 
+def linked(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels (unit_id, cluster_id) and totals (cluster_id, n_pairs, top_score) of links (id, root, n, top)."""
+    links = cut(links, thin=True)
+    labels = cut(labelled(links.select(F.col("id").alias("i"), F.col("root").alias("j"))), thin=True)
+    trees = links.where("n > 0").join(labels.withColumnRenamed("unit_id", "root"), "root")
+    return labels, trees.groupBy("cluster_id").agg(F.sum("n").alias("n_pairs"), F.max("top").alias("top_score"))
+
+
+def pruned_links(units: DataFrame, find: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, totals, all members before), as pruned(), where find(units) gives links in place of pairs.
+
+    Pairs, of which a cluster may have as many as the square of its members, are never listed. What is left of a cluster that lost a
+    member is compared again: its pairs are all in one old cluster.
+    """
+    labels, totals = linked(find(units))
+    before = cut(with_units(labels, units))
+    kept = cut(drop_larger_members(before).select("unit_id", F.col("cluster_id").alias("parent_id"), "path", "start_line", "end_line"))
+    smaller = cut(before.join(kept.select("unit_id"), "unit_id", "left_anti").select(F.col("cluster_id").alias("parent_id")).distinct(), thin=True)
+    members = kept.join(smaller, "parent_id", "left_anti").withColumn("cluster_id", F.col("parent_id"))
+    if not smaller.isEmpty():
+        left = kept.join(smaller, "parent_id", "left_semi")
+        labels, again = linked(find(cut(units.join(left.select("unit_id"), "unit_id", "left_semi"))))
+        members = members.unionByName(left.join(labels, "unit_id"))
+        totals = totals.join(smaller.withColumnRenamed("parent_id", "cluster_id"), "cluster_id", "left_anti").unionByName(again)
+    return members, totals, before
+
+
 def hidden_overlaps(members: DataFrame, before: DataFrame) -> DataFrame:
     """(cluster_id, hidden_overlaps): removed units that are longer than and overlap a member that stayed."""
     gone = before.join(members.select("unit_id"), "unit_id", "left_anti").withColumnRenamed("cluster_id", "parent_id")
@@ -50,9 +79,14 @@ def hidden_overlaps(members: DataFrame, before: DataFrame) -> DataFrame:
 
 def summary(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cluster_id, n_members, n_pairs, max_span, top_score) of members (unit_id, cluster_id, start_line, end_line)."""
-    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n_members"), F.max(F.col("end_line") - F.col("start_line") + 1).cast("long").alias("max_span"))
     scores = pairs.join(members.select(F.col("unit_id").alias("i"), "cluster_id"), "i").groupBy("cluster_id").agg(F.count("*").alias("n_pairs"), F.max("cosine").alias("top_score"))
-    return sizes.join(scores, "cluster_id")
+    return with_totals(members, scores)
+
+
+def with_totals(members: DataFrame, totals: DataFrame) -> DataFrame:
+    """As summary(), of totals (cluster_id, n_pairs, top_score)."""
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n_members"), F.max(F.col("end_line") - F.col("start_line") + 1).cast("long").alias("max_span"))
+    return sizes.join(totals, "cluster_id").select("cluster_id", "n_members", "n_pairs", "max_span", "top_score")
 
 
 def ordered(summaries: DataFrame, top: int | None = None, min_members: int = 2) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinspect.functions.vectors import dot
+from twinspect.operators.graph import first_reached
 from twinspect.session import cut
 
 BLOCK_ROWS = 2048
@@ -31,6 +32,7 @@ SLICE = 512
 TILE_ROWS, TILE_COLUMNS = 128, 1024  # what a product of this size needs stays in a core's cache
 PLANES, BANDS, ROWS, DRAWS = 128, 16, 8, 32
 CAP = 1024
+MOST_PAIRS = 1_000_000  # what a task lists before it reduces pairs to links
 MISS = 0.02  # of the pairs at the threshold, by the binomial law of signatures
 
 
@@ -279,14 +281,46 @@ def _pairs_of(found: Callable, name: str) -> Callable:
     return settle
 
 
+def _links_of(settle: Callable) -> Callable:
+    """What the pairs (i, j, value) of two blocks link, without the pairs: each row that has a pair with its root, the smallest id that it
+    reaches there; a root's row has the number of pairs and the best value of its tree, other rows 0 and -inf."""
+
+    def reduced(held):
+        a, b, n, top = (np.concatenate(x) for x in zip(*held))
+        ids, roots = first_reached(a, b)
+        at = ids.searchsorted(roots[ids.searchsorted(a)])
+        best = np.full(len(ids), -np.inf)
+        np.maximum.at(best, at, top)
+        return ids, roots, np.bincount(at, n, len(ids)).astype(np.int64), best
+
+    def links(first, second, out):
+        held, size = [], 0
+        for batch in settle(first, second, out):
+            if batch.num_rows:
+                i, j, value = (batch.column(k).to_numpy() for k in range(3))
+                held.append((i, j, np.ones(len(i), np.int64), value))
+                size += len(i)
+            if size >= MOST_PAIRS:
+                held, size = [reduced(held)], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in reduced(held)], names=["id", "root", "n", "top"])
+
+    return links
+
+
+def _answer(settle: Callable, links: bool) -> tuple[Callable, str]:
+    return (_links_of(settle), "id long, root long, n long, top double") if links else (settle, "i long, j long, cosine double")
+
+
 # ---- exact pairs
 
 
-def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, n: int | None = None) -> DataFrame:
-    """(i, j, cosine), i < j, cosine >= threshold, over all rows."""
+def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, n: int | None = None, links: bool = False) -> DataFrame:
+    """(i, j, cosine), i < j, cosine >= threshold, over all rows; or links between all of them (see _links_of), of which two blocks have
+    no more than rows, however many pairs."""
 
     settle = _pairs_of(lambda a, b: reaching(a, b, threshold), "cosine")
-    return _every_pair(units, block_rows, n, settle, "i long, j long, cosine double")
+    return _every_pair(units, block_rows, n, *_answer(settle, links))
 
 
 # ---- exact pairs of sparse vectors
@@ -496,8 +530,8 @@ def most_differing(threshold: float, miss: float = MISS) -> int:
     return PLANES
 
 
-def sparse_pairs(units: DataFrame, threshold: float, miss: float = MISS, block_rows: int = BLOCK_ROWS, n: int | None = None) -> DataFrame:
-    """(i, j, cosine) of unit vectors, cosine >= threshold, among the pairs whose signatures differ in few enough bits.
+def sparse_pairs(units: DataFrame, threshold: float, miss: float = MISS, block_rows: int = BLOCK_ROWS, n: int | None = None, links: bool = False) -> DataFrame:
+    """(i, j, cosine) of unit vectors, cosine >= threshold, among the pairs whose signatures differ in few enough bits; or their links.
 
     Of the pairs at the threshold about `miss` are lost, of more similar ones fewer; no pair is lost to a cap.
     """
@@ -509,7 +543,7 @@ def sparse_pairs(units: DataFrame, threshold: float, miss: float = MISS, block_r
         far += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
         return reaching(a, b, threshold, far <= most)
 
-    return _every_pair(units, block_rows, n, _pairs_of(found, "cosine"), "i long, j long, cosine double")
+    return _every_pair(units, block_rows, n, *_answer(_pairs_of(found, "cosine"), links))
 
 
 INDEXES = ("auto", "exact", "sparse")
@@ -522,8 +556,8 @@ def choose_index(index: str) -> str:
     return "exact" if index == "auto" else index
 
 
-def similar_pairs(units: DataFrame, threshold: float, index: str = "auto", miss: float = MISS) -> DataFrame:
-    return exact_pairs(units, threshold) if choose_index(index) == "exact" else sparse_pairs(units, threshold, miss)
+def similar_pairs(units: DataFrame, threshold: float, index: str = "auto", miss: float = MISS, links: bool = False) -> DataFrame:
+    return exact_pairs(units, threshold, links=links) if choose_index(index) == "exact" else sparse_pairs(units, threshold, miss, links=links)
 
 
 # ---- queries against a corpus
@@ -619,7 +653,9 @@ def rank_originals(queries: DataFrame, corpus: DataFrame, truth: DataFrame, digi
     rounded = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     size = lambda v: F.col(v).cast("array<double>")
     true = truth.select(F.col("q").cast("long").alias("q"), F.col("u").cast("long").alias("u")).distinct()
-    both = true.join(queries.select(F.col("unit_id").cast("long").alias("q"), size("vec").alias("vq")), "q").join(corpus.select(F.col("unit_id").cast("long").alias("u"), size("vec").alias("vu")), "u")
+    # The corpus streams past the ids of true rows before any vector is sorted.
+    known = corpus.select(F.col("unit_id").cast("long").alias("u"), size("vec").alias("vu")).join(true.select("u").distinct().hint("shuffle_hash"), "u", "left_semi")
+    both = true.join(queries.select(F.col("unit_id").cast("long").alias("q"), size("vec").alias("vq")), "q").join(known, "u")
     own = both.where(F.size("vq") == F.size("vu")).groupBy("q").agg(F.min(F.struct((-rounded(dot(F.col("vq"), F.col("vu")))).alias("cos"), "u")).alias("best"))
     own = own.select("q", (-F.col("best.cos")).alias("cos_orig"), F.col("best.u").alias("orig"))
     # A query takes its best true row along: the score behind its vector, the id as its start line.

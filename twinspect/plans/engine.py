@@ -88,9 +88,9 @@ class Engine:
 
     # -- scan
 
-    def scan(self, threshold: float | None = None, refresh: bool = True, index: str | None = None, min_lines: int | None = None, skip_tests: bool | None = None, unit_kind: str | None = None, min_cluster: int | None = None) -> dict:
+    def scan(self, threshold: float | None = None, refresh: bool = True, index: str | None = None, min_lines: int | None = None, skip_tests: bool | None = None, unit_kind: str | None = None, min_cluster: int | None = None, pairs: bool = True) -> dict:
         """members, pairs and ordered summaries of the clusters that stay, summaries of every cluster, hidden overlaps, and the counts of
-        units, ignored and kept ones, from the pass that reads the units."""
+        units, ignored and kept ones, from the pass that reads the units. If pairs is false, none are listed: None stands for them."""
         s = self.config.scan
         threshold = s.threshold if threshold is None else threshold
         if threshold is None:
@@ -100,13 +100,13 @@ class Engine:
         seen = Observation()
         rows = cut(self.store.scannable(MAIN, self.model, s.min_lines if min_lines is None else min_lines, s.skip_tests if skip_tests is None else skip_tests, unit_kind or s.unit_kind, seen))
         units = cut(overlap.drop_overlapping_blocks(rows))
-        pairs = similar.similar_pairs(units, threshold, index or s.index)
-        members, left, before = clusters.pruned(pairs, units)
+        find = lambda rows: similar.similar_pairs(rows, threshold, index or s.index, links=not pairs)
+        members, left, before = clusters.pruned(find(units), units) if pairs else clusters.pruned_links(units, find)
         members, least = cut(members), s.min_cluster if min_cluster is None else min_cluster
-        every = clusters.summary(members, left)
+        every = clusters.summary(members, left) if pairs else clusters.with_totals(members, left)
         summaries = clusters.ordered(every, min_members=least)
         kept = members.join(summaries.select("cluster_id"), "cluster_id", "left_semi")
-        return {"members": kept, "pairs": left.join(kept.select(F.col("unit_id").alias("i")), "i", "left_semi"), "clusters": summaries, "every": every, "hidden": clusters.hidden_overlaps(members, before), "units": units, "counts": seen.get}
+        return {"members": kept, "pairs": left.join(kept.select(F.col("unit_id").alias("i")), "i", "left_semi") if pairs else None, "clusters": summaries, "every": every, "hidden": clusters.hidden_overlaps(members, before), "units": units, "counts": seen.get}
 
     def scan_report(self, found: dict, top: int = 50, bodies: bool = False) -> str:
         """The first `top` clusters as text; only their members, bodies and the pairs that are shown are fetched."""
