@@ -57,8 +57,8 @@ def contained(texts: DataFrame, passages: DataFrame, batch_chars: int = BATCH_CH
             automaton.make_automaton() if held.value else None
             for rows in batches:
                 us, hits = [], []
-                for u, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    some = sorted({x for _, x in automaton.iter(text)}) if held.value else []
+                for u, text in zip(rows.column(0).to_pylist(), rows.column(1)):  # one text at a time leaves the batch
+                    some = sorted({x for _, x in automaton.iter(text.as_py())}) if held.value else []
                     us += [u] * len(some)
                     hits += some
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(hits, pa.string())], names=["u", "passage"])
