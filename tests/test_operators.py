@@ -378,3 +378,28 @@ def test_links_give_the_clusters_and_totals_of_all_pairs(spark, monkeypatch):
     copies = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(300)], "unit_id long, vec array<double>")
     links = similar.exact_pairs(copies, 0.9, links=True).collect()
     assert len(links) == 300 and sum(r.n for r in links) == 300 * 299 // 2 and {r.root for r in links} == {0}
+
+
+def test_few_rows_are_multiplied_whole_and_no_pair_is_lost(spark, monkeypatch):
+    """Of rows in groups only a group's own pairs are multiplied in full; ties at the threshold, zero rows and vectors of any length stay right."""
+    monkeypatch.setattr(similar, "LEAST_PAIRS", 1)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(12, 64))[np.arange(1500) % 12] + rng.normal(size=(1500, 64)) * 0.2
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[:20], v[20:40], v[40:60], v[60:64] = 0.0, np.eye(64)[0], 0.95 * np.eye(64)[0], 3 * v[64:68]
+    v = v[similar._by_likeness(v)]
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.95, 1))
+    piece = (64, np.arange(1500).tobytes(), v.tobytes(), None, np.zeros(1500, np.int64).tobytes(), np.zeros(1500, np.int64).tobytes())
+    for scores in (True, False):
+        seen = []
+
+        def found(a, b):
+            seen.append(len(a.ids) * len(b.ids))
+            return similar.reaching(a, b, 0.95, scores=scores)
+
+        got = list(similar._pairs_of(found, "cosine" if scores else None, 0.95)([piece], [piece], None))
+        pairs = [p for batch in got for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        assert sorted(pairs) == sorted(zip(i.tolist(), j.tolist())) and len(pairs) > 1000
+        assert sum(seen) < 1500 * 1500 // 3
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "unit_id long, vec array<double>")
+    assert sorted(map(tuple, similar.exact_pairs(df, 0.95, 400, scores=False).collect())) == sorted(zip(i.tolist(), j.tolist()))

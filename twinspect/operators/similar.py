@@ -12,6 +12,7 @@ where pairs are left.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache, cached_property
@@ -24,15 +25,19 @@ from pyspark.sql import functions as F
 
 from twinspect.functions.vectors import dot
 from twinspect.operators.graph import first_reached
-from twinspect.session import cut
+from twinspect.session import checkpoint_dir, cut, read_batch, write_batch
 
 BLOCK_ROWS = 2048
+TOGETHER = 4  # blocks that a task of a large table meets one with
 LARGER, FEW_BLOCKS = 8, 24  # all pairs of a table: so many blocks of BLOCK_ROWS, then blocks of up to LARGER times that
 SLICE = 512
 TILE_ROWS, TILE_COLUMNS = 128, 1024  # what a product of this size needs stays in a core's cache
 PLANES, BANDS, ROWS, DRAWS = 128, 16, 8, 32
 CAP = 1024
 MOST_PAIRS = 1_000_000  # what a task lists before it reduces pairs to links
+BATCH_PAIRS = 65_536  # pairs that leave a task together
+LEVELS = ((16, 16), (64, 64))  # of a sieve: leading directions, and groups of numbers of what they leave
+LEAST_PAIRS, SAMPLE = 1 << 18, 2048  # products of fewer rows aren't sieved; rows that directions are taken from
 MISS = 0.02  # of the pairs at the threshold, by the binomial law of signatures
 
 
@@ -163,17 +168,31 @@ def _where(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(np.flatnonzero(near), near.shape[1])
 
 
-def reaching(a: Side, b: Side, threshold: float, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _room(a: Side, b: Side, threshold: float) -> float:
+    """What rounding to single precision can amount to in a product; not below 1e30 where numbers may be too large for it, or are none."""
+    return (a.vecs.shape[1] + 4) * 2.0**-23 * a.longest * b.longest + abs(threshold) * 2.0**-22 + 1e-30
+
+
+def reaching(a: Side, b: Side, threshold: float, among: np.ndarray | None = None, scores: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(rows of a, rows of b, inner products) that are at least the threshold, among the pairs of a boolean matrix if given.
 
-    A product in single precision, less what its rounding can amount to, leaves few pairs, which are multiplied in double.
+    A product in single precision, less what its rounding can amount to, leaves few pairs, which are multiplied in double; if scores
+    aren't asked for, only those that are closer to the threshold than rounding.
     """
     many = len(a.ids) * len(b.ids) // 16
     if among is None or np.count_nonzero(among) > many // 4:
-        room = (a.vecs.shape[1] + 4) * 2.0**-23 * a.longest * b.longest + 1e-30
-        if room < 1e30:  # else numbers may be too large for single precision, or are none
-            near = a.single @ b.single.T >= np.float32(threshold - room - abs(threshold) * 2.0**-22)
+        room = _room(a, b, threshold)
+        if room < 1e30:
+            rough = a.single @ b.single.T
+            near = rough >= np.float32(threshold - room)
             near = near if among is None else near & among
+            if not scores:
+                p, q = _where(near)
+                doubt = np.flatnonzero(rough[p, q] < np.float32(threshold + room))
+                s = [np.einsum("ij,ij->i", a.vecs[p[k]], b.vecs[q[k]]) for k in (doubt[at : at + SLICE] for at in range(0, len(doubt), SLICE))]
+                keep = np.ones(len(p), bool)
+                keep[doubt] = np.concatenate(s or [np.zeros(0)]) >= threshold
+                return p[keep], q[keep], None
         if not room < 1e30 or np.count_nonzero(near) > many:
             s = a.vecs @ b.vecs.T
             near = s >= threshold if among is None else (s >= threshold) & among
@@ -182,11 +201,74 @@ def reaching(a: Side, b: Side, threshold: float, among: np.ndarray | None = None
     else:
         near = among
     p, q = _where(near)
-    s = np.concatenate([np.einsum("ij,ij->i", a.vecs[p[k : k + 65536]], b.vecs[q[k : k + 65536]]) for k in range(0, len(p), 65536)] or [np.zeros(0)])
+    s = np.concatenate([np.einsum("ij,ij->i", a.vecs[p[k : k + SLICE]], b.vecs[q[k : k + SLICE]]) for k in range(0, len(p), SLICE)] or [np.zeros(0)])
     keep = s >= threshold
     return p[keep], q[keep], s[keep]
 
 
+def _leading(*parts: np.ndarray) -> np.ndarray:
+    """Orthonormal directions of some rows of matrices, as columns, that in which rows are longest first."""
+    some = np.concatenate([m[:: -(-len(m) // SAMPLE)] for m in parts])
+    return np.linalg.eigh(some.T @ some)[1][:, ::-1]
+
+
+def _shadow(vecs: np.ndarray, directions: np.ndarray, k: int, groups: int) -> np.ndarray:
+    """Of each row its parts along k directions, then the lengths of the rest's numbers by group. The product of two shadows is at least
+    that of the rows (Cauchy-Schwarz in each group), and their distance at most that of the rows."""
+    out, lead = np.empty((len(vecs), k + groups), np.float32), directions[:, :k]
+    starts = np.linspace(0, vecs.shape[1], groups, endpoint=False).astype(int)
+    for at in range(0, len(vecs), SLICE):
+        rows = vecs[at : at + SLICE]
+        own = rows @ lead
+        rest = rows - own @ lead.T
+        out[at : at + SLICE] = np.hstack((own, np.sqrt(np.add.reduceat(rest * rest, starts, axis=1))))
+    return out
+
+
+def _by_likeness(vecs: np.ndarray) -> np.ndarray:
+    """An order of rows in which each TILE_ROWS are alike: halves by the leading direction that spreads them most, again and again."""
+    if len(vecs) <= TILE_ROWS or not vecs.shape[1] or not np.abs(vecs).max() < 1e15:
+        return np.arange(len(vecs))
+    own = vecs @ _leading(vecs)[:, : LEVELS[0][0]]
+    parts = [np.arange(len(vecs))]
+    while len(parts[0]) > TILE_ROWS:
+        ordered = [r[np.argsort(own[r, own[r].var(0).argmax()], kind="stable")] for r in parts]
+        parts = [half for r in ordered for half in np.array_split(r, 2)]
+    return np.concatenate(parts)
+
+
+class Sieve:
+    """Which rows of b can reach the threshold with one of some rows of a: by boxes around TILE_ROWS rows, then by products of shadows, the
+    short ones first. No pair is lost, so what is kept is only a matter of time; a level that leaves most of its rows is given up."""
+
+    def __init__(self, a: Side, b: Side, threshold: float):
+        room, self.levels, self.first = _room(a, b, threshold), [], None
+        sizes = [(k, m) for k, m in LEVELS if 2 * (k + m) <= a.vecs.shape[1]]
+        if not room < 1e15 or len(a.ids) * len(b.ids) < LEAST_PAIRS or not sizes:
+            return
+        self.least = np.float32(threshold - room)
+        directions = _leading(a.vecs, b.vecs)
+        self.levels = [(*(_shadow(s.vecs, directions, k, m) for s in (a, b)), [0, 0]) for k, m in sizes]
+        # Rows whose product reaches the threshold are no farther apart.
+        self.far = max(0.0, a.longest**2 + b.longest**2 - 2 * threshold) + 1e-4 * (a.longest + b.longest) ** 2
+        self.first, shadow, starts = self.levels[0][0], self.levels[0][1].astype(float), np.arange(0, len(b.ids), TILE_ROWS)
+        self.low, self.high = np.minimum.reduceat(shadow, starts), np.maximum.reduceat(shadow, starts)
+
+    def columns(self, rows: slice, columns: np.ndarray) -> np.ndarray:
+        if self.first is not None:
+            own = self.first[rows]
+            gap = np.maximum(0, np.maximum(self.low - own.max(0), own.min(0) - self.high))
+            columns = columns[((gap * gap).sum(1) <= self.far)[columns // TILE_ROWS]]
+        for x, y, seen in list(self.levels):
+            before, own = len(columns), x[rows]
+            some = [columns[at : at + TILE_COLUMNS] for at in range(0, before, TILE_COLUMNS)]
+            columns = np.concatenate([c[(own @ y[c].T >= self.least).any(0)] for c in some] or [columns])
+            seen[0], seen[1] = seen[0] + before, seen[1] + len(columns)
+            if seen[0] > 16 * TILE_COLUMNS and seen[1] > 0.7 * seen[0]:
+                self.levels = [level for level in self.levels if level[2] is not seen]
+        return columns
+
+
 FIRST, SECOND, PAIRS = 1, 2, 4  # roles of a piece in a pair of blocks
 
 
@@ -220,37 +302,46 @@ def _dims(first: list[tuple], second: list[tuple]) -> list[int]:
 
 
 def _blocks(units: DataFrame, n_blocks: int) -> DataFrame:
-    """Rows of PIECE, one for each block and length of vectors, each block in a partition of its own in the checkpoint folder."""
+    """(block, dim, path): a file in the checkpoint folder for each block and length of vectors, of one row of PIECE, like rows together."""
+    folder = f"{checkpoint_dir(units.sparkSession).rstrip('/')}/blocks-{uuid.uuid4().hex}"
 
     def run(batches):
         held = {}
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 held.setdefault(row[:2], []).append(row[2:])
-        for key in sorted(held):
-            ids, vecs, paths, starts, ends = zip(*held.pop(key))
+        for block, dim in sorted(held):
+            ids, vecs, paths, starts, ends = zip(*held.pop((block, dim)))
             own = None if any(p is None for p in paths) else [x for p in paths for x in p]
-            yield _batch([(*key, b"".join(ids), b"".join(vecs), own, b"".join(starts), b"".join(ends))], PIECE)
+            numbers = [np.frombuffer(b"".join(x), np.int64) for x in (ids, starts, ends)]
+            matrix = np.frombuffer(b"".join(vecs), np.float64).reshape(len(numbers[0]), dim)
+            del vecs
+            order = _by_likeness(matrix)
+            ids, starts, ends = (x[order].tobytes() for x in numbers)
+            path = f"{folder}/{block}-{dim}.arrow"
+            write_batch(path, _batch([(block, dim, ids, matrix[order].tobytes(), own and [own[k] for k in order], starts, ends)], PIECE))
+            yield _batch([(block, dim, path)], [("block", pa.int64()), ("dim", pa.int32()), ("path", pa.string())])
 
-    return cut(_pieces(units, n_blocks).repartitionById(n_blocks, F.col("block").cast("int")).mapInArrow(run, _PIECE))
+    return cut(_pieces(units, n_blocks).repartitionById(n_blocks, F.col("block").cast("int")).mapInArrow(run, "block long, dim int, path string"))
 
 
 def _every_pair(units: DataFrame, block_rows: int, n: int | None, settle: Callable, schema: str) -> DataFrame:
-    """settle(first, second, None) for all pairs of blocks, each once, as _by_block_pair; blocks are read where they lie."""
-    blocks = _blocks(units, _n_larger(units.count() if n is None else n, block_rows))
-    names = [k for k, _ in PIECE]
-    one, two = (blocks.select(*[F.col(k).alias(f"{side}_{k}") for k in names]) for side in "ab")
-    both = one.hint("shuffle_replicate_nl").join(two, (F.col("a_block") <= F.col("b_block")) & (F.col("a_dim") == F.col("b_dim")))
+    """settle(first, second, None) for all pairs of blocks, each once, as _by_block_pair; tasks read blocks where they lie, so no row of
+    Spark is larger than a path."""
+    n_blocks = _n_larger(units.count() if n is None else n, block_rows)
+    blocks = _blocks(units, n_blocks)
+    one, two = (blocks.select(*[F.col(k).alias(f"{side}_{k}") for k in blocks.columns]) for side in "ab")
+    both = one.hint("shuffle_replicate_nl").join(two.coalesce(-(-n_blocks // TOGETHER)), (F.col("a_block") <= F.col("b_block")) & (F.col("a_dim") == F.col("b_dim")))
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
+        def piece(path):
+            batch = read_batch(path)
+            ids, vecs, starts, ends = (batch.column(k)[0].as_buffer() for k in (2, 3, 5, 6))
+            return batch.column(1)[0].as_py(), ids, vecs, batch.column(4)[0].as_py(), starts, ends
 
-                def piece(at):
-                    ids, vecs, starts, ends = (batch.column(at + k)[i].as_buffer() for k in (2, 3, 5, 6))
-                    return batch.column(at + 1)[i].as_py(), ids, vecs, batch.column(at + 4)[i].as_py(), starts, ends
-
-                yield from settle([piece(0)], [piece(len(names))], None)
+        for batch in batches:
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist()):
+                yield from settle([piece(a)], [piece(b)], None)
 
     return both.mapInArrow(run, schema)
 
@@ -259,24 +350,42 @@ def _same(a: Side, b: Side) -> bool:
     return a.ids.tobytes() == b.ids.tobytes()
 
 
-def _pairs_of(found: Callable, name: str) -> Callable:
+def _pairs_of(found: Callable, name: str | None, threshold: float | None = None) -> Callable:
     """The pairs of two blocks that found(a, b) gives as (rows of a, rows of b, values), each once, a slice of a and of b at a time,
-    without those of which one span encloses the other."""
+    without those of which one span encloses the other; without values if they have no name. With a threshold of inner products,
+    found gets only rows of b that a sieve leaves."""
 
     def settle(first, second, _):
+        held, size = [], 0
+
+        def batch():
+            columns = [np.concatenate(x) for x in zip(*held)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["i", "j", name][: len(columns)])
+
         for dim in _dims(first, second):
             a, b = Side.of(first, dim), Side.of(second, dim)
-            same, tiles = _same(a, b), [b.rows(slice(k, k + TILE_COLUMNS)) for k in range(0, len(b.ids), TILE_COLUMNS)]
+            same, sieve = _same(a, b), None if threshold is None else Sieve(a, b, threshold)
             for at in range(0, len(a.ids), TILE_ROWS):
-                part = a.rows(slice(at, at + TILE_ROWS))
-                for tile in tiles:
+                rows = slice(at, at + TILE_ROWS)
+                part, columns = a.rows(rows), np.arange(at if same else 0, len(b.ids))
+                columns = columns if sieve is None else sieve.columns(rows, columns)
+                for lo in range(0, len(columns), TILE_COLUMNS):
+                    mine = columns[lo : lo + TILE_COLUMNS]
+                    tile = b.rows(mine)
                     p, q, value = found(part, tile)
-                    keep = part.ids[p] < tile.ids[q] if same else part.ids[p] != tile.ids[q]
+                    keep = part.ids[p] != tile.ids[q]
+                    if same:
+                        keep &= at + p < mine[q]
                     if a.paths is not None and b.paths is not None and len(p):
                         keep &= ~enclosed(part, tile, p, q)
-                    p, q, value = p[keep], q[keep], value[keep]
-                    i, j = np.minimum(part.ids[p], tile.ids[q]), np.maximum(part.ids[p], tile.ids[q])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i, j, value)], names=["i", "j", name])
+                    i, j = part.ids[p[keep]], tile.ids[q[keep]]
+                    held.append((np.minimum(i, j), np.maximum(i, j), *(() if name is None else (value[keep],))))
+                    size += len(i)
+                    if size >= BATCH_PAIRS:
+                        yield batch()
+                        held, size = [], 0
+        if size:
+            yield batch()
 
     return settle
 
@@ -308,19 +417,19 @@ def _links_of(settle: Callable) -> Callable:
     return links
 
 
-def _answer(settle: Callable, links: bool) -> tuple[Callable, str]:
-    return (_links_of(settle), "id long, root long, n long, top double") if links else (settle, "i long, j long, cosine double")
+def _answer(settle: Callable, links: bool, scores: bool = True) -> tuple[Callable, str]:
+    return (_links_of(settle), "id long, root long, n long, top double") if links else (settle, "i long, j long, cosine double" if scores else "i long, j long")
 
 
 # ---- exact pairs
 
 
-def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, n: int | None = None, links: bool = False) -> DataFrame:
+def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS, n: int | None = None, links: bool = False, scores: bool = True) -> DataFrame:
     """(i, j, cosine), i < j, cosine >= threshold, over all rows; or links between all of them (see _links_of), of which two blocks have
-    no more than rows, however many pairs."""
-
-    settle = _pairs_of(lambda a, b: reaching(a, b, threshold), "cosine")
-    return _every_pair(units, block_rows, n, *_answer(settle, links))
+    no more than rows, however many pairs. Without scores (i, j), and few products are taken in double. n: about how many rows there are."""
+    scores = scores or links
+    settle = _pairs_of(lambda a, b: reaching(a, b, threshold, scores=scores), "cosine" if scores else None, threshold)
+    return _every_pair(units, block_rows, n, *_answer(settle, links, scores))
 
 
 # ---- exact pairs of sparse vectors

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 THIN_FILES = 4
@@ -48,5 +50,32 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _where(path: str):
+    """A file system and a name in it; Spark names local files file:/... or without a scheme."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def write_batch(path: str, batch: pa.RecordBatch) -> None:
+    """One batch as a file of any store that Arrow opens, there whole or not at all."""
+    system, name = _where(path)
+    folder, last = name.rsplit("/", 1)
+    new = f"{folder}/.{last}-{uuid.uuid4().hex}"
+    system.create_dir(folder)
+    with system.open_output_stream(new) as out, pa.ipc.new_file(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    system.move(new, name)
+
+
+def read_batch(path: str) -> pa.RecordBatch:
+    """What write_batch wrote; of a local file, pages are mapped."""
+    system, name = _where(path)
+    source = pa.memory_map(name) if system.type_name == "local" else system.open_input_file(name)
+    return pa.ipc.open_file(source).get_batch(0)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
