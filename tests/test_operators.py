@@ -403,3 +403,22 @@ def test_few_rows_are_multiplied_whole_and_no_pair_is_lost(spark, monkeypatch):
         assert sum(seen) < 1500 * 1500 // 3
     df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "unit_id long, vec array<double>")
     assert sorted(map(tuple, similar.exact_pairs(df, 0.95, 400, scores=False).collect())) == sorted(zip(i.tolist(), j.tolist()))
+
+
+def test_blocks_lie_in_files_and_rows_of_spark_are_paths(spark):
+    """However large a block is, no row that Spark joins or sends to Python holds its vectors; files hold each row once."""
+    from twinspect.session import read_batch
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(700, 24))
+    df = spark.createDataFrame([(k, x[: 24 - k % 2].tolist(), f"p{k}") for k, x in enumerate(v)], "unit_id long, vec array<double>, path string")
+    blocks = similar._blocks(df, 3)
+    assert dict(blocks.dtypes) == {"block": "bigint", "dim": "int", "path": "string"}
+    held = {}
+    for r in blocks.collect():
+        side = similar.Side.of([tuple(read_batch(r.path).column(k)[0].as_py() for k in range(1, 7))], r.dim)
+        assert set(similar._block_of(side.ids, 3)) == {r.block} and len(side.ids) > 0
+        held |= {int(i): (x, p) for i, x, p in zip(side.ids, side.vecs, side.paths)}
+    assert len(held) == 700 and all(p == f"p{k}" and (x == v[k][: 24 - k % 2]).all() for k, (x, p) in held.items())
+    plan = similar.exact_pairs(df, 0.9, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "vecs" not in plan
