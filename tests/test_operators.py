@@ -422,3 +422,24 @@ def test_blocks_lie_in_files_and_rows_of_spark_are_paths(spark):
     assert len(held) == 700 and all(p == f"p{k}" and (x == v[k][: 24 - k % 2]).all() for k, (x, p) in held.items())
     plan = similar.exact_pairs(df, 0.9, 100)._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan and "vecs" not in plan
+
+
+def test_blocks_of_like_rows_lose_no_pair_and_are_bounded(spark, monkeypatch):
+    """A tree deals like rows into one block and many copies of one row into several; pairs across blocks, also of other lengths, stay in."""
+    monkeypatch.setattr(similar, "LEAST_PAIRS", 1)
+    monkeypatch.setattr(similar, "FEW_BLOCKS", 4)
+    monkeypatch.setattr(similar, "LARGER", 1)
+    rng = np.random.default_rng(10)
+    group = np.arange(1600) % 8
+    v = rng.normal(size=(8, 64))[group] + rng.normal(size=(1600, 64)) * 0.25
+    v[group == 0] = v[0]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(2000 + k, [1.0, 0.0]) for k in range(20)], "unit_id long, vec array<double>").localCheckpoint()
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.94, 1))
+    want = sorted(zip(i.tolist(), j.tolist())) + [(2000 + a, 2000 + b) for a in range(20) for b in range(a + 1, 20)]
+    assert sorted(map(tuple, similar.exact_pairs(df, 0.94, 100, scores=False).collect())) == want
+    tree, n_blocks = similar._tree(df, 1620, 16)
+    blocks = tree.blocks(np.arange(1600), v)
+    sizes = np.bincount(blocks, minlength=n_blocks)
+    assert n_blocks < 64 and sizes.max() <= 2 * 102 and len(set(blocks[group == 0])) > 1
+    assert np.mean([len(set(group[blocks == b])) for b in set(blocks)]) < 4  # by id, a block has rows of all 8

@@ -3,10 +3,10 @@
 Rows have unit_id, vec, and optionally path, start_line, end_line: with these, pairs of one file of which one span encloses
 the other are not pairs. Scores are inner products in double; vectors of different lengths are no pair, null vectors are left out.
 
-All of them deal rows into blocks by a hash of the id. A block is one row of bytes; a pair of blocks is multiplied or compared as
-matrices, a slice at a time. A task holds two blocks and one slice, whatever the number of rows, and only what is asked for leaves
-it. All pairs of one table are a cartesian product of its blocks in the checkpoint folder, so rows are shuffled once, however many
-blocks there are. Work is quadratic in rows; by signatures it is an exclusive or and a bit count a pair, and inner products only
+All of them deal rows into blocks by a hash of the id, exact pairs of a large table into blocks of like rows. A block is one row of bytes;
+a pair of blocks is multiplied or compared as matrices, a slice at a time. A task holds two blocks and one slice, whatever the number of
+rows, and only what is asked for leaves it. All pairs of one table are a cartesian product of the paths of its blocks, which are files
+in the checkpoint folder, so rows are shuffled once, however many blocks there are. Work is quadratic in rows; by signatures it is an exclusive or and a bit count a pair, and inner products only
 where pairs are left.
 """
 
@@ -34,6 +34,8 @@ SLICE = 512
 TILE_ROWS, TILE_COLUMNS = 128, 1024  # what a product of this size needs stays in a core's cache
 PLANES, BANDS, ROWS, DRAWS = 128, 16, 8, 32
 CAP = 1024
+MOST_DIM = 1024  # longer vectors are dealt by id and multiplied whole: their directions would take too long
+MOST_LEAVES = 1024  # of a tree that deals rows into blocks
 MOST_PAIRS = 1_000_000  # what a task lists before it reduces pairs to links
 BATCH_PAIRS = 65_536  # pairs that leave a task together
 LEVELS = ((16, 16), (64, 64))  # of a sieve: leading directions, and groups of numbers of what they leave
@@ -57,8 +59,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _block_of(ids: np.ndarray, n_blocks: int) -> np.ndarray:
-    return (_mix(ids.view(np.uint64)) % np.uint64(n_blocks)).astype(np.int64)
+def _block_of(ids: np.ndarray, n_blocks: int | np.ndarray) -> np.ndarray:
+    return (_mix(ids.view(np.uint64)) % np.asarray(n_blocks, np.uint64)).astype(np.int64)
 
 
 def _n_blocks(rows: int, block_rows: int) -> int:
@@ -88,7 +90,7 @@ def _spans(units: DataFrame) -> DataFrame:
     return units.select(*cols).where("unit_id IS NOT NULL AND vec IS NOT NULL").na.fill(0, ["start_line", "end_line"])
 
 
-def _pieces(units: DataFrame, n_blocks: int) -> DataFrame:
+def _pieces(units: DataFrame, n_blocks: int, tree: Tree | None = None) -> DataFrame:
     """Rows of PIECE: what a task has of one block, in one row for each length of vectors."""
     plain = not ({"path", "start_line", "end_line"} & set(units.columns))
 
@@ -98,6 +100,9 @@ def _pieces(units: DataFrame, n_blocks: int) -> DataFrame:
             flat, at = np.asarray(batch.column(1).values), np.asarray(batch.column(1).offsets).astype(np.int64)
             paths, lines = batch.column(2), [batch.column(k).to_numpy() for k in (3, 4)]
             blocks, dims = _block_of(ids, n_blocks), np.diff(at)
+            if tree is not None:
+                mine = np.flatnonzero(dims == len(tree.directions))
+                blocks[mine] = tree.blocks(ids[mine], flat[(at[mine][:, None] + np.arange(len(tree.directions))).ravel()].reshape(len(mine), len(tree.directions)))
             order = np.lexsort((blocks, dims))
             new = np.flatnonzero(np.concatenate(([True], (np.diff(blocks[order]) != 0) | (np.diff(dims[order]) != 0)))) if len(order) else []
             out = []
@@ -124,16 +129,18 @@ class Side:
     paths: np.ndarray | None
     starts: np.ndarray
     ends: np.ndarray
+    shadows: list[np.ndarray] | None = None  # by level, where blocks were written with them
 
     @classmethod
     def of(cls, pieces: list[tuple], dim: int) -> Side:
-        """pieces: rows of PIECE without the block."""
+        """pieces: rows of PIECE without the block; behind one from a file there may be its shadows."""
         mine = [p for p in pieces if p[0] == dim]
         whole = lambda k, kind: np.concatenate([np.frombuffer(p[k], kind) for p in mine]) if len(mine) > 1 else np.frombuffer(mine[0][k], kind)
         ids, starts, ends = (whole(k, np.int64) for k in (1, 4, 5))
         vecs = whole(2, np.float64).reshape(len(ids), dim)
         paths = None if any(p[3] is None for p in mine) else np.array([x for p in mine for x in p[3]], object)
-        return cls(ids, vecs, paths, starts, ends)
+        shadows = [np.frombuffer(s, np.float32).reshape(len(ids), -1) for s in mine[0][6:]] if len(mine) == 1 and len(ids) else []
+        return cls(ids, vecs, paths, starts, ends, shadows or None)
 
     def rows(self, which) -> Side:
         return Side(self.ids[which], self.vecs[which], None if self.paths is None else self.paths[which], self.starts[which], self.ends[which])
@@ -227,7 +234,7 @@ def _shadow(vecs: np.ndarray, directions: np.ndarray, k: int, groups: int) -> np
 
 def _by_likeness(vecs: np.ndarray) -> np.ndarray:
     """An order of rows in which each TILE_ROWS are alike: halves by the leading direction that spreads them most, again and again."""
-    if len(vecs) <= TILE_ROWS or not vecs.shape[1] or not np.abs(vecs).max() < 1e15:
+    if len(vecs) <= TILE_ROWS or not 0 < vecs.shape[1] <= MOST_DIM or not np.abs(vecs).max() < 1e15:
         return np.arange(len(vecs))
     own = vecs @ _leading(vecs)[:, : LEVELS[0][0]]
     parts = [np.arange(len(vecs))]
@@ -237,21 +244,102 @@ def _by_likeness(vecs: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+@dataclass
+class Tree:
+    """Deals rows into blocks of like rows: halves of a sample by leading directions, of which each leaf has its own blocks, or shares one."""
+
+    directions: np.ndarray  # those of the shadows, too
+    axis: np.ndarray  # of the inner nodes, by level
+    cuts: np.ndarray
+    first: np.ndarray  # block of each leaf
+    many: np.ndarray  # blocks of each leaf, dealt by id: copies of one vector may be many
+
+    @classmethod
+    def of(cls, some: np.ndarray, leaves: int) -> Tree:
+        directions = _leading(some)
+        own, parts, axis, cuts = some @ directions[:, : LEVELS[0][0]], [np.arange(len(some))], [], []
+        while len(parts) < leaves:
+            halves = []
+            for r in parts:
+                k = int(own[r].var(0).argmax()) if len(r) else 0
+                middle = float(np.median(own[r, k])) if len(r) else 0.0
+                axis.append(k)
+                cuts.append(middle)
+                halves += [r[own[r, k] <= middle], r[own[r, k] > middle]]
+            parts = halves
+        return cls(directions, np.array(axis), np.array(cuts), np.zeros(len(parts), np.int64), np.ones(len(parts), np.int64))
+
+    def leaf(self, vecs: np.ndarray) -> np.ndarray:
+        own, node = vecs @ self.directions[:, : LEVELS[0][0]], np.zeros(len(vecs), np.int64)
+        for _ in range(len(self.first).bit_length() - 1):
+            node = 2 * node + 1 + (own[np.arange(len(own)), self.axis[node]] > self.cuts[node])
+        return node - len(self.axis)
+
+    def deal(self, sizes: np.ndarray, rows: int) -> int:
+        """Sets the blocks of leaves of these sizes, of about `rows` rows each; returns how many there are."""
+        block, size = 0, 0
+        for k, n in enumerate(sizes.tolist()):
+            if size and size + n > rows:
+                block, size = block + 1, 0
+            self.first[k], self.many[k] = block, max(1, -(-n // rows))
+            size += n
+            if self.many[k] > 1:
+                block, size = block + int(self.many[k]), 0
+        return block + 1
+
+    def blocks(self, ids: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+        leaf = self.leaf(vecs)
+        return self.first[leaf] + _block_of(ids, self.many[leaf])
+
+
+def _tree(units: DataFrame, n: int, n_blocks: int) -> tuple[Tree | None, int]:
+    """A tree for (checkpointed) rows of the most frequent length, from a sample of bounded size, and the number of its blocks."""
+    rows = _spans(units).select("unit_id", "vec")
+    sample = rows.sample(min(1.0, 2 * SAMPLE / n), 1).limit(4 * SAMPLE).toArrow() if n else None
+    sizes = {dim: len(which) for dim, which, _ in _vectors(sample.combine_chunks().to_batches()[0])} if sample and sample.num_rows else {}
+    dim = max(sizes, key=lambda d: (sizes[d], d), default=0)
+    if not 2 * sum(LEVELS[0]) <= dim <= MOST_DIM:
+        return None, n_blocks
+    some = next(m for d, _, m in _vectors(sample.combine_chunks().to_batches()[0]) if d == dim)
+    if not np.abs(some).max() < 1e15:
+        return None, n_blocks
+    tree = Tree.of(some, min(MOST_LEAVES, 1 << (4 * n_blocks - 1).bit_length()))
+
+    def run(batches):
+        counts = np.zeros(len(tree.first), np.int64)
+        for batch in batches:
+            for d, _, m in _vectors(batch):
+                if d == dim:
+                    counts += np.bincount(tree.leaf(m), minlength=len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["leaf", "n"])
+
+    counted = rows.mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()  # at most MOST_LEAVES
+    sizes = np.zeros(len(tree.first), np.int64)
+    for r in counted:
+        sizes[r["leaf"]] = r["n"]
+    return tree, max(n_blocks, tree.deal(sizes, -(-n // n_blocks)))
+
+
 class Sieve:
     """Which rows of b can reach the threshold with one of some rows of a: by boxes around TILE_ROWS rows, then by products of shadows, the
     short ones first. No pair is lost, so what is kept is only a matter of time; a level that leaves most of its rows is given up."""
 
     def __init__(self, a: Side, b: Side, threshold: float):
         room, self.levels, self.first = _room(a, b, threshold), [], None
-        sizes = [(k, m) for k, m in LEVELS if 2 * (k + m) <= a.vecs.shape[1]]
+        sizes = [(k, m) for k, m in LEVELS if 2 * (k + m) <= a.vecs.shape[1] <= MOST_DIM]
         if not room < 1e15 or len(a.ids) * len(b.ids) < LEAST_PAIRS or not sizes:
             return
         self.least = np.float32(threshold - room)
-        directions = _leading(a.vecs, b.vecs)
-        self.levels = [(*(_shadow(s.vecs, directions, k, m) for s in (a, b)), [0, 0]) for k, m in sizes]
+        if a.shadows and b.shadows:
+            self.levels = [((lambda pair=pair: pair), [0, 0]) for pair in zip(a.shadows, b.shadows)]
+        else:
+            directions = _leading(a.vecs, b.vecs)
+            shadows = lambda k, m: cache(lambda: tuple(_shadow(s.vecs, directions, k, m) for s in (a, b)))
+            self.levels = [(shadows(k, m), [0, 0]) for k, m in sizes]
         # Rows whose product reaches the threshold are no farther apart.
         self.far = max(0.0, a.longest**2 + b.longest**2 - 2 * threshold) + 1e-4 * (a.longest + b.longest) ** 2
-        self.first, shadow, starts = self.levels[0][0], self.levels[0][1].astype(float), np.arange(0, len(b.ids), TILE_ROWS)
+        (self.first, shadow), starts = self.levels[0][0](), np.arange(0, len(b.ids), TILE_ROWS)
+        shadow = shadow.astype(float)
         self.low, self.high = np.minimum.reduceat(shadow, starts), np.maximum.reduceat(shadow, starts)
 
     def columns(self, rows: slice, columns: np.ndarray) -> np.ndarray:
@@ -259,13 +347,16 @@ class Sieve:
             own = self.first[rows]
             gap = np.maximum(0, np.maximum(self.low - own.max(0), own.min(0) - self.high))
             columns = columns[((gap * gap).sum(1) <= self.far)[columns // TILE_ROWS]]
-        for x, y, seen in list(self.levels):
+        for shadows, seen in list(self.levels):
+            if not len(columns):
+                break
+            x, y = shadows()
             before, own = len(columns), x[rows]
             some = [columns[at : at + TILE_COLUMNS] for at in range(0, before, TILE_COLUMNS)]
-            columns = np.concatenate([c[(own @ y[c].T >= self.least).any(0)] for c in some] or [columns])
+            columns = np.concatenate([c[(own @ y[c].T >= self.least).any(0)] for c in some])
             seen[0], seen[1] = seen[0] + before, seen[1] + len(columns)
             if seen[0] > 16 * TILE_COLUMNS and seen[1] > 0.7 * seen[0]:
-                self.levels = [level for level in self.levels if level[2] is not seen]
+                self.levels = [level for level in self.levels if level[1] is not seen]
         return columns
 
 
@@ -301,7 +392,7 @@ def _dims(first: list[tuple], second: list[tuple]) -> list[int]:
     return sorted({p[0] for p in first} & {p[0] for p in second})
 
 
-def _blocks(units: DataFrame, n_blocks: int) -> DataFrame:
+def _blocks(units: DataFrame, n_blocks: int, tree: Tree | None = None) -> DataFrame:
     """(block, dim, path): a file in the checkpoint folder for each block and length of vectors, of one row of PIECE, like rows together."""
     folder = f"{checkpoint_dir(units.sparkSession).rstrip('/')}/blocks-{uuid.uuid4().hex}"
 
@@ -319,25 +410,33 @@ def _blocks(units: DataFrame, n_blocks: int) -> DataFrame:
             order = _by_likeness(matrix)
             ids, starts, ends = (x[order].tobytes() for x in numbers)
             path = f"{folder}/{block}-{dim}.arrow"
-            write_batch(path, _batch([(block, dim, ids, matrix[order].tobytes(), own and [own[k] for k in order], starts, ends)], PIECE))
+            matrix = matrix[order]
+            levels = [(k, m) for k, m in LEVELS if 2 * (k + m) <= dim] if tree is not None and dim == len(tree.directions) else []
+            shadows = [_shadow(matrix, tree.directions, k, m).tobytes() for k, m in levels]
+            schema = [*PIECE, *[(f"shadow{k}", pa.binary()) for k in range(len(shadows))]]
+            write_batch(path, _batch([(block, dim, ids, matrix.tobytes(), own and [own[k] for k in order], starts, ends, *shadows)], schema))
             yield _batch([(block, dim, path)], [("block", pa.int64()), ("dim", pa.int32()), ("path", pa.string())])
 
-    return cut(_pieces(units, n_blocks).repartitionById(n_blocks, F.col("block").cast("int")).mapInArrow(run, "block long, dim int, path string"))
+    return cut(_pieces(units, n_blocks, tree).repartitionById(n_blocks, F.col("block").cast("int")).mapInArrow(run, "block long, dim int, path string"))
 
 
-def _every_pair(units: DataFrame, block_rows: int, n: int | None, settle: Callable, schema: str) -> DataFrame:
+def _every_pair(units: DataFrame, block_rows: int, n: int | None, settle: Callable, schema: str, alike: bool = False) -> DataFrame:
     """settle(first, second, None) for all pairs of blocks, each once, as _by_block_pair; tasks read blocks where they lie, so no row of
-    Spark is larger than a path."""
-    n_blocks = _n_larger(units.count() if n is None else n, block_rows)
-    blocks = _blocks(units, n_blocks)
+    Spark is larger than a path. With alike, the blocks of a large table are of like rows."""
+    n, tree = units.count() if n is None else n, None
+    n_blocks = _n_larger(n, block_rows)
+    if alike and n_blocks >= FEW_BLOCKS:
+        units = cut(units.select(*[c for c in ("unit_id", "vec", "path", "start_line", "end_line") if c in units.columns]))
+        tree, n_blocks = _tree(units, n, n_blocks)
+    blocks = _blocks(units, n_blocks, tree)
     one, two = (blocks.select(*[F.col(k).alias(f"{side}_{k}") for k in blocks.columns]) for side in "ab")
     both = one.hint("shuffle_replicate_nl").join(two.coalesce(-(-n_blocks // TOGETHER)), (F.col("a_block") <= F.col("b_block")) & (F.col("a_dim") == F.col("b_dim")))
 
     def run(batches):
         def piece(path):
             batch = read_batch(path)
-            ids, vecs, starts, ends = (batch.column(k)[0].as_buffer() for k in (2, 3, 5, 6))
-            return batch.column(1)[0].as_py(), ids, vecs, batch.column(4)[0].as_py(), starts, ends
+            ids, vecs, starts, ends, *shadows = (batch.column(k)[0].as_buffer() for k in (2, 3, *range(5, batch.num_columns)))
+            return batch.column(1)[0].as_py(), ids, vecs, batch.column(4)[0].as_py(), starts, ends, *shadows
 
         for batch in batches:
             for a, b in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist()):
@@ -429,7 +528,7 @@ def exact_pairs(units: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS
     no more than rows, however many pairs. Without scores (i, j), and few products are taken in double. n: about how many rows there are."""
     scores = scores or links
     settle = _pairs_of(lambda a, b: reaching(a, b, threshold, scores=scores), "cosine" if scores else None, threshold)
-    return _every_pair(units, block_rows, n, *_answer(settle, links, scores))
+    return _every_pair(units, block_rows, n, *_answer(settle, links, scores), alike=True)
 
 
 # ---- exact pairs of sparse vectors
